@@ -1,9 +1,11 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from lantern.llm import mixing
+from lantern.llm import licenses, mixing, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_licenses": licenses.op3_licenses,
+    "op8_secrets": secrets.op8_secrets,
 }
 
 SQL = {
