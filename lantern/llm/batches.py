@@ -46,3 +46,20 @@ def map_rows(df: DataFrame, function: Callable[[list[dict]], list[tuple] | Itera
 
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def fold_rows(df: DataFrame, start: Callable, step: Callable, finish: Callable, schema: str, text: str = "text") -> DataFrame:
+    """One state per task: start() makes it, step(state, rows) takes rows in (as in
+    map_rows), finish(state) gives the result tuples."""
+    out: StructType = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = start()
+        for whole in batches:
+            for b in slices(whole, text):
+                step(state, b.to_pydict())
+        if rows := list(finish(state)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return df.mapInArrow(run, out)

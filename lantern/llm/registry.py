@@ -1,11 +1,13 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from lantern.llm import licenses, mixing, secrets
+from lantern.llm import language, licenses, media, mixing, secrets
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_licenses": licenses.op3_licenses,
+    "op7_language": language.op7_language,
     "op8_secrets": secrets.op8_secrets,
+    "op9_media": media.op9_media,
 }
 
 SQL = {
