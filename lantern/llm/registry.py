@@ -1,10 +1,11 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from lantern.llm import language, licenses, media, mixing, secrets
+from lantern.llm import language, licenses, media, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_licenses": licenses.op3_licenses,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_language": language.op7_language,
     "op8_secrets": secrets.op8_secrets,
     "op9_media": media.op9_media,
