@@ -1,9 +1,10 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from lantern.llm import language, licenses, media, mixing, secrets, toxicity
+from lantern.llm import jaccard, language, licenses, media, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_licenses": licenses.op3_licenses,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language": language.op7_language,
@@ -13,4 +14,5 @@ QUERIES = {
 
 SQL = {
     "op1_mixing": mixing.SQL,
+    "op2_jaccard": jaccard.SQL,
 }
