@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lantern.llm.batches import map_rows
 from lantern.llm.wordhash import MARKS, U, Words, lowered, mixed
-from lantern.session import table
+from lantern.session import table, written
 
 SAMPLE = 2000
 SAMPLE_CHARS = 20_000
@@ -51,7 +51,7 @@ def features(w: Words) -> np.ndarray:
         before[1:] = np.where(same, word[:-1], U(0))
         after[:-1] = np.where(same, word[1:], U(0))
     parts = [word, w.hash(w.start, np.minimum(w.start + 4, w.end)), w.hash(w.start, np.minimum(w.start + 6, w.end)), w.hash(np.maximum(w.end - 4, w.start), w.end), before, after]
-    return np.stack([(mixed(p + U(i + 1)) >> U(64 - BITS)).astype(np.int64) for i, p in enumerate(parts)])
+    return np.stack([(mixed(p + U(i + 1)) >> U(64 - BITS)).astype(np.int32) for i, p in enumerate(parts)])
 
 
 class Chain:
@@ -99,12 +99,12 @@ class Chain:
         return out[self.col, self.row], expected
 
 
-def token_labels(f: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def token_labels(f: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """1 for words of toxic documents that carry a feature typical of them."""
-    hit = np.zeros(f.shape[1], dtype=bool)
+    hit = np.zeros(len(doc), dtype=bool)
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    for row in f[:3]:
-        at = np.unique(doc * (1 << BITS) + row)
+    for row in f:  # the word and its prefixes
+        at = np.unique(doc.astype(np.int64) * (1 << BITS) + row)
         docs, feature = at >> BITS, at & (1 << BITS) - 1
         t = np.bincount(feature[toxic[docs]], minlength=1 << BITS)
         c = np.bincount(feature[~toxic[docs]], minlength=1 << BITS)
@@ -130,10 +130,13 @@ def logistic(x: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> dict:
     """The model of a sample: feature weights, pair weights, and weights of the sums."""
     groups = [Words([lowered(t) for t in texts[i : i + 250]], MARKS) for i in range(0, len(texts), 250)]
-    f = [features(w) for w in groups]
+    f = []
+    for w in groups:
+        f.append(features(w))
+        w.release()
     offset = np.concatenate([[0], np.cumsum([len(w.start) for w in groups])])
     doc = np.concatenate([w.doc + i * 250 for i, w in enumerate(groups)])
-    y = token_labels(np.concatenate(f, axis=1), doc, toxic)
+    y = token_labels([np.concatenate([g[i] for g in f]) for i in range(3)], doc, toxic)
     theta, pairs = np.zeros(1 << BITS), np.zeros((2, 2))
     bias = -3.0
     state = [np.zeros((1 << BITS) + 5) for _ in range(2)]
@@ -175,11 +178,14 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> dict:
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The model learned from docs (doc_id, text) with labels (doc_id, toxic)."""
     known = labels.filter("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    key = F.md5(F.col("doc_id").cast("string"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
-    short = rows.filter(F.length("text") <= SAMPLE_CHARS)
+    rows = docs.select("doc_id", F.length("text").alias("chars")).join(known, "doc_id")
     per = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    got = {k: short.filter(F.col("toxic") == k).orderBy(key, "doc_id", "text").limit(SAMPLE).select("text").collect() for k in (0, 1)}
+    short = rows.filter(F.col("chars") <= SAMPLE_CHARS).withColumn("key", F.md5(F.col("doc_id").cast("string")))
+    # Ids first: what is sent to the driver is the sample's texts and nothing else.
+    chosen = [short.filter(F.col("toxic") == k).orderBy("key", "doc_id").limit(SAMPLE).select("doc_id", "toxic") for k in (0, 1)]
+    ids = F.broadcast(written(chosen[0].unionByName(chosen[1]).dropDuplicates(["doc_id"]), "sample"))  # 2 * SAMPLE rows
+    sample = docs.select("doc_id", "text").join(ids, "doc_id").filter(F.length("text") <= SAMPLE_CHARS).select("toxic", "doc_id", "text").collect()
+    got = {k: sorted((r for r in sample if r["toxic"] == k), key=lambda r: (r["doc_id"], r["text"])) for k in (0, 1)}
     if not got[0] or not got[1]:
         return None
     texts = [r["text"] for k in (0, 1) for r in got[k]]

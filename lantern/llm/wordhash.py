@@ -52,6 +52,10 @@ class Words:
         x = (self._sums[end] - self._sums[start]) * powers(INVERSE, len(self.data) + 1)[start]
         return mixed(x ^ (end - start).astype(np.uint64) << U(56))
 
+    def release(self) -> None:
+        """Frees the sums that hash() keeps."""
+        self._sums = None
+
     def hashes(self) -> np.ndarray:
         return self.hash(self.start, self.end)
 
