@@ -1,12 +1,13 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from lantern.llm import decontaminate, jaccard, language, licenses, media, mixing, secrets, toxicity
+from lantern.llm import decontaminate, htmltext, jaccard, language, licenses, media, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_jaccard": jaccard.op2_jaccard,
     "op3_licenses": licenses.op3_licenses,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_html": htmltext.op5_html,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language": language.op7_language,
     "op8_secrets": secrets.op8_secrets,
