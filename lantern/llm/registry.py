@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from lantern.llm import decontaminate, htmltext, jaccard, language, licenses, media, mixing, secrets, toxicity
+from lantern.llm import decontaminate, htmltext, jaccard, language, licenses, media, mixing, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_language": language.op7_language,
     "op8_secrets": secrets.op8_secrets,
     "op9_media": media.op9_media,
+    "op10_suffixes": suffixes.op10_suffixes,
 }
 
 SQL = {
