@@ -189,7 +189,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is their component's smallest; one row of equal ones."""
+    """The rows of docs whose doc_id is their component's smallest; rows of one doc_id all stay
+    or all go."""
     got = join(docs, n, percent)
     gone = got.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti")
