@@ -36,6 +36,8 @@ from lantern.llm.wordhash import SPACE, U, Words, lowered, mixed
 from lantern.session import table, written
 
 SKETCH_BITS = 18
+#: Hashes that occur again are broadcast if they are at most this many, counted first.
+KEYS = 2_000_000
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -139,20 +141,22 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     percent hundredths of Jaccard similarity of their n-word shingle sets."""
     docs = docs.select("doc_id", "text")
     sets = written(prefixes(docs, n, percent, sketch(docs, n)), "prefixes")
-    classes = sets.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes, "classes")
     known = F.col("doc_id").isNotNull()
-    reps = classes.select("d1", "d2", "rep").filter("rep IS NOT NULL")
-    first = sets.filter(known & (F.col("n") > 0)).join(reps.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "doc_id"], "left_semi")
+    slim = sets.filter("n > 0").drop("prefix")  # prefixes are read where they are, never dealt out
+    classes = written(slim.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = classes.select("d1", "d2", F.col("rep").alias("doc_id")).filter("rep IS NOT NULL")
+    first = written(slim.filter(known).join(reps, ["d1", "d2", "doc_id"], "left_semi").select("p1", "p2", "n", F.col("doc_id").alias("rep")).distinct(), "first")
     group = ["p1", "p2", "n"]
-    leaders = first.groupBy(*group).agg(F.min("doc_id").alias("leader"), F.countDistinct("doc_id").alias("members"))
-    members = written(
-        first.select(*group, F.col("doc_id").alias("rep")).distinct().join(leaders.filter("members > 1"), group).select("leader", "rep", "n"), "members"
-    )
-    lead = first.join(leaders.select(*group, F.col("leader").alias("doc_id")), [*group, "doc_id"], "left_semi").dropDuplicates([*group, "doc_id"])
-    index = lead.select(F.col("doc_id").alias("g"), "n", F.posexplode("prefix").alias("pos", "token"))
-    # A hash that one leader has leads nowhere. Counts and pivots are sums and minima: no
-    # task sees a frequent hash's whole list.
+    leaders = written(first.groupBy(*group).agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("members")), "leaders")
+    members = written(first.join(leaders.filter("members > 1"), group).select("leader", "rep", "n"), "members")
+    # A hash that one text has leads nowhere; most are such. Counts are sums and pivots are
+    # minima: no task sees a frequent hash's whole list.
+    again = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().filter("count > 1").select("token")
+    again = written(again, "tokens")
+    few = again.limit(KEYS + 1).count() <= KEYS
+    index = sets.filter(known).select(F.col("doc_id").alias("g"), "n", F.posexplode("prefix").alias("pos", "token"))
+    index = index.join(F.broadcast(again) if few else again, "token")
+    index = written(index.join(leaders.select(F.col("leader").alias("g"), "n"), ["g", "n"], "left_semi").dropDuplicates(["token", "g", "n"]), "index")
     tokens = index.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "n", "g")).alias("pivot"), F.min("n").alias("low"))
     shared = written(index.join(tokens.filter("k > 1"), "token").drop("k"), "shared")
 
@@ -164,7 +168,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = written(components(links), "found")
 
     # Round two: what meets in a hash or a group across components.
-    alone = lead.select(F.col("doc_id").alias("leader")).distinct().join(members.select("leader").distinct(), "leader", "left_anti")
+    alone = leaders.select("leader").distinct().join(members.select("leader").distinct(), "leader", "left_anti")
     everyone = members.select("leader", "rep").unionByName(alone.select("leader", F.col("leader").alias("rep")))
     label = labelled(everyone, found)
     spread = label.groupBy("leader").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
