@@ -17,7 +17,8 @@ it: sum of min over sum of max of the two counts of each 5-word shingle.
 Words are runs of letters a-z (any case), digits and non-ASCII characters. An item of more
 than PART words is looked for as passages of PART words (the rest makes the last one).
 
-A join is broadcast only if the item side, counted first, has at most BROADCAST_ROWS rows.
+A join is broadcast only if the smaller side, counted first, has at most BROADCAST_ROWS rows
+(items) or BROADCAST_STARTS windows.
 
 Defined results: null and empty texts hold no window; items with fewer than 5 words have no
 shingle and are never found; equal items are found each; documents with one doc_id are
@@ -38,6 +39,8 @@ THRESHOLD = 0.8
 PART = 1024
 RADIUS, BLOCKS, WIDTH = 17, 6, 10
 BROADCAST_ROWS = 200_000
+#: Windows (8 bytes each) of the documents that are read again; beyond it texts are dealt out.
+BROADCAST_STARTS = 4_000_000
 #: Bits 0, 15, 30 and 45: four lanes of 15 bits, enough to count PART words.
 LANES = 1 | 1 << 15 | 1 << 30 | 1 << 45
 MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -112,11 +115,12 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     starts = starts.groupBy("doc_id", "item_id", "part", "n", "need", "start").agg(F.count(F.lit(1)).alias("k")).filter("k >= need")
     starts = starts.select("doc_id", F.struct("n", "start").alias("w")).distinct().groupBy("doc_id").agg(F.collect_list("w").alias("starts"))
     starts = written(starts, "starts")
+    n_starts = starts.agg(F.sum(F.size("starts"))).first()[0] or 0
 
     size = F.size("h")
     cut = lambda w: F.slice(F.col("h"), F.greatest(w["start"], F.lit(0)) + 1, F.greatest(F.least(w["start"] + w["n"], size) - F.greatest(w["start"], F.lit(0)), F.lit(0)))
     windows = (
-        docs.join(starts, "doc_id").select("doc_id", h.alias("h"), "starts")
+        docs.join(F.broadcast(starts) if n_starts <= BROADCAST_STARTS else starts, "doc_id").select("doc_id", h.alias("h"), "starts")
         .select("doc_id", F.explode(F.transform("starts", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), cut(w).alias("h")))).alias("w"))
         .select("doc_id", "w.*").filter(F.size("h") >= N)
     )
