@@ -13,17 +13,16 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 SLICE = 4 << 20
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch cut into runs of rows of about SLICE bytes in the column, so that memory
+def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batch cut into runs of rows of about size bytes in the column, so that memory
     follows the bytes and not the row count."""
-    sizes = [len(x) for x in batch.column(column).to_pylist() if x is not None] if batch.num_rows and batch.nbytes > SLICE else []
-    if not sizes:
+    if batch.nbytes <= size:
         yield batch
         return
     start, total = 0, 0
     for i, x in enumerate(batch.column(column)):
         n = len(x.as_py() or "")
-        if total and total + n > SLICE:
+        if total and total + n > size:
             yield batch.slice(start, i - start)
             start, total = i, 0
         total += n
@@ -63,3 +62,17 @@ def fold_rows(df: DataFrame, start: Callable, step: Callable, finish: Callable,
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     return df.mapInArrow(run, out)
+
+
+def map_columns(df: DataFrame, function: Callable[[dict], list], schema: str, text: str = "text", size: int = SLICE) -> DataFrame:
+    """As map_rows, for functions that give columns (arrays or lists) instead of rows."""
+    out: StructType = _parse_datatype_string(schema)
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            parts = [[pa.array(c, f.type) for c, f in zip(function(b.to_pydict()), arrow)] for b in slices(whole, text, size)]
+            table = pa.Table.from_batches([pa.RecordBatch.from_arrays(p, schema=arrow) for p in parts], arrow)
+            yield from table.combine_chunks().to_batches()
+
+    return df.mapInArrow(run, out)

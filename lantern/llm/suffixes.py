@@ -7,8 +7,8 @@ repeat can be, and strings are dealt so that equal LENGTH-byte strings meet in o
 1. The smallest hash of the GRAM-byte strings inside a LENGTH-byte window is a function of
    the window, so equal windows have equal keys. A run of successive windows with one key is
    a segment: its bytes are the windows' union. About 3 in 100 places begin one.
-2. Segments whose key occurs once, in them too, hold no repeat. (Keys that occur again are broadcast if
-   they are at most KEYS, counted first; else they are joined.)
+2. Segments whose key occurs once, in them too, hold no repeat. (A filter of
+   fixed size keeps most of them from being dealt out.)
 3. Segments equal in key and bytes: all but the earliest are removed. Minima and counts, so
    that thousands of copies are never in one task.
 4. Different segments of one key: the difference-cover algorithm sorts their suffixes - it
@@ -34,16 +34,23 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lantern.llm.batches import map_rows
+from lantern.llm.batches import map_columns, map_rows
 from lantern.llm.wordhash import BASE, INVERSE, U, mixed, powers
 from lantern.session import table, written
 
 LENGTH = 100
 GRAM = 32
-KEYS = 2_000_000
+#: Bits of the filters of keys and of segments: 32 MB each. A filter only saves work; one
+#: too full for the input lets more pass, which later steps sort out.
+FILTER_BITS = 28
 SEGMENTS = 20_000
 #: Bytes of segments that are sorted together.
 SORTED = 1 << 20
+#: Bytes of text that are hashed together: small enough for a core's cache.
+PASS = 1 << 17
+#: Removed ranges (8 bytes each, and 4 such a document) are broadcast up to so many, counted
+#: first; beyond it texts are dealt out to them.
+RANGES = 5_000_000
 
 
 def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
@@ -197,41 +204,87 @@ def long(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
+def bitmap(positions: DataFrame) -> np.ndarray:
+    """2**FILTER_BITS flags of column x, which is dealt out and packed by ranges of 65,536:
+    what reaches the driver is 32 MB, whatever the input."""
+    low = F.col("x").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    p = positions.select(F.shiftright(low, 16).alias("range"), low.bitwiseAND(F.lit(65535)).cast("int").alias("bit")).distinct()
+    lists = p.groupBy("range").agg(F.collect_list("bit").alias("bits"))
+
+    def pack(b):
+        out = []
+        for bits in b["bits"]:
+            flags = np.zeros(65536, dtype=np.uint8)
+            flags[bits] = 1
+            out.append(np.packbits(flags).tobytes())
+        return [b["range"], out]
+
+    whole = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
+    got = map_columns(lists, pack, "range long, flags binary", text="bits").toArrow()
+    for r, flags in zip(got.column("range").to_pylist(), got.column("flags").to_pylist()):
+        whole[r << 13 : r + 1 << 13] = np.frombuffer(flags, dtype=np.uint8)
+    return whole
+
+
+def flagged(flags: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether the bit of each x is set; where some were put in, others may seem to be."""
+    at = x & ((1 << FILTER_BITS) - 1)
+    return flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+
+
+def columns(s: Segments, b: dict) -> tuple[np.ndarray, ...]:
+    """Key, hash, document, text hash, first and last window of each segment."""
+    begin = s.begin[s.doc]
+    d, k = np.array(b["d"], dtype=np.int64), np.array(b["k"], dtype=np.int64)
+    return s.key.view(np.int64), s.hash.view(np.int64), d[s.doc], k[s.doc], s.start - begin, s.last - begin
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """d, k, s, e: byte ranges to remove, which may overlap."""
     docs = own(docs)
+    share = docs.sparkSession.sparkContext.broadcast
+
     def keys(b):
         s = Segments(utf8(b))
-        k, n = np.unique(np.concatenate([s.key, s.key[s.repeats]]), return_counts=True)
-        return zip(long(k), n.tolist())
-    again = map_rows(docs.select("text"), keys, "m long, n long").groupBy("m").agg(F.sum("n").alias("n")).filter("n > 1").select("m")
-    again = written(again, "keys")
-    few = again.limit(KEYS + 1).count() <= KEYS
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(again.toArrow().column("m").to_numpy()) if few else None)
+        return [np.concatenate([s.key, s.key[s.repeats]]).view(np.int64)]
+
+    again = map_columns(docs.select("text"), keys, "m long", size=PASS).groupBy("m").count().filter("count > 1")
+    held = share(bitmap(again.select(F.col("m").alias("x"))))
 
     def segments(b):
         s = Segments(utf8(b))
-        key = s.key.view(np.int64)
-        at = np.arange(len(key))
-        if known.value is not None:
-            place = np.minimum(np.searchsorted(known.value, key), max(len(known.value) - 1, 0))
-            at = np.nonzero(known.value[place] == key)[0] if len(known.value) else at[:0]
-        begin = s.begin[s.doc]
-        for i, m, c, t, p, q, r in zip(at.tolist(), key[at].tolist(), long(s.hash[at]), s.doc[at].tolist(), (s.start - begin)[at].tolist(), (s.last - begin)[at].tolist(), s.repeats[at].tolist()):
-            yield m, c, b["d"][t], b["k"][t], p, q, r, s.bytes(i)
-
-    rows = map_rows(docs.select("d", "k", "text"), segments, "m long, c long, d long, k long, p int, q int, r boolean, bytes binary")
-    rows = written(rows if few else rows.join(again, "m", "left_semi"), "segments")
-
-    firsts = rows.groupBy("m", "c").agg(F.min(F.struct("d", "k", "p", "q")).alias("f"), F.count(F.lit(1)).alias("n"), F.max("r").alias("r"), F.first("bytes").alias("bytes"))
+        m, *rest = columns(s, b)
+        at = flagged(held.value, m)
+        return [x[at] for x in (m, *rest, s.repeats)]
+
+    rows = map_columns(docs.select("d", "k", "text"), segments, "m long, c long, d long, k long, p int, q int, r boolean", size=PASS)
+    rows = written(rows, "segments")
+
+    firsts = rows.groupBy("m", "c").agg(F.min(F.struct("d", "k", "p", "q")).alias("f"), F.count(F.lit(1)).alias("n"), F.max("r").alias("r"))
     firsts = written(firsts, "firsts")
-    copies = rows.select("m", "c", "d", "k", "p", "q").join(firsts.filter("n > 1").select("m", "c", "f"), ["m", "c"])
-    copies = copies.filter(~((F.col("d") == F.col("f.d")) & (F.col("k") == F.col("f.k")) & (F.col("p") == F.col("f.p"))))
+    copies = rows.select("m", "c", "d", "k", "p", "q").join(firsts.filter("n > 1").select("m", "c", F.col("f.d").alias("fd"), F.col("f.k").alias("fk"), F.col("f.p").alias("fp")), ["m", "c"])
+    copies = copies.filter((F.col("d") != F.col("fd")) | (F.col("k") != F.col("fk")) | (F.col("p") != F.col("fp")))
     out = copies.select("d", "k", F.col("p").alias("s"), (F.col("q") + LENGTH).alias("e"))
 
     kinds = firsts.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.max("r").alias("r")).filter("kinds > 1 OR r").drop("r")
-    alike = firsts.select("m", "f", "bytes").join(kinds, "m")
-    lists = alike.filter(F.col("kinds") <= SEGMENTS).groupBy("m").agg(F.collect_list(F.struct("f.d", "f.k", "f.p", "bytes")).alias("all"))
+    alike = written(firsts.select("m", "c", "f").join(kinds, "m").select("m", "c", "f.d", "f.k", "f.p", "kinds"), "alike")
+    # The bytes of these alone are read, from the texts. A segment that the filter lets pass
+    # by chance is one of the input's too, and changes nothing.
+    one = F.col("c").bitwiseXOR(F.col("k")).bitwiseXOR(F.col("d")).bitwiseXOR(F.col("p").cast("long"))
+    sorted_ = share(bitmap(alike.select(one.alias("x"))))
+
+    def bytes_of(b):
+        s = Segments(utf8(b))
+        m, c, d, k, p, _ = columns(s, b)
+        at = np.nonzero(flagged(sorted_.value, c ^ k ^ d ^ p))[0]
+        return [m[at], d[at], k[at], p[at], [s.bytes(i) for i in at.tolist()]]
+
+    strings = map_columns(docs.select("d", "k", "text"), bytes_of, "m long, d long, k long, p int, bytes binary", size=PASS)
+    strings = written(strings, "strings")
+    crowded = alike.filter(F.col("kinds") > SEGMENTS).select("m").distinct()
+    some = not crowded.isEmpty()
+    lists = strings.join(crowded, "m", "left_anti") if some else strings
+    lists = lists.groupBy("m").agg(F.collect_list(F.struct("d", "k", "p", "bytes")).alias("all"))
 
     def sort(b):
         batch: list[dict] = []
@@ -251,14 +304,13 @@ def removed(docs: DataFrame) -> DataFrame:
     out = out.unionByName(map_rows(lists, sort, ranges, text="all"))
 
     def windows(b):
-        for m, f, x in zip(b["m"], b["f"], b["bytes"]):
+        for d, k, p, x in zip(b["d"], b["k"], b["p"], b["bytes"]):
             for i in range(len(x) - LENGTH + 1):
                 h = hashlib.blake2b(x[i : i + LENGTH], digest_size=16).digest()
-                yield int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), f["d"], f["k"], f["p"] + i
+                yield int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True), d, k, p + i
 
-    many = alike.filter(F.col("kinds") > SEGMENTS).drop("kinds")
-    if not kinds.filter(F.col("kinds") > SEGMENTS).isEmpty():
-        each = written(map_rows(many, windows, "w1 long, w2 long, d long, k long, s int", text="bytes"), "windows")
+    if some:
+        each = written(map_rows(strings.join(crowded, "m", "left_semi"), windows, "w1 long, w2 long, d long, k long, s int", text="bytes"), "windows")
         least = each.groupBy("w1", "w2").agg(F.min(F.struct("d", "k", "s")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         late = each.join(least, ["w1", "w2"]).filter(F.struct("d", "k", "s") != F.col("f"))
         out = out.unionByName(late.select("d", "k", "s", (F.col("s") + LENGTH).alias("e")))
@@ -268,22 +320,30 @@ def removed(docs: DataFrame) -> DataFrame:
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes): a row for each row of
     docs. Ranges are cut at byte places; what is left need not be valid UTF-8."""
+    def merge(b):
+        for d, k, gone in zip(b["d"], b["k"], b["gone"]):
+            out = []
+            for s, e in sorted((x["s"], x["e"]) for x in gone):
+                if out and s <= out[-1]["e"]:
+                    out[-1]["e"] = max(out[-1]["e"], e)
+                else:
+                    out.append({"s": s, "e": e})
+            yield d, k, out
+
     ranges = removed(docs).groupBy("d", "k").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
+    ranges = written(map_rows(ranges, merge, "d long, k long, gone array<struct<s: int, e: int>>", text="gone"), "ranges")
+    n = ranges.agg(F.sum(F.size("gone") + 4)).first()[0] or 0
+    small = F.broadcast(ranges) if n <= RANGES else ranges
 
     def rows(b):
         for i, t, gone in zip(b["doc_id"], utf8(b), b["gone"]):
-            kept, at, n, spans = [], 0, 0, 0
-            end = -1
-            for s, e in sorted((x["s"], x["e"]) for x in gone or ()):
-                if s > end:
-                    spans += 1
-                kept.append(t[at:s])
-                n += max(0, e - max(s, at))
-                at, end = max(at, e), max(end, e)
-            kept.append(t[at:])
-            yield i, len(t), n, spans, b"".join(kept)
-
-    both = own(docs).join(ranges, ["d", "k"], "left").select("doc_id", "text", "gone")
+            gone, kept, at = gone or [], [], 0
+            for x in gone:
+                kept.append(t[at : x["s"]])
+                at = x["e"]
+            yield i, len(t), sum(x["e"] - x["s"] for x in gone), len(gone), b"".join([*kept, t[at:]])
+
+    both = own(docs).join(small, ["d", "k"], "left").select("doc_id", "text", "gone")
     return map_rows(both, rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
