@@ -1,4 +1,615 @@
-"""Registry of the graph-analytics queries and the SQL each is held against."""
+"""Registry of the graph-analytics queries and the SQL each is held against.
 
-QUERIES: dict = {}
+Queries run over the graphs of lantern.sources.tables. Floating results are rounded to six
+digits on both sides (and -0.0 made 0.0), where sums may differ in their last bits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lantern.functions import angles, coefficients
+from lantern.graph import Graph, reindex, union
+from lantern.operators import degrees, evaluate, heat, landmarks, laplacian, mail, paths, report, roles, similarity, synthetic
+from lantern.plans.components import components
+from lantern.session import table
+from lantern.sources import tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+TAUS = [1.0, 3.0]
+ORDER = 16
+RADIUS = 3
+
+# Pieces of SQL: the nation graphs, their degrees, walk and heat.
+TRADE = """t AS (SELECT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
+v AS (SELECT n_nationkey::BIGINT AS id FROM nation)"""
+TOP = TRADE + """,
+e AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM t WHERE src % 5 <> 4) WHERE rn <= 1 + src % 3)"""
+DEGREES = TOP + """,
+d AS (SELECT id, (SELECT count(*) FROM e WHERE src = id) AS n_out, (SELECT count(*) FROM e WHERE dst = id) AS n_in,
+    coalesce((SELECT sum(weight) FROM e WHERE src = id), 0)::DOUBLE AS w_out, coalesce((SELECT sum(weight) FROM e WHERE dst = id), 0)::DOUBLE AS w_in FROM v)"""
+BETA = DEGREES + """,
+m AS (SELECT count(*) AS m, avg(n_out) AS b FROM d WHERE n_out > 0),
+be AS (SELECT id, n_out, (m * b - n_out) / greatest(m - (n_out > 0)::INT, 1) AS beta FROM d, m),
+th AS (SELECT id, greatest(exp(CASE WHEN beta >= 1e-8 AND n_out >= 1 THEN least(-3.0, -3.0 + ln(3.0) - ln(n_out), -1.0 - ln(n_out) - 2 * ln(beta) - ln(6.0)) ELSE -3.0 END), 1e-6) AS theta FROM be)"""
+PAIRS = """,
+p AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e)"""
+WALK = BETA + """,
+w AS (SELECT src, dst, weight / w_out AS p FROM e JOIN d ON src = id UNION ALL SELECT id, id, 1.0 FROM d WHERE w_out <= 0)"""
+
+
+def heat_sql(order: int = ORDER, taus: list[float] = TAUS) -> str:
+    return "WITH RECURSIVE " + WALK + f""",
+x(k, source, node, x) AS (SELECT 0, id, id, 1.0::DOUBLE FROM v UNION ALL SELECT k + 1, source, dst, sum(x * p)::DOUBLE FROM x JOIN w ON node = src WHERE k < {order - 1} GROUP BY k, source, dst),
+tau(tau, t) AS (VALUES {", ".join(f"({i}, {t}::DOUBLE)" for i, t in enumerate(taus))}),
+psi AS (SELECT source, node, tau, sum(x * exp(-t) * pow(t, k) / gamma(k + 1)) AS psi FROM x, tau GROUP BY ALL),
+kept AS (SELECT psi.* FROM psi JOIN th ON source = id WHERE psi >= theta * (1 - 1e-12))"""
+
+
+ANGLE = """,
+an AS (SELECT source, node, tau, pi() * least(psi, 1.0) AS angle FROM kept),
+pt(u) AS (SELECT unnest(range(1, 5))),
+ecf AS (SELECT s.source, s.tau, s.t, (n - count(angle) + coalesce(sum(cos((s.t + 1) * angle)), 0)) / n AS re, coalesce(sum(sin((s.t + 1) * angle)), 0) / n AS im
+    FROM (SELECT id AS source, tau, u - 1 AS t, n FROM v, tau, pt, (SELECT count(*) AS n FROM v)) s LEFT JOIN an ON s.source = an.source AND s.tau = an.tau GROUP BY s.source, s.tau, s.t, n),
+em AS (SELECT source AS node, (tau * 8 + 2 * t + c)::INT AS col, CASE WHEN c = 0 THEN re ELSE im END AS value FROM ecf, (VALUES (0), (1)) AS q(c))"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+    return add
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.select(*[(F.round(F.col(c), 6) + 0.0).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def r(x: str, name: str | None = None) -> str:
+    return f"round({x}, 6) + 0.0 AS {name or x}"
+
+
+def top(spark: SparkSession, sf_dir: str) -> Graph:
+    return tables.nation_top(spark, sf_dir)
+
+
+@query("WITH " + TRADE + " SELECT * FROM t")
+def edges_canonical(spark, d):
+    return tables.nation_trade(spark, d).edges
+
+
+def raw_flow(spark, d) -> DataFrame:
+    """Nation of customer -> nation of supplier, a row per line item."""
+    g = tables.nation_trade(spark, d).edges
+    return g.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+
+
+@query("WITH " + TRADE + ", b AS (SELECT * FROM t UNION ALL SELECT dst, src, weight FROM t) SELECT src, dst, max(weight) AS weight FROM b GROUP BY src, dst")
+def edges_undirected_max(spark, d):
+    return Graph.from_edges(raw_flow(spark, d), directed=False).edges
+
+
+@query("WITH " + TRADE + ", b AS (SELECT * FROM t UNION ALL SELECT dst, src, weight FROM t) SELECT src, dst, " + r("avg(weight)", "weight") + " FROM b GROUP BY src, dst")
+def edges_undirected_mean(spark, d):
+    return rounded(Graph.from_edges(raw_flow(spark, d), directed=False, combine="mean").edges, "weight")
+
+
+@query("SELECT DISTINCT o_custkey AS src, l_suppkey + (SELECT max(c_custkey) + 1 FROM customer) AS dst, 1.0::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def edges_customer_supplier(spark, d):
+    return tables.customer_supplier(spark, d).edges
+
+
+@query("SELECT event_type AS src, n AS dst, count(*) AS weight FROM (SELECT event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NOT NULL GROUP BY 1, 2")
+def event_flow(spark, d):
+    return tables.event_flow(spark, d)
+
+
+@query("SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages) GROUP BY 1, 2")
+def page_links(spark, d):
+    return tables.page_links(spark, d)
+
+
+@query("SELECT role AS src, n AS dst, count(*) AS weight FROM (SELECT role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n IS NOT NULL GROUP BY 1, 2")
+def turn_flow(spark, d):
+    return tables.turn_flow(spark, d)
+
+
+@query("WITH " + DEGREES + " SELECT * FROM d")
+def node_degrees(spark, d):
+    return degrees.degrees(top(spark, d))
+
+
+@query("""WITH s AS (SELECT DISTINCT o_custkey AS src, l_suppkey + (SELECT max(c_custkey) + 1 FROM customer) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT id, count(o) AS n_out, count(i) AS n_in, count(o)::DOUBLE AS w_out, count(i)::DOUBLE AS w_in FROM (SELECT src AS id, 1 AS o, NULL AS i FROM s UNION ALL SELECT dst, NULL, 1 FROM s) GROUP BY id""")
+def bipartite_degrees(spark, d):
+    return degrees.degrees(tables.customer_supplier(spark, d))
+
+
+@query("WITH " + DEGREES + " SELECT count(*) AS nodes, count(*) FILTER (n_out > 0) AS senders, " + r("avg(n_out)", "mean") + ", " + r("avg(n_out) FILTER (n_out > 0)", "sender_mean") + " FROM d")
+def branch_factor(spark, d):
+    return rounded(degrees.branch_factor(top(spark, d)), "mean", "sender_mean")
+
+
+@query("WITH " + BETA + " SELECT id, n_out, " + r("beta") + " FROM be")
+def beta_per_node(spark, d):
+    return rounded(degrees.betas(top(spark, d)), "beta")
+
+
+@query("WITH " + BETA + " SELECT id, " + r("theta") + " FROM th")
+def theta_radius_3(spark, d):
+    return rounded(degrees.thetas(top(spark, d), RADIUS), "theta")
+
+
+@query("WITH " + TOP + " SELECT id, 1e-4 / (SELECT count(*) FROM v) AS theta FROM v")
+def theta_flat(spark, d):
+    return degrees.flat_thetas(top(spark, d))
+
+
+LAPS = "SELECT \"row\", col, round(sum(value), 6) + 0.0 AS value FROM l GROUP BY 1, 2 HAVING abs(sum(value)) > 1e-15"
+
+
+@query("WITH " + DEGREES + ", l AS (SELECT id AS row, id AS col, 1.0 AS value FROM d WHERE w_out > 0 UNION ALL SELECT dst, src, -weight / w_out FROM e JOIN d ON src = id) " + LAPS)
+def laplacian_walk_out(spark, d):
+    return rounded(laplacian.random_walk(top(spark, d)), "value")
+
+
+@query("WITH " + DEGREES + ", l AS (SELECT id AS row, id AS col, 1.0 AS value FROM d WHERE w_in > 0 UNION ALL SELECT dst, src, -weight / w_in FROM e JOIN d ON dst = id) " + LAPS)
+def laplacian_walk_in(spark, d):
+    return rounded(laplacian.random_walk(top(spark, d), "in"), "value")
+
+
+@query("WITH " + DEGREES + ", l AS (SELECT id AS row, id AS col, 1.0 AS value FROM d WHERE w_in > 0 AND w_out > 0 UNION ALL SELECT dst, src, -weight / sqrt(a.w_out * b.w_in) FROM e JOIN d a ON src = a.id JOIN d b ON dst = b.id) " + LAPS)
+def laplacian_symmetric(spark, d):
+    return rounded(laplacian.symmetric(top(spark, d)), "value")
+
+
+@query("WITH " + DEGREES + ", l AS (SELECT id AS row, id AS col, 1.0 AS value FROM d UNION ALL SELECT dst, src, CASE WHEN b.w_out > 0 THEN -weight / sqrt(a.w_out * b.w_out) ELSE 0 END FROM e JOIN d a ON src = a.id JOIN d b ON dst = b.id) " + LAPS)
+def laplacian_symmetric_isolated(spark, d):
+    return rounded(laplacian.symmetric(top(spark, d), isolated=True), "value")
+
+
+MAGNETIC = TOP + """,
+mp AS (SELECT row, col, sum(x) AS x, sum(y) AS y FROM (SELECT dst AS row, src AS col, weight AS x, 0.0 AS y FROM e UNION ALL SELECT src, dst, 0.0, weight FROM e) GROUP BY 1, 2),
+ph AS (SELECT row, col, (x + y) / 2 AS a, cos(0.04 * pi() * (x - y)) AS re, sin(0.04 * pi() * (x - y)) AS im FROM mp),
+dm AS (SELECT col AS id, sum(a) AS d FROM ph GROUP BY 1)"""
+MAGNETIC_OUT = " SELECT row, col, round(sum(re), 6) + 0.0 AS re, round(sum(im), 6) + 0.0 AS im FROM l GROUP BY 1, 2"
+
+
+@query("WITH " + MAGNETIC + ", l AS (SELECT id AS row, id AS col, d AS re, 0.0 AS im FROM dm UNION ALL SELECT row, col, -a * re, -a * im FROM ph)" + MAGNETIC_OUT)
+def laplacian_magnetic(spark, d):
+    return rounded(laplacian.magnetic(top(spark, d), 0.02), "re", "im")
+
+
+@query("WITH " + MAGNETIC + ", l AS (SELECT id AS row, id AS col, 1.0 AS re, 0.0 AS im FROM dm UNION ALL SELECT row, col, -a * re / sqrt(x.d * y.d), -a * im / sqrt(x.d * y.d) FROM ph JOIN dm x ON row = x.id JOIN dm y ON col = y.id)" + MAGNETIC_OUT)
+def laplacian_magnetic_normalised(spark, d):
+    return rounded(laplacian.magnetic(top(spark, d), 0.02, normalised=True), "re", "im")
+
+
+@query("WITH " + DEGREES + ", l AS (SELECT id AS row, id AS col, 1.0 AS value FROM d WHERE w_out > 0 UNION ALL SELECT dst, src, -weight / w_out FROM e JOIN d ON src = id) SELECT "
+    + r("(SELECT max(s) FROM (SELECT sum(abs(value)) AS s FROM l GROUP BY col))", "norm_col") + ", " + r("(SELECT max(s) FROM (SELECT sum(abs(value)) AS s FROM l GROUP BY row))", "norm_row"))
+def matrix_norms(spark, d):
+    return rounded(laplacian.norms(laplacian.random_walk(top(spark, d))), "norm_col", "norm_row")
+
+
+@query(heat_sql() + " SELECT source, node, tau, " + r("psi") + " FROM psi WHERE psi <> 0")
+def heat_kernel(spark, d):
+    return rounded(heat.heat_kernel(top(spark, d), TAUS, ORDER), "psi")
+
+
+UNDIRECTED = heat_sql(24).replace(", v AS (", ", v AS (").replace("\ne AS (SELECT src, dst, weight FROM (", "\ne0 AS (SELECT src, dst, weight FROM (").replace(
+    "WHERE rn <= 1 + src % 3)", "WHERE rn <= 1 + src % 3),\ne AS (SELECT src, dst, max(weight) AS weight FROM (SELECT * FROM e0 UNION ALL SELECT dst, src, weight FROM e0) GROUP BY 1, 2)")
+
+
+@query(UNDIRECTED + " SELECT source, node, tau, " + r("psi").replace("6)", "5)") + " FROM psi WHERE abs(psi) > 1e-4")
+def heat_kernel_chebyshev(spark, d):
+    g = top(spark, d)
+    g = Graph.from_edges(g.edges, g.nodes, directed=False)
+    psi = heat.heat_kernel_chebyshev(g, TAUS, 24).filter(F.abs("psi") > 1e-4)
+    return psi.select("source", "node", "tau", (F.round("psi", 5) + 0.0).alias("psi"))
+
+
+@query(heat_sql() + " SELECT source, node, tau, " + r("psi") + " FROM kept")
+def heat_threshold(spark, d):
+    g = top(spark, d)
+    return rounded(heat.threshold(heat.heat_kernel(g, TAUS, ORDER), degrees.thetas(g, RADIUS)), "psi")
+
+
+@query(heat_sql() + " SELECT source, node, tau, " + r("pi() * psi", "linear") + ", " + r("atan(ln(tan(pi() * least(psi, 0.9) / 2))) + pi() / 2", "log") + " FROM kept")
+def heat_angles(spark, d):
+    g = top(spark, d)
+    psi = heat.threshold(heat.heat_kernel(g, TAUS, ORDER), degrees.thetas(g, RADIUS))
+    x = psi.select("source", "node", "tau", angles.linear(F.col("psi")).alias("linear"), angles.log_arctan(F.least(F.col("psi"), F.lit(0.9)), 1.0).alias("log"))
+    return rounded(x, "linear", "log")
+
+
+PARAMETERS = heat.Parameters(size=16, radius=RADIUS, order=ORDER, log=False)
+
+
+@query(heat_sql() + ANGLE + " SELECT source, tau, t::INT AS t, " + r("re") + ", " + r("im") + " FROM ecf")
+def characteristic_function(spark, d):
+    g = top(spark, d)
+    psi = heat.threshold(heat.heat_kernel(g, TAUS, ORDER), degrees.thetas(g, RADIUS))
+    x = psi.select("source", "node", "tau", angles.linear(F.col("psi")).alias("angle"))
+    return rounded(heat.characteristic(x, g, [1.0, 2.0, 3.0, 4.0], 2), "re", "im")
+
+
+@query(heat_sql() + ANGLE + " SELECT node, col, " + r("value") + " FROM em")
+def heat_embedding(spark, d):
+    return rounded(heat.embed(top(spark, d), PARAMETERS), "value")
+
+
+@query(heat_sql() + ANGLE + PAIRS + ", s AS (SELECT a AS node, col, avg(value) AS value FROM p JOIN em ON b = node GROUP BY 1, 2) SELECT node, col, " + r("value")
+    + " FROM em UNION ALL SELECT em.node, em.col + 16, round(coalesce(s.value, 0), 6) + 0.0 FROM em LEFT JOIN s ON em.node = s.node AND em.col = s.col")
+def heat_embedding_aggregate(spark, d):
+    return rounded(heat.embed(top(spark, d), heat.Parameters(size=32, radius=RADIUS, order=ORDER, aggregate=True, log=False)), "value")
+
+
+BACK = (heat_sql() + ANGLE).replace("\ne AS (SELECT src, dst, weight FROM (", "\ne AS (SELECT dst AS src, src AS dst, weight FROM (")
+
+
+@query(BACK + " SELECT node, col + 16 AS col, " + r("value") + " FROM em")
+def heat_embedding_transpose(spark, d):
+    both = heat.embed(top(spark, d), heat.Parameters(size=32, radius=RADIUS, order=ORDER, transpose=True, log=False))
+    return rounded(both.filter("col >= 16"), "value")
+
+
+@query()
+def embedding_undirected(spark, d):
+    g = top(spark, d)
+    return rounded(heat.embed_undirected(Graph.from_edges(g.edges, g.nodes, directed=False), PARAMETERS), "value")
+
+
+@query()
+def embedding_wavelet_2018(spark, d):
+    g = top(spark, d)
+    g = Graph.from_edges(g.edges, g.nodes, directed=False)
+    return rounded(heat.embed_2018(g, list(coefficients.legacy_scales(25)), [float(t) for t in range(0, 100, 25)]), "re", "im")
+
+
+@query()
+def embedding_magnetic(spark, d):
+    g = top(spark, d)
+    unit = Graph(g.edges.withColumn("weight", F.lit(1.0)), g.nodes)
+    return rounded(heat.embed_magnetic(unit, [2.0], [1.0, 2.0], order=12), "re", "im")
+
+
+@query()
+def embedding_star_normalised(spark, d):
+    return rounded(heat.embed(top(spark, d), heat.Parameters(size=16, radius=RADIUS, order=ORDER, normalise=True)), "value")
+
+
+@query("WITH " + DEGREES + PAIRS + ", f AS (SELECT id AS node, 0 AS col, n_out::DOUBLE AS value FROM d UNION ALL SELECT id, 1, w_in FROM d), s AS (SELECT a AS node, col, avg(value) AS value FROM p JOIN f ON b = node GROUP BY 1, 2)"
+    " SELECT f.node, f.col, round(coalesce(s.value, 0), 6) + 0.0 AS value FROM f LEFT JOIN s ON f.node = s.node AND f.col = s.col")
+def neighbour_mean(spark, d):
+    g = top(spark, d)
+    f = roles.long(degrees.degrees(g).withColumnRenamed("id", "node"), ["n_out", "w_in"])
+    return rounded(heat.neighbour_mean(g, f), "value")
+
+
+BFS = "WITH RECURSIVE " + TOP + """,
+b(source, node, h) AS (SELECT id, id, 0 FROM v UNION SELECT source, dst, h + 1 FROM b JOIN e ON node = src WHERE h < 25),
+hops AS (SELECT source, node, min(h)::INT AS hops FROM b GROUP BY 1, 2)"""
+
+
+@query(BFS + " SELECT * FROM hops")
+def bfs_distances(spark, d):
+    g = top(spark, d)
+    return paths.hops(g, g.nodes)
+
+
+@query(BFS.replace("JOIN e ON node = src WHERE h < 25", "JOIN e ON node = src WHERE h < 25 AND (source = node OR (SELECT count(*) FROM e x WHERE x.src = node) < 2)") + " SELECT * FROM hops")
+def bfs_not_through_hubs(spark, d):
+    g = top(spark, d)
+    return paths.hops(g, g.nodes, most=2)
+
+
+@query("WITH RECURSIVE " + TOP + PAIRS + ", b(source, node, h) AS (SELECT id, id, 0 FROM v UNION SELECT source, p.b, h + 1 FROM b JOIN p ON node = p.a WHERE h < 2) SELECT source, node, min(h)::INT AS hops FROM b GROUP BY 1, 2")
+def egonets_radius_2(spark, d):
+    g = top(spark, d)
+    return paths.egonets(g, g.nodes, 2, "all")
+
+
+@query(BFS + " SELECT x.source, x.node, x.hops, min(e.src) AS parent FROM hops x LEFT JOIN hops y ON x.source = y.source AND y.hops = x.hops - 1 LEFT JOIN e ON e.src = y.node AND e.dst = x.node WHERE x.hops <= 2 GROUP BY 1, 2, 3")
+def hop_layers(spark, d):
+    g = top(spark, d)
+    return paths.layers(g, g.nodes, 2)
+
+
+@query("WITH RECURSIVE " + TOP + ", b(k, source, node, h) AS (SELECT 0, id, id, 0.0::DOUBLE FROM v UNION ALL SELECT k + 1, source, dst, min(h + weight) FROM b JOIN e ON node = src WHERE k < 25 GROUP BY k, source, dst) SELECT source, node, min(h) AS distance FROM b GROUP BY 1, 2")
+def distances_weighted(spark, d):
+    g = top(spark, d)
+    return paths.weighted_distances(g, g.nodes)
+
+
+STAR = BFS.replace(TOP, BETA) + """,
+s AS (SELECT source, node, hops, a.n_out AS arms, greatest(a.beta, 1) AS beta, b.n_out AS branch FROM hops JOIN be a ON source = a.id JOIN be b ON node = b.id)
+SELECT source, node, round(CASE WHEN hops = 0 THEN CASE WHEN arms < 1 THEN 0 ELSE -2.0 END WHEN branch < 1 THEN
+    ln(1 - (SELECT sum(exp(-2.0) * pow(2.0, k) / gamma(k + 1)) FROM range(0, 30) AS q(k) WHERE k < hops)) - (hops - 1) * ln(beta) - ln(arms)
+    ELSE hops * ln(2.0) - 2.0 - ln(gamma(hops + 1)) - (hops - 1) * ln(beta) - ln(arms) END, 6) + 0.0 AS star FROM s"""
+
+
+@query(STAR)
+def star_log_heat(spark, d):
+    g = top(spark, d)
+    b = degrees.betas(g)
+    h = paths.hops(g, g.nodes).join(b.select(F.col("id").alias("source"), F.col("n_out").alias("arms"), "beta"), "source").join(b.select(F.col("id").alias("node"), F.col("n_out").alias("branch")), "node")
+    return rounded(h.select("source", "node", angles.star_log_heat(F.col("hops"), F.col("branch"), F.col("arms"), F.col("beta"), 2.0).alias("star")), "star")
+
+
+EGO = TOP + PAIRS + """,
+mem AS (SELECT id AS ego, id AS m FROM v UNION SELECT a, b FROM p),
+k AS (SELECT x.ego, weight, CASE WHEN y.m IS NULL THEN 'o' ELSE 'n' END AS kind FROM mem x JOIN e ON x.m = src LEFT JOIN mem y ON y.ego = x.ego AND y.m = dst
+    UNION ALL SELECT x.ego, weight, 'i' FROM mem x JOIN e ON x.m = dst LEFT JOIN mem y ON y.ego = x.ego AND y.m = src WHERE y.m IS NULL)"""
+
+
+@query("WITH " + EGO + " SELECT v.id, count(*) FILTER (kind = 'n') AS internal, count(*) FILTER (kind = 'o') AS outgoing, count(*) FILTER (kind = 'i') AS incoming, coalesce(sum(weight) FILTER (kind = 'n'), 0) AS w_internal, coalesce(sum(weight) FILTER (kind = 'o'), 0) AS w_outgoing, coalesce(sum(weight) FILTER (kind = 'i'), 0) AS w_incoming FROM v LEFT JOIN k ON v.id = k.ego GROUP BY 1")
+def egonet_features(spark, d):
+    return roles.egonet_features(top(spark, d), weights=True)
+
+
+@query("WITH " + DEGREES + PAIRS + """, f AS (SELECT id AS node, 0 AS col, n_out::DOUBLE AS value FROM d UNION ALL SELECT id, 1, w_in FROM d),
+s AS (SELECT f.node, f.col, coalesce(avg(g.value), 0) AS m, coalesce(sum(g.value), 0) AS s FROM f LEFT JOIN p ON p.a = f.node LEFT JOIN f g ON g.node = p.b AND g.col = f.col GROUP BY 1, 2),
+n AS (SELECT node, col, m AS value FROM s UNION ALL SELECT node, col + 2, s FROM s)
+SELECT node, col, round(value / sqrt(sum(value * value) OVER (PARTITION BY col)), 6) + 0.0 AS value FROM n""")
+def role_step(spark, d):
+    g = top(spark, d)
+    f = roles.long(degrees.degrees(g).withColumnRenamed("id", "node"), ["n_out", "w_in"])
+    return rounded(roles.neighbour_step(g, f, 2), "value")
+
+
+@query()
+def role_features(spark, d):
+    return rounded(roles.role_features(top(spark, d), 64)[0], "value")
+
+
+@query(BFS + """, dg AS (SELECT src AS id, count(*) AS k FROM e GROUP BY 1)
+SELECT source AS node, floor(log2(k))::INT AS bucket, round(sum(pow(0.1, hops)), 6) + 0.0 AS value FROM hops JOIN dg ON node = id WHERE hops <= 2 GROUP BY 1, 2""")
+def degree_buckets(spark, d):
+    return rounded(landmarks.bucket_features(top(spark, d)), "value")
+
+
+@query("WITH " + DEGREES + " SELECT id AS node FROM d ORDER BY n_out + n_in DESC, id LIMIT 8")
+def landmark_nodes(spark, d):
+    return landmarks.landmarks(top(spark, d), 8)
+
+
+SIMILAR = BFS.replace(TOP, DEGREES) + """, dg AS (SELECT src AS id, count(*) AS k FROM e GROUP BY 1),
+bf AS (SELECT source AS node, floor(log2(k))::INT AS bucket, sum(pow(0.1::DOUBLE, hops)) AS value FROM hops JOIN dg ON node = id WHERE hops <= 2 GROUP BY 1, 2),
+nodes AS (SELECT DISTINCT node FROM bf), lm AS (SELECT id FROM d ORDER BY n_out + n_in DESC, id LIMIT 8), bk AS (SELECT DISTINCT bucket FROM bf)
+SELECT x.node, l.id AS landmark, round(exp(-sqrt(sum(pow(coalesce(a.value, 0) - coalesce(b.value, 0), 2)))), 6) + 0.0 AS similarity
+FROM nodes x, lm l, bk LEFT JOIN bf a ON a.node = x.node AND a.bucket = bk.bucket LEFT JOIN bf b ON b.node = l.id AND b.bucket = bk.bucket WHERE l.id IN (SELECT node FROM nodes) GROUP BY 1, 2"""
+
+
+@query(SIMILAR)
+def landmark_similarity(spark, d):
+    g = top(spark, d)
+    return rounded(landmarks.similarities(landmarks.bucket_features(g), landmarks.landmarks(g, 8)), "similarity")
+
+
+@query()
+def landmark_embedding(spark, d):
+    g = top(spark, d)
+    y = landmarks.landmark_embedding(landmarks.similarities(landmarks.bucket_features(g), landmarks.landmarks(g, 8)))
+    return y.select("node", F.size("features").alias("n"))
+
+
+PROFILE = BFS + """, pr AS (SELECT v.id AS node, list_concat(list_resize([0.0::DOUBLE], (n - 1 - len(i))::INT, 0.0::DOUBLE)[:(n - 1 - len(i))::INT], i) || list_concat(list_resize([0.0::DOUBLE], (n - 1 - len(o))::INT, 0.0::DOUBLE)[:(n - 1 - len(o))::INT], o) AS profile
+    FROM (SELECT v.id, (SELECT count(*) FROM v) AS n, coalesce((SELECT list(1.0::DOUBLE / hops ORDER BY 1.0 / hops) FROM hops WHERE node = v.id AND source <> node), []) AS i, coalesce((SELECT list(1.0::DOUBLE / hops ORDER BY 1.0 / hops) FROM hops WHERE source = v.id AND source <> node), []) AS o FROM v) v)"""
+
+
+@query(PROFILE + " SELECT x.node AS a, y.node AS b, round(sqrt(list_sum([pow(x.profile[i] - y.profile[i], 2) for i in range(1, 49)])), 6) + 0.0 AS euclidean FROM pr x JOIN pr y ON x.node < y.node")
+def profile_distances(spark, d):
+    return rounded(similarity.pair_distances(similarity.distance_profiles(top(spark, d))).select("a", "b", "euclidean"), "euclidean")
+
+
+@query("""WITH x AS (SELECT l_quantity AS x, l_linenumber AS y, count(*)::DOUBLE AS k FROM lineitem GROUP BY 1, 2),
+s AS (SELECT sum(a.k * b.k * sign(a.y - b.y)) AS s FROM x a JOIN x b ON a.x > b.x), n AS (SELECT sum(k) * (sum(k) - 1) / 2 AS n FROM x),
+tx AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT sum(k) AS k FROM x GROUP BY x)), ty AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT sum(k) AS k FROM x GROUP BY y))
+SELECT round(s / sqrt((n - tx.t) * (n - ty.t)), 6) + 0.0 AS tau FROM s, n, tx, ty""")
+def kendall_tau(spark, d):
+    return rounded(similarity.kendall_tau(table(spark, d, "lineitem").select("l_quantity", F.col("l_linenumber").cast("double").alias("l_linenumber")), "l_quantity", "l_linenumber"), "tau")
+
+
+NEAR = """WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS f FROM embeddings), q AS (SELECT * FROM x WHERE vec_id % 20 = 0),
+n AS (SELECT q.vec_id AS query, x.vec_id AS node, sqrt(list_sum([pow(q.f[i] - x.f[i], 2) for i in range(1, 65)])) AS distance FROM q, x),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, node) AS rank FROM n)"""
+
+
+def embedding_rows(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("features"), "label")
+
+
+@query(NEAR + " SELECT query, node, round(distance, 6) + 0.0 AS distance, rank FROM k WHERE rank <= 10")
+def nearest_neighbours(spark, d):
+    x = embedding_rows(spark, d)
+    near = similarity.nearest(x.filter("node % 20 = 0"), x, 10)
+    return rounded(near.withColumn("rank", F.col("rank").cast("long")), "distance")
+
+
+@query(NEAR + " SELECT avg((rank <= 1)::INT)::DOUBLE AS k_1, avg((rank <= 5)::INT)::DOUBLE AS k_5, avg((rank <= 10)::INT)::DOUBLE AS k_10 FROM k WHERE node = (query + 20) // 40 * 40")
+def top_k_accuracy(spark, d):
+    x = embedding_rows(spark, d)
+    near = similarity.nearest(x.filter("node % 20 = 0"), x, 10)
+    n = x.agg(F.max("node").alias("top"))
+    truth = x.filter("node % 20 = 0").select(F.col("node").alias("query"), (F.floor((F.col("node") + 20) / 40) * 40).alias("node")).join(F.broadcast(n)).filter("node <= top").drop("top")  # one row
+    return similarity.top_k_accuracy(near, truth, (1, 5, 10))
+
+
+@query("WITH " + TOP + " SELECT src, dst, weight FROM e UNION ALL SELECT src + 25, dst + 25, weight FROM e")
+def graph_union(spark, d):
+    g = top(spark, d)
+    return union(g, g, 25).edges
+
+
+PRED = "SELECT label, ((vec_id * 7 + label) % 10)::INT AS pred FROM embeddings"
+
+
+def predicted(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").cast("array<double>").alias("features"), "label", ((F.col("vec_id") * 7 + F.col("label")) % 10).cast("int").alias("pred"))
+
+
+@query(f"WITH p AS ({PRED}) SELECT label, pred, count(*) AS n FROM p GROUP BY 1, 2")
+def confusion_matrix(spark, d):
+    return evaluate.confusion(predicted(spark, d))
+
+
+@query(f"""WITH p AS ({PRED}), k AS (SELECT label AS k FROM p UNION SELECT pred FROM p),
+s AS (SELECT k, (SELECT count(*) FROM p WHERE label = k AND pred = k) AS tp, (SELECT count(*) FROM p WHERE label = k) AS t, (SELECT count(*) FROM p WHERE pred = k) AS q FROM k)
+SELECT round(sum(tp) / sum(t), 6) AS accuracy, round(sum(tp) / sum(t), 6) AS micro_f1, round(avg(2 * tp / (t + q)), 6) AS macro_f1 FROM s""")
+def class_scores(spark, d):
+    return rounded(evaluate.class_scores(predicted(spark, d)), "accuracy", "micro_f1", "macro_f1")
+
+
+@query(f"""WITH p AS ({PRED}), c AS (SELECT label, pred, count(*)::DOUBLE AS n FROM p GROUP BY 1, 2), a AS (SELECT label, sum(n) AS a FROM c GROUP BY 1), b AS (SELECT pred, sum(n) AS b FROM c GROUP BY 1), t AS (SELECT sum(n) AS t FROM c),
+x AS (SELECT (SELECT sum(n / t * ln(n * t / (a * b))) FROM c JOIN a USING (label) JOIN b USING (pred)) AS mi, (SELECT -sum(a / t * ln(a / t)) FROM a) AS ha, (SELECT -sum(b / t * ln(b / t)) FROM b) AS hb,
+    (SELECT sum(n * n) FROM c) - t AS tk, (SELECT sum(a * a) FROM a) - t AS pk, (SELECT sum(b * b) FROM b) - t AS qk, t * (t - 1) AS m FROM t)
+SELECT round(tk / sqrt(pk * qk), 6) AS fmi, round(mi, 6) AS mi, round(2 * mi / (ha + hb), 6) AS nmi, round((m + 2 * tk - pk - qk) / m, 6) AS rand, round((tk - pk * qk / m) / ((pk + qk) / 2 - pk * qk / m), 6) + 0.0 AS ari FROM x""")
+def cluster_scores(spark, d):
+    return rounded(evaluate.cluster_scores(predicted(spark, d)), "fmi", "mi", "nmi", "rand", "ari")
+
+
+@query("""WITH l AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, i, avg(v) AS c, count(*) AS n FROM l GROUP BY 1, 2),
+s AS (SELECT l.label, vec_id, sum(pow(v - c, 2)) AS d2 FROM l JOIN c USING (label, i) GROUP BY 1, 2), p AS (SELECT label, avg(sqrt(d2)) AS s, sum(d2) AS w, count(*) AS n FROM s GROUP BY 1),
+g AS (SELECT a.label AS la, b.label AS lb, sqrt(sum(pow(a.c - b.c, 2))) AS m FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2), o AS (SELECT i, avg(v) AS g FROM l GROUP BY 1)
+SELECT (SELECT round(avg(r), 6) FROM (SELECT la, max((x.s + y.s) / m) AS r FROM g JOIN p x ON la = x.label JOIN p y ON lb = y.label GROUP BY 1)) AS davies_bouldin,
+    (SELECT round((SELECT sum(n * pow(c - g, 2)) FROM c JOIN o USING (i)) / (count(*) - 1) / (sum(w) / (sum(n) - count(*))), 6) FROM p) AS calinski_harabasz""")
+def geometry_scores(spark, d):
+    return rounded(evaluate.geometry_scores(embedding_rows(spark, d)), "davies_bouldin", "calinski_harabasz")
+
+
+@query("WITH l AS (SELECT vec_id AS node, unnest(range(0, 64))::INT AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT node, i, round((v - avg(v) OVER w) / stddev_pop(v) OVER w, 5) + 0.0 AS value FROM l WINDOW w AS (PARTITION BY i)")
+def standard_scale(spark, d):
+    return evaluate.standardised(embedding_rows(spark, d)).select("node", "i", (F.round("value", 5) + 0.0).alias("value"))
+
+
+@query()
+def classify_cross_validated(spark, d):
+    return evaluate.classify(embedding_rows(spark, d).select("node", "features", "label"))
+
+
+@query()
+def cluster_kmeans(spark, d):
+    return evaluate.cluster(embedding_rows(spark, d), 10)
+
+
+@query("SELECT o_orderpriority AS src, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS std FROM orders GROUP BY 1")
+def report_mean_std(spark, d):
+    x = report.mean_std(table(spark, d, "orders"), ["o_orderpriority"], ["o_totalprice"])
+    return x.select(F.col("o_orderpriority").alias("src"), F.round("o_totalprice_mean", 4).alias("mean"), F.round("o_totalprice_std", 4).alias("std"))
+
+
+@query("""WITH s AS (SELECT o_orderstatus, o_orderpriority, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders GROUP BY 1, 2)
+SELECT o_orderstatus, arg_max(o_orderpriority, m) AS o_orderpriority, round(max(m), 4) AS o_totalprice_mean, round(max(m) - arg_max(s, m), 4) AS threshold FROM s GROUP BY 1""")
+def report_best(spark, d):
+    x = report.best(report.mean_std(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], ["o_totalprice"]), ["o_orderstatus"], "o_orderpriority", "o_totalprice_mean", "o_totalprice_std")
+    return x.select("o_orderstatus", "o_orderpriority", F.round("o_totalprice_mean", 4).alias("o_totalprice_mean"), F.round("threshold", 4).alias("threshold"))
+
+
+@query(f"WITH p AS ({PRED}), c AS (SELECT label, pred, count(*) AS n FROM p GROUP BY 1, 2) SELECT label, pred, round(n / sum(n) OVER (PARTITION BY label), 6) AS share FROM c")
+def confusion_shares(spark, d):
+    return rounded(report.row_shares(evaluate.confusion(predicted(spark, d))), "share")
+
+
+@query("SELECT label, pred, round(avg(n), 6) AS n FROM (SELECT label, (vec_id % 3)::INT AS pred, vec_id % 5 AS g, count(*) AS n FROM embeddings GROUP BY ALL) GROUP BY 1, 2")
+def confusion_mean(spark, d):
+    c = table(spark, d, "embeddings").groupBy("label", (F.col("vec_id") % 3).cast("int").alias("pred"), (F.col("vec_id") % 5).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    return rounded(report.matrix_mean(c, []), "n")
+
+
+@query("SELECT l_quantity, round(sum(count(*)) OVER (ORDER BY l_quantity) / sum(count(*)) OVER (), 6) AS share FROM lineitem GROUP BY 1")
+def distribution_cumulative(spark, d):
+    return rounded(report.cumulative_shares(table(spark, d, "lineitem"), "l_quantity"), "share")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM customer GROUP BY 1")
+def value_shares(spark, d):
+    return rounded(report.shares(table(spark, d, "customer"), "c_mktsegment"), "share")
+
+
+@query("""WITH c AS (SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1), e AS (SELECT v, sum(n) OVER (ORDER BY v) / sum(n) OVER () AS s FROM c),
+s AS (SELECT v, s, coalesce(lag(s) OVER (ORDER BY v), 0) AS lo, coalesce(lag(v) OVER (ORDER BY v), v) AS f FROM e)
+SELECT d AS draw, round(f + (v - f) * (d / 100 - lo) / (s - lo), 6) AS value FROM range(0, 100) AS q(d) JOIN s ON d / 100 >= lo AND d / 100 < s""")
+def distribution_inverse(spark, d):
+    draws = spark.range(100).select(F.col("id").alias("draw"), (F.col("id") / 100).alias("u"))
+    return rounded(report.sample_distribution(report.cumulative_shares(table(spark, d, "lineitem"), "l_quantity"), "l_quantity", draws), "value")
+
+
+@query("SELECT p_type, dense_rank() OVER (ORDER BY p_type) - 1 AS index FROM (SELECT DISTINCT p_type FROM part)")
+def reindex_dense(spark, d):
+    return reindex(table(spark, d, "part"), "p_type")
+
+
+# Messages made of orders: sender by customer, recipients by supplier, headers as text.
+def messages(spark, d) -> DataFrame:
+    orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
+    to = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("s"), "l_suppkey", F.when(F.col("l_suppkey") % 7 == 0, "@").otherwise("@shop.example.com")))), ", ").alias("to"))
+    text = F.concat(F.lit("Message-ID: <"), "o_orderkey", F.lit(">\nDate: "), F.col("o_orderdate").cast("string"), F.lit("\nFrom: c"), "o_custkey", F.lit("@mail.example.edu\nTo: "), "to", F.lit("\n\nHello"))
+    return orders.join(to, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("path"), text.alias("text"))
+
+
+@query("""SELECT 'c' || o_custkey || '@mail.example.edu' AS source, 's' || l_suppkey || '@shop.example.com' AS target, count(*) AS n
+FROM (SELECT DISTINCT o_orderkey, o_custkey, l_suppkey FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey % 7 <> 0) GROUP BY 1, 2""")
+def mail_edges(spark, d):
+    return mail.edges(mail.parsed(messages(spark, d)))
+
+
+KINDS = ["no-reply@lists.example.com", "j.doe@corp.example.com", "a1b2c3d4@x.org", "prof@cs.some.edu", "clerk@irs.gov", "someone@home.net"]
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'bot' WHEN 1 THEN 'inside' WHEN 2 THEN 'bot' WHEN 3 THEN 'university' WHEN 4 THEN 'government' ELSE 'private' END AS kind, CASE o_orderkey % 6 WHEN 0 THEN 'bot' WHEN 1 THEN 'inside' WHEN 2 THEN 'bot' ELSE 'external' END AS simple FROM orders")
+def address_kinds(spark, d):
+    a = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", mail.kind(a, "corp.example.com").alias("kind"), mail.simple_kind(a, "corp.example.com").alias("simple"))
+
+
+@query("WITH " + TOP + " SELECT src, dst, weight FROM e WHERE src % 2 = 0 AND dst % 2 = 0")
+def subgraph_internal(spark, d):
+    g = top(spark, d)
+    return mail.within(g.edges, g.nodes.filter("id % 2 = 0"))
+
+
+@query("WITH RECURSIVE s AS (SELECT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity >= 49 AND l_orderkey < l_partkey), p AS (SELECT a, b FROM s UNION SELECT b, a FROM s), r(id, c) AS (SELECT a, a FROM p UNION SELECT b, c FROM r JOIN p ON id = a AND c < b) SELECT id, min(c) AS component FROM r GROUP BY 1")
+def connected_components(spark, d):
+    return components(table(spark, d, "lineitem").filter("l_quantity >= 49 AND l_orderkey < l_partkey").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")))
+
+
+@query("SELECT i AS src, (i + 1) % 50 AS dst FROM range(50) AS q(i) UNION ALL SELECT i * 50 // 4, (i * 50 // 4 + 25) % 50 FROM range(2) AS q(i)")
+def cycle_with_chords(spark, d):
+    return synthetic.cycle(spark, 50, synthetic.diameter_chords(50, 2))
+
+
+@query("SELECT 0::BIGINT AS src, i AS dst FROM range(1, 41) AS q(i) UNION ALL SELECT (i - 41) // 3 + 1, i FROM range(41, 161) AS q(i) UNION ALL SELECT (i - 161) // 3 + 41, i FROM range(161, 521) AS q(i)")
+def source_star(spark, d):
+    return synthetic.star(spark, 40, 3, 3)
+
+
+@query("SELECT 0::BIGINT AS src, i AS dst FROM range(1, 99) AS q(i) UNION ALL SELECT i, 99 FROM range(1, 99) AS q(i)")
+def diamond_graph(spark, d):
+    return synthetic.diamond(spark, 100)
+
+
+@query()
+def ring_of_motifs(spark, d):
+    return synthetic.ring_of_motifs(spark, ["clique", "star", "wheel", "diamond"], 5, connectors=1)[0]
+
+
+@query()
+def preferential_attachment(spark, d):
+    return synthetic.preferential(spark, 1000, 5)
+
+
+@query()
+def noise_edges(spark, d):
+    return similarity.noise_edges(top(spark, d), 25, 0.5)
+
+
+@query()
+def graph_permuted(spark, d):
+    return similarity.permuted(top(spark, d), 3)[0].edges
