@@ -47,7 +47,7 @@ def motif(spark: SparkSession, name: str, n: int = 5) -> tuple[DataFrame, DataFr
     both = lambda e: e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     ids = spark.range
     if name == "clique":
-        a = ids(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("dst")).filter("src <> dst")
+        a = ids(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("dst")).filter("src <> dst")
         return a, ids(n).select("id", F.lit(0).alias("role"))
     if name == "star":
         return star(spark, n, 1, 1), ids(n + 1).select("id", (F.col("id") > 0).cast("int").alias("role"))
@@ -63,7 +63,7 @@ def motif(spark: SparkSession, name: str, n: int = 5) -> tuple[DataFrame, DataFr
         level = F.floor(F.log2(F.col("id") + 1)).cast("int")
         return star(spark, 2, 2, n), ids(size).select("id", level.alias("role"))
     if name == "bipartite":
-        a = ids(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(n), F.lit(2 * n - 1))).cast("long").alias("dst"))
+        a = ids(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(n).cast("long"), F.lit(2 * n - 1).cast("long"))).alias("dst"))
         return a, ids(2 * n).select("id", F.floor(F.col("id") / n).cast("int").alias("role"))
     raise ValueError(f"no motif {name}")
 
