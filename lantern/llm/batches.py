@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -43,8 +43,14 @@ def map_rows(df: DataFrame, function: Callable[[list[dict]], list[tuple] | Itera
     return df.mapInArrow(run, out)
 
 
-def tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Rows of a few numbers each that may be broadcast.
+FEW = 2_000_000
+
+
+def counted(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df (a written table of ids or the like), to be broadcast if it has at most `most` rows;
+    Spark deals out both sides of a join with it otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def fold_rows(df: DataFrame, start: Callable, step: Callable, finish: Callable, schema: str, text: str = "text") -> DataFrame:

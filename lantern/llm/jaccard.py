@@ -30,14 +30,12 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lantern.llm.batches import fold_rows, map_rows
+from lantern.llm.batches import counted, fold_rows, map_rows
 from lantern.llm.wordhash import SPACE, U, Words, lowered, mixed
 from lantern.plans.components import components
 from lantern.session import table, written
 
 SKETCH_BITS = 18
-#: Hashes that occur again are broadcast if they are at most this many, counted first.
-KEYS = 2_000_000
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -118,6 +116,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     """The pairs (a, b) of doc_ids whose whole sets are similar enough."""
     pairs = written(pairs.distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = counted(written(ids, "ids"))
     def rows(b):
         value, first = shingles(b["text"], n)
         return zip(b["doc_id"], (long(value)[f:e] for f, e in zip(first[:-1], first[1:])))
@@ -153,9 +152,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # minima: no task sees a frequent hash's whole list.
     again = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().filter("count > 1").select("token")
     again = written(again, "tokens")
-    few = again.limit(KEYS + 1).count() <= KEYS
     index = sets.filter(known).select(F.col("doc_id").alias("g"), "n", F.posexplode("prefix").alias("pos", "token"))
-    index = index.join(F.broadcast(again) if few else again, "token")
+    index = index.join(counted(again), "token")
     index = written(index.join(leaders.select(F.col("leader").alias("g"), "n"), ["g", "n"], "left_semi").dropDuplicates(["token", "g", "n"]), "index")
     tokens = index.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "n", "g")).alias("pivot"), F.min("n").alias("low"))
     shared = written(index.join(tokens.filter("k > 1"), "token").drop("k"), "shared")
@@ -197,7 +195,7 @@ def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     or all go."""
     got = join(docs, n, percent)
     gone = got.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(counted(written(gone, "gone")), "doc_id", "left_anti")
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
