@@ -32,6 +32,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lantern.llm.batches import counted
 from lantern.session import table, written
 
 N = 5
@@ -151,7 +152,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that leak an item."""
-    return docs.join(find(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    leaks = written(find(docs, benchmark).select("doc_id").distinct(), "leaks")
+    return docs.join(counted(leaks), "doc_id", "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
