@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lantern.llm import decontaminate, jaccard, mixing, secrets, toxicity
+from lantern.llm.batches import counted
 from lantern.session import table, written
 
 
@@ -42,7 +43,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     repeats counted), and their source's target."""
     got = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("taken").alias("taken"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
     sized = docs.withColumn("size", mixing.words(F.col("text")))
-    got = got.filter("taken > 0").withColumnRenamed("doc_id", "i").withColumnRenamed("size", "s")
+    got = counted(written(got.filter("taken > 0"), "taken"))
+    got = got.withColumnRenamed("doc_id", "i").withColumnRenamed("size", "s")
     on = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("s"))
     return sized.join(got, on).select(*docs.columns, "size", "source_size", "target", "taken")
 
