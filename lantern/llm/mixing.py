@@ -3,8 +3,9 @@
 Every document is a job of its source's queue, as many words long as it has. A source's
 documents are shuffled by the MD5 of their id and served in that order, up to three times
 over. A job's virtual finish time is the words its source has been served by then, divided
-by the source's target. Served in order of finish time until the budget (the words of the
-whole corpus) is spent, each source ends at its target, give or take a document.
+by the source's target. A job that crosses the target is cut there into two. Served in order
+of finish time until the budget (the words of the whole corpus) is spent, each source ends at
+its target, give or take the words that rounding leaves over.
 
 Running sums never need one task to hold a source: documents are dealt by the first three
 digits of their MD5, sums are taken inside a (source, digits) cell, and the cells' totals -
@@ -57,9 +58,13 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("k", "source_size", target.alias("target"), "budget")
 
 
-def finish(p) -> Column:
-    """Virtual finish time of a document's p-th service."""
-    return (F.col("upto") + p * F.col("source_size")).cast("double") / F.col("target")
+def parts(p: int) -> list[tuple[Column, Column]]:
+    """(size, virtual finish time) of a document's p-th service, cut in two where the source
+    reaches its target: words up to there, and words beyond."""
+    end = F.col("upto") + p * F.col("source_size")
+    goal = F.floor("target")
+    before = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - (end - F.col("size"))))
+    return [(before, F.least(end, goal).cast("double") / F.col("target")), (F.col("size") - before, end.cast("double") / F.col("target"))]
 
 
 def ranges(time: Column) -> tuple[Column, Column]:
@@ -102,28 +107,29 @@ def mix(docs: DataFrame, size: Column | None = None) -> DataFrame:
     coarse, fine = ranges(F.col("time"))
     jobs = (
         placed.filter("size > 0")
-        .withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(PASSES - 1))))
-        .withColumn("time", finish(F.col("pass")))
+        .withColumn("job", F.explode(F.array(*[F.struct(F.lit(2 * p + i).alias("pass"), n.alias("words"), t.alias("time")) for p in range(PASSES) for i, (n, t) in enumerate(parts(p))])))
+        .select("*", "job.*").drop("job").filter("words > 0")
         .withColumn("coarse", coarse)
         .withColumn("fine", fine)
     )
-    totals = jobs.groupBy("coarse").agg(F.sum("size").alias("n"), F.max("budget").alias("budget"), F.lit(0).cast("long").alias("base"))
+    totals = jobs.groupBy("coarse").agg(F.sum("words").alias("n"), F.max("budget").alias("budget"), F.lit(0).cast("long").alias("base"))
     first = written(cut_range(totals, "coarse"), "cut")  # one row, as are those below
     inside = jobs.drop("budget").join(F.broadcast(first), "coarse")
-    totals = inside.groupBy("fine").agg(F.sum("size").alias("n"), F.max("budget").alias("budget"), F.max("base").alias("base"))
+    totals = inside.groupBy("fine").agg(F.sum("words").alias("n"), F.max("budget").alias("budget"), F.max("base").alias("base"))
     cut = written(first.select(F.col("coarse").alias("c0")).crossJoin(cut_range(totals, "fine").withColumnRenamed("fine", "f0")), "cut")
     # The one fine range that holds the cut, job by job; the last job is cut short.
     order = Window.partitionBy(F.lit(1)).orderBy("time", "k", "pass", "h", "doc_id", "size", "nth").rowsBetween(Window.unboundedPreceding, -1)
     last = (
         jobs.drop("budget").join(F.broadcast(cut), (F.col("coarse") == F.col("c0")) & (F.col("fine") == F.col("f0")))
-        .withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(order), F.lit(0).cast("long")))
-        .withColumn("got", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("budget") - F.col("start"))))
+        .withColumn("start", F.col("base") + F.coalesce(F.sum("words").over(order), F.lit(0).cast("long")))
+        .withColumn("got", F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.col("budget") - F.col("start"))))
         .groupBy("k", "h", F.coalesce("doc_id", F.lit(0)).alias("d"), "size", "nth").agg(F.sum("got").alias("at_cut"))
     )
     whole = F.lit(0).cast("long")
     for p in range(PASSES):
-        c, f = ranges(finish(p))
-        whole = whole + F.when((c < F.col("c0")) | ((c == F.col("c0")) & (f < F.col("f0"))), F.col("size")).otherwise(0)
+        for n, t in parts(p):
+            c, f = ranges(t)
+            whole = whole + F.when((c < F.col("c0")) | ((c == F.col("c0")) & (f < F.col("f0"))), n).otherwise(0)
     return (
         placed.join(F.broadcast(cut.select("c0", "f0")), how="left")
         .withColumn("whole", F.when(F.col("size") > 0, whole).otherwise(F.lit(0).cast("long")))
@@ -149,9 +155,12 @@ goal AS (SELECT k, source_size, budget, CASE WHEN 3 * source_size * r.w_left < (
     ELSE ((budget - level.before) * w)::DOUBLE / level.w_left::DOUBLE END AS target FROM ranked r LEFT JOIN level ON true),
 placed AS (SELECT d.*, source_size, target, budget, (sum(size) OVER o)::BIGINT AS upto, row_number() OVER o AS nth FROM d JOIN goal USING (k)
     WINDOW o AS (PARTITION BY k ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-jobs AS (SELECT *, (upto + pass * source_size)::DOUBLE / target AS time FROM placed, range(3) AS p(pass) WHERE size > 0),
-served AS (SELECT *, coalesce(sum(size) OVER (ORDER BY time, k, pass, h, doc_id, size, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM jobs),
-got AS (SELECT k, h, doc_id, size, nth, sum(greatest(0, least(size, budget - start)))::BIGINT AS taken FROM served GROUP BY ALL)
+ends AS (SELECT *, (upto + pass * source_size)::BIGINT AS fin, floor(target)::BIGINT AS aim FROM placed, range(3) AS p(pass) WHERE size > 0),
+halves AS (SELECT *, greatest(0, least(size, aim - (fin - size))) AS pre FROM ends),
+jobs AS (SELECT * EXCLUDE (pass), 2 * pass AS pass, pre AS words, least(fin, aim)::DOUBLE / target AS time FROM halves UNION ALL
+    SELECT * EXCLUDE (pass), 2 * pass + 1, size - pre, fin::DOUBLE / target FROM halves),
+served AS (SELECT *, coalesce(sum(words) OVER (ORDER BY time, k, pass, h, doc_id, size, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM jobs WHERE words > 0),
+got AS (SELECT k, h, doc_id, size, nth, sum(greatest(0, least(words, budget - start)))::BIGINT AS taken FROM served GROUP BY ALL)
 SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(g.taken, 0)::BIGINT AS taken FROM placed p
 LEFT JOIN got g ON p.k = g.k AND p.h = g.h AND p.doc_id IS NOT DISTINCT FROM g.doc_id AND p.size = g.size AND p.nth = g.nth
 """
