@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of text that a helper works on at once; a longer text is a slice of its own.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
