@@ -79,7 +79,10 @@ def block(f: Column, j: Column) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard of two bags of hashes."""
     count = lambda bag, x: F.size(F.filter(bag, lambda y: y == x))
-    common = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
+    same = F.array_intersect(a, b)
+    once = lambda bag: F.size(F.array_distinct(bag)) == F.size(bag)
+    # Counting is only needed where a hash is twice in both.
+    common = F.when(once(a) | once(b), F.size(same)).otherwise(F.aggregate(same, F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x))))
     return common / (F.size(a) + F.size(b) - common)
 
 
