@@ -9,7 +9,9 @@
    puts its prefix into the index.
 4. Group pairs that share a prefix hash are filtered by size and by position (how many hashes
    can still agree after the first shared one).
-5. Pairs left are expanded to members and verified on the whole sets.
+5. Pairs left are expanded to members. A bitmap of each set, about two bits a shingle, bounds
+   what a pair can share from above; pairs that it leaves are verified on the whole sets, so
+   that few sets are dealt out.
 
 Steps 4 and 5 are done twice. First each hash's leaders meet one pivot only, the leader that
 has the hash earliest, and a group's members meet their leader; links found give provisional
@@ -81,11 +83,34 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
+def bitmaps(value: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A set's bitmap: 64-bit words, a power of two of them and at least a 32nd of the set's
+    size, with a bit for the low bits of each hash."""
+    size = np.diff(first)
+    words = np.maximum(1, 1 << np.ceil(np.log2(np.maximum(size, 1) / 32)).astype(np.int64).clip(0))
+    begin = np.concatenate([[0], np.cumsum(words)])
+    doc = np.repeat(np.arange(len(size)), size)
+    out = np.zeros(begin[-1], dtype=np.uint64)
+    at = begin[doc] + ((value >> U(6)).astype(np.int64) & (words[doc] - 1))
+    np.bitwise_or.at(out, at, U(1) << (value & U(63)))
+    return [out[b:e].tobytes() for b, e in zip(begin[:-1], begin[1:])]
+
+
+def most_shared(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
+    """An upper bound of what two sets share, by their bitmaps: a bit that only one has is a
+    hash that only it has. The longer bitmap is folded to the length of the other."""
+    x, y = (np.frombuffer(z, dtype=np.uint64) for z in (a, b))
+    length = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, length), axis=0) for z in (x, y))
+    return min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+
+
 def prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), p1, p2 (of the prefix), prefix."""
+    """doc_id, n, d1, d2 (digest of the set), p1, p2 (of the prefix), prefix, bits."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.int32))  # 1 MB
     def rows(b):
         value, first = shingles(b["text"], n)
+        bits = bitmaps(value, first)
         size = np.diff(first)
         doc = np.repeat(np.arange(len(size)), size)
         order = np.lexsort((value, shared.value[(value & U((1 << SKETCH_BITS) - 1)).astype(np.int64)], doc))
@@ -98,8 +123,8 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataF
                 s = np.concatenate([[U(0)], np.cumsum(np.where(x == 0, x, mixed(x + U(salt))), dtype=np.uint64)])
                 sums.append(long(s[first[1:]] - s[first[:-1]]))
         signed = long(value)
-        return zip(b["doc_id"], size.tolist(), *(s.tolist() for s in sums), (signed[f : f + k] for f, k in zip(first, length)))
-    return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, n int, d1 long, d2 long, p1 long, p2 long, prefix array<long>")
+        return zip(b["doc_id"], size.tolist(), *(s.tolist() for s in sums), (signed[f : f + k] for f, k in zip(first, length)), bits)
+    return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, n int, d1 long, d2 long, p1 long, p2 long, prefix array<long>, bits binary")
 
 
 def may_link(percent: int) -> Column:
@@ -112,22 +137,38 @@ def may_link(percent: int) -> Column:
     )
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole sets are similar enough."""
-    pairs = written(pairs.distinct(), "pairs")
+def ids_of(pairs: DataFrame) -> DataFrame:
+    """doc_id: the documents of pairs, broadcast if they are few."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    ids = counted(written(ids, "ids"))
+    return counted(written(ids, "ids"))
+
+
+def joined(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """pairs (a, b) with columns of the documents' sets, named a_... and b_..."""
+    for x in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns)), x)
+    return pairs
+
+
+def verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose whole sets are similar enough. bits: doc_id, n and
+    bitmap of each set."""
+    pairs = written(pairs.distinct(), "pairs")
+    bits = bits.join(ids_of(pairs), "doc_id", "left_semi")
+    def able(r):
+        for a, b, na, nb, x, y in zip(*(r[c] for c in ("a", "b", "a_n", "b_n", "a_bits", "b_bits"))):
+            most = most_shared(x, na, y, nb)
+            if 100 * most >= percent * (na + nb - most):
+                yield a, b
+    pairs = written(map_rows(joined(pairs, bits, "n", "bits"), able, "a long, b long", text="a_bits").distinct(), "pairs")
+    ids = ids_of(pairs)
     def rows(b):
         value, first = shingles(b["text"], n)
         return zip(b["doc_id"], (long(value)[f:e] for f, e in zip(first[:-1], first[1:])))
     sets = map_rows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), rows, "doc_id long, s array<long>")
     sets = written(sets, "sets")
-    both = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-        .withColumn("same", F.size(F.array_intersect("sa", "sb")))
-    )
-    return both.filter(100 * F.col("same") >= percent * (F.size("sa") + F.size("sb") - F.col("same"))).select("a", "b")
+    both = joined(pairs, sets, "s").withColumn("same", F.size(F.array_intersect("a_s", "b_s")))
+    return both.filter(100 * F.col("same") >= percent * (F.size("a_s") + F.size("b_s") - F.col("same"))).select("a", "b")
 
 
 def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -141,7 +182,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sets = written(prefixes(docs, n, percent, sketch(docs, n)), "prefixes")
     known = F.col("doc_id").isNotNull()
-    slim = sets.filter("n > 0").drop("prefix")  # prefixes are read where they are, never dealt out
+    slim = sets.filter("n > 0").drop("prefix", "bits")  # prefixes are read where they are, never dealt out
+    bits = sets.filter("n > 0").filter(known).select("doc_id", "n", "bits")
     classes = written(slim.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select("d1", "d2", F.col("rep").alias("doc_id")).filter("rep IS NOT NULL")
     first = written(slim.filter(known).join(reps, ["d1", "d2", "doc_id"], "left_semi").select("p1", "p2", "n", F.col("doc_id").alias("rep")).distinct(), "first")
@@ -162,7 +204,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     x = shared.select(F.struct("n", "pos").alias("x"), F.struct(F.col("pivot.n").alias("n"), F.col("pivot.pos").alias("pos")).alias("y"), "g", F.col("pivot.g").alias("p"))
     stars = x.filter((F.col("g") != F.col("p")) & may_link(percent)).select(F.least("g", "p").alias("a"), F.greatest("g", "p").alias("b"))
     stars = stars.unionByName(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-    links = written(verified(stars, docs, n, percent), "links")
+    links = written(verified(stars, bits, docs, n, percent), "links")
     found = written(components(links), "found")
 
     # Round two: what meets in a hash or a group across components.
@@ -180,7 +222,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     inside = spread.filter("c0 <> c1").select(F.col("leader").alias("gx"), F.col("leader").alias("gy"))
     gx, gy = label.select(F.col("leader").alias("gx"), F.col("rep").alias("a"), F.col("c").alias("ca")), label.select(F.col("leader").alias("gy"), F.col("rep").alias("b"), F.col("c").alias("cb"))
     rest = across.unionByName(inside).join(gx, "gx").join(gy, "gy").filter("ca <> cb AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(verified(rest, docs, n, percent), "links")
+    more = written(verified(rest, bits, docs, n, percent), "links")
     if not more.isEmpty():
         found = written(components(links.unionByName(more)), "found")
 

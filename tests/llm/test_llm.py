@@ -95,6 +95,17 @@ def test_jaccard_edges(spark):
     assert jaccard.deduplicate(docs).count() == 3  # a null id is linked with nothing
 
 
+def test_jaccard_bitmaps_bound():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    sets = [np.sort(x) for n in (0, 1, 31, 32, 33, 900, 5000) for x in (base[:n], np.concatenate([base[: n // 2], rng.integers(0, 1 << 63, n - n // 2, dtype=np.uint64)]))]
+    bits = jaccard.bitmaps(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])]))
+    for x, p in zip(sets, bits):
+        for y, q in zip(sets, bits):
+            assert len(np.intersect1d(x, y)) <= jaccard.most_shared(p, len(x), q, len(y)) <= min(len(x), len(y))
+    assert jaccard.most_shared(bits[-1], 5000, bits[-2], 5000) < 4000  # they share 2,500
+
+
 def test_licenses(spark):
     texts = [None, "", "All rights reserved, cc-by CC BY cc by.", prose(1, 50) + " This work is licensed under the GNU General Public License, version 3. " + prose(2, 50),
              "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"] + [prose(i, 30) for i in range(20)]
