@@ -36,6 +36,8 @@ SAMPLE = 2000
 SAMPLE_CHARS = 20_000
 BITS = 18
 RUN = 64
+#: Documents of a training step.
+GROUP = 250
 EPOCHS, RATE, DECAY = 8, 0.15, 1e-5
 #: A feature marks toxic words if this many toxic documents hold it, at these odds.
 LEAST_DOCS, LEAST_ODDS = 4, 8.0
@@ -54,15 +56,20 @@ def features(w: Words) -> np.ndarray:
     return np.stack([(mixed(p + U(i + 1)) >> U(64 - BITS)).astype(np.int32) for i, p in enumerate(parts)])
 
 
+def texts_of(first: np.ndarray) -> np.ndarray:
+    """The text of each word, from each text's first word."""
+    return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
 class Chain:
     """Forward-backward over runs of words. Score of a path: evidence of its toxic words plus
     a weight for each pair of successive states (pairs[from, to])."""
 
-    def __init__(self, w: Words):
-        length = np.diff(w.first)
-        runs = np.concatenate([[0], np.cumsum(-(-length // RUN))])
-        place = np.arange(len(w.start)) - w.first[w.doc]
-        self.row, self.col = runs[w.doc] + place // RUN, place % RUN
+    def __init__(self, first: np.ndarray):
+        doc = texts_of(first)
+        runs = np.concatenate([[0], np.cumsum(-(-np.diff(first) // RUN))])
+        place = np.arange(len(doc)) - first[doc]
+        self.row, self.col = runs[doc] + place // RUN, place % RUN
         self.shape = (int(runs[-1]), RUN)
         self.size = np.bincount(self.row, minlength=self.shape[0])
 
@@ -99,26 +106,28 @@ class Chain:
         return out[self.col, self.row], expected
 
 
-def token_labels(f: list[np.ndarray], doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """1 for words of toxic documents that carry a feature typical of them."""
-    hit = np.zeros(len(doc), dtype=bool)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    for row in f:  # the word and its prefixes
-        at = np.unique(doc.astype(np.int64) * (1 << BITS) + row)
-        docs, feature = at >> BITS, at & (1 << BITS) - 1
-        t = np.bincount(feature[toxic[docs]], minlength=1 << BITS)
-        c = np.bincount(feature[~toxic[docs]], minlength=1 << BITS)
-        odds = (t / n1) / ((c + 0.5) / n0)
-        hit |= ((t >= LEAST_DOCS) & (odds >= LEAST_ODDS))[row]
-    return (hit & toxic[doc]).astype(np.float64)
-
-
-def sums(p: np.ndarray, w: Words) -> np.ndarray:
+def token_labels(f: list[np.ndarray], firsts: list[np.ndarray], toxic: list[np.ndarray]) -> list[np.ndarray]:
+    """For groups of texts: 1 for words of toxic documents that carry a feature typical of them."""
+    n1, n0 = (max(1, sum(int(x.sum()) for x in side)) for side in (toxic, [~x for x in toxic]))
+    hit = [np.zeros(x.shape[1], dtype=bool) for x in f]
+    for i in range(3):  # the word and its prefixes
+        t, c = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for x, first, y in zip(f, firsts, toxic):
+            at = np.unique(texts_of(first) * (1 << BITS) + x[i])
+            docs, feature = at >> BITS, at & (1 << BITS) - 1
+            t += np.bincount(feature[y[docs]], minlength=1 << BITS)
+            c += np.bincount(feature[~y[docs]], minlength=1 << BITS)
+        typical = (t >= LEAST_DOCS) & ((t / n1) / ((c + 0.5) / n0) >= LEAST_ODDS)
+        for h, x in zip(hit, f):
+            h |= typical[x[i]]
+    return [h & y[texts_of(first)] for h, first, y in zip(hit, firsts, toxic)]
+
+
+def sums(p: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(texts, 5): what the score of a text is made of."""
-    n_docs = len(w.first) - 1
-    length = np.diff(w.first)
-    total = np.bincount(w.doc, p, minlength=n_docs)
-    none = np.bincount(w.doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n_docs)
+    n_docs, length, doc = len(first) - 1, np.diff(first), texts_of(first)
+    total = np.bincount(doc, p, minlength=n_docs)
+    none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n_docs)
     two = np.minimum(total, 4.0)
     return np.stack([np.ones(n_docs), np.log1p(total), 1 - np.exp(none), two, np.log1p(1000 * total / np.maximum(length, 1))], axis=1)
 
@@ -129,34 +138,34 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> dict:
     """The model of a sample: feature weights, pair weights, and weights of the sums."""
-    groups = [Words([lowered(t) for t in texts[i : i + 250]], MARKS) for i in range(0, len(texts), 250)]
-    f = []
-    for w in groups:
+    # The driver holds six small integers a word of the sample, and else one group's arrays.
+    f, firsts, kinds = [], [], []
+    for i in range(0, len(texts), GROUP):
+        w = Words([lowered(t) for t in texts[i : i + GROUP]], MARKS)
         f.append(features(w))
+        firsts.append(w.first)
+        kinds.append(toxic[i : i + GROUP])
         w.release()
-    offset = np.concatenate([[0], np.cumsum([len(w.start) for w in groups])])
-    doc = np.concatenate([w.doc + i * 250 for i, w in enumerate(groups)])
-    y = token_labels([np.concatenate([g[i] for g in f]) for i in range(3)], doc, toxic)
+    y = token_labels(f, firsts, kinds)
     theta, pairs = np.zeros(1 << BITS), np.zeros((2, 2))
     bias = -3.0
     state = [np.zeros((1 << BITS) + 5) for _ in range(2)]
-    chains = [Chain(w) for w in groups]
     step = 0
     for _ in range(EPOCHS):
-        for g in range(len(groups)):
-            own, labels = f[g], y[offset[g] : offset[g + 1]]
+        for own, first, hit in zip(f, firsts, y):
             if not own.shape[1]:
                 continue
-            p, expected = chains[g].marginals(theta[own].sum(axis=0) + bias, pairs)
-            diff = (labels - p) / len(groups[g].first)
+            chain, labels, n_docs = Chain(first), hit.astype(np.float64), len(first)
+            p, expected = chain.marginals(theta[own].sum(axis=0) + bias, pairs)
+            diff = (labels - p) / n_docs
             grad = np.zeros((1 << BITS) + 5)
             for row in own:
                 grad[: 1 << BITS] += np.bincount(row, diff, minlength=1 << BITS)
             grad[: 1 << BITS] -= DECAY * theta
             grad[1 << BITS] = diff.sum()
-            follow = chains[g].row[1:] == chains[g].row[:-1]
+            follow = chain.row[1:] == chain.row[:-1]
             seen = np.bincount((labels[:-1] * 2 + labels[1:])[follow].astype(int), minlength=4)
-            grad[-4:] = (seen - expected.reshape(-1)) / len(groups[g].first)
+            grad[-4:] = (seen - expected.reshape(-1)) / n_docs
             step += 1
             state[0] = 0.9 * state[0] + 0.1 * grad
             state[1] = 0.99 * state[1] + 0.01 * grad * grad
@@ -165,7 +174,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray) -> dict:
             bias += move[1 << BITS]
             pairs += move[-4:].reshape(2, 2)
     model = {"theta": theta.astype(np.float32), "pairs": pairs, "bias": bias}
-    x = np.concatenate([sums(c.marginals(theta[own].sum(axis=0) + bias, pairs)[0], w) for c, own, w in zip(chains, f, groups)])
+    x = np.concatenate([sums(Chain(first).marginals(theta[own].sum(axis=0) + bias, pairs)[0], first) for own, first in zip(f, firsts)])
     beta = np.zeros(x.shape[1])
     target = toxic.astype(np.float64)
     for _ in range(25):  # Newton's method
@@ -220,8 +229,8 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
         if model is None:
             return [(i, 0.0, []) for i in b["doc_id"]]
         w = Words([lowered(t) for t in b["text"]], MARKS)
-        p = Chain(w).marginals(model["theta"][features(w)].sum(axis=0) + model["bias"], model["pairs"])[0] if len(w.start) else np.zeros(0)
-        s = logistic(sums(p, w) @ model["beta"])
+        p = Chain(w.first).marginals(model["theta"][features(w)].sum(axis=0) + model["bias"], model["pairs"])[0] if len(w.start) else np.zeros(0)
+        s = logistic(sums(p, w.first) @ model["beta"])
         return [(i, float(x), [{"start": a, "end": e} for a, e in m]) for i, x, m in zip(b["doc_id"], s, marked(w, p))]
     return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, score double, spans array<struct<start: long, end: long>>")
 
@@ -233,8 +242,8 @@ def reject(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataF
         if model is None:
             return zip(*(b[c] for c in names))
         w = Words([lowered(t) for t in b["text"]], MARKS)
-        p = Chain(w).marginals(model["theta"][features(w)].sum(axis=0) + model["bias"], model["pairs"])[0] if len(w.start) else np.zeros(0)
-        s = logistic(sums(p, w) @ model["beta"])
+        p = Chain(w.first).marginals(model["theta"][features(w)].sum(axis=0) + model["bias"], model["pairs"])[0] if len(w.start) else np.zeros(0)
+        s = logistic(sums(p, w.first) @ model["beta"])
         return (r for r, x in zip(zip(*(b[c] for c in names)), s) if x < threshold)
     return map_rows(docs, rows, docs._jdf.schema().toDDL())
 
