@@ -2,7 +2,7 @@
 
 Templates are notices split into lower-case words. The index maps a licence word to its
 postings (template, position). Document frequencies over the whole corpus give the words'
-IDF; words in more than a quarter of the documents carry no evidence and are left out. For
+IDF, FLOOR at least, so that no word is without weight, however common a notice is. For
 a file, its highest-IDF licence words are looked up, and every place of such a word in the
 file votes, with the word's IDF, for (template, place - position): postings of one notice
 agree on that difference. The difference with the most weight (places up to SLACK words
@@ -65,8 +65,8 @@ RARE_WORDS = 32
 SLACK = 3
 #: Share of a template's weight that a candidate must gather.
 SHARE = 0.6
-#: Words in more than this share of the documents are no evidence.
-COMMON = 0.25
+#: Weight that the most common words have.
+FLOOR = 1.0
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -108,17 +108,12 @@ class Index:
 
     def __init__(self, n_docs: int, df: dict[bytes, int]):
         self.notices = notices()
-        self.idf = {
-            w: math.log((n_docs + 1) / (df.get(w, 0) + 0.5))
-            for w in set(chain.from_iterable(w for w, _ in self.notices.values()))
-            if df.get(w, 0) <= max(1, COMMON * n_docs)
-        }
+        self.idf = {w: max(FLOOR, math.log((n_docs + 1) / (df.get(w, 0) + 0.5))) for w in set(chain.from_iterable(w for w, _ in self.notices.values()))}
         self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
         for label, (ws, _) in self.notices.items():
             for i, w in enumerate(ws):
-                if w in self.idf:
-                    self.postings[w].append((label, i))
-        self.weight = {label: sum(self.idf.get(w, 0.0) for w in ws) for label, (ws, _) in self.notices.items()}
+                self.postings[w].append((label, i))
+        self.weight = {label: sum(self.idf[w] for w in ws) for label, (ws, _) in self.notices.items()}
 
     def match(self, ws: list[bytes]) -> dict[str, float]:
         """Labels of the notices in a file, with the share of their weight found there."""

@@ -1,0 +1,17 @@
+"""Cases in which an operator once did less than its whole job."""
+
+from lantern.llm import licenses
+
+
+def indexed(texts):
+    """Labels of each text, with the frequencies of these texts alone."""
+    ws = [licenses.words(t) for t in texts]
+    vocabulary = {w for t, _ in licenses.notices().values() for w in t}
+    index = licenses.Index(len(ws), {w: n for w in vocabulary if (n := sum(w in x for x in ws))})
+    return [set(index.match(x)) for x in ws]
+
+
+def test_licences_of_notices_that_are_common():
+    mit, other = licenses.TEMPLATES["mit"][0], "nothing of the kind in here"
+    for texts in ([mit, mit], [mit] * 40 + [other] * 60, [mit]):
+        assert all(("mit" in got) == (t == mit) for t, got in zip(texts, indexed(texts)))
