@@ -1,13 +1,13 @@
-"""License scans by a positional index of rare licence words.
+"""License scans by a positional index of licence words.
 
 Templates are notices split into lower-case words. The index maps a licence word to its
 postings (template, position). Document frequencies over the whole corpus give the words'
-IDF, FLOOR at least, so that no word is without weight, however common a notice is. For
-a file, its highest-IDF licence words are looked up, and every place of such a word in the
-file votes, with the word's IDF, for (template, place - position): postings of one notice
-agree on that difference. The difference with the most weight (places up to SLACK words
-apart count together) is a candidate if it gathers enough of the template's weight, and
-holds if one of the template's key phrases stands in the file around that place.
+IDF, FLOOR at least, so that no word is without weight, however common a notice is. A notice
+holds only with one of its key phrases, so the places of these in the file say where it can
+begin; there every place of a licence word votes, with the word's IDF, for (template, place
+- position): postings of one notice agree on that difference. The difference with the most
+weight (places up to SLACK words apart count together) counts if it gathers enough of the
+template's weight and has the key phrase around it.
 
 Base phrases are found wherever their words stand consecutively, with or without a notice.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -59,14 +60,14 @@ TEMPLATES = {
     "public-domain": ("This is free and unencumbered software released into the public domain.", ("released into the public domain",)),
 }
 
-#: Highest-IDF licence words of a file that are looked up, each at all its places.
-RARE_WORDS = 32
 #: Words of difference within which votes for one notice count together.
 SLACK = 3
 #: Share of a template's weight that a candidate must gather.
 SHARE = 0.6
 #: Weight that the most common words have.
 FLOOR = 1.0
+#: Differences whose votes are held at once.
+RUN = 4096
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -104,40 +105,49 @@ def frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
 
 
 class Index:
-    """Postings and weights of licence words, and each template's attainable weight."""
+    """Postings by template, weights of licence words, and each template's whole weight."""
 
     def __init__(self, n_docs: int, df: dict[bytes, int]):
         self.notices = notices()
         self.idf = {w: max(FLOOR, math.log((n_docs + 1) / (df.get(w, 0) + 0.5))) for w in set(chain.from_iterable(w for w, _ in self.notices.values()))}
-        self.postings: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
+        self.postings: dict[str, dict[bytes, list[int]]] = {label: defaultdict(list) for label in self.notices}
         for label, (ws, _) in self.notices.items():
             for i, w in enumerate(ws):
-                self.postings[w].append((label, i))
+                self.postings[label][w].append(i)
         self.weight = {label: sum(self.idf[w] for w in ws) for label, (ws, _) in self.notices.items()}
 
-    def match(self, ws: list[bytes]) -> dict[str, float]:
+    def match(self, ws: list[bytes], joined: bytes) -> dict[str, float]:
         """Labels of the notices in a file, with the share of their weight found there."""
-        there = self.postings.keys() & set(ws)
-        if not there:
-            return {}
-        rare = set(sorted(there, key=lambda w: (-self.idf[w], w))[:RARE_WORDS])
-        votes: dict[tuple[str, int], dict[int, float]] = defaultdict(dict)
-        for at, w in enumerate(ws):
-            if w in rare:
-                for label, i in self.postings[w]:
-                    # One vote for each template position and place of the notice.
-                    for d in range(at - i - SLACK, at - i + SLACK + 1):
-                        votes[label, d][i] = self.idf[w]
         out: dict[str, float] = {}
-        for (label, d), got in votes.items():
-            share = sum(got.values()) / self.weight[label]
-            if share >= SHARE and share > out.get(label, 0.0):
-                tws, keys = self.notices[label]
-                around = b" %s " % b" ".join(ws[max(0, d - SLACK) : max(0, d + len(tws) + SLACK)])
-                if any(b" %s " % b" ".join(k) in around for k in keys):
-                    out[label] = min(1.0, share)
+        for label, (tws, keys) in self.notices.items():
+            share = max((self.share(ws, label, a, b) for a, b in runs(joined, len(tws), keys)), default=0.0)
+            if share >= SHARE:
+                out[label] = min(1.0, share)
         return out
 
+    def share(self, ws: list[bytes], label: str, first: int, last: int) -> float:
+        """The largest share of a template's weight at a difference from first to last."""
+        postings, n = self.postings[label], len(self.notices[label][0])
+        votes: dict[int, dict[int, float]] = defaultdict(dict)
+        begin = max(0, first - SLACK)
+        for at, w in enumerate(ws[begin : max(0, last + n + SLACK)], begin):
+            for i in postings.get(w, ()):
+                # One vote for each template position and place of the notice.
+                for d in range(max(first, at - i - SLACK), min(last, at - i + SLACK) + 1):
+                    votes[d][i] = self.idf[w]
+        return max((sum(got.values()) for got in votes.values()), default=0.0) / self.weight[label]
+
+
+def runs(joined: bytes, n: int, keys: list[list[bytes]]) -> Iterator[tuple[int, int]]:
+    """First and last differences, in runs of up to RUN, at which a notice of n words has one
+    of its key phrases within SLACK words around it."""
+    near = sorted((p + len(k) - n - SLACK, p + SLACK) for k in keys for p in places(joined, b" %s " % b" ".join(k)))
+    done = -(1 << 62)
+    for first, last in near:
+        for a in range(max(first, done + 1), last + 1, RUN):
+            yield a, min(last, a + RUN - 1)
+        done = max(done, last)
+
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, base array<struct<label, place>>, notices map<label, share>."""
@@ -148,7 +158,7 @@ def scan(docs: DataFrame) -> DataFrame:
             ws = words(t)
             joined = b" %s " % b" ".join(ws)
             base = [(p, label) for phrase, label in BASE.items() for p in places(joined, b" %s " % phrase.encode())]
-            yield i, len(ws), [{"label": x, "place": p} for p, x in sorted(base)], list(index.match(ws).items())
+            yield i, len(ws), [{"label": x, "place": p} for p, x in sorted(base)], list(index.match(ws, joined).items())
     return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, n_words long, base array<struct<label: string, place: long>>, notices map<string, double>")
 
 

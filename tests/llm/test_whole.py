@@ -1,5 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
+
 from lantern.llm import licenses
 
 
@@ -8,10 +10,20 @@ def indexed(texts):
     ws = [licenses.words(t) for t in texts]
     vocabulary = {w for t, _ in licenses.notices().values() for w in t}
     index = licenses.Index(len(ws), {w: n for w in vocabulary if (n := sum(w in x for x in ws))})
-    return [set(index.match(x)) for x in ws]
+    return [set(index.match(x, b" %s " % b" ".join(x))) for x in ws]
 
 
 def test_licences_of_notices_that_are_common():
     mit, other = licenses.TEMPLATES["mit"][0], "nothing of the kind in here"
     for texts in ([mit, mit], [mit] * 40 + [other] * 60, [mit]):
         assert all(("mit" in got) == (t == mit) for t, got in zip(texts, indexed(texts)))
+
+
+def test_licences_of_a_file_with_all_notices():
+    labels = set(licenses.TEMPLATES)
+    rng = random.Random(1)
+    filler = lambda: " ".join(rng.choice(["alpha", "beta", "of", "the", "software", "license"]) for _ in range(60))
+    whole = filler().join(f" {text} " for text, _ in licenses.TEMPLATES.values())
+    three = " ".join(licenses.TEMPLATES[x][0] for x in ("mit", "apache", "bsd"))
+    got = indexed([whole, three] + ["nothing"] * 20)
+    assert got[0] == labels and got[1] >= {"mit", "apache", "bsd"} and not got[2]
