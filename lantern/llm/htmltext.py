@@ -62,7 +62,9 @@ AMBIGUOUS = frozenset(("header",))
 COMPOUND = frozenset("ad ads advert advertisement sidebar comment comments cookie cookies footer nav navbar menu breadcrumb breadcrumbs newsletter sponsored".split())
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$))", re.DOTALL)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: One attribute: its whole name, and its whole value if it has one.
+ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'|$)|([^\s\"'>][^\s>]*)))?")
+READ = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 
 
 @dataclass
@@ -77,7 +79,12 @@ class Element:
 
 
 def attributes(source: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(source)} if source else {}
+    """The attributes that the rules read; of two of one name the first counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(source):
+        if (name := m[1].lower()) in READ:
+            out.setdefault(name, m[2] or m[3] or m[4] or "")
+    return out
 
 
 def by_rule(tag: str, a: dict[str, str], main: bool) -> bool:

@@ -2,7 +2,7 @@
 
 import random
 
-from lantern.llm import licenses
+from lantern.llm import htmltext, licenses
 
 
 def indexed(texts):
@@ -27,3 +27,10 @@ def test_licences_of_a_file_with_all_notices():
     three = " ".join(licenses.TEMPLATES[x][0] for x in ("mit", "apache", "bsd"))
     got = indexed([whole, three] + ["nothing"] * 20)
     assert got[0] == labels and got[1] >= {"mit", "apache", "bsd"} and not got[2]
+
+
+def test_attributes_are_whole_names():
+    assert htmltext.attributes(' style="overflow:hidden" href="/hidden-valley" data-hidden="false" title=\'hidden class=x\' data-id=7') == {}
+    assert htmltext.attributes(' id="comments" width="100%" CLASS=a/b hidden') == {"id": "comments", "class": "a/b", "hidden": ""}
+    page = '<div style="overflow:hidden"><p>Words <a href="/hidden-valley">of the</a> article</p></div><div id="comments" width="100%">no</div>'
+    assert htmltext.main_text(page, {}) == "Words of the article"
