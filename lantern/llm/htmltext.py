@@ -5,18 +5,20 @@ classes) from the body to it. The style tree of a host merges the elements of on
 its pages. Its presentation is the sequence of its children's signatures, its content the
 text below it; the importance of a node weighs the entropies of both over the host's pages
 (each divided by the logarithm of the number of pages): a menu that is the same everywhere
-has none, an article that differs from page to page has all of it. Branches of low
-importance below a node of high importance are removed from each page, where at least
-LEAST_PAGES pages hold the node; article and main elements themselves, and plain paragraphs, headings,
-lists and tables in them, never are.
+has none, an article that differs from page to page has all of it. Pages of a host with equal
+trees count once. A branch of low importance, held by at least LEAST_PAGES pages, is removed
+from those pages on which its content repeats (on 2 pages, and a share of REPEATS of the
+host's, at least); what lies below one that repeats stays or goes with it. Never removed are
+article and main elements themselves, plain paragraphs, headings, lists and tables in them,
+and top-level elements that hold over half of the page's text.
 
 Independently of the host, elements that are no article text by tag, role or class are
 removed (navigation, headers and footers outside an article, asides, forms, adverts, notices,
 reader comments, scripts, styles). Where article or main elements hold text, text outside
 them is left out.
 
-The tree is counts of (host, path, presentation, content): sums, so that no task sees a
-host's pages together.
+The tree is counts of (host, path, presentation, content) over different pages: sums, so
+that no task sees a host's pages together.
 
 Defined results: null and empty html give empty text; a null or unreadable url is a host of
 its own; pages cut off anywhere are read as far as they go; each row stands for itself; other
@@ -28,15 +30,22 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
+from collections.abc import Iterable, Mapping, Set
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lantern.llm.batches import map_rows
-from lantern.session import table
+from lantern.session import table, written
 
 LEAST_PAGES = 5
 LOW = 0.35
+#: Share of a host's pages from which a content counts as repeated (2 pages at least).
+REPEATS = 0.01
+#: Characters of low branches, all hosts together, that may be broadcast.
+BROADCAST_CHARS = 1 << 25
 #: Weight of presentation against content in a node's importance.
 PRESENTATION = 0.3
 
@@ -161,12 +170,15 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def styles(source: str | None) -> list[tuple[str, str, str]]:
-    """(path, presentation, content) of a page: for each path the digests of its elements'
-    children and of the text below them."""
+def digest(parts: list[str]) -> str:
+    return hashlib.md5("\x00".join(parts).encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
+def nodes(events: Iterable) -> dict[str, tuple[list[str], list[str]]]:
+    """For each path of a page its elements' children and the text below them."""
     seen: dict[str, tuple[list[str], list[str]]] = {}
     opened: list[Element] = []
-    for what, x in read(source):
+    for what, x in events:
         if what == "open":
             opened.append(x)
         elif what == "text":
@@ -180,12 +192,38 @@ def styles(source: str | None) -> list[tuple[str, str, str]]:
                 style, text = seen.setdefault(x.path, ([], []))
                 style.append(",".join(x.children))
                 text.extend(x.text)
-    short = lambda parts: hashlib.md5("\x00".join(parts).encode("utf-8", "surrogatepass")).hexdigest()[:16]
-    return [(p, short(s), short(t)) for p, (s, t) in seen.items()]
+    return seen
+
+
+def styles(source: str | None) -> list[tuple[str, str, str, str]]:
+    """(page, path, presentation, content) of a page: digests of its whole tree, and for each
+    path of the children and of the text."""
+    rows = [(p, digest(s), digest(t)) for p, (s, t) in nodes(read(source)).items()]
+    page = digest([x for r in rows for x in r])
+    return [(page, *r) for r in rows]
 
 
-def main_text(source: str | None, low: set[str]) -> str:
-    """Text of the page without what the rules and the paths in low remove."""
+def most_text(events: list) -> str | None:
+    """Path of the top-level elements that hold over half of the text that the rules leave."""
+    held: Counter[str] = Counter()
+    opened: list[Element] = []
+    for what, x in events:
+        if what == "open":
+            opened.append(x)
+        elif what == "close":
+            opened.pop()
+        elif not (opened and opened[-1].dropped):
+            held[opened[0].path if opened else ""] += len(" ".join(x.split()))
+    path, n = max(held.items(), key=lambda h: h[1], default=(None, 0))
+    return path if 2 * n > held.total() else None
+
+
+def main_text(source: str | None, low: Mapping[str, Set[str]]) -> str:
+    """Text of the page without what the rules remove, and without the paths in low where
+    their content is one that low has for them."""
+    events = list(read(source))
+    repeated = {p for p, (_, t) in nodes(events).items() if p in low and digest(t) in low[p]} if low else set()
+    largest = most_text(events) if repeated else None
     everything: list[tuple[bool, str]] = []
     block: list[str] = []
     opened: list[Element] = [Element("body", "body", "", False, False)]
@@ -196,7 +234,7 @@ def main_text(source: str | None, low: set[str]) -> str:
                 everything.append((opened[-1].main, t))
             block.clear()
 
-    for what, x in read(source):
+    for what, x in events:
         if what == "text":
             if not opened[-1].dropped:
                 block.append(x)
@@ -207,7 +245,8 @@ def main_text(source: str | None, low: set[str]) -> str:
             block.append(" ")
         if what == "open":
             flow = opened[-1].main and x.sign == x.tag and x.tag not in ("div", "section")
-            x.dropped = x.dropped or opened[-1].dropped or (x.path in low and not flow and x.tag not in ("article", "main"))
+            branch = x.path in repeated and x.path != largest and x.path.rpartition("/")[0] not in repeated
+            x.dropped = x.dropped or opened[-1].dropped or (branch and not flow and x.tag not in ("article", "main"))
             opened.append(x)
         else:
             opened.pop()
@@ -216,11 +255,15 @@ def main_text(source: str | None, low: set[str]) -> str:
     return "\n\n".join(inside or [t for _, t in everything])
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """host, path, pages, importance: the nodes of all hosts' style trees."""
+def style_counts(pages: DataFrame) -> DataFrame:
+    """host, path, style, content, n: different pages of a host with a node so."""
     rows = lambda b: [(host(u), *s) for u, h in zip(b["url"], b["html"]) for s in styles(h)]
-    seen = map_rows(pages.select("url", "html"), rows, "host string, path string, style string, content string", text="html")
-    counts = seen.groupBy("host", "path", "style", "content").agg(F.count(F.lit(1)).alias("n"))
+    seen = map_rows(pages.select("url", "html"), rows, "host string, page string, path string, style string, content string", text="html")
+    return seen.distinct().groupBy("host", "path", "style", "content").agg(F.count(F.lit(1)).alias("n"))
+
+
+def importance(counts: DataFrame) -> DataFrame:
+    """host, path, pages, importance: the nodes of all hosts' style trees."""
     # Entropy of counts c that add up to m: ln m - sum(c ln c) / m.
     def entropy(by: str):
         c = counts.groupBy("host", "path", by).agg(F.sum("n").alias("c"))
@@ -231,20 +274,28 @@ def importance(pages: DataFrame) -> DataFrame:
     return both.select("host", "path", "pages", (PRESENTATION * F.col("h_style") + (1 - PRESENTATION) * F.col("h_content")).alias("importance"))
 
 
-def low_branches(tree: DataFrame) -> DataFrame:
-    """host, low: paths of low importance whose parent's is high (or that have none)."""
-    tree = tree.withColumn("parent", F.regexp_replace("path", r"/[^/]*$", ""))
-    above = tree.select("host", F.col("path").alias("parent"), F.col("importance").alias("above"))
-    low = tree.filter((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES)).join(above, ["host", "parent"], "left")
-    return low.filter((F.coalesce("above", F.lit(1.0)) >= LOW)).groupBy("host").agg(F.collect_list("path").alias("low"))
+def low_branches(counts: DataFrame) -> DataFrame:
+    """host, low: a line for each path of low importance, with the contents that repeat there."""
+    low = importance(counts).filter((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES)).select("host", "path", "pages")
+    often = counts.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).filter("n >= 2")
+    often = often.join(low, ["host", "path"]).filter(F.col("n") >= REPEATS * F.col("pages"))
+    lines = often.groupBy("host", "path").agg(F.concat_ws(" ", "path", F.array_sort(F.collect_list("content"))).alias("line"))
+    return lines.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("low"))
+
+
+@lru_cache(64)
+def parsed(low: str | None) -> dict[str, frozenset[str]]:
+    return {p: frozenset(contents) for p, *contents in (x.split(" ") for x in (low or "").split("\n")) if p}
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text: a row for each row of pages."""
     pages = pages.select("page_id", "url", "html")
     named = pages.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))))
-    with_low = named.join(low_branches(importance(pages)), "host", "left").drop("host")
-    rows = lambda b: [(i, u, main_text(h, set(low or ()))) for i, u, h, low in zip(b["page_id"], b["url"], b["html"], b["low"])]
+    low = written(low_branches(written(style_counts(pages), "styles")), "low")
+    n_chars = low.agg(F.sum(F.length("host") + F.length("low"))).first()[0] or 0
+    with_low = named.join(F.broadcast(low) if n_chars <= BROADCAST_CHARS else low, "host", "left").drop("host")
+    rows = lambda b: [(i, u, main_text(h, parsed(low))) for i, u, h, low in zip(b["page_id"], b["url"], b["html"], b["low"])]
     return map_rows(with_low, rows, "page_id long, url string, text string", text="html")
 
 

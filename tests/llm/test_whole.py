@@ -34,3 +34,16 @@ def test_attributes_are_whole_names():
     assert htmltext.attributes(' id="comments" width="100%" CLASS=a/b hidden') == {"id": "comments", "class": "a/b", "hidden": ""}
     page = '<div style="overflow:hidden"><p>Words <a href="/hidden-valley">of the</a> article</p></div><div id="comments" width="100%">no</div>'
     assert htmltext.main_text(page, {}) == "Words of the article"
+
+
+def test_copies_do_not_empty_a_host(spark):
+    menu = "<div class=top>Home News About</div>"
+    page = lambda i: f"<body><div class=wrap>{menu}<div class=content><p>Article {i} " + " ".join(f"word{i}x{k}" for k in range(9)) + "</p></div></div></body>"
+    html = [page(0)] * 60 + [page(i) for i in range(1, 41)]
+    near = [page(0) + f"<div class=seen>{i}</div>" for i in range(60)] + [page(i) for i in range(1, 41)]
+    rows = [(i, "http://copied.example.com/", h) for i, h in enumerate(html)] + [(1000 + i, "http://near.example.com/", h) for i, h in enumerate(near)]
+    got = {r["page_id"]: r["text"] for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(100):
+        k = max(0, i - 59)
+        assert got[i].startswith(f"Article {k} word{k}x0") and f"Article {k} word{k}x0" in got[1000 + i]
+    assert all("Home" not in got[i] for i in range(100))
