@@ -14,8 +14,8 @@ it: sum of min over sum of max of the two counts of each 5-word shingle.
    every value within 2 bits of each of their blocks, so all pairs within the radius meet.
 3. The exact similarity verifies the pairs.
 
-Words are runs of letters a-z (any case), digits and non-ASCII characters. An item of more
-than PART words is looked for as passages of PART words (the rest makes the last one).
+Words are runs of letters a-z (any case), digits and non-ASCII characters. Items are looked
+for whole, whatever their length.
 
 A join is broadcast only if the smaller side, counted first, has at most BROADCAST_ROWS rows
 (items) or BROADCAST_STARTS windows.
@@ -37,13 +37,13 @@ from lantern.session import table, written
 
 N = 5
 THRESHOLD = 0.8
-PART = 1024
 RADIUS, BLOCKS, WIDTH = 17, 6, 10
 BROADCAST_ROWS = 200_000
 #: Windows (8 bytes each) of the documents that are read again; beyond it texts are dealt out.
 BROADCAST_STARTS = 4_000_000
-#: Bits 0, 15, 30 and 45: four lanes of 15 bits, enough to count PART words.
-LANES = 1 | 1 << 15 | 1 << 30 | 1 << 45
+#: Words up to which four lanes of 15 bits (at bits 0, 15, 30 and 45) count them; two lanes
+#: of 30 bits count more than an array holds.
+SHORT = 1 << 14
 MARKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -61,17 +61,23 @@ def shingles(h: Column, start: Column | int, n: Column, step: Column | int = 1)
     return F.when(n >= N, F.transform(places, lambda i: F.xxhash64(F.slice(h, i + 1, N)))).otherwise(F.array().cast("array<long>"))
 
 
-def fingerprint(h: Column, n: Column) -> Column:
-    """60-bit SimHash of n word hashes: bit b is set if it is in more than half of them."""
-    most = (F.lit((1 << 14) - 1) - F.floor(n / 2)).cast("long") * F.lit(LANES)
+def majorities(h: Column, n: Column, width: int) -> Column:
+    """fingerprint() by sums in lanes of width bits, of at most 1 << width - 1 word hashes."""
+    lanes = sum(1 << k for k in range(0, 60, width))
+    most = (F.lit((1 << width - 1) - 1) - F.floor(n / 2)).cast("long") * F.lit(lanes)
     out = F.lit(0).cast("long")
-    for g in range(15):
-        total = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, g).bitwiseAND(F.lit(LANES)))  # noqa: B023
-        flags = F.shiftrightunsigned((total + most).bitwiseAND(F.lit(LANES << 14)), 14)
+    for g in range(width):
+        total = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, g).bitwiseAND(F.lit(lanes)))  # noqa: B023
+        flags = F.shiftrightunsigned((total + most).bitwiseAND(F.lit(lanes << width - 1)), width - 1)
         out = out.bitwiseOR(F.shiftleft(flags, g))
     return out
 
 
+def fingerprint(h: Column, n: Column) -> Column:
+    """60-bit SimHash of n word hashes: bit b is set if it is in more than half of them."""
+    return F.when(n <= SHORT, majorities(h, n, 15)).otherwise(majorities(h, n, 30))
+
+
 def block(f: Column, j: Column) -> Column:
     return F.call_function("shiftrightunsigned", f, j * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
 
@@ -87,14 +93,12 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """item_id, part, n (words), h (word hashes), sh (shingles), miss, need: a row for each
-    passage that is looked for, written."""
+    """item_id, n (words), h (word hashes), sh (shingles), miss: a row for each item that is
+    looked for, written."""
     h = hashes(words(F.col("text")))
-    whole = benchmark.filter("item_id IS NOT NULL").select("item_id", h.alias("all"))
-    parts = whole.filter(F.size("all") >= N).withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PART).cast("int"))))
-    parts = parts.select("item_id", "part", F.slice("all", F.col("part") * PART + 1, PART).alias("h")).withColumn("n", F.size("h")).filter(F.col("n") >= N)
+    whole = benchmark.filter("item_id IS NOT NULL").select("item_id", h.alias("h")).withColumn("n", F.size("h")).filter(F.col("n") >= N)
     s = F.col("n") - N + 1
-    return written(parts.withColumn("sh", shingles(F.col("h"), 0, F.col("n"))).withColumn("miss", (s - F.ceil(2 * THRESHOLD / (1 + THRESHOLD) * s - 1e-9)).cast("int")), "items")
+    return written(whole.withColumn("sh", shingles(F.col("h"), 0, F.col("n"))).withColumn("miss", (s - F.ceil(2 * THRESHOLD / (1 + THRESHOLD) * s - 1e-9)).cast("int")), "items")
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -109,14 +113,14 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     least = F.ceil(THRESHOLD * (F.col("n") - N + 1) - 1e-9)  # shingles a window must have
     n_rows, n_shingles, step = wanted.agg(F.count(F.lit(1)), F.sum(F.size("sh")), F.min(F.floor(least / (F.col("miss") + 1)))).first()
     step = max(1, int(step or 1))
-    index = wanted.select("item_id", "part", "n", F.greatest(F.lit(1), F.floor(least / step) - F.col("miss")).alias("need"), F.explode(F.array_distinct("sh")).alias("sh"))
+    index = wanted.select("item_id", "n", F.greatest(F.lit(1), F.floor(least / step) - F.col("miss")).alias("need"), F.explode(F.array_distinct("sh")).alias("sh"))
 
     h = hashes(words(F.col("text")))
     grid = docs.select("doc_id", h.alias("h")).filter(F.size("h") >= N).select("doc_id", F.posexplode(shingles(F.col("h"), 0, F.size("h"), step)).alias("i", "sh"))
-    hits = grid.join(small(index, n_shingles or 0), "sh").select("doc_id", "item_id", "part", "n", "need", (F.col("i") * step).alias("at")).distinct()
+    hits = grid.join(small(index, n_shingles or 0), "sh").select("doc_id", "item_id", "n", "need", (F.col("i") * step).alias("at")).distinct()
     # How many of an item's shingles a window that starts at `start` has on the grid.
     starts = hits.withColumn("start", F.explode(F.sequence(F.col("at") - F.col("n") + N, F.col("at"))))
-    starts = starts.groupBy("doc_id", "item_id", "part", "n", "need", "start").agg(F.count(F.lit(1)).alias("k")).filter("k >= need")
+    starts = starts.groupBy("doc_id", "item_id", "n", "need", "start").agg(F.count(F.lit(1)).alias("k")).filter("k >= need")
     starts = starts.select("doc_id", F.struct("n", "start").alias("w")).distinct().groupBy("doc_id").agg(F.collect_list("w").alias("starts"))
     starts = written(starts, "starts")
     n_starts = starts.agg(F.sum(F.size("starts"))).first()[0] or 0
@@ -132,20 +136,20 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     flips = F.array(*[F.lit(x) for x in range(1 << WIDTH) if x.bit_count() <= RADIUS // BLOCKS])
     j = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("j")
-    near = wanted.select("item_id", "part", "n", "sh", fingerprint(F.col("h"), F.col("n")).alias("fi"))
+    near = wanted.select("item_id", "n", "sh", fingerprint(F.col("h"), F.col("n")).alias("fi"))
     near = written(near, "fingerprints")
-    blocks = near.select("item_id", "part", "n", "fi", j).withColumn("flip", F.explode(flips)).select("item_id", "part", "n", "fi", "j", block(F.col("fi"), F.col("j")).bitwiseXOR(F.col("flip")).alias("v"))
+    blocks = near.select("item_id", "n", "fi", j).withColumn("flip", F.explode(flips)).select("item_id", "n", "fi", "j", block(F.col("fi"), F.col("j")).bitwiseXOR(F.col("flip")).alias("v"))
     probes = windows.select("doc_id", "n", "start", "f", j).withColumn("v", block(F.col("f"), F.col("j")))
     variants = sum(math.comb(WIDTH, k) for k in range(RADIUS // BLOCKS + 1)) * BLOCKS
     distance = F.bit_count(F.col("f").bitwiseXOR(F.col("fi")))
     pairs = (
         probes.join(small(blocks, (n_rows or 0) * variants), ["n", "j", "v"])
         .withColumn("distance", distance).filter(F.col("distance") <= RADIUS)
-        .select("doc_id", "n", "start", "item_id", "part", "distance").distinct()
+        .select("doc_id", "n", "start", "item_id", "distance").distinct()
     )
     checked = (
         pairs.join(windows.select("doc_id", "n", "start", "h"), ["doc_id", "n", "start"])
-        .join(small(near.select("item_id", "part", "n", "sh"), n_shingles or 0), ["item_id", "part", "n"])
+        .join(small(near.select("item_id", "n", "sh"), n_shingles or 0), ["item_id", "n"])
         .withColumn("similarity", similarity(shingles(F.col("h"), 0, F.size("h")), F.col("sh")))
         .filter(F.col("similarity") >= THRESHOLD - 1e-12)
     )

@@ -2,7 +2,9 @@
 
 import random
 
-from lantern.llm import htmltext, licenses
+from pyspark.sql import functions as F
+
+from lantern.llm import decontaminate, htmltext, licenses
 
 
 def indexed(texts):
@@ -47,3 +49,20 @@ def test_copies_do_not_empty_a_host(spark):
         k = max(0, i - 59)
         assert got[i].startswith(f"Article {k} word{k}x0") and f"Article {k} word{k}x0" in got[1000 + i]
     assert all("Home" not in got[i] for i in range(100))
+
+
+def test_long_items_are_looked_for_whole(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(3000)}" for _ in range(1029)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + " ".join(words[-5:]) + " after"), (2, " ".join(words))], "doc_id long, text string")
+    assert [(r["doc_id"], r["similarity"]) for r in decontaminate.find(docs, bench).collect()] == [(2, 1.0)]
+
+
+def test_fingerprints_of_any_length(spark):
+    rng = random.Random(4)
+    for n in (7, decontaminate.SHORT, decontaminate.SHORT + 1, 40_000):
+        h = [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
+        want = sum(1 << b for b in range(60) if 2 * sum(x >> b & 1 for x in h) > n)
+        df = spark.createDataFrame([(h,)], "h array<long>")
+        assert df.select(decontaminate.fingerprint(F.col("h"), F.size("h"))).first()[0] == want
