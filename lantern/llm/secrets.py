@@ -1,12 +1,14 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
 
-Candidates are runs of 20 and more characters of the base64 alphabet (with - and _). A run
-of hexadecimal digits alone is of class hex, any other of class base64. A window of 20
-characters slides along the run; the counts of its characters and the sum of c * log2(c)
-over them change by one character in and one out a step, and give the window's Shannon
-entropy. The stretch of windows at or over the class's threshold is a span of kind entropy.
-Allow-listed candidates are suppressed: words and words joined by marks, plain numbers,
-UUIDs, and placeholders. Spans of the fixed patterns always stay.
+Candidates are runs of 20 and more characters of the base64 alphabet (with - and _), cut
+behind each = that is no padding. Parts between slashes that hold a placeholder or are a
+UUID, and words and numbers of more than SHORT characters, are allowed and left out; what
+stands between them is a candidate unless it is words and numbers alone. A window of 20
+characters slides along it; the counts of its characters and the sum of c * log2(c) over
+them change by one character in and one out a step, and give the window's Shannon entropy.
+If some window reaches the threshold of its class (hexadecimal, one case with digits, both
+cases, both with digits), all parts between slashes that the candidate touches, and those
+beside them that are no words, are a span of kind entropy, with their padding. Spans of the fixed patterns always stay.
 
 Defined results: null and empty texts have no spans; each row stands for itself, equal rows
 and equal ids included; positions are code points, ends exclusive; other columns are ignored
@@ -34,41 +36,102 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
-#: Bits per character from which a window counts, by class.
-THRESHOLD = {"hex": 2.8, "base64": 3.9}
-ALLOWED = re.compile(
-    r"(?:[A-Za-z]+[+/=_-]+)*[A-Za-z]*[+/=_-]*"  # words
-    r"|[0-9+/=_-]+"  # numbers
-    r"|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"  # UUIDs
-    r"|.*(?:example|placeholder|changeme|dummy|sample|xxxx).*",
-    re.IGNORECASE | re.ASCII,
-)
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]+(?:={1,2}(?![A-Za-z0-9+/=_-]))?")
+#: Bits per character from which a window counts, by class: at most 1 in 100 random strings
+#: of the class's alphabet has fewer in 20 characters.
+THRESHOLD = {"hex": 2.8, "one case": 3.4, "letters": 3.58, "base64": 3.64}
+#: Characters up to which a word or number can as well be a piece of a random string.
+SHORT = 4
+#: Words also joined by their capitals; of two letters only those that are common in names.
+WORD = re.compile(r"(?:[a-z]++|[A-Z]++|(?:A[nst]|B[ey]|D[bo]|Go|I[dfnopst]|My|No|O[fnrs]|To|U[ips]|[A-Z]{0,5}+[a-z]{2,}+)++[A-Z]{0,5}+)[0-9]{0,4}|[0-9]+")
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|dummy|sample|xxxx", re.IGNORECASE)
 C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
-def high_entropy(s: str, threshold: float) -> Iterator[tuple[int, int]]:
-    """Stretches of s covered by windows with at least threshold bits a character."""
+def windows(s: str) -> Iterator[tuple[int, float]]:
+    """The start and the bits a character of each window of s."""
     counts: dict[str, int] = {}
-    total, start, end = 0.0, -1, -1
+    total = 0.0
     for i, x in enumerate(s):
         c = counts.get(x, 0)
         counts[x] = c + 1
         total += C_LOG_C[c + 1] - C_LOG_C[c]
         if i < WINDOW - 1:
             continue
-        if math.log2(WINDOW) - total / WINDOW >= threshold - 1e-9:
-            if start >= 0 and i - WINDOW + 1 > end:
-                yield start, end
-                start = -1
-            start, end = (i - WINDOW + 1 if start < 0 else start), i + 1
+        yield i - WINDOW + 1, math.log2(WINDOW) - total / WINDOW + 1e-9
         gone = s[i - WINDOW + 1]
         c = counts[gone]
         counts[gone] = c - 1
         total += C_LOG_C[c - 1] - C_LOG_C[c]
+
+
+def high_entropy(s: str, threshold: float) -> Iterator[tuple[int, int]]:
+    """Stretches of s covered by windows with at least threshold bits a character."""
+    start, end = -1, -1
+    for i, bits in windows(s):
+        if bits >= threshold:
+            if start >= 0 and i > end:
+                yield start, end
+                start = -1
+            start, end = (i if start < 0 else start), i + WINDOW
     if start >= 0:
         yield start, end
 
 
+def least(window: str) -> float:
+    """The threshold of the class that a window's characters are of."""
+    if all(x in "0123456789abcdefABCDEF" for x in window):
+        return THRESHOLD["hex"]
+    upper, lower, digit = (any(a <= x <= z for x in window) for a, z in ("AZ", "az", "09"))
+    if upper and lower:
+        return THRESHOLD["base64" if digit else "letters"]
+    return THRESHOLD["one case"] if digit else math.inf
+
+
+def candidates(token: str) -> Iterator[tuple[int, int]]:
+    """Stretches of a token between what is allowed, that are not words and numbers alone."""
+    start, end, random = -1, -1, False
+    for part in re.finditer(r"[^/=]+", token):
+        allowed = UUID.fullmatch(part[0]) or PLACEHOLDER.search(part[0])
+        for m in [part] if allowed else re.finditer(r"[A-Za-z0-9]+", part[0]):
+            word = allowed or WORD.fullmatch(m[0])
+            if word and (allowed or len(m[0]) > SHORT):
+                if random:
+                    yield start, end
+                start, random = -1, False
+                continue
+            a = m.start() + (0 if allowed else part.start())
+            start, end, random = (a if start < 0 else start), a + len(m[0]), random or not word
+    if random:
+        yield start, len(token) if not token[end:].strip("+/=_-") else end
+
+
+def unlike_words(part: str) -> bool:
+    """Whether a part between slashes is neither allowed nor words and numbers alone."""
+    return not (UUID.fullmatch(part) or PLACEHOLDER.search(part)) and any(not WORD.fullmatch(x) for x in re.findall(r"[A-Za-z0-9]+", part))
+
+
+def entropy_spans(token: str) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in candidates(token):
+        s = token[a:b]
+        if len(s) < WINDOW or not any(bits >= THRESHOLD["base64"] or bits >= least(s[i : i + WINDOW]) for i, bits in windows(s)):
+            continue
+        a = token.rfind("/", 0, a) + 1
+        b = len(token) if (k := token.find("/", b)) < 0 else k
+        a = a if token[:a].strip("/") else 0
+        # Parts next to it that are no words belong to it, if too short for a window.
+        while a > 1 and unlike_words(token[(k := token.rfind("/", 0, a - 1) + 1) : a - 1]):
+            a = k
+        while b < len(token) and unlike_words(token[b + 1 : (k := token.find("/", b + 1)) if "/" in token[b + 1 :] else len(token)].rstrip("=")):
+            b = len(token) if "/" not in token[b + 1 :] else k
+        if out and a <= out[-1][1]:
+            a = out.pop()[0]
+        out.append((a, b))
+    return out
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by start and then kind."""
     found = []
@@ -79,11 +142,8 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         found += [("access", *m.span()) for m in ACCESS.finditer(text)]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
-        s = m[0]
-        if s.isalpha() or ALLOWED.fullmatch(s):
-            continue
-        kind = "hex" if all(x in "0123456789abcdefABCDEF" for x in s) else "base64"
-        found += [("entropy", m.start() + a, m.start() + b) for a, b in high_entropy(s, THRESHOLD[kind])]
+        for t in TOKEN.finditer(m[0]):
+            found += [("entropy", m.start() + t.start() + a, m.start() + t.start() + b) for a, b in entropy_spans(t[0])]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

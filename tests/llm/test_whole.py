@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+import string
 
 from pyspark.sql import functions as F
 
-from lantern.llm import decontaminate, htmltext, licenses
+from lantern.llm import decontaminate, htmltext, licenses, secrets
 
 
 def indexed(texts):
@@ -66,3 +67,21 @@ def test_fingerprints_of_any_length(spark):
         want = sum(1 << b for b in range(60) if 2 * sum(x >> b & 1 for x in h) > n)
         df = spark.createDataFrame([(h,)], "h array<long>")
         assert df.select(decontaminate.fingerprint(F.col("h"), F.size("h"))).first()[0] == want
+
+
+def test_random_secrets_of_each_alphabet_go_whole():
+    rng = random.Random(5)
+    upper, lower, digits = string.ascii_uppercase, string.ascii_lowercase, string.digits
+    for alphabet in (upper + lower + digits + "+/", upper + lower + digits + "-_", upper + lower + digits, lower + digits, upper + digits, upper + lower):
+        for n in (20, 32, 40, 64):
+            texts = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(500)]
+            left = sum(secrets.redacted(f"see {t} there", "#") != "see # there" for t in texts)
+            assert left <= (50 if n == 20 else 20), (alphabet, n, left)
+
+
+def test_the_allow_list_is_for_the_token_found():
+    key = "Zx9QwErT5yUiOp2AsDfGh7"
+    found = lambda t: [t[a:b] for k, a, b in secrets.spans(t) if k == "entropy"]
+    assert found(f"/srv/example/{key}") == [key] and found(f"sample={key}==") == [key + "=="]
+    for t in (f"example_{key}", "top-10-restaurants-in-paris-2024", "getElementByIdFromDocument2", "src/components/navigation/header", "550e8400-e29b-41d4-a716-446655440000", "2024/05/12/annual-report-final"):
+        assert not found(t), t
