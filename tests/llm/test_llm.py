@@ -4,6 +4,7 @@ long texts, and columns whose names clash."""
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -188,18 +189,80 @@ def test_toxicity_learns_words_and_prefixes(spark):
 def test_forward_backward_is_the_sum_over_paths():
     import itertools
 
-    from lantern.llm.wordhash import MARKS, Words
-
-    w = Words([b"a b c d", b"e"], MARKS)
     rng = np.random.default_rng(0)
+    first = np.array([0, 4, 4, 5])
     evidence, pairs = rng.normal(size=5), rng.normal(size=(2, 2))
-    p, expected = toxicity.Chain(w).marginals(evidence, pairs)
-    total, toxic = 0.0, np.zeros(4)
+    p, expected = toxicity.Chain(first).marginals(evidence, pairs)
+    total, toxic, steps = 0.0, np.zeros(4), np.zeros((2, 2))
     for path in itertools.product((0, 1), repeat=4):
         s = np.exp(sum(evidence[i] for i in range(4) if path[i]) + sum(pairs[a, b] for a, b in zip(path, path[1:])))
         total += s
         toxic += s * np.array(path)
-    assert p[:4] == pytest.approx(toxic / total) and expected.sum() == pytest.approx(3)
+        for a, b in zip(path, path[1:]):
+            steps[a, b] += s
+    assert p[:4] == pytest.approx(toxic / total) and expected == pytest.approx(steps / total)
+    assert p[4] == pytest.approx(1 / (1 + np.exp(-evidence[4])))
+
+
+def test_forward_backward_is_one_chain_over_the_whole_text():
+    rng = np.random.default_rng(1)
+    lengths = [1, 63, 64, 65, 0, 128, 200, 1000]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    evidence, pairs = rng.normal(size=first[-1]), rng.normal(size=(2, 2)) * 2
+    got, expected = toxicity.Chain(first).marginals(evidence, pairs)
+    m, steps = np.exp(pairs), np.zeros((2, 2))
+    for b, n in zip(first, lengths):
+        o = np.stack([np.ones(n), np.exp(evidence[b : b + n])], axis=1)
+        ahead, behind = np.ones((n, 2)), np.ones((n, 2))
+        for t in range(n):
+            x = (ahead[t - 1] @ m if t else 1) * o[t]
+            ahead[t] = x / x.sum()
+        for t in range(n - 2, -1, -1):
+            x = m @ (o[t + 1] * behind[t + 1])
+            behind[t] = x / x.sum()
+        y = ahead * behind
+        assert got[b : b + n] == pytest.approx(y[:, 1] / y.sum(axis=1))
+        for t in range(1, n):
+            joint = ahead[t - 1][:, None] * m * (o[t] * behind[t])[None]
+            steps += joint / joint.sum()
+    assert expected == pytest.approx(steps)
+
+
+def test_copies_do_not_make_words_toxic(spark):
+    """A toxic text with hundreds of near copies doesn't turn its harmless words toxic."""
+    rng = random.Random(7)
+    texts, toxic = [], []
+    base = prose(999, 80, 100_000).split()
+    for i in range(300):
+        w = prose(i, 60, 300).split() if i % 3 else [*base[: rng.randrange(70, 80)], f"z{i}"]
+        if i % 3 == 0 or i % 6 == 1:
+            w += ["stupid", "loser"]
+        texts.append(" ".join(w))
+        toxic.append(int("stupid" in w))
+    docs = table(spark, [*texts, " ".join(base[:50])])
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.learn(docs, labels)).collect()}
+    assert got[300] < 0.5 and all((got[i] >= 0.5) == (toxic[i] == 1) for i in range(300))
+
+
+def test_toxicity_query(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, prose(i, 40, 300) + (" scum" * rng.randrange(2, 4) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)] + [(200, None, 1), (201, "", 0)]
+    spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r["doc_id"]: r for r in toxicity.op6_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == 202
+    for i, t, y in rows:
+        r = got[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
+        assert not t or r["predicted"] == y
+        assert bool(r["spans"]) == bool(t and y) and all(set(t[x["start"] : x["end"]].split()) == {"scum"} for x in r["spans"])
+    # Rows of the held-out fold do not reach the model, whatever their labels say.
+    flipped = [(i, y if zlib.crc32(str(i).encode()) % 5 else 1 - y) for i, _, y in rows]
+    spark.createDataFrame(flipped, "doc_id long, toxic int").write.mode("overwrite").parquet(str(tmp_path / "labels.parquet"))
+    again = {r["doc_id"]: r["score"] for r in toxicity.op6_toxicity(spark, str(tmp_path)).collect()}
+    assert again == {i: r["score"] for i, r in got.items()}
+    assert toxicity.score(empty(spark), None).count() == 0 and toxicity.learn(empty(spark), spark.createDataFrame([], "doc_id long, toxic int")) is None
 
 
 def test_language(spark):
