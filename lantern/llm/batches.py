@@ -43,13 +43,15 @@ def map_rows(df: DataFrame, function: Callable[[list[dict]], list[tuple] | Itera
     return df.mapInArrow(run, out)
 
 
-#: Rows of a few numbers each that may be broadcast.
-FEW = 2_000_000
+#: Bytes that one broadcast table may take in memory, on the driver and on every executor.
+BROADCAST_BYTES = 16 << 20
 
 
-def counted(df: DataFrame, most: int = FEW) -> DataFrame:
-    """df (a written table of ids or the like), to be broadcast if it has at most `most` rows;
-    Spark deals out both sides of a join with it otherwise."""
+def counted(df: DataFrame) -> DataFrame:
+    """df (a written table of numbers), to be broadcast if it takes at most BROADCAST_BYTES as
+    a hash table (8 bytes a column, and 32 a row); Spark deals out both sides of a join with
+    it otherwise."""
+    most = BROADCAST_BYTES // (8 * len(df.columns) + 32)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 

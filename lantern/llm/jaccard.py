@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from lantern.llm.batches import counted, fold_rows, map_rows
 from lantern.llm.wordhash import SPACE, U, Words, lowered, mixed
 from lantern.plans.components import components
-from lantern.session import table, written
+from lantern.session import released, table, written
 
 SKETCH_BITS = 18
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -137,6 +137,11 @@ def may_link(percent: int) -> Column:
     )
 
 
+def size_class(n: Column, percent: int) -> Column:
+    """Sizes of similar sets are in one class or in neighbouring ones."""
+    return F.floor(F.ln(n.cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
+
+
 def ids_of(pairs: DataFrame) -> DataFrame:
     """doc_id: the documents of pairs, broadcast if they are few."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -153,14 +158,15 @@ def joined(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 def verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole sets are similar enough. bits: doc_id, n and
     bitmap of each set."""
-    pairs = written(pairs.distinct(), "pairs")
-    bits = bits.join(ids_of(pairs), "doc_id", "left_semi")
+    met = written(pairs.distinct(), "pairs")
+    bits = bits.join(ids_of(met), "doc_id", "left_semi")
     def able(r):
         for a, b, na, nb, x, y in zip(*(r[c] for c in ("a", "b", "a_n", "b_n", "a_bits", "b_bits"))):
             most = most_shared(x, na, y, nb)
             if 100 * most >= percent * (na + nb - most):
                 yield a, b
-    pairs = written(map_rows(joined(pairs, bits, "n", "bits"), able, "a long, b long", text="a_bits").distinct(), "pairs")
+    pairs = written(map_rows(joined(met, bits, "n", "bits"), able, "a long, b long", text="a_bits").distinct(), "pairs")
+    released(met)
     ids = ids_of(pairs)
     def rows(b):
         value, first = shingles(b["text"], n)
@@ -168,7 +174,9 @@ def verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, n: int, percent
     sets = map_rows(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), rows, "doc_id long, s array<long>")
     sets = written(sets, "sets")
     both = joined(pairs, sets, "s").withColumn("same", F.size(F.array_intersect("a_s", "b_s")))
-    return both.filter(100 * F.col("same") >= percent * (F.size("a_s") + F.size("b_s") - F.col("same"))).select("a", "b")
+    out = written(both.filter(100 * F.col("same") >= percent * (F.size("a_s") + F.size("b_s") - F.col("same"))).select("a", "b"), "links")
+    released(pairs, sets)
+    return out
 
 
 def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -197,14 +205,16 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     index = sets.filter(known).select(F.col("doc_id").alias("g"), "n", F.posexplode("prefix").alias("pos", "token"))
     index = index.join(counted(again), "token")
     index = written(index.join(leaders.select(F.col("leader").alias("g"), "n"), ["g", "n"], "left_semi").dropDuplicates(["token", "g", "n"]), "index")
+    released(again)
     tokens = index.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "n", "g")).alias("pivot"), F.min("n").alias("low"))
     shared = written(index.join(tokens.filter("k > 1"), "token").drop("k"), "shared")
+    released(index)
 
     # Round one: leaders meet the hash's pivot, members their leader.
     x = shared.select(F.struct("n", "pos").alias("x"), F.struct(F.col("pivot.n").alias("n"), F.col("pivot.pos").alias("pos")).alias("y"), "g", F.col("pivot.g").alias("p"))
     stars = x.filter((F.col("g") != F.col("p")) & may_link(percent)).select(F.least("g", "p").alias("a"), F.greatest("g", "p").alias("b"))
     stars = stars.unionByName(members.filter("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")))
-    links = written(verified(stars, bits, docs, n, percent), "links")
+    links = verified(stars, bits, docs, n, percent)
     found = written(components(links), "found")
 
     # Round two: what meets in a hash or a group across components.
@@ -216,17 +226,26 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     open_rows = shared.filter(most >= F.col("low")).join(spread.withColumnRenamed("leader", "g"), "g").select("token", "g", "n", "pos", "c0", "c1")
     mixed_tokens = open_rows.groupBy("token").agg(F.min("c0").alias("lo"), F.max("c1").alias("hi")).filter("lo <> hi").select("token")
     rows = written(open_rows.join(mixed_tokens, "token", "left_semi"), "open")
+    # The larger of a pair meets the other's size class and the one above, so that rows of a
+    # frequent hash are compared with rows of like size only.
+    x = rows.withColumn("class", size_class(F.col("n"), percent))
+    y = rows.withColumn("class", F.explode(F.array(size_class(F.col("n"), percent), size_class(F.col("n"), percent) + 1)))
     apart = (F.col("x.c0") != F.col("y.c0")) | (F.col("x.c1") != F.col("x.c0")) | (F.col("y.c1") != F.col("y.c0"))
-    across = rows.alias("x").join(rows.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.g") < F.col("y.g")) & apart & may_link(percent))
+    larger = F.struct("x.n", "x.g") > F.struct("y.n", "y.g")
+    across = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.class") == F.col("y.class")) & larger & apart & may_link(percent))
     across = across.select(F.col("x.g").alias("gx"), F.col("y.g").alias("gy")).distinct()
     inside = spread.filter("c0 <> c1").select(F.col("leader").alias("gx"), F.col("leader").alias("gy"))
     gx, gy = label.select(F.col("leader").alias("gx"), F.col("rep").alias("a"), F.col("c").alias("ca")), label.select(F.col("leader").alias("gy"), F.col("rep").alias("b"), F.col("c").alias("cb"))
     rest = across.unionByName(inside).join(gx, "gx").join(gy, "gy").filter("ca <> cb AND a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(verified(rest, bits, docs, n, percent), "links")
-    if not more.isEmpty():
-        found = written(components(links.unionByName(more)), "found")
+    more = verified(rest, bits, docs, n, percent)
 
     reached = labelled(classes.filter("rep IS NOT NULL"), found).select("d1", "d2", F.col("n").alias("size"), "c")
+    if not more.isEmpty():
+        # What round two links are round one's components: its links are theirs.
+        c = lambda end: label.select(F.col("rep").alias(end), F.col("c").alias(f"c_{end}")).distinct()
+        between = more.join(c("a"), "a").join(c("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        further = written(components(between), "found").select(F.col("id").alias("c"), "component")
+        reached = reached.join(further, "c", "left").withColumn("c", F.coalesce("component", "c")).drop("component")
     out = sets.select("doc_id", "n", "d1", "d2").join(reached, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("c", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(known, component).alias("component_id"))
