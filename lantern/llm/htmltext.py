@@ -6,16 +6,17 @@ its pages. Its presentation is the sequence of its children's signatures, its co
 text below it; the importance of a node weighs the entropies of both over the host's pages
 (each divided by the logarithm of the number of pages): a menu that is the same everywhere
 has none, an article that differs from page to page has all of it. Pages of a host with equal
-trees count once. A branch of low importance, held by at least LEAST_PAGES pages, is removed
-from those pages on which its content repeats (on 2 pages, and a share of REPEATS of the
-host's, at least); what lies below one that repeats stays or goes with it. Never removed are
-article and main elements themselves, plain paragraphs, headings, lists and tables in them,
-and top-level elements that hold over half of the page's text.
+trees count once. A branch of low importance is removed from those pages on which its content
+repeats (on 2 pages, and a share of REPEATS of the host's, at least); what lies below one that
+repeats stays or goes with it. Never removed are article and main elements themselves, plain
+paragraphs, headings, lists and tables in them, and branches that hold over half of the
+page's text.
 
 Independently of the host, elements that are no article text by tag, role or class are
 removed (navigation, headers and footers outside an article, asides, forms, adverts, notices,
-reader comments, scripts, styles). Where article or main elements hold text, text outside
-them is left out.
+reader comments, scripts, styles); no class removes an article or main element, or a
+paragraph or heading in one. Where a single article or main element holds a share of SINGLE
+of the text that is left, or several hold SEVERAL, text outside them is left out.
 
 The tree is counts of (host, path, presentation, content) over different pages: sums, so
 that no task sees a host's pages together.
@@ -33,19 +34,20 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Mapping, Set
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lantern.llm.batches import map_rows
 from lantern.session import table, written
 
-LEAST_PAGES = 5
 LOW = 0.35
 #: Share of a host's pages from which a content counts as repeated (2 pages at least).
 REPEATS = 0.01
 #: Characters of low branches, all hosts together, that may be broadcast.
-BROADCAST_CHARS = 1 << 25
+BROADCAST_CHARS = 1 << 23
+#: Share of the text left that a single article or main element, or several, must hold for
+#: the text outside to be left out.
+SINGLE, SEVERAL = 0.25, 0.5
 #: Weight of presentation against content in a node's importance.
 PRESENTATION = 0.3
 
@@ -67,6 +69,8 @@ NAMES = re.compile(
     r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|masthead|site-?header|page-?header|top-?bar|footer|cookies?|consent|gdpr"
     r"|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|respond|disqus\w*|replies|pagination|pager|skip-?link)"
 )
+#: Elements that no class removes inside an article.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 AMBIGUOUS = frozenset(("header",))
 COMPOUND = frozenset("ad ads advert advertisement sidebar comment comments cookie cookies footer nav navbar menu breadcrumb breadcrumbs newsletter sponsored".split())
 
@@ -100,10 +104,10 @@ def by_rule(tag: str, a: dict[str, str], main: bool) -> bool:
     """Whether an element is no article text, whatever its host."""
     if tag in DROPPED or (tag == "header" and not main) or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
-    for name in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
-        if NAMES.fullmatch(name) or (name in AMBIGUOUS and not main) or COMPOUND.intersection(re.split(r"[-_]+", name)) and tag not in ("body", "html", "article", "main"):
-            return True
-    return False
+    if tag in ("body", "html", "article", "main") or (main and tag in PLAIN):
+        return False
+    names = f"{a.get('class', '')} {a.get('id', '')}".lower().split()
+    return any(NAMES.fullmatch(x) or (x in AMBIGUOUS and not main) or COMPOUND.intersection(re.split(r"[-_]+", x)) for x in names)
 
 
 def read(source: str | None):
@@ -203,28 +207,32 @@ def styles(source: str | None) -> list[tuple[str, str, str, str]]:
     return [(page, *r) for r in rows]
 
 
-def most_text(events: list) -> str | None:
-    """Path of the top-level elements that hold over half of the text that the rules leave."""
+def most_text(events: list) -> Set[str]:
+    """Paths whose elements hold over half of the text that the rules leave."""
     held: Counter[str] = Counter()
     opened: list[Element] = []
+    total = 0
     for what, x in events:
         if what == "open":
             opened.append(x)
         elif what == "close":
             opened.pop()
         elif not (opened and opened[-1].dropped):
-            held[opened[0].path if opened else ""] += len(" ".join(x.split()))
-    path, n = max(held.items(), key=lambda h: h[1], default=(None, 0))
-    return path if 2 * n > held.total() else None
+            n = len(" ".join(x.split()))
+            total += n
+            for path in {e.path for e in opened}:
+                held[path] += n
+    return {path for path, n in held.items() if 2 * n > total}
 
 
-def main_text(source: str | None, low: Mapping[str, Set[str]]) -> str:
+def main_text(source: str | None, low: Mapping[str, Set[str] | None]) -> str:
     """Text of the page without what the rules remove, and without the paths in low where
-    their content is one that low has for them."""
+    their content is one that low has for them (None: whatever it is)."""
     events = list(read(source))
-    repeated = {p for p, (_, t) in nodes(events).items() if p in low and digest(t) in low[p]} if low else set()
-    largest = most_text(events) if repeated else None
+    repeated = {p for p, (_, t) in nodes(events).items() if p in low and (low[p] is None or digest(t) in low[p])} if low else set()
+    kept = most_text(events) if repeated else set()
     everything: list[tuple[bool, str]] = []
+    articles = 0
     block: list[str] = []
     opened: list[Element] = [Element("body", "body", "", False, False)]
 
@@ -239,20 +247,25 @@ def main_text(source: str | None, low: Mapping[str, Set[str]]) -> str:
             if not opened[-1].dropped:
                 block.append(x)
             continue
-        if x.tag in BLOCK or x.dropped:
+        if x.tag in BLOCK:
             end_block()
         elif x.tag == "br" and not opened[-1].dropped:
             block.append(" ")
         if what == "open":
+            articles += x.main and not opened[-1].main
             flow = opened[-1].main and x.sign == x.tag and x.tag not in ("div", "section")
-            branch = x.path in repeated and x.path != largest and x.path.rpartition("/")[0] not in repeated
+            branch = x.path in repeated and x.path not in kept and x.path.rpartition("/")[0] not in repeated - kept
             x.dropped = x.dropped or opened[-1].dropped or (branch and not flow and x.tag not in ("article", "main"))
             opened.append(x)
         else:
             opened.pop()
     end_block()
     inside = [t for main, t in everything if main]
-    return "\n\n".join(inside or [t for _, t in everything])
+    whole = [t for _, t in everything]
+    # Several articles that hold the lesser part are teasers beside the text, as is one that
+    # holds little.
+    share = SEVERAL if articles > 1 else SINGLE
+    return "\n\n".join(inside if sum(map(len, inside)) >= share * sum(map(len, whole)) else whole)
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
@@ -275,28 +288,34 @@ def importance(counts: DataFrame) -> DataFrame:
 
 
 def low_branches(counts: DataFrame) -> DataFrame:
-    """host, low: a line for each path of low importance, with the contents that repeat there."""
-    low = importance(counts).filter((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES)).select("host", "path", "pages")
+    """host, path, content: contents that repeat at a path of low importance."""
+    low = importance(counts).filter(F.col("importance") < LOW).select("host", "path", "pages")
     often = counts.groupBy("host", "path", "content").agg(F.sum("n").alias("n")).filter("n >= 2")
-    often = often.join(low, ["host", "path"]).filter(F.col("n") >= REPEATS * F.col("pages"))
-    lines = often.groupBy("host", "path").agg(F.concat_ws(" ", "path", F.array_sort(F.collect_list("content"))).alias("line"))
-    return lines.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("low"))
-
-
-@lru_cache(64)
-def parsed(low: str | None) -> dict[str, frozenset[str]]:
-    return {p: frozenset(contents) for p, *contents in (x.split(" ") for x in (low or "").split("\n")) if p}
+    return often.join(low, ["host", "path"]).filter(F.col("n") >= REPEATS * F.col("pages")).select("host", "path", "content")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text: a row for each row of pages."""
     pages = pages.select("page_id", "url", "html")
-    named = pages.withColumn("host", F.lower(F.coalesce(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit(""))))
     low = written(low_branches(written(style_counts(pages), "styles")), "low")
-    n_chars = low.agg(F.sum(F.length("host") + F.length("low"))).first()[0] or 0
-    with_low = named.join(F.broadcast(low) if n_chars <= BROADCAST_CHARS else low, "host", "left").drop("host")
-    rows = lambda b: [(i, u, main_text(h, parsed(low))) for i, u, h, low in zip(b["page_id"], b["url"], b["html"], b["low"])]
-    return map_rows(with_low, rows, "page_id long, url string, text string", text="html")
+    n_chars = low.agg(F.sum(F.length("host") + F.length("path") + F.length("content"))).first()[0] or 0
+    schema = "page_id long, url string, text string"
+    if n_chars <= BROADCAST_CHARS:
+        by_host: dict[str, dict[str, set[str]]] = {}
+        for r in low.toLocalIterator():
+            by_host.setdefault(r["host"], {}).setdefault(r["path"], set()).add(r["content"])
+        held = pages.sparkSession.sparkContext.broadcast(by_host)
+        rows = lambda b: [(i, u, main_text(h, held.value.get(host(u), {}))) for i, u, h in zip(b["page_id"], b["url"], b["html"])]
+        return map_rows(pages, rows, schema, text="html")
+    # Else each page gets its own low paths, by a hash of the page: no host's list goes with
+    # every page, and pages are not dealt by host.
+    page = F.xxhash64(F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
+    named = pages.withColumn("key", page)
+    rows = lambda b: [(k, host(u), p, c) for k, u, h in zip(b["key"], b["url"], b["html"]) for _, p, _, c in styles(h)]
+    own = map_rows(named.select("key", "url", "html"), rows, "key long, host string, path string, content string", text="html").distinct()
+    own = own.join(low, ["host", "path", "content"]).groupBy("key").agg(F.collect_list("path").alias("low"))
+    rows = lambda b: [(i, u, main_text(h, dict.fromkeys(low or ()))) for i, u, h, low in zip(b["page_id"], b["url"], b["html"], b["low"])]
+    return map_rows(named.join(written(own, "low"), "key", "left").drop("key"), rows, schema, text="html")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
