@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and sliding-window entropy over candidate strings.
 
 Candidates are runs of 20 and more characters of the base64 alphabet (with - and _), cut
-behind each = that is no padding. Parts between slashes that hold a placeholder or are a
+behind each = that is no padding. Parts between slashes that placeholders fill or that are a
 UUID, and words and numbers of more than SHORT characters, are allowed and left out; what
 stands between them is a candidate unless it is words and numbers alone. A window of 20
 characters slides along it; the counts of its characters and the sum of c * log2(c) over
@@ -45,7 +45,7 @@ SHORT = 4
 #: Words also joined by their capitals; of two letters only those that are common in names.
 WORD = re.compile(r"(?:[a-z]++|[A-Z]++|(?:A[nst]|B[ey]|D[bo]|Go|I[dfnopst]|My|No|O[fnrs]|To|U[ips]|[A-Z]{0,5}+[a-z]{2,}+)++[A-Z]{0,5}+)[0-9]{0,4}|[0-9]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-PLACEHOLDER = re.compile(r"example|placeholder|changeme|dummy|sample|xxxx", re.IGNORECASE)
+PLACEHOLDER = re.compile(r"example|placeholder|changeme|dummy|sample|x{4,}+", re.IGNORECASE)
 C_LOG_C = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -89,11 +89,16 @@ def least(window: str) -> float:
     return THRESHOLD["one case"] if digit else math.inf
 
 
+def stands_in(part: str) -> bool:
+    """Whether a part is a UUID, or at least half of its letters and digits are placeholders."""
+    return bool(UUID.fullmatch(part)) or 2 * sum(len(m[0]) for m in PLACEHOLDER.finditer(part)) >= sum(x.isalnum() for x in part)
+
+
 def candidates(token: str) -> Iterator[tuple[int, int]]:
     """Stretches of a token between what is allowed, that are not words and numbers alone."""
     start, end, random = -1, -1, False
     for part in re.finditer(r"[^/=]+", token):
-        allowed = UUID.fullmatch(part[0]) or PLACEHOLDER.search(part[0])
+        allowed = stands_in(part[0])
         for m in [part] if allowed else re.finditer(r"[A-Za-z0-9]+", part[0]):
             word = allowed or WORD.fullmatch(m[0])
             if word and (allowed or len(m[0]) > SHORT):
@@ -109,14 +114,14 @@ def candidates(token: str) -> Iterator[tuple[int, int]]:
 
 def unlike_words(part: str) -> bool:
     """Whether a part between slashes is neither allowed nor words and numbers alone."""
-    return not (UUID.fullmatch(part) or PLACEHOLDER.search(part)) and any(not WORD.fullmatch(x) for x in re.findall(r"[A-Za-z0-9]+", part))
+    return not stands_in(part) and any(not WORD.fullmatch(x) for x in re.findall(r"[A-Za-z0-9]+", part))
 
 
 def entropy_spans(token: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in candidates(token):
         s = token[a:b]
-        if len(s) < WINDOW or not any(bits >= THRESHOLD["base64"] or bits >= least(s[i : i + WINDOW]) for i, bits in windows(s)):
+        if len(s) < WINDOW or not any(bits >= THRESHOLD["base64"] or bits >= THRESHOLD["hex"] and bits >= least(s[i : i + WINDOW]) for i, bits in windows(s)):
             continue
         a = token.rfind("/", 0, a) + 1
         b = len(token) if (k := token.find("/", b)) < 0 else k
