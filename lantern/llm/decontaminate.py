@@ -18,7 +18,7 @@ Words are runs of letters a-z (any case), digits and non-ASCII characters. Items
 for whole, whatever their length.
 
 A join is broadcast only if the smaller side, counted first, has at most BROADCAST_ROWS rows
-(items) or BROADCAST_STARTS windows.
+(items) or BROADCAST_RUNS runs of windows.
 
 Defined results: null and empty texts hold no window; items with fewer than 5 words have no
 shingle and are never found; equal items are found each; documents with one doc_id are
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lantern.llm.batches import counted
 from lantern.session import table, written
@@ -39,8 +39,9 @@ N = 5
 THRESHOLD = 0.8
 RADIUS, BLOCKS, WIDTH = 17, 6, 10
 BROADCAST_ROWS = 200_000
-#: Windows (8 bytes each) of the documents that are read again; beyond it texts are dealt out.
-BROADCAST_STARTS = 4_000_000
+#: Runs of windows (some 40 bytes each) of the documents that are read again; beyond it texts
+#: are dealt out.
+BROADCAST_RUNS = 400_000
 #: Words up to which four lanes of 15 bits (at bits 0, 15, 30 and 45) count them; two lanes
 #: of 30 bits count more than an array holds.
 SHORT = 1 << 14
@@ -118,21 +119,27 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     h = hashes(words(F.col("text")))
     grid = docs.select("doc_id", h.alias("h")).filter(F.size("h") >= N).select("doc_id", F.posexplode(shingles(F.col("h"), 0, F.size("h"), step)).alias("i", "sh"))
     hits = grid.join(small(index, n_shingles or 0), "sh").select("doc_id", "item_id", "n", "need", (F.col("i") * step).alias("at")).distinct()
-    # How many of an item's shingles a window that starts at `start` has on the grid.
-    starts = hits.withColumn("start", F.explode(F.sequence(F.col("at") - F.col("n") + N, F.col("at"))))
-    starts = starts.groupBy("doc_id", "item_id", "n", "need", "start").agg(F.count(F.lit(1)).alias("k")).filter("k >= need")
-    starts = starts.select("doc_id", F.struct("n", "start").alias("w")).distinct().groupBy("doc_id").agg(F.collect_list("w").alias("starts"))
-    starts = written(starts, "starts")
-    n_starts = starts.agg(F.sum(F.size("starts"))).first()[0] or 0
-
-    size = F.size("h")
-    cut = lambda w: F.slice(F.col("h"), F.greatest(w["start"], F.lit(0)) + 1, F.greatest(F.least(w["start"] + w["n"], size) - F.greatest(w["start"], F.lit(0)), F.lit(0)))
+    # How many of an item's shingles a window that starts at `start` has on the grid: each
+    # counts from one start to another, so running sums over both ends tell.
+    ends = F.array(F.struct((F.col("at") - F.col("n") + N).alias("first"), F.lit(1).alias("d")), F.struct((F.col("at") + 1).alias("first"), F.lit(-1).alias("d")))
+    changes = hits.withColumn("end", F.explode(ends)).groupBy("doc_id", "item_id", "n", "need", F.col("end.first").alias("first")).agg(F.sum("end.d").alias("d"))
+    one = Window.partitionBy("doc_id", "item_id").orderBy("first")
+    runs = changes.withColumn("k", F.sum("d").over(one)).withColumn("last", F.lead("first").over(one) - 1).filter("k >= need")
+    runs = runs.select("doc_id", F.struct("n", "first", "last").alias("r")).distinct().groupBy("doc_id").agg(F.collect_list("r").alias("runs"))
+    runs = written(runs, "runs")
+    n_runs = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
+
+    # A document's words are hashed once, and its windows are slices of them.
+    first, stop = lambda w: F.greatest(w["start"], F.lit(0)), lambda w: F.least(w["start"] + w["n"], F.size("h"))
+    cut = lambda x, w, less=0: F.slice(F.col(x), first(w) + 1, F.greatest(stop(w) - first(w) - less, F.lit(0)))
+    starts = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.transform(F.sequence(r["first"], r["last"]), lambda i: F.struct(r["n"].alias("n"), i.alias("start"))))))
     windows = (
-        docs.join(F.broadcast(starts) if n_starts <= BROADCAST_STARTS else starts, "doc_id").select("doc_id", h.alias("h"), "starts")
-        .select("doc_id", F.explode(F.transform("starts", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), cut(w).alias("h")))).alias("w"))
+        docs.join(F.broadcast(runs) if n_runs <= BROADCAST_RUNS else runs, "doc_id").select("doc_id", h.alias("h"), starts.alias("starts"))
+        .withColumn("sh", shingles(F.col("h"), 0, F.size("h")))
+        .select("doc_id", F.explode(F.transform("starts", lambda w: F.struct(w["n"].alias("n"), w["start"].alias("start"), cut("h", w).alias("h"), cut("sh", w, N - 1).alias("sh")))).alias("w"))
         .select("doc_id", "w.*").filter(F.size("h") >= N)
     )
-    windows = written(windows.withColumn("f", fingerprint(F.col("h"), F.size("h"))), "windows")
+    windows = written(windows.withColumn("f", fingerprint(F.col("h"), F.size("h"))).drop("h"), "windows")
 
     flips = F.array(*[F.lit(x) for x in range(1 << WIDTH) if x.bit_count() <= RADIUS // BLOCKS])
     j = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("j")
@@ -148,12 +155,12 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select("doc_id", "n", "start", "item_id", "distance").distinct()
     )
     checked = (
-        pairs.join(windows.select("doc_id", "n", "start", "h"), ["doc_id", "n", "start"])
-        .join(small(near.select("item_id", "n", "sh"), n_shingles or 0), ["item_id", "n"])
-        .withColumn("similarity", similarity(shingles(F.col("h"), 0, F.size("h")), F.col("sh")))
+        pairs.join(windows.select("doc_id", "n", "start", "sh"), ["doc_id", "n", "start"])
+        .join(small(near.select("item_id", "n", F.col("sh").alias("wanted")), n_shingles or 0), ["item_id", "n"])
+        .withColumn("similarity", similarity(F.col("sh"), F.col("wanted")))
         .filter(F.col("similarity") >= THRESHOLD - 1e-12)
     )
-    best = F.min(F.struct((-F.col("similarity")).alias("s"), F.greatest("start", F.lit(0)).alias("start"), "distance", F.size("h").alias("n_words"))).alias("b")
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), F.greatest("start", F.lit(0)).alias("start"), "distance", (F.size("sh") + N - 1).alias("n_words"))).alias("b")
     return checked.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("b.s")).alias("similarity"), "b.distance", F.col("b.start").cast("long").alias("start"), F.col("b.n_words").cast("long").alias("n_words"))
 
 
