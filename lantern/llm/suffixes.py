@@ -15,8 +15,9 @@ repeat can be, and strings are dealt so that equal LENGTH-byte strings meet in o
    sorts the triples at places not divisible by 3, recurses on their names, orders the
    remaining suffixes by their first byte and the next rank, and merges both. Neighbours in
    the suffix array that agree in LENGTH bytes are one string; all but its earliest place are
-   removed. Keys with more than SEGMENTS different segments are dealt anew, each window
-   under its own 128-bit hash, and the earliest window of each found by minima.
+   removed. Keys with more than CROWDED bytes of different segments, which one task shall
+   not hold, are dealt anew, each window under its own 128-bit hash, and the earliest window
+   of each found by minima.
 
 The suffix array is built for each key's segments and not for the corpus as one string: a
 full sort moves 20 bytes and more per suffix through several shuffles a level, many times
@@ -43,7 +44,8 @@ GRAM = 32
 #: Bits of the filters of keys and of segments: 32 MB each. A filter only saves work; one
 #: too full for the input lets more pass, which later steps sort out.
 FILTER_BITS = 28
-SEGMENTS = 20_000
+#: Bytes of different segments of one key up to which a task sorts them.
+CROWDED = 4 << 20
 #: Bytes of segments that are sorted together.
 SORTED = 1 << 20
 #: Bytes of text that are hashed together: small enough for a core's cache.
@@ -259,6 +261,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
     rows = map_columns(docs.select("d", "k", "text"), segments, "m long, c long, d long, k long, p int, q int, r boolean", size=PASS)
     rows = written(rows, "segments")
+    held.destroy()
 
     firsts = rows.groupBy("m", "c").agg(F.min(F.struct("d", "k", "p", "q")).alias("f"), F.count(F.lit(1)).alias("n"), F.max("r").alias("r"))
     firsts = written(firsts, "firsts")
@@ -266,8 +269,8 @@ def removed(docs: DataFrame) -> DataFrame:
     copies = copies.filter((F.col("d") != F.col("fd")) | (F.col("k") != F.col("fk")) | (F.col("p") != F.col("fp")))
     out = copies.select("d", "k", F.col("p").alias("s"), (F.col("q") + LENGTH).alias("e"))
 
-    kinds = firsts.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.max("r").alias("r")).filter("kinds > 1 OR r").drop("r")
-    alike = written(firsts.select("m", "c", "f").join(kinds, "m").select("m", "c", "f.d", "f.k", "f.p", "kinds"), "alike")
+    kinds = firsts.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("f.q") - F.col("f.p") + LENGTH).alias("size"), F.max("r").alias("r")).filter("kinds > 1 OR r").drop("kinds", "r")
+    alike = written(firsts.select("m", "c", "f").join(kinds, "m").select("m", "c", "f.d", "f.k", "f.p", "size"), "alike")
     # The bytes of these alone are read, from the texts. A segment that the filter lets pass
     # by chance is one of the input's too, and changes nothing.
     one = F.col("c").bitwiseXOR(F.col("k")).bitwiseXOR(F.col("d")).bitwiseXOR(F.col("p").cast("long"))
@@ -281,7 +284,8 @@ def removed(docs: DataFrame) -> DataFrame:
 
     strings = map_columns(docs.select("d", "k", "text"), bytes_of, "m long, d long, k long, p int, bytes binary", size=PASS)
     strings = written(strings, "strings")
-    crowded = alike.filter(F.col("kinds") > SEGMENTS).select("m").distinct()
+    sorted_.destroy()
+    crowded = alike.filter(F.col("size") > CROWDED).select("m").distinct()
     some = not crowded.isEmpty()
     lists = strings.join(crowded, "m", "left_anti") if some else strings
     lists = lists.groupBy("m").agg(F.collect_list(F.struct("d", "k", "p", "bytes")).alias("all"))
