@@ -279,7 +279,7 @@ def test_language(spark):
 
 def test_secrets(spark):
     key = "Zx9QwErT5yUiOp2AsDfGh7"
-    texts = [None, "", 'é PASSWORD = "hunter2hunter2"', "token=secret: xyzabcdefghijkl", "AKIA" + "A1" * 8 + " AKIASHORT", "0123456789abcdef0 deadbeef", f"see {key} and {'word' * 10}", "550e8400-e29b-41d4-a716-446655440000", "example_" + key]
+    texts = [None, "", 'é PASSWORD = "hunter2hunter2"', "token=secret: xyzabcdefghijkl", "AKIA" + "A1" * 8 + " AKIASHORT", "0123456789abcdef0 deadbeef", f"see {key} and {'word' * 10}", "550e8400-e29b-41d4-a716-446655440000", "example-xxxx-a1"]
     docs = table(spark, texts)
     got = {r["doc_id"]: [(x["kind"], x["start"], x["end"]) for x in r["spans"]] for r in secrets.scan(docs).collect()}
     def base(t):
@@ -289,6 +289,7 @@ def test_secrets(spark):
     for i, t in enumerate(texts):
         assert [x for x in got[i] if x[0] != "entropy"] == sorted(base(t or ""), key=lambda x: (x[1], secrets.KINDS.index(x[0])))
     assert [x[0] for x in got[6]] == ["entropy"] and not got[7] and not got[8]
+    assert secrets.scan(empty(spark)).count() == 0 and secrets.scan(docs.unionByName(docs)).count() == 2 * len(texts)
     clean = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
     assert clean[2]["text"] == 'é [SECRET]"' and clean[2]["n_chars"] == 11 and clean[0]["text"] is None
 
@@ -339,9 +340,19 @@ def test_suffix_array():
         assert suffixes.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-@pytest.mark.parametrize("crowd", [20_000, 1])
+def test_suffix_queries_of_odd_tables(spark, tmp_path):
+    assert suffixes.deduplicate(empty(spark)).count() == 0
+    text = prose(5, 80, 5000)
+    spark.createDataFrame([(1, text), (2, "x" + text), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, suffixes.op10_suffixes(spark, str(tmp_path)).collect()))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    n = len(text)
+    assert got == [(1, n, 0, 0, sha(text.encode())), (2, n + 1, n, 1, sha(b"x")), (3, 0, 0, 0, sha(b""))]
+
+
+@pytest.mark.parametrize("crowd", [4 << 20, 1])
 def test_repeated_passages(spark, monkeypatch, crowd):
-    monkeypatch.setattr(suffixes, "SEGMENTS", crowd)
+    monkeypatch.setattr(suffixes, "CROWDED", crowd)
     a, b = prose(1, 60, 5000), prose(2, 60, 5000)
     texts = [None, "", a, a, "ü" * 300, "x" * 99, b + " " + a[20:200] + " " + b, "zz " + a[5:160], "ab" * 200, a[:99], "q" + a[:120]]
     got = {r["doc_id"]: r for r in suffixes.deduplicate(table(spark, texts)).collect()}
