@@ -10,12 +10,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lantern.functions import angles, coefficients
+from lantern.functions import angles, coefficients, entropies
 from lantern.graph import Graph, reindex, union
 from lantern.operators import degrees, evaluate, heat, landmarks, laplacian, mail, paths, report, roles, similarity, synthetic
+from lantern.operators.components import largest_component as largest
 from lantern.plans.components import components
 from lantern.session import table
-from lantern.sources import tables
+from lantern.sources import edges as edges_io, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,8 +29,8 @@ RADIUS = 3
 TRADE = """t AS (SELECT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey
     JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2),
 v AS (SELECT n_nationkey::BIGINT AS id FROM nation)"""
-TOP = TRADE + """,
-e AS (SELECT src, dst, weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM t WHERE src % 5 <> 4) WHERE rn <= 1 + src % 3)"""
+EDGES = "\ne AS (SELECT src, dst, weight FROM t)"
+TOP = TRADE + "," + EDGES
 DEGREES = TOP + """,
 d AS (SELECT id, (SELECT count(*) FROM e WHERE src = id) AS n_out, (SELECT count(*) FROM e WHERE dst = id) AS n_in,
     coalesce((SELECT sum(weight) FROM e WHERE src = id), 0)::DOUBLE AS w_out, coalesce((SELECT sum(weight) FROM e WHERE dst = id), 0)::DOUBLE AS w_in FROM v)"""
@@ -77,7 +78,7 @@ def r(x: str, name: str | None = None) -> str:
 
 
 def top(spark: SparkSession, sf_dir: str) -> Graph:
-    return tables.nation_top(spark, sf_dir)
+    return tables.nation_trade(spark, sf_dir)
 
 
 @query("WITH " + TRADE + " SELECT * FROM t")
@@ -203,8 +204,8 @@ def heat_kernel(spark, d):
     return rounded(heat.heat_kernel(top(spark, d), TAUS, ORDER), "psi")
 
 
-UNDIRECTED = heat_sql(24).replace(", v AS (", ", v AS (").replace("\ne AS (SELECT src, dst, weight FROM (", "\ne0 AS (SELECT src, dst, weight FROM (").replace(
-    "WHERE rn <= 1 + src % 3)", "WHERE rn <= 1 + src % 3),\ne AS (SELECT src, dst, max(weight) AS weight FROM (SELECT * FROM e0 UNION ALL SELECT dst, src, weight FROM e0) GROUP BY 1, 2)")
+BOTH = "\ne AS (SELECT src, dst, max(weight) AS weight FROM (SELECT * FROM t UNION ALL SELECT dst, src, weight FROM t) GROUP BY 1, 2)"
+UNDIRECTED = heat_sql(24).replace(EDGES, BOTH)
 
 
 @query(UNDIRECTED + " SELECT source, node, tau, " + r("psi").replace("6)", "5)") + " FROM psi WHERE abs(psi) > 1e-4")
@@ -251,36 +252,78 @@ def heat_embedding_aggregate(spark, d):
     return rounded(heat.embed(top(spark, d), heat.Parameters(size=32, radius=RADIUS, order=ORDER, aggregate=True, log=False)), "value")
 
 
-BACK = (heat_sql() + ANGLE).replace("\ne AS (SELECT src, dst, weight FROM (", "\ne AS (SELECT dst AS src, src AS dst, weight FROM (")
+BACK = (heat_sql() + ANGLE).replace(EDGES, "\ne AS (SELECT dst AS src, src AS dst, weight FROM t)")
+VALUE = " SELECT node, col, " + r("value") + " FROM em"
 
 
-@query(BACK + " SELECT node, col + 16 AS col, " + r("value") + " FROM em")
+@query(f"SELECT * FROM ({heat_sql() + ANGLE + VALUE}) UNION ALL SELECT node, col + 16, value FROM ({BACK + VALUE})")
 def heat_embedding_transpose(spark, d):
-    both = heat.embed(top(spark, d), heat.Parameters(size=32, radius=RADIUS, order=ORDER, transpose=True, log=False))
-    return rounded(both.filter("col >= 16"), "value")
+    return rounded(heat.embed(top(spark, d), heat.Parameters(size=32, radius=RADIUS, order=ORDER, transpose=True, log=False)), "value")
 
 
-@query()
+@query(heat_sql() + ANGLE + PAIRS + ", s AS (SELECT a AS node, col, avg(value) AS value FROM p JOIN em ON b = node GROUP BY 1, 2), f AS (SELECT node, col, " + r("value")
+    + " FROM em UNION ALL SELECT em.node, em.col + 16, round(coalesce(s.value, 0), 6) + 0.0 FROM em LEFT JOIN s ON em.node = s.node AND em.col = s.col) SELECT * FROM f WHERE node % 20 = 0")
+def heat_embedding_selected(spark, d):
+    """The nodes whose id is divisible by 20, on the whole graph."""
+    g = top(spark, d)
+    p = heat.Parameters(size=32, radius=RADIUS, order=ORDER, aggregate=True, log=False)
+    return rounded(heat.embed(g, p, selected=g.nodes.filter("id % 20 = 0")), "value")
+
+
+@query(UNDIRECTED + ANGLE + VALUE)
 def embedding_undirected(spark, d):
     g = top(spark, d)
     return rounded(heat.embed_undirected(Graph.from_edges(g.edges, g.nodes, directed=False), PARAMETERS), "value")
 
 
-@query()
+SCALES = coefficients.legacy_scales(25)
+WAVELETS = "WITH RECURSIVE " + DEGREES.replace(EDGES, BOTH) + f""",
+w AS (SELECT src, dst, weight / sqrt(a.w_out * b.w_out) AS p FROM e JOIN d a ON src = a.id JOIN d b ON dst = b.id),
+x(k, source, node, x) AS (SELECT 0, id, id, 1.0::DOUBLE FROM v UNION ALL SELECT k + 1, source, dst, sum(x * p)::DOUBLE FROM x JOIN w ON node = src WHERE k < 30 GROUP BY k, source, dst),
+tau(tau, t) AS (VALUES (0, {SCALES[0]}::DOUBLE), (1, {SCALES[1]}::DOUBLE)),
+psi AS (SELECT source, node, tau, sum(x * exp(-t) * pow(t, k) / gamma(k + 1)) AS psi FROM x, tau GROUP BY ALL),
+kept AS (SELECT * FROM psi WHERE psi > 1e-4 / 25),
+s AS (SELECT source, tau, i AS t, count(*) AS k, sum(cos(25.0 * i * psi)) AS re, sum(sin(25.0 * i * psi)) AS im FROM kept, range(0, 4) AS q(i) GROUP BY 1, 2, 3)
+SELECT source, tau, t::INT AS t, round((25 - k + re) / 25, 6) + 0.0 AS re, round(im / 25, 6) + 0.0 AS im FROM s"""
+
+
+@query(WAVELETS)
 def embedding_wavelet_2018(spark, d):
     g = top(spark, d)
     g = Graph.from_edges(g.edges, g.nodes, directed=False)
     return rounded(heat.embed_2018(g, list(coefficients.legacy_scales(25)), [float(t) for t in range(0, 100, 25)]), "re", "im")
 
 
-@query()
+# Powers of 1 - L / u, u twice the largest degree, weighed by Poisson(u tau).
+MAGNETIC_HEAT = "WITH RECURSIVE " + MAGNETIC.replace(EDGES, "\ne AS (SELECT src, dst, 1.0 AS weight FROM t)") + """,
+u AS (SELECT 2 * max(d) AS u FROM dm),
+w AS (SELECT col AS src, row AS dst, a * re / u AS pr, a * im / u AS pi FROM ph, u UNION ALL SELECT v.id, v.id, 1 - coalesce(d, 0) / u, 0.0 FROM v LEFT JOIN dm ON dm.id = v.id, u),
+x(k, source, node, xr, xi) AS (SELECT 0, id, id, 1.0::DOUBLE, 0.0::DOUBLE FROM v UNION ALL
+    SELECT k + 1, source, dst, sum(xr * pr - xi * pi)::DOUBLE, sum(xr * pi + xi * pr)::DOUBLE FROM x JOIN w ON node = src WHERE k < 60 GROUP BY k, source, dst),
+z AS (SELECT source, node, sum(xr * p) AS re, sum(xi * p) AS im FROM (SELECT *, exp(k * ln(u * 0.25) - u * 0.25 - lgamma(k + 1)) AS p FROM x, u) GROUP BY 1, 2)
+SELECT source, 0 AS tau, (i - 1)::INT AS t, round((25 - count(*) + sum(exp(-i * im) * cos(i * re))) / 25, 6) + 0.0 AS re, round(sum(exp(-i * im) * sin(i * re)) / 25, 6) + 0.0 AS im
+FROM z, range(1, 3) AS q(i) GROUP BY source, i"""
+
+
+@query(MAGNETIC_HEAT)
 def embedding_magnetic(spark, d):
     g = top(spark, d)
     unit = Graph(g.edges.withColumn("weight", F.lit(1.0)), g.nodes)
-    return rounded(heat.embed_magnetic(unit, [2.0], [1.0, 2.0], order=12), "re", "im")
+    return rounded(heat.embed_magnetic(unit, [0.25], [1.0, 2.0], order=12), "re", "im")
 
 
-@query()
+# Heat over the star's at the same distance; distances are those of STAR below.
+STAR_HEAT = heat_sql() + """,
+b(source, node, h) AS (SELECT id, id, 0 FROM v UNION SELECT source, dst, h + 1 FROM b JOIN e ON node = src WHERE h < 25),
+hops AS (SELECT source, node, min(h)::INT AS hops FROM b GROUP BY 1, 2),
+st AS (SELECT source, node, tau, CASE WHEN hops = 0 THEN CASE WHEN arms < 1 THEN 0 ELSE -t END WHEN branch < 1 THEN
+    ln(1 - (SELECT sum(exp(-t) * pow(t, k) / gamma(k + 1)) FROM range(0, 30) AS q(k) WHERE k < hops)) - (hops - 1) * ln(beta) - ln(arms)
+    ELSE hops * ln(t) - t - ln(gamma(hops + 1)) - (hops - 1) * ln(beta) - ln(arms) END AS star
+    FROM (SELECT source, node, hops, a.n_out AS arms, greatest(a.beta, 1) AS beta, b.n_out AS branch FROM hops JOIN be a ON source = a.id JOIN be b ON node = b.id), tau),
+an AS (SELECT kept.source, kept.node, kept.tau, pi() * exp(ln(psi) - star) / 10 AS angle FROM kept JOIN st ON kept.source = st.source AND kept.node = st.node AND kept.tau = st.tau)""" + ANGLE.replace("\nan AS (SELECT source, node, tau, pi() * least(psi, 1.0) AS angle FROM kept),", "")
+
+
+@query(STAR_HEAT + VALUE)
 def embedding_star_normalised(spark, d):
     return rounded(heat.embed(top(spark, d), heat.Parameters(size=16, radius=RADIUS, order=ORDER, normalise=True)), "value")
 
@@ -395,9 +438,23 @@ def landmark_similarity(spark, d):
 
 @query()
 def landmark_embedding(spark, d):
-    g = top(spark, d)
-    y = landmarks.landmark_embedding(landmarks.similarities(landmarks.bucket_features(g), landmarks.landmarks(g, 8)))
-    return y.select("node", F.size("features").alias("n"))
+    """Values up to the sign of a column; the tests hold their products against the similarities."""
+    return landmarks.embed(top(spark, d), 8)
+
+
+@query(BFS.replace(TOP, DEGREES) + """, hb(source, node, h) AS (SELECT id, id, 0 FROM v UNION SELECT source, src, h + 1 FROM hb JOIN e ON node = dst WHERE h < 2),
+back AS (SELECT source, node, min(h) AS hops FROM hb GROUP BY 1, 2)
+SELECT source AS node, floor(log2(n_out))::INT AS bucket, round(sum(pow(0.1, hops)), 6) + 0.0 AS value FROM hops JOIN d ON node = id WHERE hops <= 2 AND n_out > 0 GROUP BY 1, 2
+UNION ALL SELECT source, floor(log2(n_in))::INT - 1000, round(17 * sum(pow(0.1, hops)), 6) + 0.0 FROM back JOIN d ON node = id WHERE n_in > 0 GROUP BY 1, 2""")
+def degree_buckets_directed(spark, d):
+    return rounded(landmarks.directed_features(top(spark, d)), "value")
+
+
+@query("""WITH a AS (SELECT s_suppkey AS node, s_acctbal - least(min(s_acctbal) OVER (), 0) AS x FROM supplier), b AS (SELECT *, min(x) OVER () AS lo, max(x) OVER () AS hi, min(x) FILTER (x <> 0) OVER () AS least FROM a)
+SELECT node, round(CASE WHEN lo >= 1 THEN x WHEN x = 0 AND hi <> least OR least IS NULL THEN 1 ELSE x / least + CASE WHEN hi = least THEN 1 ELSE 0 END END, 4) + 0.0 AS balance FROM b""")
+def features_at_least_one(spark, d):
+    x = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_acctbal").alias("balance"))
+    return landmarks.at_least_one(x, ["balance"]).select("node", (F.round("balance", 4) + 0.0).alias("balance"))
 
 
 PROFILE = BFS + """, pr AS (SELECT v.id AS node, list_concat(list_resize([0.0::DOUBLE], (n - 1 - len(i))::INT, 0.0::DOUBLE)[:(n - 1 - len(i))::INT], i) || list_concat(list_resize([0.0::DOUBLE], (n - 1 - len(o))::INT, 0.0::DOUBLE)[:(n - 1 - len(o))::INT], o) AS profile
@@ -549,7 +606,7 @@ def reindex_dense(spark, d):
 # Messages made of orders: sender by customer, recipients by supplier, headers as text.
 def messages(spark, d) -> DataFrame:
     orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
-    to = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("s"), "l_suppkey", F.when(F.col("l_suppkey") % 7 == 0, "@").otherwise("@shop.example.com")))), ", ").alias("to"))
+    to = lines.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("'s"), "l_suppkey", F.when(F.col("l_suppkey") % 7 == 0, "@'").otherwise("@shop.example.com'")))), ",\n\t").alias("to"))
     text = F.concat(F.lit("Message-ID: <"), "o_orderkey", F.lit(">\nDate: "), F.col("o_orderdate").cast("string"), F.lit("\nFrom: c"), "o_custkey", F.lit("@mail.example.edu\nTo: "), "to", F.lit("\n\nHello"))
     return orders.join(to, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("path"), text.alias("text"))
 
@@ -560,13 +617,29 @@ def mail_edges(spark, d):
     return mail.edges(mail.parsed(messages(spark, d)))
 
 
-KINDS = ["no-reply@lists.example.com", "j.doe@corp.example.com", "a1b2c3d4@x.org", "prof@cs.some.edu", "clerk@irs.gov", "someone@home.net"]
+# Addresses made of a part's name, brand and size; what they are follows from their text.
+ADDRESS = """a AS (SELECT p_partkey, CASE WHEN p_size > 40 THEN p_partkey || 'x' || p_size || 'q' WHEN p_size > 30 THEN lower(replace(p_name, ' ', '.')) || p_partkey ELSE lower(replace(p_name, ' ', '.')) END || '@' ||
+    CASE p_size % 7 WHEN 0 THEN 'corp.example.com' WHEN 1 THEN 'home.example.net' WHEN 2 THEN 'cs.some.edu' WHEN 3 THEN 'irs.gov' WHEN 4 THEN 'postmaster.example.org' WHEN 5 THEN 'GateOne.example.org' ELSE 'mail.free.example' END AS address FROM part),
+n AS (SELECT *, regexp_replace(address, '@[^@]*$', '') AS name, regexp_extract(address, '[^@]*$') AS dom FROM a),
+c AS (SELECT *, length(name) AS l, len(regexp_extract_all(name, '[a-zÀ-ÿ]')) AS letters, len(regexp_extract_all(name, '[a-zÀ-ÿ.]{3}')) AS threes FROM n),
+k AS (SELECT *, (threes < round_even(0.75 * (l / 3.0), 0) AND letters < 0.9 * l) OR letters < 0.1 * l OR contains(dom, 'newletter') OR contains(dom, 'postmaster') OR contains(lower(dom), 'gateone') AS bot FROM c)"""
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'bot' WHEN 1 THEN 'inside' WHEN 2 THEN 'bot' WHEN 3 THEN 'university' WHEN 4 THEN 'government' ELSE 'private' END AS kind, CASE o_orderkey % 6 WHEN 0 THEN 'bot' WHEN 1 THEN 'inside' WHEN 2 THEN 'bot' ELSE 'external' END AS simple FROM orders")
+@query("WITH " + ADDRESS + """ SELECT p_partkey, address, CASE WHEN bot THEN 'bot' WHEN dom = 'corp.example.com' THEN 'inside' WHEN dom = 'home.example.net' OR contains(dom, 'free.') THEN 'private' WHEN dom LIKE '%.edu' THEN 'university' WHEN dom LIKE '%.gov' THEN 'government' END AS kind,
+    CASE WHEN bot THEN 'bot' WHEN dom = 'corp.example.com' THEN 'inside' ELSE 'external' END AS simple FROM k""")
 def address_kinds(spark, d):
-    a = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return table(spark, d, "orders").select("o_orderkey", mail.kind(a, "corp.example.com").alias("kind"), mail.simple_kind(a, "corp.example.com").alias("simple"))
+    size, name = F.col("p_size"), F.lower(F.replace("p_name", F.lit(" "), F.lit(".")))
+    local = F.when(size > 40, F.concat("p_partkey", F.lit("x"), "p_size", F.lit("q"))).when(size > 30, F.concat(name, "p_partkey")).otherwise(name)
+    ends = ["corp.example.com", "home.example.net", "cs.some.edu", "irs.gov", "postmaster.example.org", "GateOne.example.org", "mail.free.example"]
+    a = table(spark, d, "part").select("p_partkey", F.concat(local, F.lit("@"), F.element_at(F.array(*map(F.lit, ends)), (size % 7 + 1).cast("int"))).alias("address"))
+    a_ = F.col("address")
+    return a.select("p_partkey", "address", mail.kind(a_, ["corp.example.com"], ["home.example.net"], ["free."], ("gateone",)).alias("kind"), mail.simple_kind(a_, ["corp.example.com"], ("gateone",)).alias("simple"))
+
+
+@query("WITH " + ADDRESS + " SELECT count_if(bot::INT + (dom LIKE '%.edu' AND NOT bot)::INT + (dom LIKE '%.gov' AND NOT bot)::INT > 1) = 0 AS ok FROM k")
+def kinds_exclusive(spark, d):
+    k = address_kinds(spark, d)
+    return mail.exclusive(k, *[F.coalesce(F.col("kind") == x, F.lit(False)) for x in ("bot", "inside", "private", "university", "government")])
 
 
 @query("WITH " + TOP + " SELECT src, dst, weight FROM e WHERE src % 2 = 0 AND dst % 2 = 0")
@@ -575,9 +648,102 @@ def subgraph_internal(spark, d):
     return mail.within(g.edges, g.nodes.filter("id % 2 = 0"))
 
 
-@query("WITH RECURSIVE s AS (SELECT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_quantity >= 49 AND l_orderkey < l_partkey), p AS (SELECT a, b FROM s UNION SELECT b, a FROM s), r(id, c) AS (SELECT a, a FROM p UNION SELECT b, c FROM r JOIN p ON id = a AND c < b) SELECT id, min(c) AS component FROM r GROUP BY 1")
+@query()
 def connected_components(spark, d):
-    return components(table(spark, d, "lineitem").filter("l_quantity >= 49 AND l_orderkey < l_partkey").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b")))
+    """Of all customers and suppliers; the tests hold it against brute force."""
+    g = tables.customer_supplier(spark, d)
+    return components(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
+@query()
+def largest_component(spark, d):
+    return largest(tables.customer_supplier(spark, d)).edges
+
+
+SUPPLY = """WITH RECURSIVE s AS (SELECT DISTINCT o_custkey AS src, l_suppkey + (SELECT max(c_custkey) + 1 FROM customer) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s), v AS (SELECT DISTINCT src AS id FROM e), q AS (SELECT DISTINCT dst AS id FROM s WHERE dst % 20 = 0)"""
+
+
+def supply(spark, d) -> tuple[Graph, DataFrame]:
+    """Customers and suppliers, both ways, and the suppliers whose id is divisible by 20."""
+    g = tables.customer_supplier(spark, d)
+    return Graph.from_edges(g.edges, directed=False), g.edges.select(F.col("dst").alias("id")).filter("id % 20 = 0").distinct()
+
+
+@query(SUPPLY + """, b(source, node, h) AS (SELECT id, id, 0 FROM q UNION SELECT source, dst, h + 1 FROM b JOIN e ON node = src WHERE h < 4)
+SELECT source, node, min(h)::INT AS hops FROM b GROUP BY 1, 2""")
+def bfs_customer_supplier(spark, d):
+    g, sources = supply(spark, d)
+    return paths.hops(g, sources, 4)
+
+
+@query(SUPPLY + """, k AS (SELECT src, count(*) AS k FROM e GROUP BY 1),
+x(k, source, node, x) AS (SELECT 0, id, id, 1.0::DOUBLE FROM q UNION ALL SELECT x.k + 1, source, dst, sum(x / n.k)::DOUBLE FROM x JOIN e ON node = src JOIN k n ON n.src = e.src WHERE x.k < 7 GROUP BY x.k, source, dst)
+SELECT source, node, 0 AS tau, round(sum(x * exp(-1.0) / gamma(k + 1)), 6) + 0.0 AS psi FROM x GROUP BY 1, 2""")
+def heat_customer_supplier(spark, d):
+    g, sources = supply(spark, d)
+    return rounded(heat.heat_kernel(g, [1.0], 8, sources), "psi")
+
+
+@query(heat_sql() + """, c AS (SELECT source AS col, node AS row, psi AS value FROM psi WHERE tau = 0)
+SELECT col, round(avg(CASE WHEN value > 0.05 / 25 THEN -value * ln(value) ELSE -(value + 0.05 / 25) * ln(value + 0.05 / 25) END), 6) AS entropy FROM c GROUP BY 1""")
+def heat_entropy(spark, d):
+    psi = heat.heat_kernel(top(spark, d), TAUS, ORDER).filter("tau = 0").select(F.col("source").alias("col"), F.col("node").alias("row"), F.col("psi").alias("value"))
+    return rounded(entropies.column_entropy(psi, 25), "entropy")
+
+
+@query(heat_sql() + """, c AS (SELECT source AS col, node AS row, psi AS value FROM psi WHERE tau = 0)
+SELECT col, round(sum(pow(value - 0.04, 2)) / 24, 8) AS variance, 0.04::DOUBLE AS mean FROM c WHERE row <> col GROUP BY 1""")
+def heat_variance(spark, d):
+    psi = heat.heat_kernel(top(spark, d), TAUS, ORDER).filter("tau = 0").select(F.col("source").alias("col"), F.col("node").alias("row"), F.col("psi").alias("value"))
+    return entropies.variance_off_diagonal(psi, 25).select("col", F.round("variance", 8).alias("variance"), "mean")
+
+
+@query("SELECT event_id, event_type FROM (SELECT *, lag(event_type) OVER (ORDER BY event_id) AS last FROM events) WHERE last IS NULL OR last <> event_type")
+def change_points(spark, d):
+    return report.changes(table(spark, d, "events").select("event_id", "event_type"), "event_id", "event_type")
+
+
+@query(f"""WITH p AS ({PRED}), c AS (SELECT label, pred, count(*) AS n FROM p GROUP BY 1, 2), a AS (SELECT label, pred, n / sum(n) OVER (PARTITION BY label) AS share FROM c),
+b AS (SELECT pred AS label, label AS pred, n / sum(n) OVER (PARTITION BY pred) AS share FROM c)
+SELECT label, pred, round(coalesce(a.share, 0) - coalesce(b.share, 0), 6) + 0.0 AS share FROM a FULL JOIN b USING (label, pred)""")
+def confusion_difference(spark, d):
+    c = evaluate.confusion(predicted(spark, d))
+    return rounded(report.share_difference(c, c.select(F.col("pred").alias("label"), F.col("label").alias("pred"), "n")), "share")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1, 2")
+def report_largest(spark, d):
+    return report.largest_by(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], "o_totalprice")
+
+
+@query("""WITH x AS (SELECT c_acctbal AS x, c_custkey AS y FROM customer), s AS (SELECT sum(sign(a.y - b.y)) AS s FROM x a JOIN x b ON a.x > b.x), n AS (SELECT count(*) AS n FROM x), t AS (SELECT sum(k * (k - 1) / 2) AS t FROM (SELECT count(*) AS k FROM x GROUP BY x))
+SELECT round(s / sqrt((n * (n - 1) / 2 - t) * (n * (n - 1) / 2)), 6) + 0.0 AS tau FROM s, n, t""")
+def kendall_continuous(spark, d):
+    return rounded(similarity.kendall_tau(table(spark, d, "customer"), "c_acctbal", "c_custkey"), "tau")
+
+
+@query(f"WITH p AS ({PRED}) SELECT label FROM p UNION SELECT pred FROM p")
+def labels_unique(spark, d):
+    p = predicted(spark, d)
+    return edges_io.unique_labels(p, p.select(F.col("pred").alias("label")))
+
+
+@query()
+def cluster_information_adjusted(spark, d):
+    return rounded(evaluate.adjusted_information(predicted(spark, d)), "ami")
+
+
+@query()
+def cluster_evaluation(spark, d):
+    return evaluate.evaluate_clusters(embedding_rows(spark, d))
+
+
+@query()
+def heat_differences(spark, d):
+    """Between the heats of the graph and of the reversed one."""
+    g = top(spark, d)
+    return rounded(similarity.heat_changes(heat.heat_kernel(g, TAUS, ORDER), heat.heat_kernel(g.reversed(), TAUS, ORDER), g), "ks", "statistic", "area")
 
 
 @query("SELECT i AS src, (i + 1) % 50 AS dst FROM range(50) AS q(i) UNION ALL SELECT i * 50 // 4, (i * 50 // 4 + 25) % 50 FROM range(2) AS q(i)")
@@ -597,7 +763,7 @@ def diamond_graph(spark, d):
 
 @query()
 def ring_of_motifs(spark, d):
-    return synthetic.ring_of_motifs(spark, ["clique", "star", "wheel", "diamond"], 5, connectors=1)[0]
+    return synthetic.ring_of_motifs(spark, copies=10, connectors=1)[0]
 
 
 @query()
@@ -607,7 +773,14 @@ def preferential_attachment(spark, d):
 
 @query()
 def noise_edges(spark, d):
-    return similarity.noise_edges(top(spark, d), 25, 0.5)
+    g = tables.customer_supplier(spark, d)
+    return similarity.noise_edges(g, int(g.nodes.agg(F.max("id")).first()[0]) + 1, 0.05)
+
+
+@query("WITH " + DEGREES + " SELECT n_out, n_in, w_out, w_in, count(*) AS n FROM d GROUP BY ALL")
+def permuted_degrees(spark, d):
+    """A permuted graph has the same degrees."""
+    return degrees.degrees(similarity.permuted(top(spark, d), 3)[0]).groupBy("n_out", "n_in", "w_out", "w_in").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

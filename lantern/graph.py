@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lantern.session import written
 
@@ -75,17 +75,28 @@ def from_adjacency(a: DataFrame) -> DataFrame:
     return a.select(F.col("id").alias("src"), F.explode("neighbours").alias("x")).select("src", F.col("x.id").alias("dst"), "x.weight")
 
 
+def in_order(df: DataFrame, by: str) -> DataFrame:
+    """df in ranges of column `by`, written: _p the range's number, _i the row's place in it.
+    What a total order needs is then a window inside each range, and figures per range."""
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    d = df.repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("_m", F.monotonically_increasing_id())
+    return written(d.withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"), "ranges")
+
+
+def before(ranged: DataFrame, total: Column) -> DataFrame:
+    """(_p, before, whole): a row per range, the sum of `total` over all ranges before it, and
+    over all of them."""
+    every = Window.partitionBy(F.lit(1))
+    w = every.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy("_p").agg(total.alias("_n"))
+    return sums.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("before"), F.sum("_n").over(every).alias("whole"))
+
+
 def reindex(ids: DataFrame, column: str) -> DataFrame:
     """(column, index): the distinct values in order, numbered from 0. Values are numbered
     inside ranges and the ranges' sizes added up, so no task numbers them all."""
-    spark = ids.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    d = ids.select(column).filter(F.col(column).isNotNull()).distinct().repartitionByRange(parts, column).sortWithinPartitions(column)
-    d = d.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33)).withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    d = written(d, "reindex")
-    sizes = d.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(F.col("_p"), before.alias("before"))  # a row per range
+    d = in_order(ids.select(column).filter(F.col(column).isNotNull()).distinct(), column)
+    sizes = before(d, F.count(F.lit(1)))  # a row per range
     return d.join(F.broadcast(sizes), "_p").select(column, (F.col("before") + F.col("_i")).cast("long").alias("index"))
 
 

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+
+import numpy as np
+from pyspark.sql import DataFrame, functions as F
+
+from lantern.graph import reindex
+from lantern.session import written
 
 
 def confusion(p: DataFrame) -> DataFrame:
@@ -46,6 +52,34 @@ def cluster_scores(p: DataFrame) -> DataFrame:
     )
 
 
+def expected_information(a: np.ndarray, b: np.ndarray) -> float:
+    """Mutual information that two clusterings of these sizes have by chance: for each pair of
+    sizes, the hypergeometric mean of n/N ln(n N / (a b))."""
+    n = int(a.sum())
+    ln = np.cumsum(np.log(np.arange(1, n + 1)))
+    fact = lambda x: np.where(x > 0, ln[np.maximum(x, 1) - 1], 0.0)
+    total = 0.0
+    for x in a.tolist():
+        for y in b.tolist():
+            k = np.arange(max(1, x + y - n), min(x, y) + 1)
+            p = fact(np.array(x)) + fact(np.array(y)) + fact(np.array(n - x)) + fact(np.array(n - y)) - fact(np.array(n)) - fact(k) - fact(x - k) - fact(y - k) - fact(n - x - y + k)
+            total += float((k / n * np.log(n * k / (x * y)) * np.exp(p)).sum())
+    return total
+
+
+def adjusted_information(p: DataFrame) -> DataFrame:
+    """One row, ami: mutual information of (label, pred) less what chance gives, by the mean
+    entropy less the same. Only the classes' sizes come to the driver."""
+    sizes = [np.array([r["n"] for r in p.groupBy(c).agg(F.count(F.lit(1)).alias("n")).collect()], dtype=np.int64) for c in ("label", "pred")]
+    if min(map(len, sizes)) == 0 or max(map(len, sizes)) == 1:
+        return cluster_scores(p).select(F.lit(1.0).alias("ami"))
+    chance = expected_information(*sizes)
+    entropy = sum(-float((s / s.sum() * np.log(s / s.sum())).sum()) for s in sizes) / 2
+    rest = entropy - chance
+    rest = math.copysign(max(abs(rest), 2.0**-52), rest)
+    return cluster_scores(p).select(((F.col("mi") - chance) / rest).alias("ami"))
+
+
 def geometry_scores(x: DataFrame) -> DataFrame:
     """One row: Davies-Bouldin and Calinski-Harabasz of (node, features, label). Long form:
     sums per (label, coordinate)."""
@@ -74,9 +108,12 @@ def standardised(x: DataFrame) -> DataFrame:
 
 
 def folds(labels: DataFrame, n: int, seed: int) -> DataFrame:
-    """(node, label, fold): nodes of each label dealt to n folds in a seeded order."""
-    w = Window.partitionBy("label").orderBy(F.xxhash64("node", F.lit(seed)), "node")
-    return labels.select("node", "label", F.pmod(F.row_number().over(w), F.lit(n)).alias("fold"))
+    """(node, label, fold): nodes of each label dealt to n folds in a seeded order, as evenly
+    as may be. All nodes are numbered by label in ranges, so that no task has a label whole."""
+    key = F.struct("label", F.xxhash64("node", F.lit(seed)).alias("h"), "node")
+    index = written(reindex(labels.select(key.alias("k")), "k").select("k.label", "k.node", "index"), "folds")
+    first = index.groupBy("label").agg(F.min("index").alias("first"))
+    return index.join(F.broadcast(first), "label").select("node", "label", F.pmod(F.col("index") - F.col("first") + 1, F.lit(n)).cast("int").alias("fold"))  # a row a label
 
 
 def _vectors(x: DataFrame) -> DataFrame:
@@ -107,6 +144,48 @@ def classify(x: DataFrame, n_folds: int = 3, repeats: int = 1, seed: int = 113)
     return out
 
 
+def evaluate_clusters(x: DataFrame, k: int | None = None, seed: int = 113) -> DataFrame:
+    """One row of eight scores of k-means on standardised (node, features, label): six of the
+    clusters against the labels, two of the labels' own geometry. Rows without a label are
+    clustered and not scored; k: by default the number of labels."""
+    z = standardised(x).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda v: v["value"]).alias("features"))
+    z = written(z.join(x.select("node", "label"), "node"), "scaled")
+    known = z.filter("label IS NOT NULL")
+    k = k or known.select("label").distinct().count()
+    got = written(cluster(z, k, seed).filter("label IS NOT NULL").select("node", "label", "pred"), "clusters")
+    return cluster_scores(got).join(adjusted_information(got)).join(geometry_scores(known))  # one row each
+
+
+def principal(x: DataFrame, k: int = 2) -> DataFrame:
+    """(node, features): the first k principal components of the standardised features, in
+    place of a plane by neighbours."""
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import vector_to_array
+
+    v = _vectors(x)
+    v = StandardScaler(withMean=True, inputCol="vector", outputCol="z").fit(v).transform(v)
+    return PCA(k=k, inputCol="z", outputCol="pc").fit(v).transform(v).select("node", vector_to_array("pc").alias("features"))
+
+
+def train_and_predict(x: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
+    """(node, label, pred) of test (node, label): multinomial logistic regression on
+    standardised features (node, features), fitted on train (node, label), labels weighted to
+    balance. Labels are any text; there are as many as train has."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer
+
+    v = _vectors(x.select("node", "features"))
+    v = StandardScaler(withMean=True, inputCol="vector", outputCol="z").fit(v).transform(v).select("node", "z")
+    names = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(train)
+    own = names.transform(v.join(train, "node"))
+    size = own.groupBy("y").agg(F.count(F.lit(1)).alias("c"))
+    total, k = own.count(), size.count()
+    own = own.join(F.broadcast(size), "y").withColumn("w", F.lit(float(total)) / (k * F.col("c")))  # a row a label
+    model = LogisticRegression(featuresCol="z", labelCol="y", weightCol="w", family="multinomial", regParam=1.0 / total, elasticNetParam=0.0, standardization=False).fit(own)
+    got = model.transform(v.join(test, "node"))
+    return IndexToString(inputCol="prediction", outputCol="pred", labels=names.labels).transform(got).select("node", "label", "pred")
+
+
 def cluster(x: DataFrame, k: int, seed: int = 113) -> DataFrame:
     """(node, label, pred) by k-means."""
     from pyspark.ml.clustering import KMeans

@@ -103,11 +103,12 @@ def star_normalised(g: Graph, psi: DataFrame, taus: list[float], most: int | Non
     return all_.select("source", "node", "tau", F.exp(F.ln("psi") - star).alias("psi"))
 
 
-def characteristic(x: DataFrame, g: Graph, points: list[float], n_tau: int) -> DataFrame:
+def characteristic(x: DataFrame, g: Graph, points: list[float], n_tau: int, sources: DataFrame | None = None) -> DataFrame:
     """(source, tau, t, re, im): the empirical characteristic function, over all nodes, of
-    the angles x (source, node, tau, angle) of each source; nodes without a row have angle 0."""
+    the angles x (source, node, tau, angle) of each source (by default every node); nodes
+    without a row have angle 0."""
     n = g.nodes.agg(F.count(F.lit(1)).alias("n"))
-    every = g.nodes.select(F.col("id").alias("source"), F.explode(F.sequence(F.lit(0), F.lit(n_tau - 1))).alias("tau"))
+    every = (g.nodes if sources is None else sources).select(F.col("id").alias("source"), F.explode(F.sequence(F.lit(0), F.lit(n_tau - 1))).alias("tau"))
     sums = [F.coalesce(F.sum(f(F.lit(float(t)) * F.col("angle"))), F.lit(0.0)).alias(f"{name}{i}") for i, t in enumerate(points) for name, f in (("c", F.cos), ("s", F.sin))]
     s = x.select("source", "tau", "angle").unionByName(every, allowMissingColumns=True).groupBy("source", "tau").agg(F.count("angle").alias("k"), *sums)
     s = s.join(F.broadcast(n))  # one row
@@ -148,11 +149,23 @@ class Parameters:
             raise ValueError("size is under one column for each part, or radius under 0")
 
 
+def wavelet_preset(n: int, size: int = 100) -> dict:
+    """taus and points of embed_2018() for an undirected graph of n nodes: its two legacy
+    scales, and size / 4 points from 0 to 100."""
+    k = max(1, size // 4)
+    return {"taus": list(coefficients.legacy_scales(n)), "points": coefficients.linspace(0.0, 100.0, k)}
+
+
+def magnetic_preset(size: int = 200) -> dict:
+    """taus, points and q of embed_magnetic(): 10 points, size / 20 scales from 2 to 20."""
+    return {"taus": coefficients.linspace(2.0, 20.0, max(1, size // 20)), "points": coefficients.linspace(1.0, 10.0, 10), "q": 0.02}
+
+
 def to_angle(p: Parameters) -> Column:
-    top = 10.0 if p.normalise else 1.0
-    x = F.least(F.col("psi"), F.lit(top))
-    # The log form is not used on normalised heat.
-    return angles.log_arctan(x, top) if p.log and not p.normalise else angles.linear(x, top)
+    # The log form is not used on normalised heat, and alone needs values up to its top.
+    if p.log and not p.normalise:
+        return angles.log_arctan(F.least(F.col("psi"), F.lit(1.0)), 1.0)
+    return angles.linear(F.col("psi"), 10.0 if p.normalise else 1.0)
 
 
 def neighbour_mean(g: Graph, long: DataFrame) -> DataFrame:
@@ -176,25 +189,30 @@ def columns_of(ecf: DataFrame, p: Parameters, first: int) -> DataFrame:
     return ecf.select(F.col("source").alias("node"), F.explode(pair).alias("x")).select("node", F.col("x.col").cast("int").alias("col"), "x.value")
 
 
-def embed(g: Graph, p: Parameters, kernel=heat_kernel, flat: bool = False) -> DataFrame:
+def embed(g: Graph, p: Parameters, kernel=heat_kernel, flat: bool = False, selected: DataFrame | None = None) -> DataFrame:
     """(node, col, value): structural embedding by heat. Per tau the pairs re, im of each
-    point; then the same on the reversed graph; then the neighbours' mean of it all."""
+    point; then the same on the reversed graph; then the neighbours' mean of it all.
+    selected (id): the nodes wanted; heat then starts from them alone, and their neighbours."""
     width = p.n_tau * 2 * p.n_points
-    out = None
+    out, sources = None, None
+    if selected is not None:
+        near = g.undirected_pairs().join(selected.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
+        sources = written(selected.select("id").unionByName(near).distinct() if p.aggregate else selected.select("id").distinct(), "sources")
     for i, h in enumerate([g, g.reversed()] if p.transpose else [g]):
-        psi = kernel(h, p.taus, p.order)
+        psi = kernel(h, p.taus, p.order, sources)
         psi = threshold(psi, flat_thetas(h) if flat else thetas(h, p.radius))
         if p.normalise:
             psi = star_normalised(h, psi, p.taus)
         x = psi.select("source", "node", "tau", to_angle(p).alias("angle"))
-        long = columns_of(characteristic(x, h, [float(t) for t in range(1, p.n_points + 1)], p.n_tau), p, i * width)
+        long = columns_of(characteristic(x, h, [float(t) for t in range(1, p.n_points + 1)], p.n_tau, sources), p, i * width)
         out = long if out is None else out.unionByName(long)
-    return enhanced(g, out, width * (2 if p.transpose else 1)) if p.aggregate else out
+    out = enhanced(g, out, width * (2 if p.transpose else 1)) if p.aggregate else out
+    return out if selected is None else out.join(selected.select(F.col("id").alias("node")), "node", "left_semi")
 
 
-def embed_undirected(g: Graph, p: Parameters) -> DataFrame:
+def embed_undirected(g: Graph, p: Parameters, selected: DataFrame | None = None) -> DataFrame:
     """The embedding with Chebyshev diffusion on an undirected graph."""
-    return embed(g, p, kernel=heat_kernel_chebyshev)
+    return embed(g, p, heat_kernel_chebyshev, selected=selected)
 
 
 def embed_2018(g: Graph, taus: list[float], points: list[float], order: int = 30) -> DataFrame:

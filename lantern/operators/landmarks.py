@@ -13,15 +13,66 @@ from lantern.operators.paths import hops
 from lantern.session import written
 
 
-def bucket_features(g: Graph, depth: int = 2, alpha: float = 0.1) -> DataFrame:
+#: Fixed value: weight of in-degree features beside those by out-degree.
+IN_WEIGHT = 17.0
+
+
+def degree_features(g: Graph, weighted: bool = False) -> DataFrame:
+    """(node, degree, out, in): counts of edges, or their weights' sums."""
+    c = "w" if weighted else "n"
+    d = degrees(g)
+    return d.select(F.col("id").alias("node"), (F.col(f"{c}_out") + F.col(f"{c}_in")).cast("double").alias("degree"), F.col(f"{c}_out").cast("double").alias("out"), F.col(f"{c}_in").cast("double").alias("in"))
+
+
+def at_least_one(features: DataFrame, names: list[str]) -> DataFrame:
+    """Features made fit for buckets of logarithms: shifted so that none is negative; where
+    some is under 1, divided by the smallest that isn't 0 (and one added if the largest is 1
+    then), zeros made 1."""
+    def bounds(df):
+        return df.agg(*[f(F.col(c)).alias(f"{n}_{c}") for c in names for n, f in (("lo", F.min), ("hi", F.max), ("least", lambda x: F.min(F.when(x != 0, x))))])
+    df = features
+    low = df.agg(*[F.min(c).alias(f"min_{c}") for c in names])
+    df = df.join(F.broadcast(low)).select("node", *[(F.col(c) - F.least(F.col(f"min_{c}"), F.lit(0.0))).alias(c) for c in names])  # one row
+    df = df.join(F.broadcast(bounds(df)))  # one row
+    def scaled(c):
+        x = F.col(c) / F.col(f"least_{c}") + F.when(F.col(f"hi_{c}") == F.col(f"least_{c}"), 1.0).otherwise(0.0)
+        return F.when(F.col(f"lo_{c}") >= 1, F.col(c)).otherwise(F.when((F.col(c) == 0) & (F.col(f"hi_{c}") != F.col(f"least_{c}")) | F.col(f"least_{c}").isNull(), 1.0).otherwise(x)).alias(c)
+    return df.select("node", *map(scaled, names))
+
+
+def bucket_features(g: Graph, depth: int = 2, alpha: float = 0.1, selected: DataFrame | None = None) -> DataFrame:
     """(node, bucket, value): for the nodes k hops away (0 to depth), alpha^k for each in the
-    bucket floor(log2(degree)) of its out-degree; nodes of degree 0 count nowhere."""
+    bucket floor(log2(degree)) of its out-degree; nodes of degree 0 count nowhere. selected
+    (id): the nodes wanted."""
     d = degrees(g).select(F.col("id").alias("other"), F.col("n_out")).filter("n_out > 0")
-    near = hops(g, g.nodes, depth).select(F.col("source").alias("node"), F.col("node").alias("other"), "hops")
+    near = hops(g, g.nodes if selected is None else selected.select("id"), depth).select(F.col("source").alias("node"), F.col("node").alias("other"), "hops")
     at = near.join(d, "other").select("node", F.floor(F.log2("n_out")).cast("int").alias("bucket"), F.pow(F.lit(alpha), "hops").alias("w"))
     return at.groupBy("node", "bucket").agg(F.sum("w").alias("value"))
 
 
+def directed_features(g: Graph, depth: int = 2, alpha: float = 0.1, directed: bool = True, selected: DataFrame | None = None) -> DataFrame:
+    """(node, bucket, value): bucket features by out-edges, and behind them (bucket - 1000) those
+    of the reversed graph times IN_WEIGHT; undirected graphs have theirs twice."""
+    out = written(bucket_features(g, depth, alpha, selected), "buckets")
+    back = bucket_features(g.reversed(), depth, alpha, selected).withColumn("value", F.col("value") * IN_WEIGHT) if directed else out
+    return out.unionByName(back.withColumn("bucket", F.col("bucket") - 1000))
+
+
+def embed(g: Graph, n: int | None = None, depth: int = 2, alpha: float = 0.1, gamma: float = 1.0, directed: bool = True, how: str = "degree", selected: DataFrame | None = None) -> DataFrame:
+    """(node, features): landmark embedding with n landmarks (by default 10 log2 of the number
+    of nodes) of a graph, by features of both directions; of the nodes selected (id) alone."""
+    size = g.nodes.count() if selected is None else selected.count()
+    n = min(n or landmark_count(size), size)
+    f = written(directed_features(g, depth, alpha, directed, selected), "features")
+    part = g if selected is None else Graph(g.edges, selected.select("id"))
+    marks = landmarks(part, n, how)
+    if selected is not None:
+        marks = landmarks(g, g.nodes.count(), how).join(selected.select(F.col("id").alias("node")), "node", "left_semi").limit(n)
+    # A node without features is as near to any other as one whose features are all 0.
+    every = f.unionByName((g.nodes if selected is None else selected).select(F.col("id").alias("node"), F.lit(0).alias("bucket"), F.lit(0.0).alias("value")))
+    return landmark_embedding(written(similarities(every.groupBy("node", "bucket").agg(F.sum("value").alias("value")), marks, gamma), "similar"))
+
+
 def landmarks(g: Graph, n: int, how: str = "degree", seed: int = 0) -> DataFrame:
     """(node): n nodes, those of largest degree (ties by id), a random sample, or one in
     proportion to the degree."""

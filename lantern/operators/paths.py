@@ -9,6 +9,10 @@ from lantern.graph import Graph
 from lantern.session import written
 
 
+#: Levels whose tables are read one by one before they are merged into one.
+MERGED = 4
+
+
 def hops(g: Graph, sources: DataFrame, depth: int | None = None, most: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(source, node, hops) of the nodes within depth. most: nodes with that many out-edges
     or more are reached but not gone beyond, unless they are the source. targets (source,
@@ -30,6 +34,8 @@ def hops(g: Graph, sources: DataFrame, depth: int | None = None, most: int | Non
         if front.isEmpty():
             break
         parts.append(front)
+        if len(parts) > MERGED:
+            parts = [written(_union(parts), "seen")]
     out = _union(parts)
     return out if targets is None else out.join(targets.select("source", "node").distinct(), ["source", "node"], "left_semi")
 

@@ -12,21 +12,46 @@ from lantern.operators.degrees import degrees
 from lantern.session import written
 
 
+def neighbour_pairs(g: Graph) -> DataFrame:
+    """(a, b, n, w), a < b: neighbours, the number of edges between them and their weights' sum."""
+    e = g.edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "weight")
+    return e.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+
+
+def triangles(pairs: DataFrame) -> DataFrame:
+    """(id, n, w): for each corner of each triangle of neighbours the edges opposite to it.
+    Pairs go from the node with fewer neighbours to the other; a triangle is two pairs from
+    one node and the pair that closes them, so that a hub's neighbours never all meet."""
+    size = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    k = lambda end: size.select(F.col("id").alias(end), F.col("k").alias(f"k_{end}"))
+    p = pairs.join(k("a"), "a").join(k("b"), "b")
+    a, b = F.struct(F.col("k_a").alias("k"), F.col("a").alias("id")), F.struct(F.col("k_b").alias("k"), F.col("b").alias("id"))
+    p = written(p.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), "n", "w"), "oriented")
+    x = p.select("u", F.col("v").alias("v1"), F.col("n").alias("n1"), F.col("w").alias("w1"))
+    y = p.select("u", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("w").alias("w2"))
+    t = x.join(y, "u").filter("v1 < v2").join(p.select(F.col("u").alias("v1"), F.col("v").alias("v2"), "n", "w"), ["v1", "v2"])
+    corner = lambda c, n, w: F.struct(F.col(f"{c}.id").alias("id"), F.col(n).alias("n"), F.col(w).alias("w"))
+    return t.select(F.explode(F.array(corner("u", "n", "w"), corner("v1", "n2", "w2"), corner("v2", "n1", "w1"))).alias("t")).select("t.*")
+
+
 def egonet_features(g: Graph, weights: bool = False) -> DataFrame:
     """id, internal, outgoing, incoming: edges inside a node's egonet (itself and its
-    neighbours of either direction), out of it and into it; with weights, their sums too."""
-    own = g.nodes.select(F.col("id").alias("ego"), F.col("id").alias("member"))
-    member = written(own.unionByName(g.undirected_pairs().select(F.col("a").alias("ego"), F.col("b").alias("member"))), "egonets")
-    e = g.edges
-    at = member.withColumnRenamed("member", "src").join(e, "src").select("ego", "src", "dst", "weight")
-    both = at.join(member.select("ego", F.col("member").alias("dst"), F.lit(1).alias("inside")), ["ego", "dst"], "left")
-    into = member.withColumnRenamed("member", "dst").join(e, "dst").select("ego", "src", "dst", "weight")
-    into = into.join(member.select("ego", F.col("member").alias("src"), F.lit(1).alias("inside")), ["ego", "src"], "left").filter("inside IS NULL")
-    kinds = both.select("ego", "weight", F.when(F.col("inside") == 1, "internal").otherwise("outgoing").alias("kind")).unionByName(into.select("ego", "weight", F.lit("incoming").alias("kind")))
-    names = ("internal", "outgoing", "incoming")
-    sums = [F.count_if(F.col("kind") == k).alias(k) for k in names] + ([F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("weight"))), F.lit(0.0)).alias(f"w_{k}") for k in names] if weights else [])
-    per = kinds.groupBy(F.col("ego").alias("id")).agg(*sums)
-    return g.nodes.join(per, "id", "left").na.fill(0)
+    neighbours of either direction), out of it and into it; with weights, their sums too.
+    Inside are a node's own edges and, by triangles, those between its neighbours; what leaves
+    or enters is what the members' degrees leave of it."""
+    e = Graph(g.edges.filter("src <> dst"), g.nodes)
+    pairs = written(neighbour_pairs(e), "pairs")
+    own = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("member")), F.struct(F.col("b").alias("id"), F.col("a").alias("member")))).alias("x"), "n", "w").select("x.*", "n", "w")
+    inside = own.select("id", "n", "w").unionByName(triangles(pairs)).groupBy("id").agg(F.sum("n").alias("internal"), F.sum("w").alias("w_internal"))
+    d = written(e.edges.select(F.explode(F.array(
+        F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i"), F.col("weight").alias("wo"), F.lit(0.0).alias("wi")),
+        F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i"), F.lit(0.0).alias("wo"), F.col("weight").alias("wi")),
+    )).alias("x")).select("x.*").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("o", "i", "wo", "wi")]), "ends")
+    members = own.select("id", "member").join(d.withColumnRenamed("id", "member"), "member").drop("member").unionByName(d)
+    ends = members.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("o", "i", "wo", "wi")])
+    all_ = g.nodes.join(inside, "id", "left").join(ends, "id", "left").na.fill(0)
+    out = all_.select("id", "internal", (F.col("o") - F.col("internal")).alias("outgoing"), (F.col("i") - F.col("internal")).alias("incoming"), "w_internal", (F.col("wo") - F.col("w_internal")).alias("w_outgoing"), (F.col("wi") - F.col("w_internal")).alias("w_incoming"))
+    return out if weights else out.select("id", "internal", "outgoing", "incoming")
 
 
 def base_features(g: Graph, weights: bool = False) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from lantern.graph import before, in_order, reindex
 from lantern.session import written
 
 
@@ -40,57 +41,128 @@ def star(spark: SparkSession, arms: int, branch: int, depth: int) -> DataFrame:
     return out
 
 
-# Motifs by size: edges and the role of each node. A clique, a wheel, a star, a ladder, a
-# tree, a directed cycle, a bipartite pair.
-def motif(spark: SparkSession, name: str, n: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(src, dst) and (id, role) of a motif; nodes of one role can be exchanged."""
-    both = lambda e: e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    ids = spark.range
-    if name == "clique":
-        a = ids(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("dst")).filter("src <> dst")
-        return a, ids(n).select("id", F.lit(0).alias("role"))
-    if name == "star":
-        return star(spark, n, 1, 1), ids(n + 1).select("id", (F.col("id") > 0).cast("int").alias("role"))
-    if name == "wheel":
-        rim = ids(n).select((F.col("id") + 1).alias("src"), ((F.col("id") + 1) % n + 1).alias("dst"))
-        return both(rim.unionByName(star(spark, n, 1, 1))), ids(n + 1).select("id", (F.col("id") > 0).cast("int").alias("role"))
-    if name == "cycle":
-        return cycle(spark, n), ids(n).select("id", F.lit(0).alias("role"))
-    if name == "diamond":
-        return diamond(spark, n), ids(n).select("id", F.when(F.col("id") == 0, 0).when(F.col("id") == n - 1, 2).otherwise(1).alias("role"))
-    if name == "tree":
-        size = star_size(2, 2, n)
-        level = F.floor(F.log2(F.col("id") + 1)).cast("int")
-        return star(spark, 2, 2, n), ids(size).select("id", level.alias("role"))
-    if name == "bipartite":
-        a = ids(n).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(n).cast("long"), F.lit(2 * n - 1).cast("long"))).alias("dst"))
-        return a, ids(2 * n).select("id", F.floor(F.col("id") / n).cast("int").alias("role"))
-    raise ValueError(f"no motif {name}")
-
-
-def ring_of_motifs(spark: SparkSession, motifs: list[str], copies: int, gap: int = 5, connectors: int = 0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """((src, dst), (id, role)): a two-way ring with a copy of a motif hung on every gap-th
-    node, `connectors` more two-way edges between random nodes a motif, and role labels."""
-    total = len(motifs) * copies
-    ring = gap * total
-    e = cycle(spark, ring)
-    labels = spark.range(ring).select("id", F.lit("ring").alias("role"))
-    first = ring
-    for m, name in enumerate(motifs):
-        edges, roles = motif(spark, name)
-        size = roles.count()
-        copy = spark.range(copies).withColumnRenamed("id", "c")
-        base = F.lit(first) + F.col("c") * size
-        e = e.unionByName(edges.crossJoin(copy).select((base + F.col("src")).alias("src"), (base + F.col("dst")).alias("dst")))  # a motif's edges by its copies
-        labels = labels.unionByName(roles.crossJoin(copy).select((base + F.col("id")).alias("id"), F.concat(F.lit(name + "_"), F.col("role").cast("string")).alias("role")))
-        hook = copy.select(((F.lit(m * copies) + F.col("c")) * gap).alias("src"), base.cast("long").alias("dst"))
-        e = e.unionByName(hook)
-        first += size * copies
+def random_chords(n: int, k: int, seed: int = 0) -> list[tuple[int, int]]:
+    """k chords of a cycle of n nodes between random nodes that are not neighbours."""
+    import random
+
+    rng, out = random.Random(seed), set()
+    while len(out) < min(k, n * (n - 3)):
+        a, b = rng.randrange(n), rng.randrange(n)
+        if (b - a) % n not in (0, 1, n - 1):
+            out.add((a, b))
+    return sorted(out)
+
+
+def both(e: set[tuple[int, int]]) -> set[tuple[int, int]]:
+    return e | {(b, a) for a, b in e}
+
+
+def clique(nodes: range) -> set[tuple[int, int]]:
+    return {(a, b) for a in nodes for b in nodes if a != b}
+
+
+def round_(nodes: range) -> set[tuple[int, int]]:
+    return {(a, nodes[(i + 1) % len(nodes)]) for i, a in enumerate(nodes)}
+
+
+def turned(e: set[tuple[int, int]], on: bool) -> set[tuple[int, int]]:
+    return {(b, a) for a, b in e} if on else e
+
+
+def motif(name: str, reverse: bool = False) -> tuple[list[tuple[int, int]], list[int]]:
+    """Edges of a motif, or of its counterpart, and the role of each of its nodes; nodes of one
+    role can be exchanged. L: a clique with a tail; C: a ring with two chords; B: two cliques
+    joined by two paths that end in one node, one edge twice; DB: two cliques joined; S: a star; DS:
+    two two-way stars joined; D: a hub's five paths to a sink; PB: two two-way rings with chords
+    joined both ways; W: two wheels joined both ways; U, H: two small graphs given by their edges."""
+    hub = lambda c, leaves: {(c, i) for i in leaves}
+    path = lambda a, b: {(i, i + 1) for i in range(a, b)}
+    twice: set[tuple[int, int]] = set()
+    if name == "L5":
+        e, roles = turned(clique(range(5)) | path(4, 9), reverse), [0, 0, 0, 0, 1, 2, 3, 4, 5, 6]
+    elif name == "C8":
+        e, roles = turned(round_(range(8)), reverse) | {(0, 5), (6, 3)}, list(range(8))
+    elif name == "B5":
+        left = clique(range(5)) | path(3, 7) | {(8, 7), (9, 8)}
+        e, roles = turned(left | clique(range(10, 15)) | {(10, 9)}, reverse), [0, 0, 0, 0, 1, 2, 3, 4, 3, 2, 1, 0, 0, 0, 0]
+        twice = turned({(3, 4)}, reverse)
+    elif name == "DB55":
+        e = clique(range(5)) | clique(range(5, 10)) | {(4, 5)} | ({(5, 4)} if reverse else set())
+        roles = [0, 0, 0, 0, 1, 1, 0, 0, 0, 0] if reverse else [0, 0, 0, 0, 1, 2, 3, 3, 3, 3]
+    elif name == "S5":
+        e, roles = turned(hub(0, range(1, 6)), reverse), [0, 1, 1, 1, 1, 1]
+    elif name == "DS5":
+        e = both(hub(0, range(1, 6)) | hub(6, range(7, 12))) | {(0, 6)} | ({(6, 0)} if reverse else set())
+        roles = [1, *[0] * 5, 1, *[0] * 5] if reverse else [1, *[0] * 5, 2, *[3] * 5]
+    elif name == "D5":
+        e = hub(0, range(1, 6)) | {(i, i + 5) for i in range(1, 6)} | {(i, 11) for i in range(6, 11)}
+        e, roles = (both(e), [0, *[1] * 10, 0]) if reverse else (e, [0, *[1] * 5, *[2] * 5, 3])
+    elif name == "PB5":
+        chords = {(2, 0), (1, 3), (7, 9), (8, 6)}
+        e, roles = both(round_(range(5)) | round_(range(5, 10))) | {(4, 5), (5, 4)} | turned(chords, reverse), [0, 1, 1, 0, 2, 2, 0, 1, 1, 0]
+    elif name == "W5":
+        wheel = lambda c, rim: both(round_(rim)) | hub(c, rim)
+        e = wheel(5, range(5)) | turned(wheel(11, range(6, 11)), reverse) | {(0, 7)} | ({(2, 10)} if reverse else {(10, 2)})
+        roles = [0, 1, 0, 2, 2, 3, 4, 5, 6, 6, 5, 7] if reverse else [0, 1, 2, 3, 4, 5, 1, 2, 3, 4, 0, 5]
+    elif name == "U5":
+        e = both(hub(1, range(2, 7))) | {(2, 3), (3, 4), (4, 5), (5, 6)} | {(1, 0) if reverse else (0, 1)}
+        roles = list(range(7))
+    elif name == "H5":
+        # The edges of both forms.
+        e = {(0, 1), (0, 2), (1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 4), (4, 2), (4, 3)}
+        e, roles = (e if reverse else {(1, 0), (1, 2), (1, 3), (2, 0), (2, 1), (2, 4), (3, 1), (3, 2), (3, 4), (4, 1), (4, 2), (4, 3)}), [0, 1, 1, 2, 2]
+    else:
+        raise ValueError(f"no motif {name}")
+    return sorted([*e, *twice]), roles
+
+
+MOTIFS = ("B5", "C8", "D5", "DB55", "DS5", "H5", "L5", "PB5", "S5", "U5", "W5")
+
+
+def ring_of_motifs(spark: SparkSession, motifs: list[str] = MOTIFS, copies: int = 10, gap: int = 5, connectors: int = 0, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """((src, dst), (id, role, part)): a two-way ring of `gap` nodes for each motif, beside
+    it `copies` of both forms of each motif in a random order, and for each of these
+    `connectors` two-way edges between a random node of it and one of its stretch of the ring
+    (but for the stretch's last). role: main, or motif_form_role; part: the motif's number, -1
+    for the ring."""
+    forms = [(name, back) for name in motifs for back in (True, False)]
+    shapes = {f: motif(*f) for f in forms}
+    total = len(forms) * copies
+    ring = max(gap * total, 10)
+    # Only the motifs' number is on the driver: which form each is, and where it begins.
+    placed = spark.range(total).select((F.col("id") % len(forms)).cast("int").alias("form"), F.xxhash64("id", F.lit(seed)).alias("h"), "id")
+    placed = reindex(placed.select(F.struct("h", "id", "form").alias("k")), "k").select("k.form", F.col("index").alias("part"))
+    sizes = F.array(*[F.lit(len(shapes[f][1])) for f in forms])
+    placed = in_order(placed.withColumn("size", sizes[F.col("form")]), "part")
+    inside = F.sum("size").over(Window.partitionBy("_p").orderBy("_i")) - F.col("size")
+    placed = placed.withColumn("at", inside).join(F.broadcast(before(placed, F.sum("size"))), "_p")  # a row per range
+    placed = written(placed.select("form", "part", "size", (F.lit(ring) + F.col("before") + F.col("at")).alias("base")), "motifs")
+    edge = [(i, a, b) for i, f in enumerate(forms) for a, b in shapes[f][0]]
+    node = [(i, j, f"{f[0]}_{int(f[1])}_{r}") for i, f in enumerate(forms) for j, r in enumerate(shapes[f][1])]
+    edges = placed.join(F.broadcast(spark.createDataFrame(edge, "form int, a long, b long")), "form")  # the motifs' shapes
+    nodes = placed.join(F.broadcast(spark.createDataFrame(node, "form int, j long, role string")), "form")
+    around = cycle(spark, ring)
+    e = around.unionByName(around.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).unionByName(edges.select((F.col("base") + F.col("a")).alias("src"), (F.col("base") + F.col("b")).alias("dst")))
+    labels = spark.range(ring).select("id", F.lit("main").alias("role"), F.lit(-1).cast("long").alias("part"))
+    labels = labels.unionByName(nodes.select((F.col("base") + F.col("j")).alias("id"), "role", "part"))
     if connectors:
-        h = lambda s: F.pmod(F.xxhash64("id", F.lit(seed + s)), F.lit(first))
-        e = e.unionByName(spark.range(connectors * total).select(h(0).alias("src"), h(1).alias("dst")).filter("src <> dst"))
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return e.unionByName(back).distinct(), labels
+        h = lambda s, n: F.pmod(F.xxhash64("part", "c", F.lit(seed + s)), n)
+        c = placed.withColumn("c", F.explode(F.sequence(F.lit(1), F.lit(connectors))))
+        c = c.select((F.col("base") + h(1, F.col("size"))).alias("src"), (F.col("part") * gap + h(2, F.lit(max(gap - 1, 1)))).alias("dst")).distinct()
+        e = e.unionByName(c).unionByName(c.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return e, labels
+
+
+def split_parts(labels: DataFrame, n_train: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training, test and other (node, label) of (id, role, part): of each kind of motif the
+    first n_train parts, the others, and the ring."""
+    kind = F.regexp_replace("role", "_[^_]*$", "")
+    x = labels.filter("part >= 0").withColumn("kind", kind)
+    each = x.select("kind", "part").distinct()
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("part"))  # a row per motif
+    x = written(x.join(each.withColumn("nth", nth), ["kind", "part"]), "parts")
+    pick = lambda df: df.select(F.col("id").alias("node"), F.col("role").alias("label"))
+    return pick(x.filter(F.col("nth") <= n_train)), pick(x.filter(F.col("nth") > n_train)), pick(labels.filter("part < 0"))
 
 
 def preferential(spark: SparkSession, n: int, m: int, seed: int = 0) -> DataFrame:

@@ -58,10 +58,13 @@ def graph(spark: SparkSession, path: str, directed: bool = True, weighted: bool
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
-    """(node, label) of a JSON object {"node": "label"}; null labels are left out."""
-    text = spark.read.text(path, wholetext=True)
-    m = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
-    return text.select(F.explode(m).alias("node", "label")).filter("label IS NOT NULL").select(F.col("node").cast("long").alias("node"), "label")
+    """(node, label) of JSON objects {"node": "label", ...}, over one or many lines (a pair
+    on one of them); null labels are left out."""
+    string = r'"(?:[^"\\]|\\.)*"'
+    pairs = F.regexp_extract_all("value", F.lit(rf"({string})\s*:\s*{string}"), F.lit(0))
+    found = spark.read.text(path).select(F.explode(pairs).alias("p"))
+    m = F.from_json(F.concat(F.lit("{"), "p", F.lit("}")), T.MapType(T.StringType(), T.StringType()))
+    return found.select(F.explode(m).alias("node", "label")).select(F.col("node").cast("long").alias("node"), "label")
 
 
 def roles(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +73,58 @@ def roles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("trim(value) <> ''").select(p[0].cast("long").alias("node"), p[1].alias("label"))
 
 
+def unique_labels(*tables: DataFrame) -> DataFrame:
+    """(label): the distinct labels of training, test and other tables (node, label)."""
+    out = tables[0].select("label")
+    for t in tables[1:]:
+        out = out.unionByName(t.select("label"))
+    return out.distinct()
+
+
+def labelled_graph(spark: SparkSession, edge_path: str, role_path: str, reverse: bool = False) -> tuple[Graph, DataFrame]:
+    """A graph file and its nodes' (node, label) file; the graph's edges turned round on request."""
+    r = roles(spark, role_path)
+    g = Graph.from_edges(edges(spark, edge_path), r.select(F.col("node").alias("id")))
+    return (g.reversed() if reverse else g), r
+
+
+def people(spark: SparkSession, path: str, domain: str) -> DataFrame:
+    """(prefix, role, address) of a CSV file with the header email_prefix, role."""
+    p = spark.read.csv(path, header=True)
+    return p.select(F.col("email_prefix").alias("prefix"), "role", F.concat("email_prefix", F.lit("@" + domain)).alias("address"))
+
+
+def selected(nodes: DataFrame, n: int) -> DataFrame:
+    """nodes (id), if all are among 0 .. n-1; ValueError otherwise."""
+    wrong = nodes.filter((F.col("id") < 0) | (F.col("id") >= n)).limit(5).collect()
+    if wrong:
+        raise ValueError(f"nodes {[r['id'] for r in wrong]} are not among 0 .. {n - 1}")
+    return nodes
+
+
+def node_lookup(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
+    """(name, id) of a tab- or comma-separated file of (name, id) lines, for names (name)."""
+    p = F.split("value", r"\s*,\s*" if file_kind(path) == "csv" else r"\t")
+    return spark.read.text(path).select(p[0].alias("name"), p[1].cast("long").alias("id")).join(names, "name", "left_semi")
+
+
+#: Datasets by name: how their edge lists are to be read.
+CATALOGUE = {
+    "directed": {"directed": True, "weighted": False, "one_based": True},
+    "undirected": {"directed": False, "weighted": False, "one_based": True},
+    "weighted": {"directed": True, "weighted": True, "one_based": True},
+}
+
+
+def dataset(spark: SparkSession, path: str, kind: str, largest: bool = False, **changed) -> Graph:
+    """A local edge list (one-based ids, repeated pairs added up) read as its kind says; with
+    largest, its largest component alone."""
+    from lantern.operators.components import largest_component
+
+    g = graph(spark, path, **{**CATALOGUE[kind], **changed})
+    return largest_component(g) if largest else g
+
+
 def alignment(spark: SparkSession, path: str) -> tuple[DataFrame, int, int]:
     """(g2_node, g1_node) below a line '%n1::n2', and both numbers."""
     lines = spark.read.text(path)

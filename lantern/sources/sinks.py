@@ -42,9 +42,22 @@ def labels(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.create_map(F.col("node").cast("string"), F.col("label"))).alias("value")).write.mode("overwrite").text(path)
 
 
-def results(df: DataFrame, path: str) -> None:
-    """Result records, added to what is there."""
-    df.write.mode("append").json(path)
+def results(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Result records, added to what is there or ('overwrite') in its place."""
+    df.write.mode(mode).json(path)
+
+
+def replay(path: str, size: int, weights: bool, tol: float, masks: dict[int, list[bool]]) -> None:
+    """Parameters of role features and the columns kept at each step, as JSON."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"max_emb_size": size, "use_weights": weights, "prune_tol": tol, "columns2keep": {str(k): v for k, v in masks.items()}}, f)
+
+
+def read_replay(path: str) -> dict:
+    """size, weights, tol and masks, as roles.role_features() takes them."""
+    with open(path, encoding="utf-8") as f:
+        x = json.load(f)
+    return {"size": x["max_emb_size"], "tol": x["prune_tol"], "weights": x["use_weights"], "masks": {int(k): v for k, v in x["columns2keep"].items()}}
 
 
 def parameter_name(prefix: str, parameters: dict | None = None, stamp: bool = False) -> str:

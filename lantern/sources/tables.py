@@ -19,14 +19,6 @@ def nation_trade(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(e, t("nation").select(F.col("n_nationkey").alias("id")))
 
 
-def nation_top(spark: SparkSession, sf_dir: str) -> Graph:
-    """Each nation's one to three heaviest partners; every fifth nation sends nothing."""
-    g = nation_trade(spark, sf_dir)
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    e = g.edges.filter("src % 5 <> 4").withColumn("rn", rank).filter("rn <= 1 + src % 3").drop("rn")
-    return Graph(e, g.nodes)
-
-
 def customer_supplier(spark: SparkSession, sf_dir: str) -> Graph:
     """Customer -> supplier they buy from; suppliers' ids follow the customers'."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")

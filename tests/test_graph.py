@@ -113,3 +113,87 @@ def test_roles_replay_gives_the_same_columns(spark):
     f, masks = roles.role_features(g, 64)
     again, _ = roles.role_features(g, 64, masks=masks)
     assert [x for r in rows(f) for x in r] == pytest.approx([x for r in rows(again) for x in r])
+
+
+def brute_egonets(edges, nodes):
+    out = []
+    for i in nodes:
+        own = {i} | {b for a, b in edges if a == i} | {a for a, b in edges if b == i}
+        out.append((i, sum(a in own and b in own for a, b in edges), sum(a in own and b not in own for a, b in edges), sum(a not in own and b in own for a, b in edges)))
+    return out
+
+
+def test_egonets_by_triangles(spark):
+    import random
+
+    rng = random.Random(0)
+    e = {(a, b) for a, b in ((rng.randrange(25), rng.randrange(25)) for _ in range(90)) if a != b} | {(0, i) for i in range(1, 25)}
+    assert rows(roles.egonet_features(graph(spark, sorted(e), 27))) == brute_egonets(e, range(27))
+
+
+def test_role_step_of_a_path(spark):
+    """A path of three nodes and three isolated ones: means and sums, columns of length 1."""
+    g = graph(spark, [(0, 1), (1, 2)], 6)
+    f = spark.createDataFrame([(n, c, float(v)) for n, x in enumerate([(1, 0), (-1, -1), (2, 2), (0, 0), (0, 0), (0, 0)]) for c, v in enumerate(x)], "node long, col int, value double")
+    want = [[-1, -1, -1, -1], [1.5, 1, 3, 2], [-1, -1, -1, -1], [0] * 4, [0] * 4, [0] * 4]
+    size = [math.sqrt(sum(r[c] ** 2 for r in want)) for c in range(4)]
+    got = {(n, c): v for n, c, v in rows(roles.neighbour_step(g, f, 2))}
+    assert all(got[n, c] == pytest.approx(want[n][c] / size[c]) for n in range(6) for c in range(4))
+
+
+@pytest.mark.parametrize(("arms", "branch", "depth"), [(1, 5, 3), (5, 2, 2), (3, 3, 3)])
+def test_star_normalised_heat_of_stars_is_one(spark, arms, branch, depth):
+    g = Graph.from_edges(synthetic.star(spark, arms, branch, depth), synthetic.star_size(arms, branch, depth))
+    psi = heat.heat_kernel(g, [1.0], 40, g.nodes.filter("id = 0"))
+    got = heat.star_normalised(g, psi, [1.0]).collect()
+    if branch == arms or arms == 1 and depth == 1:
+        assert [r["psi"] for r in got] == pytest.approx([1.0] * len(got))
+    assert len(got) == g.nodes.count() and all(r["psi"] > 0 for r in got)
+
+
+def test_selected_nodes_have_the_same_embedding(spark):
+    g = graph(spark, TAIL, 6)
+    p = heat.Parameters(size=32, radius=3, order=20, aggregate=True)
+    whole = {(n, c): v for n, c, v in rows(heat.embed(g, p))}
+    some = {(n, c): v for n, c, v in rows(heat.embed(g, p, selected=g.nodes.filter("id IN (1, 5)")))}
+    assert some == pytest.approx({k: v for k, v in whole.items() if k[0] in (1, 5)}) and len(some) == 64
+
+
+def test_motifs_and_rings(spark):
+    sizes = {m: (len(synthetic.motif(m)[0]), len(synthetic.motif(m, True)[0])) for m in synthetic.MOTIFS}
+    assert sizes == {"B5": (47, 47), "C8": (10, 10), "D5": (15, 30), "DB55": (41, 42), "DS5": (21, 22), "H5": (12, 12), "L5": (25, 25), "PB5": (26, 26), "S5": (5, 5), "U5": (15, 15), "W5": (32, 32)}
+    e, labels = synthetic.ring_of_motifs(spark)
+    assert (e.count(), labels.count()) == (7350, 3240)
+    train, test, other = synthetic.split_parts(labels, 5)
+    assert (train.count(), test.count(), other.count()) == (1070, 1070, 1100)
+    assert synthetic.ring_of_motifs(spark, connectors=2)[0].count() in range(8100, 8231)
+    # Nodes of one role can be exchanged: they have the same degrees.
+    for m in synthetic.MOTIFS:
+        for back in (False, True):
+            edges, role = synthetic.motif(m, back)
+            deg = [(sum(a == i for a, _ in set(edges)), sum(b == i for _, b in set(edges))) for i in range(len(role))]
+            if m not in ("W5", "H5"):
+                assert len({(r, d) for r, d in zip(role, deg)}) == len(set(role)), (m, back)
+    assert all((b - a) % 20 not in (0, 1, 19) for a, b in synthetic.random_chords(20, 5))
+
+
+def test_components_against_brute_force(spark):
+    import random
+
+    from lantern.operators.components import largest_component, without_isolated
+    from lantern.plans.components import components
+
+    rng = random.Random(1)
+    e = [(i, i + 1) for i in range(100, 180)] + [(500, i) for i in range(501, 560)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+    parent = {}
+    find = lambda x: x if parent.setdefault(x, x) == x else find(parent[x])
+    for a, b in e:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    want = {x: find(x) for a, b in e if a != b for x in (a, b)}
+    assert dict(rows(components(spark.createDataFrame(e, "a long, b long")))) == want
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    g = graph(spark, e, 600)
+    top = largest_component(g)
+    assert top.nodes.count() == 81 and rows(top.edges) == [(i, i + 1, 1.0) for i in range(80)]
+    assert without_isolated(g).nodes.count() == len(want)
