@@ -79,7 +79,7 @@ def test_adjusted_information(spark):
 
 def test_classes_and_clusters_that_lie_apart(spark):
     rng = np.random.default_rng(1)
-    x = [(i, (rng.normal(size=3) + [10 * (i % 3), 0, 5 * (i % 2)]).tolist(), int(i % 3)) for i in range(90)]
+    x = [(i, (rng.normal(size=2) + [10 * (i % 3), 10 * (i % 3 == 1)]).tolist(), int(i % 3)) for i in range(90)]
     df = spark.createDataFrame(x, "node long, features array<double>, label int")
     p = evaluate.classify(df, 3)
     assert p.count() == 90 and evaluate.class_scores(p).first()["accuracy"] > 0.95
