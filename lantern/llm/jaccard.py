@@ -203,7 +203,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     again = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().filter("count > 1").select("token")
     again = written(again, "tokens")
     index = sets.filter(known).select(F.col("doc_id").alias("g"), "n", F.posexplode("prefix").alias("pos", "token"))
-    index = index.join(counted(again), "token")
+    # Dealt out at every size: these hashes grow with the input, and frequent ones are split.
+    index = index.join(again.hint("merge"), "token")
     index = written(index.join(leaders.select(F.col("leader").alias("g"), "n"), ["g", "n"], "left_semi").dropDuplicates(["token", "g", "n"]), "index")
     released(again)
     tokens = index.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "n", "g")).alias("pivot"), F.min("n").alias("low"))
