@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lantern.functions import angles, coefficients, entropies
 from lantern.graph import Graph, reindex, union
-from lantern.operators import degrees, evaluate, heat, landmarks, laplacian, mail, paths, report, roles, similarity, synthetic
+from lantern.operators import degrees, evaluate, heat, landmarks, laplacian, mail, paths, ranks, report, roles, similarity, synthetic
 from lantern.operators.components import largest_component as largest
 from lantern.plans.components import components
 from lantern.session import table
@@ -235,10 +235,14 @@ PARAMETERS = heat.Parameters(size=16, radius=RADIUS, order=ORDER, log=False)
 
 @query(heat_sql() + ANGLE + " SELECT source, tau, t::INT AS t, " + r("re") + ", " + r("im") + " FROM ecf")
 def characteristic_function(spark, d):
+    return rounded(characteristic_values(spark, d), "re", "im")
+
+
+def characteristic_values(spark, d):
     g = top(spark, d)
     psi = heat.threshold(heat.heat_kernel(g, TAUS, ORDER), degrees.thetas(g, RADIUS))
     x = psi.select("source", "node", "tau", angles.linear(F.col("psi")).alias("angle"))
-    return rounded(heat.characteristic(x, g, [1.0, 2.0, 3.0, 4.0], 2), "re", "im")
+    return heat.characteristic(x, g, [1.0, 2.0, 3.0, 4.0], 2)
 
 
 @query(heat_sql() + ANGLE + " SELECT node, col, " + r("value") + " FROM em")
@@ -786,3 +790,40 @@ def permuted_degrees(spark, d):
 @query()
 def graph_permuted(spark, d):
     return similarity.permuted(top(spark, d), 3)[0].edges
+
+
+@query("WITH RECURSIVE " + WALK.replace("UNION ALL SELECT id, id, 1.0 FROM d WHERE w_out <= 0", "") + """,
+x(k, node, x) AS (SELECT 0, id, 1.0::DOUBLE FROM v UNION ALL SELECT k + 1, dst, sum(0.85 * x * p)::DOUBLE FROM x JOIN w ON node = src WHERE k < 20 GROUP BY k, dst)
+SELECT node, round(sum(x) / (SELECT sum(x) FROM x), 6) + 0.0 AS rank FROM x GROUP BY node""")
+def page_rank(spark, d):
+    return rounded(ranks.page_rank(top(spark, d), rounds=20, tol=0.0), "rank")
+
+
+@query("WITH " + TOP + " SELECT id AS node, round(sqrt(coalesce(sum(weight * weight), 0)), 6) + 0.0 AS score FROM v LEFT JOIN e ON dst = id GROUP BY 1")
+def leverage_scores(spark, d):
+    return rounded(ranks.leverage(top(spark, d)), "score")
+
+
+@query(BFS + " SELECT source, r::INT AS radius, node FROM hops, range(1, 4) AS q(r) WHERE hops <= r")
+def egonets_nested(spark, d):
+    g = top(spark, d)
+    return paths.nested_egonets(g, g.nodes, 3)
+
+
+@query("WITH " + TOP + " SELECT src AS row, dst AS col, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY dst)), 6) + 0.0 AS value FROM e")
+def adjacency_normalised(spark, d):
+    cells = top(spark, d).edges.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("value"))
+    return rounded(entropies.normalised(cells, "col", "l2"), "value")
+
+
+@query(heat_sql() + ANGLE + " SELECT source, tau, t::INT AS t, round(atan(im / re), 6) + 0.0 AS angle FROM ecf WHERE abs(re) > 1e-6")
+def characteristic_angle(spark, d):
+    x = characteristic_values(spark, d).filter("abs(re) > 1e-6")
+    return rounded(x.select("source", "tau", "t", entropies.angle(F.col("re"), F.col("im")).alias("angle")), "angle")
+
+
+@query("""SELECT DISTINCT CASE o_orderstatus WHEN 'F' THEN 0 ELSE 1 END AS place, CASE o_orderstatus WHEN 'F' THEN 'Filled' ELSE 'Open' END AS name
+FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice > 100000""")
+def records_processed(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("name"), F.when(F.col("o_totalprice") > 100000, "completed").otherwise("failed").alias("status"))
+    return report.processed(o.distinct(), {"F": "Filled", "O": "Open"}).select("place", "name")

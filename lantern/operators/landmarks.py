@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from lantern.graph import Graph
 from lantern.operators.degrees import degrees
 from lantern.operators.paths import hops
+from lantern.operators.ranks import leverage, page_rank
 from lantern.session import written
 
 
@@ -75,8 +76,12 @@ def embed(g: Graph, n: int | None = None, depth: int = 2, alpha: float = 0.1, ga
 
 def landmarks(g: Graph, n: int, how: str = "degree", seed: int = 0) -> DataFrame:
     """(node): n nodes, those of largest degree (ties by id), a random sample, or one in
-    proportion to the degree."""
-    d = degrees(g).select(F.col("id").alias("node"), (F.col("n_out") + F.col("n_in")).alias("d"))
+    proportion to the degree, or to the leverage or rank of nodes."""
+    if how in ("leverage", "rank"):
+        d = leverage(g).withColumnRenamed("score", "d") if how == "leverage" else page_rank(g).withColumnRenamed("rank", "d")
+        how = "proportional"
+    else:
+        d = degrees(g).select(F.col("id").alias("node"), (F.col("n_out") + F.col("n_in")).alias("d"))
     u = (F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 52)) + 1) / float(1 << 52)
     order = {"degree": [F.desc("d"), "node"], "random": [u, "node"], "proportional": [-F.ln(u) / F.greatest("d", F.lit(1e-9)), "node"]}[how]
     return d.orderBy(*order).limit(n).select("node")

@@ -53,6 +53,11 @@ def egonets(g: Graph, sources: DataFrame, radius: int, direction: str = "out") -
     return hops(e, sources, radius)
 
 
+def nested_egonets(g: Graph, sources: DataFrame, depth: int, direction: str = "out") -> DataFrame:
+    """(source, radius, node): the egonets of every radius from 1 to depth, from one search."""
+    return egonets(g, sources, depth, direction).select("source", F.explode(F.sequence(F.greatest("hops", F.lit(1)), F.lit(depth))).alias("radius"), "node")
+
+
 def layers(g: Graph, sources: DataFrame, depth: int) -> DataFrame:
     """(source, node, hops, parent): the smallest node of the level before that leads there."""
     d = written(hops(g, sources, depth), "hops")

@@ -197,3 +197,27 @@ def test_components_against_brute_force(spark):
     top = largest_component(g)
     assert top.nodes.count() == 81 and rows(top.edges) == [(i, i + 1, 1.0) for i in range(80)]
     assert without_isolated(g).nodes.count() == len(want)
+
+
+def test_page_rank_and_leverage(spark):
+    import numpy as np
+
+    from lantern.operators import landmarks, ranks
+
+    e = [(0, 1, 2.0), (0, 2, 1.0), (1, 2, 1.0), (2, 0, 3.0), (4, 0, 1.0)]  # 3 is alone, nothing leads to 4
+    g = Graph(spark.createDataFrame(e, "src long, dst long, weight double"), spark.range(5))
+    a = np.zeros((5, 5))
+    for s, t, w in e:
+        a[s, t] = w
+    p = np.where(a.sum(1, keepdims=True) > 0, a / np.maximum(a.sum(1, keepdims=True), 1), 0.2)
+    x = np.full(5, 0.2)
+    for _ in range(300):
+        x = 0.85 * x @ p + 0.03
+    got = {r["node"]: r["rank"] for r in ranks.page_rank(g).collect()}
+    assert [got[i] for i in range(5)] == pytest.approx(x.tolist(), abs=1e-5)
+    got = {r["node"]: r["score"] for r in ranks.leverage(g).collect()}
+    assert [got[i] for i in range(5)] == pytest.approx(np.sqrt((a * a).sum(0)).tolist())
+    for how in ("leverage",):
+        assert landmarks.landmarks(g, 3, how).count() == 3
+    empty = Graph(g.edges.limit(0), g.nodes.limit(0))
+    assert ranks.page_rank(empty).count() == 0 and ranks.leverage(empty).count() == 0
