@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from lantern.llm import decontaminate, htmltext, jaccard, language, licenses, media, mixing, secrets, suffixes, toxicity
+from lantern.llm import chats, decontaminate, htmltext, jaccard, language, licenses, media, mixing, negatives, runs, secrets, suffixes, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,10 +13,15 @@ QUERIES = {
     "op8_secrets": secrets.op8_secrets,
     "op9_media": media.op9_media,
     "op10_suffixes": suffixes.op10_suffixes,
+    "op11_chats": chats.op11_chats,
+    "op12_negatives": negatives.op12_negatives,
+    "op13_runs": runs.op13_runs,
 }
 
 SQL = {
     "op1_mixing": mixing.SQL,
     "op2_jaccard": jaccard.SQL,
     "op4_decontaminate": decontaminate.SQL,
+    "op11_chats": chats.SQL,
+    "op12_negatives": negatives.SQL,
 }
