@@ -1,7 +1,7 @@
 """Main text of web pages with a site style tree per host.
 
 Each page is read into its elements; an element's path is the chain of signatures (tag and
-classes) from the body to it. The style tree of a host merges the elements of one path over
+classes) from the body to it, held as a digest of its parent's path and its own signature. The style tree of a host merges the elements of one path over
 its pages. Its presentation is the sequence of its children's signatures, its content the
 text below it; the importance of a node weighs the entropies of both over the host's pages
 (each divided by the logarithm of the number of pages): a menu that is the same everywhere
@@ -21,6 +21,10 @@ of the text that is left, or several hold SEVERAL, text outside them is left out
 The tree is counts of (host, path, presentation, content) over different pages: sums, so
 that no task sees a host's pages together.
 
+Reading takes time in proportion to the page, however deep its elements are nested: paths
+and contents are digests that go on from those of the parent and of the children, and which
+element a tag closes follows from the places of the open ones of each tag.
+
 Defined results: null and empty html give empty text; a null or unreadable url is a host of
 its own; pages cut off anywhere are read as far as they go; each row stands for itself; other
 columns are ignored.
@@ -31,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Mapping, Set
 from dataclasses import dataclass, field
@@ -69,6 +74,8 @@ NAMES = re.compile(
     r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|masthead|site-?header|page-?header|top-?bar|footer|cookies?|consent|gdpr"
     r"|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|respond|disqus\w*|replies|pagination|pager|skip-?link)"
 )
+#: Elements that a new block looks for to close a paragraph.
+BOUNDS = frozenset("p td th li article body".split())
 #: Elements that no class removes inside an article.
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 AMBIGUOUS = frozenset(("header",))
@@ -80,15 +87,41 @@ ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|$)|'([^']*)(?:'
 READ = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 
 
+#: Contents are polynomials of their texts' digests, modulo a Mersenne prime.
+PRIME, BASE = (1 << 127) - 1, 0x5BD1E9955BD1E9955BD1E9955BD1E995
+
+
+@dataclass
+class Content:
+    """A sequence of texts: its polynomial, and what a sequence before it is multiplied by."""
+
+    value: int = 0
+    shift: int = 1
+
+    def add(self, text: str) -> None:
+        x = int.from_bytes(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), "big")
+        self.value, self.shift = (self.value * BASE + x) % PRIME, self.shift * BASE % PRIME
+
+    def extend(self, other: Content) -> None:
+        self.value, self.shift = (self.value * other.shift + other.value) % PRIME, self.shift * other.shift % PRIME
+
+    def digest(self) -> str:
+        return f"{self.value & (1 << 64) - 1:016x}"
+
+
 @dataclass
 class Element:
     tag: str
     sign: str
     path: str
+    parent: str
     dropped: bool
     main: bool
+    #: Place among the open elements of the nearest paragraph, or of what bounds one.
+    near: int = 0
+    held: int = 0
     children: list[str] = field(default_factory=list)
-    text: list[str] = field(default_factory=list)
+    text: Content = field(default_factory=Content)
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -113,7 +146,8 @@ def by_rule(tag: str, a: dict[str, str], main: bool) -> bool:
 def read(source: str | None):
     """Events of a page in order: ("open", element), ("close", element), ("text", str)."""
     source = source or ""
-    stack = [Element("html", "html", "", False, False)]
+    stack = [Element("html", "html", "", "", False, False)]
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
     at, n = 0, len(source)
 
     def opened(tag: str, a: dict[str, str]) -> Element:
@@ -121,13 +155,24 @@ def read(source: str | None):
         names = ".".join(sorted(a.get("class", "").lower().split()))
         sign = f"{tag}.{names}" if names else tag
         main = top.main or tag in ("article", "main")
-        e = Element(tag, sign, f"{top.path}/{sign}", top.dropped or by_rule(tag, a, top.main), main)
+        path = hashlib.md5(f"{top.path}/{sign}".encode("utf-8", "surrogatepass")).hexdigest()[:16]
+        e = Element(tag, sign, path, top.path, top.dropped or by_rule(tag, a, top.main), main)
         top.children.append(sign)
         return e
 
+    def push(e: Element) -> None:
+        e.near = len(stack) if e.tag in BOUNDS else stack[-1].near
+        places.setdefault(e.tag, []).append(len(stack))
+        stack.append(e)
+
     def close(k: int):
         while len(stack) > k:
-            yield "close", stack.pop()
+            e = stack.pop()
+            places[e.tag].pop()
+            yield "close", e
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else 0
 
     while at < n:
         m = TAG.search(source, at)
@@ -141,21 +186,21 @@ def read(source: str | None):
         if not tag:
             continue
         if m[1] or m[4]:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if k:
+            if k := last(tag):
                 yield from close(k)
             continue
         if tag in ("html", "body"):
             continue  # one of each is there
         if tag in BLOCK:
-            k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in ("td", "th", "li", "article", "body")), 0)
+            k = stack[-1].near
             if k and stack[k].tag == "p":
                 yield from close(k)
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in HOLDS.get(tag, ()) or tag not in CLOSES:
-                break
-            if stack[i].tag in CLOSES[tag]:
-                yield from close(i)
+        if tag in CLOSES:
+            # All that it closes above the innermost element that may hold it.
+            inner = max(map(last, HOLDS.get(tag, ())), default=0)
+            above = [x[i] for t in CLOSES[tag] if (x := places.get(t)) and (i := bisect_right(x, inner)) < len(x)]
+            if above:
+                yield from close(min(above))
         e = opened(tag, attributes(m[3] or m[6] or ""))
         yield "open", e
         if tag in VOID:
@@ -163,9 +208,9 @@ def read(source: str | None):
         elif tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|$)", re.IGNORECASE).search(source, at)
             at = end.start() if end else n
-            stack.append(e)
+            push(e)
         else:
-            stack.append(e)
+            push(e)
     yield from close(1)
 
 
@@ -178,22 +223,22 @@ def digest(parts: list[str]) -> str:
     return hashlib.md5("\x00".join(parts).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
-def nodes(events: Iterable) -> dict[str, tuple[list[str], list[str]]]:
+def nodes(events: Iterable) -> dict[str, tuple[list[str], Content]]:
     """For each path of a page its elements' children and the text below them."""
-    seen: dict[str, tuple[list[str], list[str]]] = {}
+    seen: dict[str, tuple[list[str], Content]] = {}
     opened: list[Element] = []
     for what, x in events:
         if what == "open":
             opened.append(x)
         elif what == "text":
             if opened and (t := " ".join(x.split())):
-                opened[-1].text.append(t)
+                opened[-1].text.add(t)
         else:
             opened.pop()
             if opened:
                 opened[-1].text.extend(x.text)
             if x.tag in BLOCK:
-                style, text = seen.setdefault(x.path, ([], []))
+                style, text = seen.setdefault(x.path, ([], Content()))
                 style.append(",".join(x.children))
                 text.extend(x.text)
     return seen
@@ -202,7 +247,7 @@ def nodes(events: Iterable) -> dict[str, tuple[list[str], list[str]]]:
 def styles(source: str | None) -> list[tuple[str, str, str, str]]:
     """(page, path, presentation, content) of a page: digests of its whole tree, and for each
     path of the children and of the text."""
-    rows = [(p, digest(s), digest(t)) for p, (s, t) in nodes(read(source)).items()]
+    rows = [(p, digest(s), t.digest()) for p, (s, t) in nodes(read(source)).items()]
     page = digest([x for r in rows for x in r])
     return [(page, *r) for r in rows]
 
@@ -214,14 +259,13 @@ def most_text(events: list) -> Set[str]:
     total = 0
     for what, x in events:
         if what == "open":
+            x.held = total
             opened.append(x)
         elif what == "close":
             opened.pop()
+            held[x.path] += total - x.held
         elif not (opened and opened[-1].dropped):
-            n = len(" ".join(x.split()))
-            total += n
-            for path in {e.path for e in opened}:
-                held[path] += n
+            total += len(" ".join(x.split()))
     return {path for path, n in held.items() if 2 * n > total}
 
 
@@ -229,12 +273,12 @@ def main_text(source: str | None, low: Mapping[str, Set[str] | None]) -> str:
     """Text of the page without what the rules remove, and without the paths in low where
     their content is one that low has for them (None: whatever it is)."""
     events = list(read(source))
-    repeated = {p for p, (_, t) in nodes(events).items() if p in low and (low[p] is None or digest(t) in low[p])} if low else set()
-    kept = most_text(events) if repeated else set()
+    repeated = {p for p, (_, t) in nodes(events).items() if p in low and (low[p] is None or t.digest() in low[p])} if low else set()
+    gone = repeated - most_text(events) if repeated else set()
     everything: list[tuple[bool, str]] = []
     articles = 0
     block: list[str] = []
-    opened: list[Element] = [Element("body", "body", "", False, False)]
+    opened: list[Element] = [Element("body", "body", "", "", False, False)]
 
     def end_block():
         if block:
@@ -254,7 +298,7 @@ def main_text(source: str | None, low: Mapping[str, Set[str] | None]) -> str:
         if what == "open":
             articles += x.main and not opened[-1].main
             flow = opened[-1].main and x.sign == x.tag and x.tag not in ("div", "section")
-            branch = x.path in repeated and x.path not in kept and x.path.rpartition("/")[0] not in repeated - kept
+            branch = x.path in gone and x.parent not in gone
             x.dropped = x.dropped or opened[-1].dropped or (branch and not flow and x.tag not in ("article", "main"))
             opened.append(x)
         else:
