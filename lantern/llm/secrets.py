@@ -118,20 +118,29 @@ def unlike_words(part: str) -> bool:
 
 
 def entropy_spans(token: str) -> list[tuple[int, int]]:
+    """Stretches of a token that look random, by whole parts. What one has taken in is not
+    walked again for the next: time follows the token's length."""
     out: list[tuple[int, int]] = []
+    lead = len(token) - len(token.lstrip("/"))
     for a, b in candidates(token):
+        before = out[-1][1] if out else 0
+        if b <= before:
+            continue
         s = token[a:b]
         if len(s) < WINDOW or not any(bits >= THRESHOLD["base64"] or bits >= THRESHOLD["hex"] and bits >= least(s[i : i + WINDOW]) for i, bits in windows(s)):
             continue
-        a = token.rfind("/", 0, a) + 1
+        a = token.rfind("/", before, a) + 1 or before
         b = len(token) if (k := token.find("/", b)) < 0 else k
-        a = a if token[:a].strip("/") else 0
+        a = a if a > lead else 0
         # Parts next to it that are no words belong to it, if too short for a window.
-        while a > 1 and unlike_words(token[(k := token.rfind("/", 0, a - 1) + 1) : a - 1]):
+        while a > max(1, before) and unlike_words(token[(k := token.rfind("/", 0, a - 1) + 1) : a - 1]):
             a = k
-        while b < len(token) and unlike_words(token[b + 1 : (k := token.find("/", b + 1)) if "/" in token[b + 1 :] else len(token)].rstrip("=")):
-            b = len(token) if "/" not in token[b + 1 :] else k
-        if out and a <= out[-1][1]:
+        while b < len(token):
+            k = len(token) if (k := token.find("/", b + 1)) < 0 else k
+            if not unlike_words(token[b + 1 : k].rstrip("=")):
+                break
+            b = k
+        if out and a <= before:
             a = out.pop()[0]
         out.append((a, b))
     return out
