@@ -6,7 +6,8 @@
    by value): rare ones first. Two sets of similarity t or more share a hash among the first
    n - ceil(t * n) + 1 of each, whatever the order is.
 3. Classes with identical prefixes and sizes collapse into a group; only the group's leader
-   puts its prefix into the index.
+   puts its prefix into the index, and of it the hashes that occur again (a filter of fixed
+   size knows them, and few more).
 4. Group pairs that share a prefix hash are filtered by size and by position (how many hashes
    can still agree after the first shared one).
 5. Pairs left are expanded to members. A bitmap of each set, about two bits a shingle, bounds
@@ -28,11 +29,15 @@ null component; other columns are ignored by join(), kept by deduplicate().
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lantern.llm.batches import counted, fold_rows, map_rows
+from lantern.llm.suffixes import bitmap, flagged
 from lantern.llm.wordhash import SPACE, U, Words, lowered, mixed
 from lantern.plans.components import components
 from lantern.session import released, table, written
@@ -127,6 +132,21 @@ def prefixes(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> DataF
     return map_rows(docs.select("doc_id", "text"), rows, "doc_id long, n int, d1 long, d2 long, p1 long, p2 long, prefix array<long>, bits binary")
 
 
+def repeated(sets: DataFrame, flags: Broadcast) -> DataFrame:
+    """(g, n, pos, token): the hashes of prefixes (doc_id, n, prefix) that flags hold."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size = np.diff(b.column("prefix").offsets.to_numpy())
+            token = b.column("prefix").flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(token)) - (np.cumsum(size) - size)[row]
+            at = np.nonzero(flagged(flags.value, token))[0]
+            g, n = (b.column(c).to_numpy(zero_copy_only=False)[row[at]] for c in ("doc_id", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int32()), pa.array(pos[at], pa.int32()), pa.array(token[at], pa.int64())], names=["g", "n", "pos", "token"])
+
+    return sets.mapInArrow(run, "g long, n int, pos int, token long")
+
+
 def may_link(percent: int) -> Column:
     """Size and position filter of the pair x, y whose shared hash is at x.pos, y.pos."""
     nx, ny = F.col("x.n"), F.col("y.n")
@@ -199,14 +219,14 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     leaders = written(first.groupBy(*group).agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("members")), "leaders")
     members = written(first.join(leaders.filter("members > 1"), group).select("leader", "rep", "n"), "members")
     # A hash that one text has leads nowhere; most are such. Counts are sums and pivots are
-    # minima: no task sees a frequent hash's whole list.
-    again = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().filter("count > 1").select("token")
-    again = written(again, "tokens")
-    index = sets.filter(known).select(F.col("doc_id").alias("g"), "n", F.posexplode("prefix").alias("pos", "token"))
-    # Dealt out at every size: these hashes grow with the input, and frequent ones are split.
-    index = index.join(again.hint("merge"), "token")
+    # minima: no task sees a frequent hash's whole list. With their places, hashes are dealt
+    # out only where the filter of repeated ones lets them pass; the few that pass by chance
+    # have no partner below.
+    again = sets.select(F.explode("prefix").alias("x")).groupBy("x").count().filter("count > 1").select("x")
+    flags = docs.sparkSession.sparkContext.broadcast(bitmap(again))  # 32 MB
+    index = repeated(sets.filter(known).select("doc_id", "n", "prefix"), flags)
     index = written(index.join(leaders.select(F.col("leader").alias("g"), "n"), ["g", "n"], "left_semi").dropDuplicates(["token", "g", "n"]), "index")
-    released(again)
+    flags.destroy()
     tokens = index.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("pos", "n", "g")).alias("pivot"), F.min("n").alias("low"))
     shared = written(index.join(tokens.filter("k > 1"), "token").drop("k"), "shared")
     released(index)

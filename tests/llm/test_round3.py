@@ -293,3 +293,60 @@ def test_runs_odd_tables(spark):
     assert runs.find(df.limit(0)).count() == 0
     assert {(r.doc_id, r.start, r.length, r.period) for r in runs.listed(df).collect()} >= {(4, 0, 12, 1), (6, 0, 12, 2)}
     assert {r.doc_id: r.text for r in runs.collapse(df).collect() if r.doc_id in (3, 4, 6)} == {3: " ".join("a" * 11), 4: "a", 6: "x y"}
+
+
+# Long input in time that follows its length
+
+
+def times(function, unit, sizes=(40_000, 160_000)):
+    import time
+
+    out = []
+    for n in sizes:
+        text = unit * (n // len(unit))
+        began = time.perf_counter()
+        function(text)
+        out.append(time.perf_counter() - began)
+    return out
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<div>a", "<p>a<div>", "<li>x<div>", "<div></foo>", "<tr><div>", "<b><option>"])
+def test_nested_pages_take_linear_time(unit):
+    from lantern.llm import htmltext
+
+    short, long = times(lambda t: htmltext.main_text(t, {p: None for _, p, *_ in htmltext.styles(t)[:3]}), unit)
+    assert long < 12 * short + 0.5  # four times as long; a quadratic one takes sixteen times
+
+
+def test_deep_page_gives_its_text(spark):
+    from lantern.llm import htmltext
+
+    deep = "<div>" * 100_000 + "<p>Words at the bottom</p>"
+    df = spark.createDataFrame([(1, "http://a/", deep), (2, "http://a/", deep + "more")], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in htmltext.extract(df).collect()} == {1: "Words at the bottom", 2: "Words at the bottom\n\nmore"}
+
+
+@pytest.mark.parametrize("unit", ["Zq9Kx7Lm2Pw4Rt6Yv8Bn/password/", "Zq9Kx7Lm2Pw4Rt6Yv8Bn-password-", "Zq9Kx7Lm2Pw4Rt6Yv8Bn/", "a1B2/", "password/"])
+def test_tokens_of_many_parts_take_linear_time(unit):
+    from lantern.llm import secrets
+
+    short, long = times(secrets.spans, unit, (60_000, 240_000))
+    assert long < 12 * short + 0.3
+
+
+# Prefix hashes that occur again
+
+
+def test_jaccard_filter_lets_every_repeated_hash_pass(spark, monkeypatch):
+    """With a filter of 64 bits nearly all hashes pass, with the whole one few: equal results."""
+    from lantern.llm import jaccard, suffixes
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(r.choices(words, k=40)) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " end") for i, t in enumerate(texts[:30])] + [(200 + i, texts[0]) for i in range(20)] + [(300, None), (301, ""), (None, texts[1]), (302, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, jaccard.join(df, n=4, percent=85).collect()), key=str)
+    same(spark.createDataFrame([x for x in whole if x[0] is not None], "doc_id long, n_shingles long, component_id long"), sql(jaccard.SQL, documents=df.filter("doc_id IS NOT NULL").toArrow()))
+    monkeypatch.setattr(jaccard, "bitmap", lambda x: np.full(1 << suffixes.FILTER_BITS - 3, 255, dtype=np.uint8))
+    assert sorted(map(tuple, jaccard.join(df, n=4, percent=85).collect()), key=str) == whole
