@@ -40,13 +40,15 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, with the words they count for (size) and are taken for (taken,
-    repeats counted), and their source's target."""
+    repeats counted), and their source's words (source_size) and target; columns of docs with
+    one of these names give way."""
     got = mixing.mix(docs).groupBy("doc_id", "size").agg(F.max("taken").alias("taken"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
-    sized = docs.withColumn("size", mixing.words(F.col("text")))
     got = counted(written(got.filter("taken > 0"), "taken"))
-    got = got.withColumnRenamed("doc_id", "i").withColumnRenamed("size", "s")
-    on = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("size") == F.col("s"))
-    return sized.join(got, on).select(*docs.columns, "size", "source_size", "target", "taken")
+    # Joined as structs of names of their own: docs may have columns of any name.
+    own, mix = docs.select(F.struct(*docs.columns).alias("_row"), mixing.words(F.col("text")).alias("_size")), got.select(F.struct(*got.columns).alias("_mix"))
+    both = own.join(mix, F.col("_row.doc_id").eqNullSafe(F.col("_mix.doc_id")) & (F.col("_size") == F.col("_mix.size")))
+    added = ["size", "source_size", "target", "taken"]
+    return both.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in added), *(F.col("_mix")[c].alias(c) for c in added))
 
 
 STAGES = [
