@@ -43,6 +43,9 @@ from lantern.plans.components import components
 from lantern.session import released, table, written
 
 SKETCH_BITS = 18
+#: Bits of the filter of repeated hashes (16 MB), at most; 16 for each hash up to there. A
+#: filter too full for the input lets more pass, which later steps sort out.
+FILTER_BITS = 27
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -222,8 +225,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # minima: no task sees a frequent hash's whole list. With their places, hashes are dealt
     # out only where the filter of repeated ones lets them pass; the few that pass by chance
     # have no partner below.
-    again = sets.select(F.explode("prefix").alias("x")).groupBy("x").count().filter("count > 1").select("x")
-    flags = docs.sparkSession.sparkContext.broadcast(bitmap(again))  # 32 MB
+    again = written(sets.select(F.explode("prefix").alias("x")).groupBy("x").count().filter("count > 1").select("x"), "again")
+    bits = min(FILTER_BITS, max(16, (16 * again.count()).bit_length()))
+    flags = docs.sparkSession.sparkContext.broadcast(bitmap(again, bits))
+    released(again)
     index = repeated(sets.filter(known).select("doc_id", "n", "prefix"), flags)
     index = written(index.join(leaders.select(F.col("leader").alias("g"), "n"), ["g", "n"], "left_semi").dropDuplicates(["token", "g", "n"]), "index")
     flags.destroy()

@@ -206,10 +206,10 @@ def long(x: np.ndarray) -> list[int]:
     return x.view(np.int64).tolist()
 
 
-def bitmap(positions: DataFrame) -> np.ndarray:
-    """2**FILTER_BITS flags of column x, which is dealt out and packed by ranges of 65,536:
-    what reaches the driver is 32 MB, whatever the input."""
-    low = F.col("x").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def bitmap(positions: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """2**bits flags (65,536 at least) of column x, which is dealt out and packed by ranges of
+    65,536: what reaches the driver is 32 MB for FILTER_BITS, whatever the input."""
+    low = F.col("x").bitwiseAND(F.lit((1 << bits) - 1))
     p = positions.select(F.shiftright(low, 16).alias("range"), low.bitwiseAND(F.lit(65535)).cast("int").alias("bit")).distinct()
     lists = p.groupBy("range").agg(F.collect_list("bit").alias("bits"))
 
@@ -221,7 +221,7 @@ def bitmap(positions: DataFrame) -> np.ndarray:
             out.append(np.packbits(flags).tobytes())
         return [b["range"], out]
 
-    whole = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
+    whole = np.zeros(1 << bits - 3, dtype=np.uint8)
     got = map_columns(lists, pack, "range long, flags binary", text="bits").toArrow()
     for r, flags in zip(got.column("range").to_pylist(), got.column("flags").to_pylist()):
         whole[r << 13 : r + 1 << 13] = np.frombuffer(flags, dtype=np.uint8)
@@ -230,7 +230,7 @@ def bitmap(positions: DataFrame) -> np.ndarray:
 
 def flagged(flags: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Whether the bit of each x is set; where some were put in, others may seem to be."""
-    at = x & ((1 << FILTER_BITS) - 1)
+    at = x & (8 * len(flags) - 1)
     return flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
 
 

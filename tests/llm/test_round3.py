@@ -338,8 +338,8 @@ def test_tokens_of_many_parts_take_linear_time(unit):
 
 
 def test_jaccard_filter_lets_every_repeated_hash_pass(spark, monkeypatch):
-    """With a filter of 64 bits nearly all hashes pass, with the whole one few: equal results."""
-    from lantern.llm import jaccard, suffixes
+    """With every bit set all hashes pass: the results are the same."""
+    from lantern.llm import jaccard
 
     r = random.Random(8)
     words = [f"w{i}" for i in range(200)]
@@ -348,5 +348,5 @@ def test_jaccard_filter_lets_every_repeated_hash_pass(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     whole = sorted(map(tuple, jaccard.join(df, n=4, percent=85).collect()), key=str)
     same(spark.createDataFrame([x for x in whole if x[0] is not None], "doc_id long, n_shingles long, component_id long"), sql(jaccard.SQL, documents=df.filter("doc_id IS NOT NULL").toArrow()))
-    monkeypatch.setattr(jaccard, "bitmap", lambda x: np.full(1 << suffixes.FILTER_BITS - 3, 255, dtype=np.uint8))
+    monkeypatch.setattr(jaccard, "bitmap", lambda x, bits: np.full(1 << bits - 3, 255, dtype=np.uint8))
     assert sorted(map(tuple, jaccard.join(df, n=4, percent=85).collect()), key=str) == whole
