@@ -226,8 +226,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # out only where the filter of repeated ones lets them pass; the few that pass by chance
     # have no partner below.
     again = written(sets.select(F.explode("prefix").alias("x")).groupBy("x").count().filter("count > 1").select("x"), "again")
-    bits = min(FILTER_BITS, max(16, (16 * again.count()).bit_length()))
-    flags = docs.sparkSession.sparkContext.broadcast(bitmap(again, bits))
+    held = min(FILTER_BITS, max(16, (16 * again.count()).bit_length()))
+    flags = docs.sparkSession.sparkContext.broadcast(bitmap(again, held))
     released(again)
     index = repeated(sets.filter(known).select("doc_id", "n", "prefix"), flags)
     index = written(index.join(leaders.select(F.col("leader").alias("g"), "n"), ["g", "n"], "left_semi").dropDuplicates(["token", "g", "n"]), "index")
