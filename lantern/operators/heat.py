@@ -1,8 +1,8 @@
 """Heat diffusion from many sources at once, and what its distribution tells of a source.
 
 psi_tau(s, v) is the chance that a walker who leaves s and takes a Poisson(tau) number of
-steps is at v. A step is a join of the walkers' places with the walk and a sum; the figures
-for all tau are carried along, so powers are taken once. Every CUT steps the state is written
+steps is at v. A step is a join of the walkers' places with the walk and a sum, for many
+sources and all tau in one row (lantern.operators.lanes). Every CUT steps the state is written
 in the shared folder: plans stay short and a lost executor costs a few steps.
 """
 
@@ -17,62 +17,22 @@ from lantern.functions import angles, coefficients
 from lantern.graph import Graph
 from lantern.operators import laplacian
 from lantern.operators.degrees import betas, degrees, flat_thetas, thetas
+from lantern.operators.lanes import CUT, chebyshev, moves, polynomial
 from lantern.operators.paths import hops
 from lantern.session import written
 
-CUT = 8
 #: Values this near a threshold count as reaching it.
 TIE = 1 - 1e-12
 
 
-def moves(entries: DataFrame, nodes: DataFrame, *names: str) -> DataFrame:
-    """(_s, dst, names, keep): the entries of a step, and for each node a row that keeps what
-    it has. One join with it makes both, so a state is read once and plans grow by the step."""
-    stay = nodes.select(F.col("id").alias("_s"), F.col("id").alias("dst"), *[F.lit(0.0).alias(n) for n in names], F.lit(True).alias("keep"))
-    return written(entries.withColumn("keep", F.lit(False)).unionByName(stay), "moves")
-
-
-def powers(steps: DataFrame, nodes: DataFrame, sources: DataFrame, weights: list[list[float]], tiny: float = 0.0) -> DataFrame:
-    """(source, node, a0, a1, ...): for each list of weights, sum over k of
-    weights[k] * steps^k e_source. Entries of the power not over tiny are let go."""
-    acc = [f"a{i}" for i in range(len(weights))]
-    steps = moves(steps.select(F.col("src").alias("_s"), "dst", "p"), nodes, "p")
-    state = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("x"), *[F.lit(w[0]).alias(a) for w, a in zip(weights, acc)])
-    for k in range(1, len(weights[0])):
-        go = state.join(steps, F.col("node") == F.col("_s")).filter(F.col("keep") | (F.abs("x") > tiny))
-        s = go.groupBy("source", F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("p")).alias("x"), *[F.sum(F.when(F.col("keep"), F.col(a)).otherwise(0.0)).alias(a) for a in acc])
-        state = s.select("source", "node", "x", *[(F.col(a) + F.lit(w[k]) * F.col("x")).alias(a) for w, a in zip(weights, acc)])
-        if k % CUT == 0:
-            state = written(state, "heat")
-    return state
-
-
-def by_tau(state: DataFrame, n: int) -> DataFrame:
-    parts = F.array(*[F.struct(F.lit(i).alias("tau"), F.col(f"a{i}").alias("psi")) for i in range(n)])
-    return state.select("source", "node", F.explode(parts).alias("p")).select("source", "node", "p.tau", "p.psi").filter("psi <> 0")
+def by_tau(lanes: DataFrame) -> DataFrame:
+    return lanes.select("source", "node", F.col("t").alias("tau"), F.col("value").alias("psi"))
 
 
 def heat_kernel(g: Graph, taus: list[float], order: int = 20, sources: DataFrame | None = None) -> DataFrame:
     """(source, node, tau (number in taus), psi), zeros left out."""
     start = g.nodes if sources is None else sources
-    return by_tau(powers(laplacian.walk(g), g.nodes, start, [coefficients.poisson(t, order) for t in taus]), len(taus))
-
-
-def chebyshev_state(x: DataFrame, nodes: DataFrame, sources: DataFrame, weights: list[list[float]]) -> DataFrame:
-    """(source, node, a0, a1, ...): sum over k of weights[k] * T_k(x) e_source."""
-    acc = [f"a{i}" for i in range(len(weights))]
-    x = moves(x.select(F.col("col").alias("_s"), F.col("row").alias("dst"), "value"), nodes, "value")
-    start = sources.select(F.col("id").alias("source"), F.col("id").alias("node"))
-    state = start.select("source", "node", F.lit(0.0).alias("old"), F.lit(1.0).alias("new"), *[F.lit(w[0]).alias(a) for w, a in zip(weights, acc)])
-    kept = lambda c: F.when(F.col("keep"), c).otherwise(0.0)
-    for k in range(1, len(weights[0])):
-        step = F.lit(1.0 if k == 1 else 2.0) * F.col("new") * F.col("value") - (kept(F.col("old")) if k > 1 else F.lit(0.0))
-        go = state.join(x, F.col("node") == F.col("_s")).filter(F.col("keep") | (F.col("new") != 0))
-        s = go.groupBy("source", F.col("dst").alias("node")).agg(F.sum(kept(F.col("new"))).alias("old"), F.sum(step).alias("new"), *[F.sum(kept(F.col(a))).alias(a) for a in acc])
-        state = s.select("source", "node", "old", "new", *[(F.col(a) + F.lit(w[k]) * F.col("new")).alias(a) for w, a in zip(weights, acc)])
-        if k % CUT == 0:
-            state = written(state, "cheb")
-    return state
+    return by_tau(polynomial(laplacian.walk(g), start, [coefficients.poisson(t, order) for t in taus]))
 
 
 def heat_kernel_chebyshev(g: Graph, taus: list[float], order: int = 20, sources: DataFrame | None = None, symmetric: bool = False) -> DataFrame:
@@ -82,7 +42,7 @@ def heat_kernel_chebyshev(g: Graph, taus: list[float], order: int = 20, sources:
     minus = g.nodes.select(F.col("id").alias("row"), F.col("id").alias("col"), F.lit(-1.0).alias("value"))
     x = written(laplacian.entries(minus, lap), "x")
     start = g.nodes if sources is None else sources
-    return by_tau(chebyshev_state(x, g.nodes, start, [coefficients.chebyshev(t, order) for t in taus]), len(taus))
+    return by_tau(chebyshev(x, g.nodes, start, [coefficients.chebyshev(t, order) for t in taus]))
 
 
 def threshold(psi: DataFrame, theta: DataFrame) -> DataFrame:

@@ -1,52 +1,58 @@
-"""Breadth-first distances from many sources at once: each level is a join of the frontier
-with the edges and an anti-join with what has been reached."""
+"""Distances from many sources at once."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from lantern.graph import Graph
+from lantern.operators.lanes import BITS, WORDS, any_of, bit, named, numbering, set_bits
 from lantern.session import written
 
 
-#: Levels whose tables are read one by one before they are merged into one.
-MERGED = 4
-
-
 def hops(g: Graph, sources: DataFrame, depth: int | None = None, most: int | None = None, targets: DataFrame | None = None) -> DataFrame:
     """(source, node, hops) of the nodes within depth. most: nodes with that many out-edges
     or more are reached but not gone beyond, unless they are the source. targets (source,
-    node): only these are returned, and a source is done when all of its are reached."""
+    node): only these are returned, and a source is done when all of its are reached.
+
+    Sources are bits: a node's row holds which of a block's sources have reached it, and which
+    in the last level. A level is one join with the edges and one OR-aggregate; its state takes
+    nodes x sources / 8 bytes, whatever the levels."""
     e = g.edges.select(F.col("src").alias("_s"), "dst")
     if most is not None:
         big = e.groupBy("_s").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= most).select(F.col("_s").alias("node"))
-    seen = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("hops"))
-    front = written(seen, "front")
-    parts, level = [front], 0
-    while depth is None or level < depth:
-        level += 1
-        go = front if most is None else front.join(big, "node", "left_anti").unionByName(front.filter("source = node"))
+    places = numbering(sources, BITS * WORDS)
+    seen, new, zero = named("s", WORDS), named("n", WORDS), F.lit(0).cast("long")
+    own = [bit(F.col("lane"), i) for i in range(WORDS)]
+    state = places.select(F.col("source").alias("node"), "block", *[x.alias(c) for x, c in zip(own + own, seen + new)])
+    state = written(state.groupBy("node", "block").agg(*[F.bit_or(c).alias(c) for c in seen + new]), "level")
+    if targets is not None:
+        wanted = targets.select("source", "node").distinct().join(places, "source").select("node", "block", *[x.alias(f"t{i}") for i, x in enumerate(own)])
+        wanted = written(wanted.groupBy("node", "block").agg(*[F.bit_or(c).alias(c) for c in named("t", WORDS)]), "targets")
+    levels = [state]
+    while depth is None or len(levels) <= depth:
+        go = state.filter(any_of(new)).select("node", "block", *new)
+        if most is not None and len(levels) > 1:  # in the first level each source goes from itself
+            go = go.join(big, "node", "left_anti")
         if targets is not None:
-            left = targets.select("source", "node").join(_union(parts), ["source", "node"], "left_anti").select("source").distinct()
-            go = go.join(left, "source", "left_semi")
-        new = go.join(e, F.col("node") == F.col("_s")).select("source", F.col("dst").alias("node")).distinct()
-        front = written(new.join(_union(parts), ["source", "node"], "left_anti").withColumn("hops", F.lit(level)), "front")
-        if front.isEmpty():
+            left = wanted.join(state.select("node", "block", *seen), ["node", "block"], "left")
+            mask = left.groupBy("block").agg(*[F.bit_or(F.col(f"t{i}").bitwiseAND(F.bitwise_not(F.coalesce(s, zero)))).alias(f"m{i}") for i, s in enumerate(seen)])
+            go = go.join(mask, "block").select("node", "block", *[F.col(c).bitwiseAND(F.col(f"m{i}")).alias(c) for i, c in enumerate(new)]).filter(any_of(new))
+        reached = go.join(e, F.col("node") == F.col("_s")).select(F.col("dst").alias("node"), "block", *[zero.alias(c) for c in seen], *new)
+        both = state.select("node", "block", *seen, *[zero.alias(c) for c in new]).unionByName(reached)
+        both = both.groupBy("node", "block").agg(*[F.bit_or(c).alias(c) for c in seen + new])
+        first = [F.col(n).bitwiseAND(F.bitwise_not(F.col(s))) for s, n in zip(seen, new)]
+        state = written(both.select("node", "block", *[F.col(s).bitwiseOR(F.col(n)).alias(s) for s, n in zip(seen, new)], *[x.alias(n) for x, n in zip(first, new)]), "level")
+        if state.filter(any_of(new)).isEmpty():
             break
-        parts.append(front)
-        if len(parts) > MERGED:
-            parts = [written(_union(parts), "seen")]
-    out = _union(parts)
+        levels.append(state)
+    out = None
+    for level, table in enumerate(levels):
+        rows = set_bits(table.filter(any_of(new)).select("node", "block", *new), new).select("node", "block", "lane", F.lit(level).alias("hops"))
+        out = rows if out is None else out.unionByName(rows)
+    out = out.join(places, ["block", "lane"]).select("source", "node", "hops")
     return out if targets is None else out.join(targets.select("source", "node").distinct(), ["source", "node"], "left_semi")
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def egonets(g: Graph, sources: DataFrame, radius: int, direction: str = "out") -> DataFrame:
     """(source, node, hops) within radius along out-edges, in-edges or either ('all')."""
     e = {"out": g, "in": g.reversed(), "all": Graph(g.undirected_pairs().select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("weight")), g.nodes)}[direction]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lantern.graph import Graph, in_order, reindex, relabel
 from lantern.operators import report
+from lantern.operators.neighbours import nearest  # noqa: F401  a structural distance like those here
 from lantern.operators.paths import hops, weighted_distances
 from lantern.session import written
 
@@ -112,47 +113,6 @@ def kendall_tau(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return all_.select(F.when(whole > 0, F.col("s") / F.sqrt(whole)).alias("tau"))
 
 
-#: Rows of base that a task of nearest() holds, and queries it compares them with at once.
-PART_ROWS, QUERY_ROWS = 20_000, 128
-
-
-def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """(query, node, distance, rank): the k rows of base (node, features) nearest to each of
-    queries, ties by node. Queries are taken in blocks of about `block` against all of base,
-    in parts of about PART_ROWS; of a block and a part only the k best go on. Products of
-    matrices choose candidates, differences give their distances."""
-    n = max(1, -(-queries.count() // block))
-    parts = max(1, -(-base.count() // PART_ROWS))
-    q = queries.select(F.col("node").alias("query"), "features").withColumn("block", F.pmod(F.xxhash64("query"), F.lit(n)))
-    q = q.groupBy("block").agg(F.collect_list(F.struct("query", "features")).alias("q")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    b = base.select("node", "features").withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-
-    def best(key, left, right):
-        out = []
-        x = np.array(right["features"].tolist(), dtype=float)
-        ids = right["node"].to_numpy()
-        square = (x * x).sum(axis=1) if len(x) else x
-        for q in left["q"] if len(x) else ():
-            for i in range(0, len(q), QUERY_ROWS):
-                own = q[i : i + QUERY_ROWS]
-                y = np.array([r["features"] for r in own], dtype=float)
-                size = (y * y).sum(axis=1)[:, None]
-                near = size - 2 * y @ x.T + square
-                at = min(k, len(x)) - 1
-                # What rounding can move, twice over, is compared exactly.
-                limit = np.partition(near, at, axis=1)[:, at : at + 1] + 1e-10 * (size + square.max())
-                for r, row, d, top in zip(own, y, near, limit[:, 0]):
-                    some = np.flatnonzero(d <= top)
-                    exact = np.sqrt(((x[some] - row) ** 2).sum(axis=1))
-                    first = np.lexsort((ids[some], exact))[:k]
-                    out += [(r["query"], int(ids[some[j]]), float(exact[j])) for j in first]
-        return pd.DataFrame(out, columns=["query", "node", "distance"])
-
-    got = q.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(best, "query long, node long, distance double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "node"))
-    return got.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def top_k_accuracy(near: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 25, 50)) -> DataFrame:
     """One row: shares of queries whose match (query, node) is among their first k."""
     found = truth.join(near.select("query", "node", "rank"), ["query", "node"], "left")

@@ -17,14 +17,12 @@ def rows(df):
     return sorted(map(tuple, df.collect()))
 
 
-def test_nearest_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "PART_ROWS", 50)
-    monkeypatch.setattr(similarity, "QUERY_ROWS", 7)
+def test_nearest_is_exact(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(230, 6)).round(1)
     x[100] = x[7]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, features array<double>")
-    got = rows(similarity.nearest(df.filter("node % 9 = 0"), df, 4, block=10).select("query", "rank", "node"))
+    got = rows(similarity.nearest(df.filter("node % 9 = 0"), df, 4, part_rows=10).select("query", "rank", "node"))
     want = []
     for q in range(0, 230, 9):
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
