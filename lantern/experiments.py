@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -53,29 +54,40 @@ def degree(g: Graph, size: int = 2, **kw) -> DataFrame:
 EMBEDDINGS: dict[str, Callable[..., DataFrame]] = {"heat": heat_graph, "wavelets": wavelets, "magnetic": magnetic, "recursive": recursive, "landmark": landmark, "degree": degree}
 
 
+class OutOfTime(Exception):
+    """A run went on beyond its limit."""
+
+
 def timed(spark: SparkSession, name: str, run: Callable[[], DataFrame], limit: float | None = None) -> tuple[dict, DataFrame | None]:
     """(record, result): the result written, with name, status (completed, timeout, failed or
-    oom) and seconds. Beyond `limit` seconds the run's jobs are cancelled."""
+    oom) and seconds. The run's jobs are one group. Beyond `limit` seconds its active jobs are
+    cancelled and all that it starts later, so that a run which is between two jobs then ends at
+    the next; one that starts no more is a timeout as well."""
     import threading
 
-    group = f"{name}-{time.time_ns()}"
-    spark.sparkContext.setJobGroup(group, name, True)
+    group = f"{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    old = context.getLocalProperty("spark.jobGroup.id")
+    context.setJobGroup(group, name, True)
     late = threading.Event()
     def stop():
         late.set()
-        spark.sparkContext.cancelJobGroup(group)
+        context._jsc.sc().cancelJobGroupAndFutureJobs(group)
     alarm = threading.Timer(limit, stop) if limit else None
     if alarm:
+        alarm.daemon = True
         alarm.start()
     start, out, status = time.time(), None, "completed"
     try:
         out = written(run(), "embedding")
+        if late.is_set():
+            raise OutOfTime
     except Exception as e:  # what a run fails of is its result
-        status = "timeout" if late.is_set() else "oom" if "OutOfMemoryError" in str(e) else "failed"
+        out, status = None, "timeout" if late.is_set() else "oom" if "OutOfMemoryError" in str(e) else "failed"
     finally:
         if alarm:
             alarm.cancel()
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.jobGroup.id", old)
     return {"name": name, "status": status, "duration": time.time() - start}, out
 
 

@@ -21,9 +21,12 @@ def log_arctan(x: Column, top: float | None = None, bottom: float = 0.0) -> Colu
 
 
 def ln_factorial(n: Column, most: int = 170) -> Column:
-    """ln n! for n from 0 to most, from a table."""
+    """ln n! for n from 0 on: from a table to `most`, beyond it by Stirling's series, which is
+    exact to the last digits there."""
     table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(most + 1)])
-    return F.element_at(table, F.least(n, F.lit(most)).cast("int") + 1)
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = x * F.ln(x) - x + F.ln(2 * math.pi * x) / 2 + 1 / (12 * x) - 1 / (360 * x * x * x)
+    return F.when(n > most, series).otherwise(F.element_at(table, F.least(n, F.lit(most)).cast("int") + 1))
 
 
 def star_log_heat(hops: Column, branch: Column, out_degree: Column, beta: Column, tau: float) -> Column:

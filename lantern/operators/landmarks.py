@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from lantern.graph import Graph
+from lantern.operators.centrality import betweenness, closeness
 from lantern.operators.degrees import degrees
 from lantern.operators.paths import hops
 from lantern.operators.ranks import leverage, page_rank
@@ -65,23 +66,30 @@ def embed(g: Graph, n: int | None = None, depth: int = 2, alpha: float = 0.1, ga
     size = g.nodes.count() if selected is None else selected.count()
     n = min(n or landmark_count(size), size)
     f = written(directed_features(g, depth, alpha, directed, selected), "features")
-    part = g if selected is None else Graph(g.edges, selected.select("id"))
-    marks = landmarks(part, n, how)
-    if selected is not None:
-        marks = landmarks(g, g.nodes.count(), how).join(selected.select(F.col("id").alias("node")), "node", "left_semi").limit(n)
+    marks = written(landmarks(g, n, how, among=selected), "landmarks")
     # A node without features is as near to any other as one whose features are all 0.
     every = f.unionByName((g.nodes if selected is None else selected).select(F.col("id").alias("node"), F.lit(0).alias("bucket"), F.lit(0.0).alias("value")))
     return landmark_embedding(written(similarities(every.groupBy("node", "bucket").agg(F.sum("value").alias("value")), marks, gamma), "similar"))
 
 
-def landmarks(g: Graph, n: int, how: str = "degree", seed: int = 0) -> DataFrame:
-    """(node): n nodes, those of largest degree (ties by id), a random sample, or one in
-    proportion to the degree, or to the leverage or rank of nodes."""
-    if how in ("leverage", "rank"):
-        d = leverage(g).withColumnRenamed("score", "d") if how == "leverage" else page_rank(g).withColumnRenamed("rank", "d")
-        how = "proportional"
+#: Scores of nodes that landmarks can be taken in proportion to.
+SCORES = {"leverage": leverage, "rank": page_rank, "betweenness": betweenness, "closeness": closeness}
+
+
+def landmarks(g: Graph, n: int, how: str = "degree", seed: int = 0, among: DataFrame | None = None) -> DataFrame:
+    """(node): n nodes (of those in among (id), if given), those of largest degree (ties by id),
+    a random sample, or one in proportion to the degree, or to the leverage, rank, betweenness
+    or closeness of nodes; "top NAME": those of the largest such score. Scores are of the whole
+    graph."""
+    best, _, name = how.rpartition(" ")
+    if name in SCORES:
+        d = SCORES[name](g)
+        d = d.withColumnRenamed(next(c for c in d.columns if c != "node"), "d")
+        how = "degree" if best == "top" else "proportional"
     else:
         d = degrees(g).select(F.col("id").alias("node"), (F.col("n_out") + F.col("n_in")).alias("d"))
+    if among is not None:
+        d = d.join(among.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     u = (F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(1 << 52)) + 1) / float(1 << 52)
     order = {"degree": [F.desc("d"), "node"], "random": [u, "node"], "proportional": [-F.ln(u) / F.greatest("d", F.lit(1e-9)), "node"]}[how]
     return d.orderBy(*order).limit(n).select("node")

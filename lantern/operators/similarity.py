@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lantern.graph import Graph, in_order, reindex, relabel
+from lantern.graph import Graph, before, in_order, reindex, relabel
 from lantern.operators import report
 from lantern.operators.neighbours import nearest  # noqa: F401  a structural distance like those here
 from lantern.operators.paths import hops, weighted_distances
@@ -126,29 +126,40 @@ def permuted(g: Graph, seed: int) -> tuple[Graph, DataFrame]:
     return Graph(relabel(g.edges, m.withColumnRenamed("new", "index"), "node"), m.select(F.col("new").alias("id"))), m
 
 
-def noise_edges(g: Graph, n: int, share: float, seed: int = 0, draws: int = 5) -> DataFrame:
-    """(src, dst) with src < dst: share * edges new pairs that the graph has in neither
-    direction, among nodes 0 .. n-1; fewer if `draws` draws of twice as many don't give so many."""
-    want = int(share * g.edges.count())
-    u = lambda s: F.floor(F.rand(s) * n).cast("long")
-    pair = (F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
-    old = g.edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    found = None
-    for i in range(draws):
-        draw = g.edges.sparkSession.range(2 * want + 16).select(u(seed + 2 * i).alias("x"), u(seed + 2 * i + 1).alias("y")).filter("x <> y")
-        new = draw.select(*pair).join(old, ["src", "dst"], "left_anti")
-        found = written((new if found is None else found.unionByName(new)).distinct(), "noise")
+def drawn(g: Graph, n: int, want: int, seed: int) -> DataFrame:
+    """(src, dst, draw): the first `want` new pairs src < dst of nodes 0 .. n-1 that draws by a
+    hash of their number give, and these numbers; the same however rows are dealt."""
+    spark = g.edges.sparkSession
+    pair = lambda x, y: (F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
+    old = written(g.edges.filter("src <> dst").select(*pair("src", "dst")).distinct(), "pairs")
+    free = n * (n - 1) // 2 - old.filter((F.col("src") >= 0) & (F.col("dst") < n)).count()
+    if want > free:
+        raise ValueError(f"{want} new pairs are wanted and {free} are free")
+    u = lambda i: F.pmod(F.xxhash64("id", F.lit(2 * seed + i)), F.lit(n))
+    found, first, size = None, 0, 2 * want + 16
+    while True:
+        draws = spark.range(first, first + size).select("id", u(0).alias("x"), u(1).alias("y")).filter("x <> y").select(*pair("x", "y"), F.col("id").alias("draw"))
+        new = draws.join(old, ["src", "dst"], "left_anti")
+        found = written((new if found is None else found.unionByName(new)).groupBy("src", "dst").agg(F.min("draw").alias("draw")), "noise")
         if found.count() >= want:
             break
-    return found.orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst").limit(want)
+        first, size = first + size, 2 * size
+    placed = in_order(found, "draw")
+    ahead = before(placed, F.count(F.lit(1)))  # a row per range
+    return placed.join(F.broadcast(ahead), "_p").filter(F.col("before") + F.col("_i") < want).select("src", "dst", "draw")
+
+
+def noise_edges(g: Graph, n: int, share: float, seed: int = 0) -> DataFrame:
+    """(src, dst) with src < dst: share * edges new pairs that the graph has in neither
+    direction, among nodes 0 .. n-1. ValueError if there aren't so many."""
+    return drawn(g, n, int(share * g.edges.count()), seed).select("src", "dst")
 
 
 def with_noise(g: Graph, n: int, share: float, seed: int = 0) -> tuple[Graph, float]:
     """g with noise edges, their weights drawn from the weights that g has, and the share of
     edges that were added."""
-    new = in_order(noise_edges(g, n, share, seed), "src")
-    place = F.monotonically_increasing_id()
-    new = written(new.select("src", "dst", place.alias("draw"), F.rand(seed + 99).alias("u")), "noise")
+    u = F.pmod(F.xxhash64("draw", F.lit(2 * seed + 99)), F.lit(1 << 52)) / float(1 << 52)
+    new = written(drawn(g, n, int(share * g.edges.count()), seed).withColumn("u", u), "noise")
     values = report.sample_distribution(report.cumulative_shares(g.edges, "weight"), "weight", new.select("draw", "u"))
     noise = new.join(values, "draw").select("src", "dst", F.col("value").alias("weight"))
     edges, added = g.edges.count(), new.count()
