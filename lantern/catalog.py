@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lantern.functions import angles, coefficients, entropies
 from lantern.graph import Graph, reindex, union
-from lantern.operators import degrees, evaluate, heat, landmarks, laplacian, mail, paths, ranks, report, roles, similarity, synthetic
+from lantern.operators import centrality, degrees, evaluate, heat, landmarks, laplacian, mail, paths, ranks, report, roles, similarity, synthetic
 from lantern.operators.components import largest_component as largest
 from lantern.plans.components import components
 from lantern.session import table
@@ -652,14 +652,21 @@ def subgraph_internal(spark, d):
     return mail.within(g.edges, g.nodes.filter("id % 2 = 0"))
 
 
-@query()
+# Smallest ids spread along edges, both ways; 14 rounds are more than the graph is wide.
+COMPONENTS = """WITH RECURSIVE s AS (SELECT DISTINCT o_custkey AS src, l_suppkey + (SELECT max(c_custkey) + 1 FROM customer) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+e AS (SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s UNION SELECT src, src FROM s UNION SELECT dst, dst FROM s),
+x(k, id, c) AS (SELECT 0, src, src FROM (SELECT DISTINCT src FROM e) UNION ALL SELECT k + 1, dst, min(c) FROM x JOIN e ON id = src WHERE k < 14 GROUP BY k, dst),
+comp AS (SELECT id, min(c) AS component FROM x GROUP BY id)"""
+
+
+@query(COMPONENTS + " SELECT * FROM comp")
 def connected_components(spark, d):
-    """Of all customers and suppliers; the tests hold it against brute force."""
+    """Of all customers and suppliers."""
     g = tables.customer_supplier(spark, d)
     return components(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
-@query()
+@query(COMPONENTS + " SELECT src, dst, 1.0::DOUBLE AS weight FROM s JOIN comp ON src = id WHERE component = (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1)")
 def largest_component(spark, d):
     return largest(tables.customer_supplier(spark, d)).edges
 
@@ -733,7 +740,16 @@ def labels_unique(spark, d):
     return edges_io.unique_labels(p, p.select(F.col("pred").alias("label")))
 
 
-@query()
+# Expected information of two labellings with given counts: sums over what a cell may hold.
+ADJUSTED = f"""WITH p AS ({PRED}), c AS (SELECT label, pred, count(*)::DOUBLE AS n FROM p GROUP BY 1, 2), a AS (SELECT label, sum(n) AS a FROM c GROUP BY 1), b AS (SELECT pred, sum(n) AS b FROM c GROUP BY 1), t AS (SELECT sum(n) AS t FROM c),
+h AS (SELECT (SELECT sum(n / t * ln(n * t / (a * b))) FROM c JOIN a USING (label) JOIN b USING (pred)) AS mi, (SELECT -sum(a / t * ln(a / t)) FROM a) AS ha, (SELECT -sum(b / t * ln(b / t)) FROM b) AS hb FROM t),
+m AS (SELECT a, b, t, unnest(range(greatest(1, a + b - t)::BIGINT, least(a, b)::BIGINT + 1)) AS k FROM a, b, t),
+x AS (SELECT sum(k / t * ln(k * t / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1)
+    - lgamma(k + 1) - CASE WHEN a > k THEN lgamma(a - k + 1) ELSE 0 END - CASE WHEN b > k THEN lgamma(b - k + 1) ELSE 0 END - CASE WHEN t - a - b + k > 0 THEN lgamma(t - a - b + k + 1) ELSE 0 END)) AS emi FROM m)
+SELECT round((mi - emi) / ((ha + hb) / 2 - emi), 6) + 0.0 AS ami FROM h, x"""
+
+
+@query(ADJUSTED)
 def cluster_information_adjusted(spark, d):
     return rounded(evaluate.adjusted_information(predicted(spark, d)), "ami")
 
@@ -827,3 +843,61 @@ FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_totalprice > 100000""")
 def records_processed(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("name"), F.when(F.col("o_totalprice") > 100000, "completed").otherwise("failed").alias("status"))
     return report.processed(o.distinct(), {"F": "Filled", "O": "Open"}).select("place", "name")
+
+
+def dependencies(deepest: int) -> str:
+    """SQL pieces after SUPPLY: distances hp, path counts sg, and dependencies d1 .. by level,
+    from the deepest back."""
+    out = f""",
+b(source, node, h) AS (SELECT id, id, 0 FROM q UNION SELECT source, dst, h + 1 FROM b JOIN e ON node = src WHERE h < {deepest}),
+hp AS (SELECT source, node, min(h) AS h FROM b GROUP BY 1, 2),
+sg(k, source, node, s) AS (SELECT 0, id, id, 1.0::DOUBLE FROM q UNION ALL SELECT g.k + 1, g.source, e.dst, sum(g.s)::DOUBLE FROM sg g JOIN e ON e.src = g.node
+    JOIN hp ON hp.source = g.source AND hp.node = e.dst AND hp.h = g.k + 1 WHERE g.k < {deepest} GROUP BY g.k, g.source, e.dst),
+d{deepest} AS (SELECT source, node, s, 0.0::DOUBLE AS d FROM sg WHERE k = {deepest})"""
+    for k in range(deepest - 1, 0, -1):
+        out += f""",
+d{k} AS (SELECT g.source, g.node, g.s, coalesce(sum(g.s / n.s * (1 + n.d)), 0)::DOUBLE AS d FROM sg g LEFT JOIN e ON e.src = g.node LEFT JOIN d{k + 1} n ON n.source = g.source AND n.node = e.dst WHERE g.k = {k} GROUP BY 1, 2, 3)"""
+    return out + ",\nde AS (" + " UNION ALL ".join(f"SELECT node, d FROM d{k}" for k in range(1, deepest + 1)) + ")"
+
+
+@query(SUPPLY + dependencies(8) + """ SELECT id AS node, round(coalesce(sum(d), 0) * (SELECT count(*) FROM v) / (SELECT count(*) FROM q) / 2, 4) + 0.0 AS score FROM v LEFT JOIN de ON node = id GROUP BY id""")
+def betweenness_customer_supplier(spark, d):
+    """Of the whole graph, by the paths from the suppliers whose id is divisible by 20."""
+    g, sources = supply(spark, d)
+    return centrality.betweenness(g, sources, directed=False).select("node", (F.round("score", 4) + 0.0).alias("score"))
+
+
+TRADE_PATHS = "WITH RECURSIVE " + TRADE + ", e AS (SELECT src, dst FROM t WHERE weight > (SELECT median(weight) FROM t)), q AS (SELECT id FROM v)"
+
+
+def strong_trade(spark, d) -> Graph:
+    """The half of nation trade with the larger weights: not every pair is an edge."""
+    g = top(spark, d)
+    middle = g.edges.agg(F.median("weight").alias("middle"))
+    return Graph(g.edges.join(F.broadcast(middle)).filter("weight > middle").drop("middle"), g.nodes)  # one row
+
+
+@query(TRADE_PATHS + dependencies(8) + " SELECT id AS node, round(coalesce(sum(d), 0) / (24 * 23), 6) + 0.0 AS score FROM v LEFT JOIN de ON node = id GROUP BY id")
+def betweenness_nations(spark, d):
+    return rounded(centrality.betweenness(strong_trade(spark, d), normalised=True), "score")
+
+
+@query(TRADE_PATHS + """, b(source, node, h) AS (SELECT id, id, 0 FROM q UNION SELECT source, dst, h + 1 FROM b JOIN e ON node = src WHERE h < 25),
+hp AS (SELECT source, node, min(h) AS h FROM b GROUP BY 1, 2)
+SELECT node, round(CASE WHEN count(*) > 1 THEN (count(*) - 1) / sum(h) * (count(*) - 1) / 24 ELSE 0 END, 6) + 0.0 AS score FROM hp GROUP BY node""")
+def closeness_nations(spark, d):
+    return rounded(centrality.closeness(strong_trade(spark, d)), "score")
+
+
+@query(SUPPLY + """, b(source, node, h) AS (SELECT id, id, 0 FROM q UNION SELECT source, dst, h + 1 FROM b JOIN e ON node = src WHERE h < 8), hp AS (SELECT source, node, min(h) AS h FROM b GROUP BY 1, 2)
+SELECT source AS node, round((count(*) - 1) / sum(h) * (count(*) - 1) / ((SELECT count(*) FROM v) - 1), 6) + 0.0 AS score FROM hp GROUP BY source""")
+def closeness_customer_supplier(spark, d):
+    """Of the suppliers whose id is divisible by 20, exactly."""
+    g, sources = supply(spark, d)
+    return rounded(centrality.closeness(g, sources), "score")
+
+
+@query()
+def closeness_by_sketches(spark, d):
+    """Of all customers and suppliers at once; the tests hold its error against closeness()."""
+    return centrality.closeness_estimated(supply(spark, d)[0])
