@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lantern.functions import angles, coefficients, entropies
 from lantern.graph import Graph, reindex, union
-from lantern.operators import centrality, degrees, evaluate, heat, landmarks, laplacian, mail, paths, ranks, report, roles, similarity, synthetic
+from lantern.operators import centrality, degrees, evaluate, heat, landmarks, laplacian, mail, paths, ranks, report, roles, similarity, spectral, synthetic
 from lantern.operators.components import largest_component as largest
 from lantern.plans.components import components
 from lantern.session import table
@@ -901,3 +901,23 @@ def closeness_customer_supplier(spark, d):
 def closeness_by_sketches(spark, d):
     """Of all customers and suppliers at once; the tests hold its error against closeness()."""
     return centrality.closeness_estimated(supply(spark, d)[0])
+
+
+def both_ways(spark, d) -> Graph:
+    g = top(spark, d)
+    return Graph.from_edges(g.edges, g.nodes, directed=False)
+
+
+# Heat of the symmetric Laplacian from nation 3, by powers of the walk, to rounding.
+EXACT = "WITH RECURSIVE " + DEGREES.replace(EDGES, BOTH) + """,
+w AS (SELECT src, dst, weight / sqrt(a.w_out * b.w_out) AS p FROM e JOIN d a ON src = a.id JOIN d b ON dst = b.id),
+x(k, node, x) AS (SELECT 0, 3::BIGINT, 1.0::DOUBLE UNION ALL SELECT k + 1, dst, sum(x * p)::DOUBLE FROM x JOIN w ON node = src WHERE k < 60 GROUP BY k, dst)
+SELECT 3::BIGINT AS source, node, 0 AS tau, round(sum(x * exp(-2.5) * pow(2.5, k) / gamma(k + 1)), 9) + 0.0 AS psi FROM x GROUP BY node"""
+
+
+@query(EXACT)
+def heat_exact(spark, d):
+    """By the Krylov space of one nation, closed at the graph's 25 nodes at the latest."""
+    g = both_ways(spark, d)
+    psi = spectral.heat_of(laplacian.symmetric(g, isolated=True), g.nodes, 3, [2.5], steps=25)
+    return psi.select("source", "node", "tau", (F.round("psi", 9) + 0.0).alias("psi"))

@@ -29,7 +29,8 @@ def linspace(a: float, b: float, n: int) -> list[float]:
     return [a] if n == 1 else [a + (b - a) * i / (n - 1) for i in range(n)]
 
 
-def legacy_scales(n: int) -> tuple[float, float]:
-    """The two scales of an undirected graph of n nodes by its smallest eigenvalue ~ 1/n."""
-    root = math.sqrt(n / 2)
+def legacy_scales(n: int, smallest: float | None = None) -> tuple[float, float]:
+    """The two scales of an undirected graph of n nodes by its smallest eigenvalue above 0 (see
+    lantern.operators.spectral.smallest), or 1/n in its place."""
+    root = math.sqrt(0.5 / (smallest or 1 / n))
     return -math.log(0.95) * root, -math.log(0.80) * root

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lantern.graph import Graph
 from lantern.operators.degrees import degrees
+from lantern.operators.spectral import triangle
 from lantern.session import written
 
 
@@ -81,19 +82,16 @@ def neighbour_step(g: Graph, features: DataFrame, width: int) -> DataFrame:
 
 
 def kept_columns(features: DataFrame, width: int, tol: float) -> list[bool]:
-    """Columns whose part that earlier columns do not explain is over tol of their size. Only
-    the columns' products (width x width) come to the driver."""
-    x = features.filter("value <> 0")
-    y = x.select("node", F.col("col").alias("col2"), F.col("value").alias("value2"))
-    gram = np.zeros((width, width))
-    for r in x.join(y, "node").filter("col <= col2").groupBy("col", "col2").agg(F.sum(F.col("value") * F.col("value2")).alias("p")).collect():
-        gram[r["col"], r["col2"]] = gram[r["col2"], r["col"]] = r["p"]
-    r = np.zeros((width, width))
-    for j in range(width):  # Cholesky, columns without a part of their own left at zero
-        d = gram[j, j] - (r[:j, j] ** 2).sum()
-        if d > 1e-14 * max(gram[j, j], 1e-300):
-            r[j, j] = math.sqrt(d)
-            r[j, j + 1 :] = (gram[j, j + 1 :] - r[:j, j] @ r[:j, j + 1 :]) / r[j, j]
+    """Columns whose part that earlier columns do not explain is over tol of their size, by the
+    triangular factor of the table of nodes and columns: only that, width x width, comes to the
+    driver, and a part's size is found to rounding, not to its root."""
+    cells = F.array_sort(F.collect_list(F.struct("col", "value")))
+    table = features.groupBy("node").agg(cells.alias("c"))
+    empty = F.array_repeat(F.lit(0.0), width)
+    by_col = F.map_from_entries("c")
+    full = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(by_col[i], F.lit(0.0)))
+    rows = table.select(F.when(F.size("c") == width, F.transform("c", lambda x: x["value"])).when(F.size("c") == 0, empty).otherwise(full).alias("x"))
+    r = triangle(rows, width)
     return [bool(abs(r[j, j]) > tol * max(np.abs(r[:, j]).max(), 1e-300)) for j in range(width)]
 
 
