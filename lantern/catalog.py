@@ -15,7 +15,7 @@ from lantern.graph import Graph, reindex, union
 from lantern.operators import centrality, degrees, evaluate, heat, landmarks, laplacian, mail, paths, ranks, report, roles, similarity, spectral, synthetic
 from lantern.operators.components import largest_component as largest
 from lantern.plans.components import components
-from lantern.session import table
+from lantern.session import table, written
 from lantern.sources import edges as edges_io, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -677,8 +677,9 @@ e AS (SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s), v AS (SELECT DIS
 
 def supply(spark, d) -> tuple[Graph, DataFrame]:
     """Customers and suppliers, both ways, and the suppliers whose id is divisible by 20."""
-    g = tables.customer_supplier(spark, d)
-    return Graph.from_edges(g.edges, directed=False), g.edges.select(F.col("dst").alias("id")).filter("id % 20 = 0").distinct()
+    e = written(tables.customer_supplier(spark, d).edges, "supply")
+    g = Graph.from_edges(e, directed=False)
+    return Graph(written(g.edges, "supply"), g.nodes), e.select(F.col("dst").alias("id")).filter("id % 20 = 0").distinct()
 
 
 @query(SUPPLY + """, b(source, node, h) AS (SELECT id, id, 0 FROM q UNION SELECT source, dst, h + 1 FROM b JOIN e ON node = src WHERE h < 4)

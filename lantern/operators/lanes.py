@@ -24,7 +24,7 @@ NUMBERED = 4096
 def numbering(sources: DataFrame, per: int, width: int = 1) -> DataFrame:
     """(source, block, lane): distinct ids of sources, `per` in a block at most, each with
     `width` lanes from `lane` on. Written once, so that every reader sees the same places."""
-    s = sources.select(F.col("id").alias("source")).distinct()
+    s = written(sources.select(F.col("id").alias("source")).distinct(), "distinct")
     parts = max(1, -(-s.count() // NUMBERED))
     s = written(s.repartition(parts, "source").withColumn("m", F.monotonically_increasing_id()), "sources")
     place = F.col("m").bitwiseAND(F.lit((1 << 33) - 1)) % per

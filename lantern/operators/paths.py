@@ -17,7 +17,7 @@ def hops(g: Graph, sources: DataFrame, depth: int | None = None, most: int | Non
     Sources are bits: a node's row holds which of a block's sources have reached it, and which
     in the last level. A level is one join with the edges and one OR-aggregate; its state takes
     nodes x sources / 8 bytes, whatever the levels."""
-    e = g.edges.select(F.col("src").alias("_s"), "dst")
+    e = written(g.edges.select(F.col("src").alias("_s"), "dst"), "edges")  # each level reads it
     if most is not None:
         big = e.groupBy("_s").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= most).select(F.col("_s").alias("node"))
     places = numbering(sources, BITS * WORDS)
