@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lantern.functions import angles, coefficients, entropies
 from lantern.graph import Graph, reindex, union
-from lantern.operators import centrality, degrees, evaluate, heat, landmarks, laplacian, mail, paths, ranks, report, roles, similarity, spectral, synthetic
+from lantern.operators import centrality, degrees, density, evaluate, heat, landmarks, laplacian, mail, paths, ranks, report, roles, similarity, spectral, synthetic
 from lantern.operators.components import largest_component as largest
 from lantern.plans.components import components
 from lantern.session import table, written
@@ -922,3 +922,20 @@ def heat_exact(spark, d):
     g = both_ways(spark, d)
     psi = spectral.heat_of(laplacian.symmetric(g, isolated=True), g.nodes, 3, [2.5], steps=25)
     return psi.select("source", "node", "tau", (F.round("psi", 9) + 0.0).alias("psi"))
+
+
+# Ways between any two rows by their largest reach, paths of two, four, ... reaches at a time.
+OUTLIERS = """WITH l AS (SELECT vec_id AS node, unnest(range(0, 64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+z AS (SELECT node, i, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS v FROM l WINDOW w AS (PARTITION BY i)),
+x AS (SELECT node, list(v ORDER BY i) AS f FROM z GROUP BY 1),
+d AS MATERIALIZED (SELECT a.node AS a, b.node AS b, list_distance(a.f, b.f) AS d FROM x a, x b),
+c AS (SELECT a AS node, d AS core FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = 16),
+w0 AS MATERIALIZED (SELECT a, b, CASE WHEN a = b THEN 0 ELSE greatest(d, p.core, q.core) END AS t FROM d JOIN c p ON p.node = a JOIN c q ON q.node = b),
+""" + "".join(f"w{i} AS MATERIALIZED (SELECT x.a, y.b, min(greatest(x.t, y.t)) AS t FROM w{i - 1} x JOIN w{i - 1} y ON x.b = y.a GROUP BY 1, 2),\n" for i in range(1, 10)) + """e AS (SELECT a AS node, t AS eps FROM w9 QUALIFY row_number() OVER (PARTITION BY a ORDER BY t) = 15)
+SELECT e.node, round(any_value(core), 6) + 0.0 AS core, round(any_value(e.eps), 6) + 0.0 AS eps, round(1 - min(y.eps) / any_value(e.eps), 6) + 0.0 AS score FROM e JOIN c ON c.node = e.node JOIN w9 ON w9.a = e.node AND w9.t <= e.eps JOIN e y ON y.node = w9.b GROUP BY e.node"""
+
+
+@query(OUTLIERS)
+def outlier_scores(spark, d):
+    z = evaluate.standardised(embedding_rows(spark, d)).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda v: v["value"]).alias("features"))
+    return rounded(density.outlier_scores(z), "core", "eps", "score").drop("least")

@@ -19,7 +19,7 @@ matrices choose candidates, and differences give their distances.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -66,12 +66,30 @@ class Bounds:
         above = (d[:, :, None] + self.least).reshape(len(q), -1)
         top = np.partition(above, k - 1, axis=1)[:, k - 1] if above.shape[1] >= k else np.full(len(q), np.inf)
         top = top + self.room
+        return top, (self.floor(d) <= top[:, None]) & (self.high >= self.low)
+
+    def floor(self, d: np.ndarray) -> np.ndarray:
+        """What no row of each cell is nearer than, by a query's distances d to the pivots."""
         own = d.argmin(axis=1)
         apart = self.between[own]
-        plane = np.where(apart > 0, (d**2 - d[np.arange(len(q)), own][:, None] ** 2) / np.where(apart > 0, 2 * apart, 1), 0)
+        plane = np.where(apart > 0, (d**2 - d[np.arange(len(d)), own][:, None] ** 2) / np.where(apart > 0, 2 * apart, 1), 0)
         room = self.room * (1 + np.where(apart > 0, (d + 1) / np.where(apart > 0, apart, 1), 0))
-        below = np.maximum(np.maximum(d - self.high, self.low - d) - self.room, plane - room)
-        return top, (below <= top[:, None]) & (self.high >= self.low)
+        return np.maximum(np.maximum(d - self.high, self.low - d) - self.room, plane - room)
+
+    def dealt(self, goes: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """(query's row, part, cells wanted there) of a table of which query goes to which cell."""
+        row, cell = np.nonzero(goes)
+        row, cell = np.repeat(row, self.parts[cell]), np.repeat(cell, self.parts[cell])
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])
+        at = np.nonzero(new)[0]
+        part = self.part[cell] + np.arange(len(row)) - at[np.cumsum(new) - 1]
+        order = np.lexsort((cell, part, row))
+        row, cell, part = row[order], cell[order], part[order]
+        new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
+        at = np.nonzero(new)[0]
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), pa.array(cell, pa.int32()))
+        return row[at], pa.array(part[at], pa.int32()), lists
 
 
 def packed(sizes: np.ndarray, order: np.ndarray, part_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +109,7 @@ def packed(sizes: np.ndarray, order: np.ndarray, part_rows: int) -> tuple[np.nda
 
 
 def index(base: DataFrame, k: int, pivots: int | None = None, part_rows: int = PART_ROWS) -> tuple[DataFrame, Bounds] | None:
-    """((node, features, cell, part), Bounds) of base (node, features); None if it is empty."""
+    """((node, features, cell, r, part), Bounds) of base (node, features); None if it is empty."""
     spark = base.sparkSession
     base = written(base.select("node", "features"), "base")
     n = base.count()
@@ -122,7 +140,7 @@ def index(base: DataFrame, k: int, pivots: int | None = None, part_rows: int = P
     part, parts = packed(sizes, np.argsort(between[0], kind="stable"), part_rows)
     places = spark.createDataFrame([(c, int(part[c]), int(parts[c])) for c in range(len(marks))], "cell int, first int, count int")
     dealt = cells.join(F.broadcast(places), "cell")  # PIVOTS rows
-    dealt = dealt.select("node", "features", "cell", (F.col("first") + F.pmod(F.xxhash64("node"), "count")).cast("int").alias("part"))
+    dealt = dealt.select("node", "features", "cell", "r", (F.col("first") + F.pmod(F.xxhash64("node"), "count")).cast("int").alias("part"))
     return dealt, Bounds(marks, between, low, high, least, part, parts, room)
 
 
@@ -138,19 +156,8 @@ def visits(queries: DataFrame, bounds: Bounds, k: int) -> DataFrame:
             for i in range(0, whole.num_rows, QUERY_ROWS):
                 b = whole.slice(i, QUERY_ROWS)
                 top, goes = x.visits(rows_of(b.column("features")), k)
-                row, cell = np.nonzero(goes)
-                row, cell = np.repeat(row, x.parts[cell]), np.repeat(cell, x.parts[cell])
-                new = np.ones(len(row), dtype=bool)
-                new[1:] = (row[1:] != row[:-1]) | (cell[1:] != cell[:-1])
-                at = np.nonzero(new)[0]
-                part = x.part[cell] + np.arange(len(row)) - at[np.cumsum(new) - 1]
-                order = np.lexsort((cell, part, row))
-                row, cell, part = row[order], cell[order], part[order]
-                new[1:] = (row[1:] != row[:-1]) | (part[1:] != part[:-1])
-                at = np.nonzero(new)[0]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)), pa.int32()), pa.array(cell, pa.int32()))
-                r = row[at]
-                yield pa.RecordBatch.from_arrays([b.column("query").take(pa.array(r)), b.column("features").take(pa.array(r)), pa.array(part[at], pa.int32()), pa.array(top[r]), lists],
+                r, part, lists = x.dealt(goes)
+                yield pa.RecordBatch.from_arrays([b.column("query").take(pa.array(r)), b.column("features").take(pa.array(r)), part, pa.array(top[r]), lists],
                     names=["query", "features", "part", "top", "cells"])
 
     return queries.select("query", "features").mapInArrow(run, schema)
@@ -195,9 +202,10 @@ class Part:
         return out
 
 
-def compared(rows: DataFrame, k: int, parts: int) -> DataFrame:
-    """(query, node, distance): the k best of each part. rows: those of base and of the queries,
-    by part, base (of which query is null) first."""
+def by_part(rows: DataFrame, parts: int, schema: str, make: Callable, ask: Callable) -> DataFrame:
+    """rows: those of base and of the queries, by part, base (of which query is null) first.
+    make: what a part's base rows become, of slices of batches; ask: a batch of answers, or
+    None, of that and a slice of up to QUERY_ROWS queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, part = None, [], None
         for b in batches:
@@ -208,22 +216,43 @@ def compared(rows: DataFrame, k: int, parts: int) -> DataFrame:
                     now, held, part = which[a], [], None
                 s = b.slice(a, e - a)
                 if not query[a]:
-                    held.append((s.column("node").to_numpy(), rows_of(s.column("features")), s.column("cell").to_numpy()))
+                    held.append(s)
                     continue
                 if part is None:
                     if not held:
                         continue
-                    part, held = Part(held), []
+                    part, held = make(held), []
                 for i in range(0, s.num_rows, QUERY_ROWS):
-                    t = s.slice(i, QUERY_ROWS)
-                    ids = t.column("query").to_numpy()
-                    found = part.best(rows_of(t.column("features")), t.column("top").to_numpy(), t.column("cells").to_pylist(), k)
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.repeat(ids[j], len(n)) for j, n, _ in found])), pa.array(np.concatenate([n for _, n, _ in found])), pa.array(np.concatenate([d for _, _, d in found]))],
-                            names=["query", "node", "distance"])
+                    found = ask(part, s.slice(i, QUERY_ROWS))
+                    if found is not None:
+                        yield found
 
     dealt = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("query").isNotNull())
-    return dealt.mapInArrow(run, "query long, node long, distance double")
+    return dealt.mapInArrow(run, schema)
+
+
+def compared(rows: DataFrame, k: int, parts: int) -> DataFrame:
+    """(query, node, distance): the k best of each part."""
+    def make(held: list[pa.RecordBatch]) -> Part:
+        return Part([(s.column("node").to_numpy(), rows_of(s.column("features")), s.column("cell").to_numpy()) for s in held])
+
+    def ask(part: Part, t: pa.RecordBatch) -> pa.RecordBatch | None:
+        ids = t.column("query").to_numpy()
+        found = part.best(rows_of(t.column("features")), t.column("top").to_numpy(), t.column("cells").to_pylist(), k)
+        if found:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.repeat(ids[j], len(n)) for j, n, _ in found])), pa.array(np.concatenate([n for _, n, _ in found])), pa.array(np.concatenate([d for _, _, d in found]))],
+                names=["query", "node", "distance"])
+
+    return by_part(rows, parts, "query long, node long, distance double", make, ask)
+
+
+def of_index(queries: DataFrame, rows: DataFrame, bounds: Bounds, k: int) -> DataFrame:
+    """(query, node, distance, rank): the k rows nearest to each of queries (query, features),
+    of an index made for that k."""
+    all_ = rows.drop("r").unionByName(visits(queries, bounds, k), allowMissingColumns=True)
+    got = compared(all_, k, int((bounds.part + bounds.parts).max()))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "node"))
+    return got.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, pivots: int | None = None, part_rows: int = PART_ROWS) -> DataFrame:
@@ -233,9 +262,4 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, pivots: int | None = No
     found = index(cast(base, "node"), k, pivots, part_rows)
     if found is None:
         return queries.sparkSession.createDataFrame([], "query long, node long, distance double, rank int")
-    rows, bounds = found
-    all_ = rows.unionByName(visits(cast(queries, "query"), bounds, k), allowMissingColumns=True)
-    parts = int((bounds.part + bounds.parts).max())
-    got = compared(all_, k, parts)
-    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "node"))
-    return got.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return of_index(cast(queries, "query"), *found, k)
