@@ -2,10 +2,13 @@
 
 encode() stores a payload as one-channel 8-bit FLAC (a byte b is the sample b - 128): fixed
 blocks of 192 samples, each a constant, verbatim, or Rice-coded residual of a fixed linear
-predictor of order 0 to 2, whichever is smallest; STREAMINFO holds the samples' MD5, and a
-seek table points at every SEEK-th frame. decode() reads constant, verbatim, fixed (order 0
-to 4) and LPC subframes with partitioned Rice residuals of either method, verifies each
-header's CRC-8, each frame's CRC-16 and the MD5, and raises FlacError where one fails.
+predictor of order 0 to 2 or of one of order 4 fitted to the block (whole-number
+autocorrelations, Levinson's recursion, coefficients of 12 bits), whichever is smallest;
+STREAMINFO holds the samples' MD5, and a seek table points at every SEEK-th frame. decode()
+reads constant, verbatim, fixed (order 0 to 4) and LPC subframes with partitioned Rice
+residuals of either method, verifies each header's CRC-8, each frame's CRC-16 and the MD5, and
+raises FlacError where one fails. blocks() cuts what was read into PCM blocks by sample offset,
+and read_at() reads some samples only, from the seek point before them.
 
 Frames are independent, so all frames of a group of rows are worked on at once: step i
 handles sample i of every frame. A frame's start is found by its sync code, header checksum
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +35,7 @@ BLOCK = 192
 SEEK = 512  # frames between seek points
 RATE = 8000
 GROUP = 8192  # frames worked on at once
+ORDER, PRECISION, SHIFT = 4, 12, 9  # of fitted predictors
 
 
 class FlacError(ValueError):
@@ -84,28 +89,69 @@ def coded_number(n: int) -> bytes:
     return bytes([0xFF00 >> (len(tail) + 1) & 0xFF | n, *tail])
 
 
+def rice(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, parameter) of each row of u, folded residuals, coded with the best parameter near
+    the one their mean suggests."""
+    guess = np.log2(np.maximum(u.mean(axis=1), 1e-9) * 0.7).round().clip(0, 8).astype(np.int64)
+    bits, k = np.full(len(u), 1 << 40), np.zeros(len(u), dtype=np.int64)
+    for d in (-1, 0, 1):
+        kk = np.clip(guess + d, 0, 14)
+        n = (u >> kk[:, None].astype(np.uint16)).sum(axis=1, dtype=np.int64) + u.shape[1] * (kk + 1)
+        better = n < bits
+        k[better], bits[better] = kk[better], n[better]
+    return bits, k
+
+
+def fitted(samples: np.ndarray) -> np.ndarray:
+    """Coefficients (F, ORDER), in units of 2**-SHIFT, of each block's linear predictor. Sums are
+    of whole numbers and all else is row by row, so equal blocks have equal coefficients."""
+    x = samples.astype(np.int64)
+    r = np.stack([(x[:, lag:] * x[:, : BLOCK - lag]).sum(axis=1) for lag in range(ORDER + 1)], axis=1).astype(np.float64)
+    a, left = np.zeros((len(x), ORDER)), np.maximum(r[:, 0], 1e-9)
+    for m in range(ORDER):
+        miss = r[:, m + 1].copy()
+        for j in range(m):
+            miss -= a[:, j] * r[:, m - j]
+        turn = np.where(left > 1e-6, miss / left, 0)
+        new = a.copy()
+        for j in range(m):
+            new[:, j] = a[:, j] - turn * a[:, m - 1 - j]
+        new[:, m] = turn
+        a, left = new, np.maximum(left * (1 - turn * turn), 1e-9)
+    most = (1 << PRECISION - 1) - 1
+    return np.clip(np.rint(a * (1 << SHIFT)), -most, most).astype(np.int64)
+
+
+def folded(e: np.ndarray) -> np.ndarray:
+    return ((e << 1) ^ (e >> 15)).astype(np.uint16)
+
+
 def frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Frames of samples (F, 192) int16: their bytes one after the other, and each length."""
     f = len(samples)
-    u_by, cost = [], []
+    u_by, cost = {}, []
     for order in range(3):
-        e = np.diff(samples, order, axis=1) if order else samples
-        u = (e << 1) ^ (e >> 15)
-        u_by.append(u.astype(np.uint16))
-        cost.append(u_by[-1].sum(axis=1, dtype=np.int64) + order * 8)
+        u_by[8 + order] = folded(np.diff(samples, order, axis=1) if order else samples)
+        cost.append(u_by[8 + order].sum(axis=1, dtype=np.int64) + order * 8)
     best = np.argmin(np.stack(cost), axis=0)
     kind, k, bits = np.full(f, 1), np.zeros(f, dtype=np.int64), np.full(f, BLOCK * 8 + 8)
+
+    def offer(code: int, at: np.ndarray, extra: int) -> None:
+        n, kk = rice(u_by[code][at])
+        n += extra
+        better = n < bits[at]
+        kind[at[better]], k[at[better]], bits[at[better]] = code, kk[better], n[better]
+
     for order in range(3):
         at = np.nonzero(best == order)[0]
-        if not len(at):
-            continue
-        u = u_by[order][at]
-        guess = np.log2(np.maximum(u.mean(axis=1), 1e-9) * 0.7).round().clip(0, 8).astype(np.int64)
-        for d in (-1, 0, 1):
-            kk = np.clip(guess + d, 0, 14)
-            n = 8 + order * 8 + 10 + (u >> kk[:, None].astype(np.uint16)).sum(axis=1, dtype=np.int64) + u.shape[1] * (kk + 1)
-            better = n < bits[at]
-            kind[at[better]], k[at[better]], bits[at[better]] = 8 + order, kk[better], n[better]
+        if len(at):
+            offer(8 + order, at, 18 + order * 8)
+    linear = fitted(samples)
+    guess = sum(linear[:, j : j + 1] * samples[:, ORDER - 1 - j : BLOCK - 1 - j] for j in range(ORDER)) >> SHIFT
+    code = 31 + ORDER
+    u_by[code] = folded((samples[:, ORDER:] - guess).astype(np.int16))
+    lead = 9 + ORDER * PRECISION
+    offer(code, np.arange(f), 18 + ORDER * 8 + lead)
     same = (samples == samples[:, :1]).all(axis=1)
     kind[same], bits[same] = 0, 16
     codes = [coded_number(int(n)) for n in numbers]
@@ -126,22 +172,30 @@ def frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.nda
     out[body[at] + 1] = samples[at, 0].astype(np.int8).view(np.uint8)
     at = np.nonzero(kind == 1)[0]
     out[body[at][:, None] + 1 + np.arange(BLOCK)] = samples[at].astype(np.int8).view(np.uint8)
-    for order in range(3):
-        for kk in np.unique(k[kind == 8 + order]):
-            at = np.nonzero((kind == 8 + order) & (k == kk))[0]
+    for code, u_all in u_by.items():
+        order, lead = (ORDER, 9 + ORDER * PRECISION) if code >= 32 else (code - 8, 0)
+        for kk in np.unique(k[kind == code]):
+            at = np.nonzero((kind == code) & (k == kk))[0]
             out[body[at][:, None] + 1 + np.arange(order)] = samples[at, :order].astype(np.int8).view(np.uint8)
-            u = u_by[order][at].astype(np.int64)
+            u = u_all[at].astype(np.int64)
             q = u >> kk
             ends = np.cumsum(q + kk + 1, axis=1)  # in bits, each code's end
-            width = (10 + int(ends[:, -1].max()) + 7) // 8 * 8
+            width = (lead + 10 + int(ends[:, -1].max()) + 7) // 8 * 8
             row = np.zeros((len(at), width), dtype=np.uint8)
-            row[:, 6:10] = (kk >> np.array([3, 2, 1, 0])) & 1
-            flat, place = row.reshape(-1), (np.arange(len(at)) * width + 10)[:, None] + ends
+            if lead:
+                fields = [(PRECISION - 1, 4), (SHIFT, 5)] + [(linear[at, j], PRECISION) for j in range(ORDER)]
+                place = 0
+                for value, n in fields:
+                    for j in range(n):
+                        row[:, place + j] = (value >> (n - 1 - j)) & 1
+                    place += n
+            row[:, lead + 6 : lead + 10] = (kk >> np.array([3, 2, 1, 0])) & 1
+            flat, place = row.reshape(-1), (np.arange(len(at)) * width + lead + 10)[:, None] + ends
             flat[place - kk - 1] = 1
             for j in range(kk):
                 flat[place - 1 - j] = (u >> j) & 1
             packed = np.packbits(row, axis=1)
-            n = (10 + ends[:, -1] + 7) // 8
+            n = (lead + 10 + ends[:, -1] + 7) // 8
             mask = np.arange(packed.shape[1]) < n[:, None]
             out[((body[at] + 1 + order)[:, None] + np.arange(packed.shape[1]))[mask]] = packed[mask]
     crc = crc16(out, start[:-1], length - 2)
@@ -303,34 +357,29 @@ def header(stream: bytes) -> tuple[int, int, bytes]:
     return at, packed & (1 << 36) - 1, info[18:34]
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payload of each stream, all checksums verified."""
-    starts, bodies, stops, counts, heads = [], [], [], [], []
-    data = np.frombuffer(b"".join(streams), dtype=np.uint8)
-    base = 0
-    for s in streams:
-        first, samples, md5 = header(s)
-        heads.append(md5)
-        n, at, found = samples // BLOCK, first, 0
-        while found < n:
-            code = coded_number(found)
-            mark = b"\xff\xf8\x10\x02" + code
+def scan(s: bytes, at: int, numbers: range) -> tuple[list[int], list[int]]:
+    """(starts, bodies) of the frames of these numbers, the first at byte `at` or after it."""
+    starts, bodies = [], []
+    for number in numbers:
+        mark = b"\xff\xf8\x10\x02" + coded_number(number)
+        c = 0
+        for x in mark:
+            c = int(CRC8[c ^ x])
+        while True:
             at = s.find(mark, at)
             if at < 0 or at + len(mark) >= len(s):
                 raise FlacError("a frame is missing")
-            c = 0
-            for x in mark:
-                c = int(CRC8[c ^ x])
             if s[at + len(mark)] == c:
-                starts.append(base + at)
-                bodies.append(base + at + len(mark) + 1)
-                found, at = found + 1, at + len(mark)
-            else:
-                at += 1
-        counts.append(n)
-        base += len(s)
-        stops += starts[len(starts) - n + 1 :] + [base]
-    start, body, stop = (np.array(x, dtype=np.int64) for x in (starts, bodies, stops))
+                break
+            at += 1
+        starts.append(at)
+        bodies.append(at + len(mark) + 1)
+        at += len(mark)
+    return starts, bodies
+
+
+def bytes_of(data: np.ndarray, start: np.ndarray, body: np.ndarray, stop: np.ndarray) -> bytes:
+    """The payload bytes of frames, checksums verified; GROUP frames at a time."""
     parts = []
     for i in range(0, len(start), GROUP):
         j = min(i + GROUP, len(start))
@@ -341,8 +390,25 @@ def decode(streams: list[bytes]) -> list[bytes]:
             raise FlacError("a frame doesn't end where the next begins")
         if (crc16(part, start[i:j] - lo, stop[i:j] - start[i:j]) != 0).any():
             raise FlacError("frame checksum")
-        parts.append((x + 128).astype(np.uint8).reshape(-1))
-    payload = np.concatenate(parts).tobytes() if parts else b""
+        parts.append((x + 128).astype(np.uint8).tobytes())
+    return b"".join(parts)
+
+
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payload of each stream, all checksums verified."""
+    starts, bodies, stops, counts, heads = [], [], [], [], []
+    data = np.frombuffer(b"".join(streams), dtype=np.uint8)
+    base = 0
+    for s in streams:
+        first, samples, md5 = header(s)
+        heads.append(md5)
+        counts.append(samples // BLOCK)
+        own, body = scan(s, first, range(counts[-1]))
+        starts += [base + x for x in own]
+        bodies += [base + x for x in body]
+        base += len(s)
+        stops += starts[len(starts) - counts[-1] + 1 :] + [base]
+    payload = bytes_of(data, *(np.array(x, dtype=np.int64) for x in (starts, bodies, stops)))
     out, at = [], 0
     for n, md5 in zip(counts, heads):
         p = payload[at : at + n * BLOCK]
@@ -353,16 +419,58 @@ def decode(streams: list[bytes]) -> list[bytes]:
     return out
 
 
+def read_at(stream: bytes, first: int, n: int) -> bytes:
+    """Samples first to first + n of a stream (fewer at its end), of which only the frames that
+    hold them are decoded, found from the last seek point before them."""
+    at, samples, _ = header(stream)
+    last = min(first + n, samples)
+    if first >= last:
+        return b""
+    frame, byte, place = 0, at, 4
+    while place < at:
+        kind, size = stream[place] & 0x7F, int.from_bytes(stream[place + 1 : place + 4], "big")
+        if kind == 3:
+            for p in range(place + 4, place + 4 + size, 18):
+                sample, offset, _ = struct.unpack(">QQH", stream[p : p + 18])
+                if sample <= first:
+                    frame, byte = sample // BLOCK, at + offset
+        place += 4 + size
+    stop = -(-last // BLOCK)
+    more = stop * BLOCK < samples
+    starts, bodies = scan(stream, byte, range(frame, stop + more))
+    stops = starts[1:] if more else starts[1:] + [len(stream)]
+    skip = first // BLOCK - frame
+    cut = slice(skip, stop - frame)
+    got = bytes_of(np.frombuffer(stream, dtype=np.uint8), *(np.array(x[cut], dtype=np.int64) for x in (starts, bodies, stops)))
+    return got[first % BLOCK : first % BLOCK + last - first]
+
+
 def payload(text: str | None) -> bytes:
     b = (text or "").encode("utf-8", "surrogatepass")
     return b + b" " * (BLOCK - len(b) if len(b) < BLOCK else -len(b) % BLOCK)
 
 
-def feature(p: bytes) -> str:
-    """Mean, root mean square and zero crossings of the samples, from exact integer sums."""
-    x = np.frombuffer(p, dtype=np.uint8).astype(np.int64) - 128
-    crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"mean={x.sum() / len(x):.4f};rms={(float((x * x).sum()) / len(x)) ** 0.5:.4f};crossings={crossings}"
+def blocks(p: bytes, samples: int = SEEK * BLOCK) -> Iterator[tuple[int, bytes]]:
+    """(first sample, samples as unsigned bytes) of a payload's PCM blocks."""
+    for at in range(0, len(p), samples):
+        yield at, p[at : at + samples]
+
+
+def digests(pcm: Iterable[tuple[int, bytes]]) -> tuple[int, str, int, str]:
+    """(bytes, SHA-256, CRC-32 of the last 16, feature) of PCM blocks in order of their
+    offsets. The feature: mean, root mean square and zero crossings of the samples, from exact
+    sums of whole numbers."""
+    n, sha, tail, total, square, crossings, last = 0, hashlib.sha256(), b"", 0, 0, 0, None
+    for first, p in pcm:
+        if first != n:
+            raise FlacError("a PCM block is missing")
+        x = np.frombuffer(p, dtype=np.uint8).astype(np.int64) - 128
+        low = x < 0
+        crossings += int((low[1:] != low[:-1]).sum()) + (last is not None and bool(low[0]) != last)
+        total, square, last = total + int(x.sum()), square + int((x * x).sum()), bool(low[-1])
+        sha.update(p)
+        n, tail = n + len(p), (tail + p[-16:])[-16:]
+    return n, sha.hexdigest(), zlib.crc32(tail), f"mean={total / n:.4f};rms={(square / n) ** 0.5:.4f};crossings={crossings}"
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -378,8 +486,8 @@ def pcm_blocks(media: DataFrame, samples: int = SEEK * BLOCK) -> DataFrame:
     into blocks, each of which can be sought by its first sample."""
     def rows(b):
         for i, p in zip(b["doc_id"], decode(b["media"])):
-            for at in range(0, len(p), samples):
-                yield i, at // samples, at, len(p[at : at + samples]), p[at : at + samples]
+            for at, pcm in blocks(p, samples):
+                yield i, at // samples, at, len(pcm), pcm
     return map_rows(media.select("doc_id", "media"), rows, "doc_id long, block long, first_sample long, n_samples long, pcm binary", text="media")
 
 
@@ -388,6 +496,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         streams = encode([payload(t) for t in b["text"]])
         for i, t, s, p in zip(b["doc_id"], b["text"], streams, decode(streams)):
             n = len((t or "").encode("utf-8", "surrogatepass"))
-            yield i, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(s), hashlib.sha256(s).hexdigest(), feature(p)
+            size, sha, tail, feature = digests(blocks(p))
+            yield i, n, size, sha, tail, len(s), hashlib.sha256(s).hexdigest(), feature
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return map_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), rows, schema)

@@ -1,4 +1,4 @@
-"""Chat trees, hard negatives and periodic runs against brute force, SQL and odd tables."""
+"""Chat trees, hard negatives, periodic runs and media streams against brute force, SQL and odd tables."""
 
 import hashlib
 import random
@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lantern.llm import chats, negatives, runs
+from lantern.llm import chats, media, negatives, runs
 from lantern.llm.wordhash import SPACE, Words
 
 SF = "/root/testdata/sf0.001"
@@ -350,3 +350,49 @@ def test_jaccard_filter_lets_every_repeated_hash_pass(spark, monkeypatch):
     same(spark.createDataFrame([x for x in whole if x[0] is not None], "doc_id long, n_shingles long, component_id long"), sql(jaccard.SQL, documents=df.filter("doc_id IS NOT NULL").toArrow()))
     monkeypatch.setattr(jaccard, "bitmap", lambda x, bits: np.full(1 << bits - 3, 255, dtype=np.uint8))
     assert sorted(map(tuple, jaccard.join(df, n=4, percent=85).collect()), key=str) == whole
+
+
+def payloads_of_media():
+    r = np.random.default_rng(3)
+    wave = (60 * np.sin(np.arange(192 * 700) / 7) + 128 + r.integers(-3, 4, 192 * 700)).astype(np.uint8).tobytes()
+    return [media.payload("the quick brown fox jumps over the lazy dog " * 900), wave, r.integers(0, 256, 192 * 20, dtype=np.uint8).tobytes(), b"\x00\xff" * 96 * 5, media.payload("")]
+
+
+def test_fitted_predictors_are_written_and_read():
+    payloads = payloads_of_media()
+    streams = media.encode(payloads)
+    assert media.decode(streams) == payloads and [media.encode([p])[0] for p in payloads] == streams
+    kinds = []
+    for s in streams:
+        first, samples, _ = media.header(s)
+        kinds.append({s[b] >> 1 for b in media.scan(s, first, range(samples // 192))[1]})
+    assert 35 in kinds[0] & kinds[1] and kinds[2] == {1} and kinds[4] == {0}
+    assert 3 * len(streams[1]) < 2 * len(payloads[1])
+
+
+def test_samples_are_sought_from_seek_points():
+    payloads = payloads_of_media()
+    for p, s in zip(payloads, media.encode(payloads)):
+        for first, n in ((0, 1), (0, len(p)), (191, 2), (len(p) - 1, 10), (len(p), 5), (len(p) // 2, 1000), (512 * 192 - 1, 2), (600 * 192, 7)):
+            assert media.read_at(s, first, n) == p[first : first + n]
+    bad = bytearray(media.encode(payloads)[1])
+    bad[len(bad) // 2] ^= 1
+    at = next(i for i in range(0, len(payloads[1]), 192 * 20) if not sought(bytes(bad), i))
+    assert at > 0 and sought(bytes(bad), 0)
+
+
+def sought(stream, first):
+    try:
+        return media.read_at(stream, first, 192 * 20) is not None
+    except media.FlacError:
+        return False
+
+
+def test_digests_of_blocks_are_those_of_the_whole():
+    for p in payloads_of_media():
+        whole = media.digests([(0, p)])
+        assert whole[:3] == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        for size in (7, 192, 1000):
+            assert media.digests(media.blocks(p, size)) == whole
+    with pytest.raises(media.FlacError):
+        media.digests(list(media.blocks(payloads_of_media()[0], 1000))[1:])
