@@ -25,6 +25,32 @@ def taylor_bound(n: int, order: int, tau: float) -> float:
     return tail + 2 * n * order * unit / (1 - n * order * unit)
 
 
+def rounding(n: int, order: int, unit: float = 2.0**-52) -> float:
+    """What rounding adds, relatively, to `order` products with n-row matrices."""
+    return n * order * unit / (1 - n * order * unit)
+
+
+def exponential_bound(n: int, order: int, tau: float, relative: bool = False) -> float:
+    """Bound on the 1-norm error of exp(-tau A), A an n-row matrix of norm 1, by its power series
+    up to A**order in double precision; relative: to the norm of the exponential."""
+    cut = math.exp((order + 1) * math.log(tau) + tau - math.lgamma(order + 2)) if tau > 0 else 0.0
+    return (rounding(n, order) + cut) * math.exp(3 * tau if relative else tau)
+
+
+def power_series(tau: float, order: int) -> list[float]:
+    """Coefficients of exp(-tau x) on x**0 .. x**order."""
+    out = [1.0]
+    for k in range(1, order + 1):
+        out.append(out[-1] * -tau / k)
+    return out
+
+
+def chebyshev_on_order(tau: float, order: int) -> list[float]:
+    """chebyshev() of order + 1 coefficients by as many nodes as `order` says: the last one is
+    0, as the nodes are the zeros of its polynomial."""
+    return chebyshev(tau, order + 1, order)
+
+
 def linspace(a: float, b: float, n: int) -> list[float]:
     return [a] if n == 1 else [a + (b - a) * i / (n - 1) for i in range(n)]
 

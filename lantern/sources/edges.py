@@ -29,32 +29,38 @@ def node_count(spark: SparkSession, path: str) -> int | None:
     return int(m[1]) if m else None
 
 
-def edges(spark: SparkSession, path: str, weighted: bool = False) -> DataFrame:
-    """(src, dst, weight). Lines that begin with % or # are comments; missing weights are 1."""
+def edges(spark: SparkSession, path: str, weighted: bool = False, ordered: bool = False) -> DataFrame:
+    """(src, dst, weight). Lines that begin with % or # are comments; missing weights are 1.
+    ordered: with a column order, by file, the place of the split in it and that of the row in
+    the split, so that rows can be told apart by which comes later, however files are split."""
+    place = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("order")] if ordered else []
     kind = file_kind(path)
     if kind == "parquet":
         df = spark.read.parquet(path)
         c = [F.col(f"`{x}`") for x in df.columns]
         weight = c[2].cast("double") if weighted and len(c) > 2 else F.lit(1.0)
-        return df.select(c[0].cast("long").alias("src"), c[1].cast("long").alias("dst"), weight.alias("weight"))
+        return df.select(c[0].cast("long").alias("src"), c[1].cast("long").alias("dst"), weight.alias("weight"), *place)
     line = F.trim(F.col("value"))
     parts = F.split(line, r"\s*,\s*" if kind == "csv" else r"\s+")
-    df = spark.read.text(path).filter((line != "") & ~line.rlike(r"^[%#]")).select(parts.alias("p"))
+    df = spark.read.text(path).filter((line != "") & ~line.rlike(r"^[%#]")).select(parts.alias("p"), *place)
     weight = F.coalesce(F.try_element_at("p", F.lit(3)).cast("double"), F.lit(1.0)) if weighted else F.lit(1.0)
     # Ids may be written as 3 or 3.0.
-    return df.select(*[F.element_at("p", i + 1).cast("double").cast("long").alias(x) for i, x in enumerate(("src", "dst"))], weight.alias("weight"))
+    return df.select(*[F.element_at("p", i + 1).cast("double").cast("long").alias(x) for i, x in enumerate(("src", "dst"))], weight.alias("weight"), *["order"] * ordered)
 
 
-def graph(spark: SparkSession, path: str, directed: bool = True, weighted: bool = False, n: int | None = None, drop_loops: bool = True, one_based: bool = False) -> Graph:
+def graph(spark: SparkSession, path: str, directed: bool = True, weighted: bool = False, n: int | None = None, drop_loops: bool = True, one_based: bool = False, last: bool = False) -> Graph:
     """The canonical graph of a file, its nodes 0 .. n-1; n: given, from the file's first
-    line, or the largest id and one."""
-    e = edges(spark, path, weighted)
+    line, or the largest id and one. last: of several rows of a pair the last counts (in an
+    undirected graph, of either direction), instead of their sum."""
+    e = edges(spark, path, weighted, last)
     if one_based:
-        e = e.select((F.col("src") - 1).alias("src"), (F.col("dst") - 1).alias("dst"), "weight")
+        e = e.withColumns({"src": F.col("src") - 1, "dst": F.col("dst") - 1})
     n = n or node_count(spark, path)
     if n is None:
         n = int(e.agg(F.max(F.greatest("src", "dst"))).first()[0] or -1) + 1
-    return Graph.from_edges(e, n, directed, weighted, drop_loops)
+    if last and not directed:
+        e = e.unionByName(e.withColumns({"src": F.col("dst"), "dst": F.col("src")}))
+    return Graph.from_edges(e, n, directed, weighted, drop_loops, order_by="order" if last else None)
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:

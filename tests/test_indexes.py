@@ -144,3 +144,21 @@ def test_sources_given_twice_count_once(spark):
     g, _ = random_graph(spark)
     s = g.nodes.filter("id = 3")
     assert math.isclose(sum(r.psi for r in heat.heat_kernel(g, [1.0], 6, s.union(s)).collect()), sum(coefficients.poisson(1.0, 6)))
+
+
+def test_series_and_their_bounds():
+    r = np.random.default_rng(2)
+    a = r.uniform(size=(30, 30))
+    a /= np.abs(a).sum(axis=0).max()
+    values, vectors = np.linalg.eig(a)
+    for tau, order in ((0.5, 3), (1.0, 6), (3.0, 12)):
+        exact = (vectors * np.exp(-tau * values) @ np.linalg.inv(vectors)).real
+        series, power = np.zeros_like(a), np.eye(30)
+        for c in coefficients.power_series(tau, order):
+            series, power = series + c * power, power @ a
+        error = np.abs(series - exact).sum(axis=0).max()
+        assert 0 < error <= coefficients.exponential_bound(30, order, tau)
+        assert error / np.abs(exact).sum(axis=0).max() <= coefficients.exponential_bound(30, order, tau, relative=True)
+    assert coefficients.rounding(1000, 10) == pytest.approx(1e4 * 2.0**-52)
+    few = coefficients.chebyshev_on_order(2.0, 20)
+    assert len(few) == 21 and np.allclose(few[:20], coefficients.chebyshev(2.0, 20), atol=1e-12) and abs(few[20]) < 1e-12

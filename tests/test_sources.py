@@ -22,6 +22,33 @@ def test_text_graphs(spark, tmp_path):
         edges.file_kind("a.xml")
 
 
+def test_last_row_of_a_pair_counts(spark, tmp_path):
+    lines = [f"{i % 7} {(i * 3 + 1) % 11} {i}" for i in range(4000)]
+    p = tmp_path / "many.edgelist"
+    p.write_text("\n".join(["%11", *lines]))
+    want, both = {}, {}
+    for x in lines:
+        a, b, w = map(int, x.split())
+        if a != b:
+            want[a, b] = w
+            both[a, b] = both[b, a] = w
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")  # the file is read in many splits
+    try:
+        got = rows(edges.graph(spark, str(p), weighted=True, last=True).edges)
+        undirected = rows(edges.graph(spark, str(p), weighted=True, directed=False, last=True).edges)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((a, b, float(w)) for (a, b), w in want.items())
+    assert undirected == sorted((a, b, float(w)) for (a, b), w in both.items())
+    # One file after the other, by name.
+    (tmp_path / "parts.tsv").mkdir()
+    (tmp_path / "parts.tsv" / "a.tsv").write_text("0\t1\t5\n")
+    (tmp_path / "parts.tsv" / "b.tsv").write_text("0\t1\t3\n1\t2\t1\n")
+    assert rows(edges.graph(spark, str(tmp_path / "parts.tsv"), weighted=True, last=True).edges) == [(0, 1, 3.0), (1, 2, 1.0)]
+    spark.createDataFrame([(0, 1, 2.0), (0, 1, 9.0)], "a long, b long, w double").coalesce(1).write.parquet(str(tmp_path / "e.parquet"))
+    assert rows(edges.graph(spark, str(tmp_path / "e.parquet"), weighted=True, last=True).edges) == [(0, 1, 9.0)]
+
+
 def test_round_trips(spark, tmp_path):
     e = spark.createDataFrame([(0, 1, 1.5), (2, 0, 1.0)], "src long, dst long, weight double")
     sinks.edges(e, str(tmp_path / "o.tsv"), 5)
