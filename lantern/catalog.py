@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lantern.functions import angles, coefficients, entropies
 from lantern.graph import Graph, reindex, union
-from lantern.operators import centrality, degrees, density, evaluate, heat, landmarks, laplacian, mail, paths, ranks, report, roles, similarity, spectral, synthetic
+from lantern.operators import centrality, degrees, density, evaluate, heat, landmarks, laplacian, mail, paths, plane, ranks, report, roles, similarity, spectral, synthetic
 from lantern.operators.components import largest_component as largest
 from lantern.plans.components import components
 from lantern.session import table, written
@@ -937,5 +937,25 @@ SELECT e.node, round(any_value(core), 6) + 0.0 AS core, round(any_value(e.eps),
 
 @query(OUTLIERS)
 def outlier_scores(spark, d):
-    z = evaluate.standardised(embedding_rows(spark, d)).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda v: v["value"]).alias("features"))
-    return rounded(density.outlier_scores(z), "core", "eps", "score").drop("least")
+    return rounded(density.outlier_scores(evaluate.scaled(embedding_rows(spark, d))), "core", "eps", "score").drop("least")
+
+
+# Widths by halving, all rows at once.
+FUZZY = "WITH RECURSIVE" + OUTLIERS.removeprefix("WITH").split("c AS (")[0] + """n AS (SELECT a, b, d FROM d WHERE a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 15),
+o AS (SELECT a, coalesce(min(d) FILTER (WHERE d > 0), 0) AS first, avg(d) AS mean, count(*) AS k FROM n GROUP BY a),
+y AS (SELECT a, list(greatest(d - first, 0)) AS y, sum(greatest(d - first, 0)) / any_value(k - log2(k)) AS most, any_value(log2(k)) AS goal FROM n JOIN o USING (a) GROUP BY a),
+s(i, a, low, high) AS (SELECT 0, a, 0.0::DOUBLE, most FROM y WHERE most > 0 UNION ALL
+    SELECT i + 1, a, CASE WHEN got < goal THEN (low + high) / 2 ELSE low END, CASE WHEN got < goal THEN high ELSE (low + high) / 2 END
+    FROM (SELECT s.*, goal, list_sum(list_transform(y, lambda v: exp(-v / ((low + high) / 2)))) AS got FROM s JOIN y USING (a) WHERE i < 60)),
+q AS (SELECT n.a, b, CASE WHEN d <= first THEN 1.0 ELSE exp((first - d) / greatest(coalesce(high, 0), mean * 1e-3)) END AS w FROM n JOIN o USING (a) LEFT JOIN (SELECT * FROM s WHERE i = 60) s ON s.a = n.a)
+SELECT least(a, b) AS node, greatest(a, b) AS other, round(CASE WHEN count(*) = 2 THEN sum(w) - max(w) * min(w) ELSE max(w) END, 6) + 0.0 AS weight FROM q GROUP BY 1, 2"""
+
+
+@query(FUZZY)
+def fuzzy_neighbours(spark, d):
+    return rounded(plane.fuzzy(written(evaluate.scaled(embedding_rows(spark, d)), "scaled")), "weight")
+
+
+@query()
+def plane_neighbours(spark, d):
+    return plane.plane(evaluate.scaled(embedding_rows(spark, d)))

@@ -107,6 +107,11 @@ def standardised(x: DataFrame) -> DataFrame:
     return long.join(s, "i").select("node", "i", ((F.col("v") - F.col("m")) / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)).alias("value"))
 
 
+def scaled(x: DataFrame) -> DataFrame:
+    """(node, features): the standardised features of a row as an array again."""
+    return standardised(x).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda v: v["value"]).alias("features"))
+
+
 def folds(labels: DataFrame, n: int, seed: int) -> DataFrame:
     """(node, label, fold): nodes of each label dealt to n folds in a seeded order, as evenly
     as may be. All nodes are numbered by label in ranges, so that no task has a label whole."""
@@ -148,7 +153,7 @@ def evaluate_clusters(x: DataFrame, k: int | None = None, seed: int = 113) -> Da
     """One row of eight scores of k-means on standardised (node, features, label): six of the
     clusters against the labels, two of the labels' own geometry. Rows without a label are
     clustered and not scored; k: by default the number of labels."""
-    z = standardised(x).groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda v: v["value"]).alias("features"))
+    z = scaled(x)
     z = written(z.join(x.select("node", "label"), "node"), "scaled")
     known = z.filter("label IS NOT NULL")
     k = k or known.select("label").distinct().count()
@@ -157,8 +162,7 @@ def evaluate_clusters(x: DataFrame, k: int | None = None, seed: int = 113) -> Da
 
 
 def principal(x: DataFrame, k: int = 2) -> DataFrame:
-    """(node, features): the first k principal components of the standardised features, in
-    place of a plane by neighbours."""
+    """(node, features): the first k principal components of the standardised features."""
     from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import vector_to_array
 
