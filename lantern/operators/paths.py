@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lantern.graph import Graph
-from lantern.operators.lanes import BITS, WORDS, any_of, bit, named, numbering, set_bits
-from lantern.session import written
+from lantern.operators.lanes import BITS, LANES, WORDS, any_of, bit, named, numbering, set_bits
+from lantern.session import released, written
 
 
 def hops(g: Graph, sources: DataFrame, depth: int | None = None, most: int | None = None, targets: DataFrame | None = None) -> DataFrame:
@@ -73,16 +75,74 @@ def layers(g: Graph, sources: DataFrame, depth: int) -> DataFrame:
     return d.join(parent, ["source", "node", "hops"], "left")
 
 
-def weighted_distances(g: Graph, sources: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(source, node, distance) by relaxation: only improved nodes go on."""
-    e = g.edges.select(F.col("src").alias("_s"), "dst", "weight")
-    best = written(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0.0).alias("distance")), "best")
-    moved = best
-    for _ in range(rounds):
-        step = moved.join(e, F.col("node") == F.col("_s")).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.col("distance") + F.col("weight")).alias("new"))
-        moved = step.join(best, ["source", "node"], "left").filter("distance IS NULL OR new < distance - 1e-12").select("source", "node", F.col("new").alias("distance"))
-        moved = written(moved, "moved")
-        if moved.isEmpty():
-            return best
-        best = written(best.unionByName(moved).groupBy("source", "node").agg(F.min("distance").alias("distance")), "best")
-    raise RuntimeError(f"distances did not settle in {rounds} rounds")
+def smallest(names: list[str]) -> list[Column]:
+    return [F.min(c).alias(c) for c in names]
+
+
+def weighted_distances(g: Graph, sources: DataFrame, rounds: int = 1000, delta: float | None = None) -> DataFrame:
+    """(source, node, distance) over edges with weights, which may be 0; with weights below 0
+    too, if no cycle adds up to less than 0 (RuntimeError after so many rounds otherwise).
+
+    A row holds a node and its distances from the sources of a block, a column each. Distances
+    are settled in buckets as wide as delta, from the nearest on, empty ones passed over: in a
+    bucket only its own rows are joined and written again, along edges lighter than delta, until
+    none improves; then its rows go along all edges and into the table, once. delta: by default
+    the mean weight, or the largest over the mean number of edges of a node if that is more.
+    With weights below 0, all is one bucket."""
+    e = written(g.edges.select(F.col("src").alias("_s"), "dst", "weight").filter("_s <> dst OR weight < 0"), "edges")  # each round reads it
+    least, most, mean, count, starts = e.agg(F.min("weight"), F.max("weight"), F.avg("weight"), F.count(F.lit(1)), F.count_distinct("_s")).first()
+    if delta is None:
+        delta = max(mean, most * starts / count) if count and most > 0 else math.inf
+    if count and least < 0:
+        delta = math.inf
+    old, new = named("d"), named("n")
+    any_ = lambda names: F.coalesce(*names).isNotNull()
+    none = [F.lit(None).cast("double").alias(c) for c in new]
+    places = numbering(sources, LANES)
+    state = places.select(F.col("source").alias("node"), "block", *[F.when(F.col("lane") == j, 0.0).alias(c) for j, c in enumerate(old)])
+    state = state.groupBy("node", "block").agg(*smallest(old))
+
+    def along(front: DataFrame, edges: DataFrame) -> DataFrame:
+        # The bound is a column, so that all rounds run the same compiled code.
+        sums = [F.when(F.col(c) + F.col("weight") < F.col("bound"), F.col(c) + F.col("weight")).alias(c) for c in old]
+        steps = front.join(edges, F.col("node") == F.col("_s")).select(F.col("dst").alias("node"), "block", *sums, "bound").filter(any_(old))
+        return steps.groupBy("node", "block").agg(*smallest(old), F.max("bound").alias("bound"))
+
+    # Where a step of rounding is not small beside delta, no edge is surely too long.
+    near = delta * (1 + 1e-9)
+    short = e if delta == math.inf else written(e.filter(F.col("weight") < near), "light")
+    settled, done = -math.inf, 0
+    state = written(state.withColumn("bound", F.lit(settled)), "distances")
+    while True:
+        nearest = state.agg(F.min(F.least(*[F.when(F.col(c) >= F.col("bound"), F.col(c)) for c in old]))).first()[0]
+        if nearest is None:
+            break
+        bound = (math.floor(nearest / delta) + 1) * delta if delta < math.inf else math.inf
+        while bound <= nearest:  # where rounding has brought it down
+            bound = math.nextafter(bound, math.inf) + delta
+        light = short if math.ulp(bound) < delta * 1e-10 and bound - nearest <= near else e
+        bucket = state.select("node", "block", *[F.when((F.col(c) >= settled) & (F.col(c) < bound), F.col(c)).alias(c) for c in old], F.lit(bound).alias("bound"))
+        bucket = front = written(bucket.filter(any_(old)), "bucket")
+        while True:
+            reached = along(front, light).select("node", "block", *[F.lit(None).cast("double").alias(c) for c in old], *[F.col(c).alias(n) for c, n in zip(old, new)], "bound")
+            both = bucket.select("node", "block", *old, *none, "bound").unionByName(reached).groupBy("node", "block").agg(*smallest(old + new), F.max("bound").alias("bound"))
+            better = [F.when(F.col(c).isNull() | (F.col(n) < F.col(c)), F.col(n)).alias(n) for c, n in zip(old, new)]
+            both = written(both.select("node", "block", *[F.least(c, n).alias(c) for c, n in zip(old, new)], *better, "bound"), "bucket")
+            released(bucket)
+            bucket, front = both, both.filter(any_(new)).select("node", "block", *[F.col(n).alias(c) for c, n in zip(old, new)], "bound")
+            if front.isEmpty():
+                break
+            done += 1
+            if done > rounds:
+                raise RuntimeError(f"distances did not settle in {rounds} rounds")
+        own = bucket.select("node", "block", *old, "bound")
+        far = along(own.withColumn("bound", F.lit(math.inf)), e).withColumn("bound", F.lit(bound))
+        every = state.unionByName(own) if bound == math.inf else state.unionByName(own).unionByName(far)
+        new_state = written(every.groupBy("node", "block").agg(*smallest(old), F.max("bound").alias("bound")).withColumn("bound", F.lit(bound)), "distances")
+        released(state, bucket)
+        state, settled = new_state, bound
+        if bound == math.inf:
+            break
+    lanes = F.array(*[F.struct(F.lit(j).alias("lane"), F.col(c).alias("distance")) for j, c in enumerate(old)])
+    rows = state.select("node", "block", F.explode(lanes).alias("x")).select("node", "block", "x.lane", "x.distance").filter("distance IS NOT NULL")
+    return rows.join(places, ["block", "lane"]).select("source", "node", "distance")
