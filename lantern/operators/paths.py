@@ -75,6 +75,11 @@ def layers(g: Graph, sources: DataFrame, depth: int) -> DataFrame:
     return d.join(parent, ["source", "node", "hops"], "left")
 
 
+#: Width of a bucket in mean weights: a round costs more in being started than in a few steps
+#: that are taken again.
+MEANS = 8
+
+
 def smallest(names: list[str]) -> list[Column]:
     return [F.min(c).alias(c) for c in names]
 
@@ -87,12 +92,13 @@ def weighted_distances(g: Graph, sources: DataFrame, rounds: int = 1000, delta:
     are settled in buckets as wide as delta, from the nearest on, empty ones passed over: in a
     bucket only its own rows are joined and written again, along edges lighter than delta, until
     none improves; then its rows go along all edges and into the table, once. delta: by default
-    the mean weight, or the largest over the mean number of edges of a node if that is more.
+    MEANS times the mean weight, or the largest over the mean number of edges of a node if that
+    is more.
     With weights below 0, all is one bucket."""
     e = written(g.edges.select(F.col("src").alias("_s"), "dst", "weight").filter("_s <> dst OR weight < 0"), "edges")  # each round reads it
     least, most, mean, count, starts = e.agg(F.min("weight"), F.max("weight"), F.avg("weight"), F.count(F.lit(1)), F.count_distinct("_s")).first()
     if delta is None:
-        delta = max(mean, most * starts / count) if count and most > 0 else math.inf
+        delta = MEANS * max(mean, most * starts / count) if count and most > 0 else math.inf
     if count and least < 0:
         delta = math.inf
     old, new = named("d"), named("n")
