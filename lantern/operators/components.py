@@ -21,11 +21,14 @@ def dense(g: Graph, kept: DataFrame) -> Graph:
     return Graph(relabel(g.edges, index, "id"), index.select(F.col("index").alias("id")))
 
 
-def largest_component(g: Graph) -> Graph:
-    """The largest weakly connected component (of two, that with the smallest node), renumbered."""
+def largest_component(g: Graph, renumber: bool = True) -> Graph:
+    """The largest weakly connected component (of two, that with the smallest node), renumbered
+    or with the ids it has in g."""
     m = written(member_table(g), "members")
     top = m.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
-    return dense(g, m.join(F.broadcast(top), "component").select("id"))  # one row
+    kept = m.join(F.broadcast(top), "component").select("id")  # one row
+    # An edge lies in its source's component.
+    return dense(g, kept) if renumber else Graph(g.edges.join(kept, F.col("src") == F.col("id"), "left_semi"), kept)
 
 
 def without_isolated(g: Graph) -> Graph:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lantern.graph import Graph
 from lantern.operators import lanes
+from lantern.operators.components import largest_component
 from lantern.operators.heat import heat_kernel
 from lantern.session import CLEANUP, released, setting, written
 
@@ -53,3 +54,12 @@ def test_written_leaves_no_shuffle_files(spark):
     with setting(spark, CLEANUP, "false"):
         pass
     assert spark.conf.get(CLEANUP) == "false"
+
+
+def test_largest_component_with_its_ids(spark):
+    edges = spark.createDataFrame([(0, 1, 1.0), (10, 14, 1.0), (14, 19, 2.0), (30, 33, 1.0)], "src long, dst long, weight double")
+    g = Graph.from_edges(edges)
+    part = largest_component(g, renumber=False)
+    assert {tuple(r) for r in part.edges.collect()} == {(10, 14, 1.0), (14, 19, 2.0)}
+    assert {r.id for r in part.nodes.collect()} == {10, 14, 19}
+    assert {tuple(r) for r in largest_component(g).edges.collect()} == {(0, 1, 1.0), (1, 2, 2.0)}
