@@ -36,7 +36,8 @@ def parsed(messages: DataFrame) -> DataFrame:
     people = F.array_distinct(F.transform(F.filter(parts, lambda x: x.contains("@")), stripped))
     sides = F.filter(F.split("from", "[<>]"), lambda x: x.contains("@"))
     sender = stripped(F.when(F.size(sides) == 1, F.get(sides, F.lit(0))).otherwise(F.col("from")))
-    m = messages.select("path", lines.alias("l")).filter(fits)
+    # Exploded, as filters on a mere column would be moved before it and split each text again.
+    m = messages.select("path", F.explode(F.array(lines)).alias("l")).filter(fits)
     m = m.select("path", field(0).alias("message_id"), field(1).alias("date"), field(2).alias("from"), people.alias("recipients"))
     return m.filter(~F.col("from").rlike("[,;]")).select("path", "message_id", "date", sender.alias("sender"), "recipients")
 

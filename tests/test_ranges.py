@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from lantern.graph import Graph
-from lantern.operators import lanes
+from lantern.operators import lanes, mail
 from lantern.operators.components import largest_component
 from lantern.operators.heat import heat_kernel
 from lantern.session import CLEANUP, released, setting, written
@@ -63,3 +63,12 @@ def test_largest_component_with_its_ids(spark):
     assert {tuple(r) for r in part.edges.collect()} == {(10, 14, 1.0), (14, 19, 2.0)}
     assert {r.id for r in part.nodes.collect()} == {10, 14, 19}
     assert {tuple(r) for r in largest_component(g).edges.collect()} == {(0, 1, 1.0), (1, 2, 2.0)}
+
+
+def test_a_message_is_split_once(spark):
+    """Filters on what stands in a message are not moved before its text is split."""
+    m = spark.createDataFrame([("1", "Message-ID: <1>\nDate: x\nFrom: a@b.c\nTo: 'd@e.f',\n\tg@h.i\n\nHi")], "path string, text string")
+    e = mail.edges(mail.parsed(m))
+    assert {tuple(r) for r in e.collect()} == {("a@b.c", "d@e.f", 1), ("a@b.c", "g@h.i", 1)}
+    plan = e._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Message-ID:") >= 1 and plan.count("(?:To|Cc|Bcc)") == 1
