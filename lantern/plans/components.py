@@ -14,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     reach. Each round is two aggregations for minima and two joins; a vertex's neighbours are
     never gathered. Rounds grow with the logarithm of the longest chain; tables of stars take
     two. What a round makes is written in the shared folder, and the round before it deleted."""
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
-    e = written(e, "edges")
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v")
+    e = written(e, "edges")  # repeated ones go in the first round
     seen = None
     for _ in range(MAX_ROUNDS):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
