@@ -107,6 +107,8 @@ def started(rows: DataFrame) -> DataFrame:
 def moved(state: DataFrame, links: DataFrame, n: int, rounds: int, negatives: int, a: float, b: float, seed: int) -> DataFrame:
     """state (at, node, x, y, round) a round later; links (a, b, weight) between places `at`.
     The round is a column, so that each one runs the same compiled code."""
+    # Dealt out, not broadcast: in every round a broadcast would pass through the driver.
+    state = state.hint("merge")
     here = state.select(F.col("at").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
     pulls = links.join(here, "a").select("a", "b", "weight", "xa", "ya")
     shift = lambda t: F.pmod(F.xxhash64("round", F.lit(t), F.lit(seed)), F.lit(n - 1)) + 1

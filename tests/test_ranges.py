@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from lantern.graph import Graph
-from lantern.operators import lanes, mail
+from lantern.operators import lanes, mail, plane
 from lantern.operators.components import largest_component
 from lantern.operators.heat import heat_kernel
 from lantern.session import CLEANUP, released, setting, written
@@ -72,3 +72,12 @@ def test_a_message_is_split_once(spark):
     assert {tuple(r) for r in e.collect()} == {("a@b.c", "d@e.f", 1), ("a@b.c", "g@h.i", 1)}
     plan = e._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Message-ID:") >= 1 and plan.count("(?:To|Cc|Bcc)") == 1
+
+
+def test_rounds_of_a_layout_broadcast_nothing(spark):
+    """A broadcast passes through the driver, in every round anew."""
+    state = written(spark.range(50).select(F.col("id").alias("at"), F.col("id").alias("node"), F.rand(1).alias("x"), F.rand(2).alias("y"), F.lit(0).alias("round")))
+    links = written(spark.range(49).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(1.0).alias("weight")))
+    new = plane.moved(state, links, 50, 3, 5, 1.5, 0.9, 0)
+    assert new.count() == 50
+    assert "Broadcast" not in new._jdf.queryExecution().executedPlan().toString()
