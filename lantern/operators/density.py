@@ -31,11 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lantern.graph import in_order
-from lantern.operators.neighbours import PART_ROWS, QUERY_ROWS, Bounds, by_part, gaps, index, of_index, rows_of
+from lantern.operators.neighbours import PART_ROWS, QUERY_ROWS, Bounds, Part, by_tile, gaps, index, of_index, rows_of
 from lantern.plans.components import components
 from lantern.session import released, written
 
 
+#: Rows that ask the index for each time that its rows are dealt out.
+ASKS = 10_000
+
+
 @dataclass(frozen=True)
 class Held:
     """What each cell holds of the components: smallest and largest id, smallest core, and of
@@ -68,46 +72,47 @@ def held_by_cells(here: DataFrame, cells: int) -> Held:
     return h
 
 
-class Crowd:
-    """The rows of one part, by cell, with their components and cores."""
+class Crowd(Part):
+    """The rows of one part with their components and cores. Those of the part's largest
+    component are a kind of their own, which that component's rows pass over."""
 
-    def __init__(self, slices: list[pa.RecordBatch]):
-        cell = np.concatenate([s.column("cell").to_numpy() for s in slices])
-        order = np.argsort(cell, kind="stable")
-        take = lambda c: np.concatenate([s.column(c).to_numpy() for s in slices])[order]
-        self.component, self.core = take("component"), take("core")
-        self.x = np.concatenate([rows_of(s.column("features")) for s in slices])[order]
-        kinds, begin = np.unique(cell[order], return_index=True)
-        self.at = {c: (int(a), int(b)) for c, a, b in zip(kinds.tolist(), begin, np.append(begin[1:], len(cell)))}
-        self.square = (self.x * self.x).sum(axis=1)
+    def __init__(self, bounds: Bounds, slices: list[pa.RecordBatch]):
+        take = lambda c: np.concatenate([s.column(c).to_numpy() for s in slices])
+        component, core = take("component"), take("core")
+        kinds, count = np.unique(component, return_counts=True)
+        self.largest = kinds[count.argmax()]
+        super().__init__(bounds, np.concatenate([rows_of(s.column("features")) for s in slices]), take("cell"), (component == self.largest).astype(np.int8), core)
+        self.component, self.core = component[self.order], self.by
 
     def nearest(self, t: pa.RecordBatch) -> pa.RecordBatch | None:
-        """(component, reach, other): for each asking row its shortest reach to another
-        component in the cells it wants, if within its bound."""
+        """(component, reach, other): for the asking rows of each component their shortest
+        reach to another one, if within its bound."""
         q, own, core, top = rows_of(t.column("features")), t.column("component").to_numpy(), t.column("core").to_numpy(), t.column("top").to_numpy()
-        size = (q * q).sum(axis=1)
-        wants: dict[int, list[int]] = {}
-        for i, cells in enumerate(t.column("cells").to_pylist()):
-            for c in cells:
-                wants.setdefault(c, []).append(i)
-        best, other = np.full(len(q), np.inf), np.full(len(q), -1)
-        for c, who in wants.items():
-            if c not in self.at:
+        kinds, code = np.unique(own, return_inverse=True)
+        best, other = np.full(len(kinds), np.inf), np.full(len(kinds), -1)
+        for these, of in ((own == self.largest, (0,)), (own != self.largest, (0, 1))):
+            if not these.any():
                 continue
-            a, b = self.at[c]
-            apart = np.maximum(size[who][:, None] - 2 * q[who] @ self.x[a:b].T + self.square[a:b], (np.maximum(core[who][:, None], self.core[a:b])) ** 2)
-            apart = np.where(own[who][:, None] != self.component[a:b], apart, np.inf)
-            limit = np.minimum(np.minimum(apart.min(axis=1), best[who] ** 2), top[who] ** 2) + 1e-9 * (size[who] + self.square[a:b].max())
-            for i, row, most in zip(who, apart, limit):
-                at = a + np.flatnonzero(row <= most)
-                if len(at):
-                    exact = np.maximum(np.maximum(np.sqrt(((self.x[at] - q[i]) ** 2).sum(axis=1)), self.core[at]), core[i])
-                    j = exact.argmin()
-                    if exact[j] < best[i]:
-                        best[i], other[i] = exact[j], self.component[at[j]]
+            x, o, c, e = q[these], code[these], core[these], own[these]
+            limit = top[these] ** 2
+
+            def changed(near: np.ndarray, who: np.ndarray, size: np.ndarray, rows: slice) -> np.ndarray:
+                near = np.maximum(near, np.maximum(self.core[rows] ** 2, c[who, None] ** 2) - size[:, None])
+                near[e[who, None] == self.component[rows]] = np.inf
+                return near
+
+            for i, j in self.close(x, limit, 1, of, changed):
+                apart = e[i] != self.component[j]  # not so only where nothing bounds them
+                i, j = i[apart], j[apart]
+                reach = np.maximum(np.maximum(self.exact(x, i, j), self.core[j]), c[i])
+                first = np.lexsort((reach, o[i]))
+                first = first[np.append(True, o[i][first][1:] != o[i][first][:-1])[: len(first)]]
+                first = first[reach[first] < best[o[i][first]]]
+                best[o[i][first]], other[o[i][first]] = reach[first], self.component[j[first]]
+                np.minimum(limit, best[o] ** 2, out=limit)
         got = np.flatnonzero(best < np.inf)
         if len(got):
-            return pa.RecordBatch.from_arrays([pa.array(own[got]), pa.array(best[got]), pa.array(other[got])], names=["component", "reach", "other"])
+            return pa.RecordBatch.from_arrays([pa.array(kinds[got]), pa.array(best[got]), pa.array(other[got])], names=["component", "reach", "other"])
 
 
 def elsewhere(points: DataFrame, bounds: Bounds, labels: DataFrame, asks: DataFrame) -> DataFrame:
@@ -133,7 +138,7 @@ def elsewhere(points: DataFrame, bounds: Bounds, labels: DataFrame, asks: DataFr
     tops = written(known.join(above, "component").select("component", F.least("reach", "top").alias("top")), "tops")
     # A row's own reaches are never under its core.
     near = asking.drop("reach").join(tops, "component").filter("core <= top")
-    schema = f"query long, {points.select('features').schema.simpleString()[7:-1]}, component long, core double, part int, top double, cells array<int>"
+    schema = f"query long, {points.select('features').schema.simpleString()[7:-1]}, component long, core double, part int, top double, own int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_, h = held.value
@@ -141,16 +146,19 @@ def elsewhere(points: DataFrame, bounds: Bounds, labels: DataFrame, asks: DataFr
             for i in range(0, whole.num_rows, QUERY_ROWS):
                 b = whole.slice(i, QUERY_ROWS)
                 own, top = b.column("component").to_numpy()[:, None], b.column("top").to_numpy()[:, None]
-                floor = b_.floor(gaps(rows_of(b.column("features")), b_.pivots))
+                d = gaps(rows_of(b.column("features")), b_.pivots)
+                floor = b_.floor(d)
                 goes = (np.maximum(floor, h.core) <= top) & ((h.first != own) | (h.last != own)) & (b_.high >= b_.low)
-                r, part, lists = b_.dealt(goes)
+                r, part = b_.of_parts(goes)
                 rows = b.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("features"), rows.column("component"), rows.column("core"), part, rows.column("top"), lists],
-                    names=["query", "features", "component", "core", "part", "top", "cells"])
+                yield pa.RecordBatch.from_arrays([rows.column("node"), rows.column("features"), rows.column("component"), rows.column("core"), pa.array(part, pa.int32()), rows.column("top"), pa.array(d.argmin(axis=1)[r], pa.int32())],
+                    names=["query", "features", "component", "core", "part", "top", "own"])
 
     visits = near.select("node", "features", "component", "core", "top").mapInArrow(run, schema)
-    all_ = here.select("node", "features", "cell", "component", "core", "part").unionByName(visits, allowMissingColumns=True)
-    found = by_part(all_, int((bounds.part + bounds.parts).max()), "component long, reach double, other long", Crowd, Crowd.nearest)
+    base = here.select("node", "features", "cell", "component", "core", "part")
+    # For few that ask, base is not dealt out many times.
+    most = max(1, -(-asks.count() // ASKS))
+    found = by_tile(base, visits, int((bounds.part + bounds.parts).max()), "component long, reach double, other long", lambda slices: Crowd(held.value[0], slices), Crowd.nearest, most)
     out = written(found.groupBy("component").agg(F.min(F.struct("reach", "other")).alias("x")).select("component", "x.*"), "found")
     released(here, tops)
     return out

@@ -203,11 +203,12 @@ class Part:
         runs = [(a, min(a + RUN, e)) for c, e in zip(cut.tolist(), [*cut[1:].tolist(), len(x)]) for a in range(c, e, RUN)]
         self.runs = [(int(cell[a]), int(kind[a]), a, b, float(np.sqrt(square[a:b].max()))) for a, b in runs]
 
-    def close(self, q: np.ndarray, limit: np.ndarray, k: int | None = None, kinds: tuple[int, ...] = (0,), apart: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def close(self, q: np.ndarray, limit: np.ndarray, k: int | None = None, kinds: tuple[int, ...] = (0,), changed: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row of q, row of the part) of all pairs whose squared distance can be up to the
         query's limit, which may be lowered between two; with k, of at least each one's k nearest
-        in a run. apart: which pairs of some queries and a slice of rows count, if not all; rows
-        count whose `by` is not over the root of the limit."""
+        in a run. changed: what else is held against the limit than squared distances less the
+        queries' `size`, of these, some queries, their sizes and a slice of rows. Rows count
+        whose `by` is not over the root of the limit."""
         d = gaps(q, self.bounds.pivots)
         own = sorted({r[0] for r in self.runs})
         at = {c: i for i, c in enumerate(own)}
@@ -233,12 +234,10 @@ class Part:
                 z = self.x[a:b] - self.bounds.pivots[c]
                 rows, spare, t = np.concatenate([-2 * z, (z * z).sum(axis=1)[:, None]], axis=1), eps(np.float64) * reach, np.float64
             near = np.concatenate([y, np.ones((len(y), 1))], axis=1).astype(t) @ rows.T
+            if changed is not None:
+                near, spare = changed(near, who, size, slice(a, b)), spare + eps(t) * limit[who]
             ok = near <= (limit[who] + spare - size).astype(t)[:, None]
-            if apart is not None:
-                ok &= apart(who, slice(a, b))
             if k is not None and b - a > k and np.count_nonzero(ok) > 4 * k * len(who):
-                if apart is not None:
-                    near[~ok] = np.inf
                 kth = (near.min(axis=1) if k == 1 else np.partition(near, k - 1, axis=1)[:, k - 1]) + 2 * spare
                 ok &= near <= kth.astype(t)[:, None] * (1 + np.sign(kth)[:, None].astype(t) * np.finfo(t).eps * 2)
             pairs = np.flatnonzero(ok)
@@ -300,40 +299,11 @@ class Nearest(Part):
         return kept[0], self.node[kept[1]], kept[2]
 
 
-def by_part(rows: DataFrame, parts: int, schema: str, make: Callable, ask: Callable) -> DataFrame:
-    """rows: those of base and of the queries, by part, base (of which query is null) first.
-    make: what a part's base rows become, of slices of batches; ask: a batch of answers, or
-    None, of that and a slice of up to QUERY_ROWS queries."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, part = None, [], None
-        for b in batches:
-            which, query = b.column("part").to_numpy(), b.column("query").is_valid().to_numpy(zero_copy_only=False)
-            cut = np.nonzero(np.append(True, (which[1:] != which[:-1]) | (query[1:] != query[:-1])))[0]
-            for a, e in zip(cut, np.append(cut[1:], len(which))):
-                if which[a] != now:
-                    now, held, part = which[a], [], None
-                s = b.slice(a, e - a)
-                if not query[a]:
-                    held.append(s)
-                    continue
-                if part is None:
-                    if not held:
-                        continue
-                    part, held = make(held), []
-                for i in range(0, s.num_rows, QUERY_ROWS):
-                    found = ask(part, s.slice(i, QUERY_ROWS))
-                    if found is not None:
-                        yield found
-
-    dealt = rows.repartition(parts, "part").sortWithinPartitions("part", F.col("query").isNotNull())
-    return dealt.mapInArrow(run, schema)
-
-
-def by_tile(rows: DataFrame, queries: DataFrame, parts: int, schema: str, make: Callable, ask: Callable) -> DataFrame:
+def by_tile(rows: DataFrame, queries: DataFrame, parts: int, schema: str, make: Callable, ask: Callable, most: int | None = None) -> DataFrame:
     """rows (part, ..) of base, dealt out with queries (query, part, own, ..), own being the
-    nearest pivot, by parts and chunks of queries. make: what a part's base rows become, of
+    nearest pivot, by parts and chunks (`most` of them at most) of queries. make: what a part's base rows become, of
     slices of batches; ask: a batch of answers, or None, of that and of up to BLOCK queries."""
-    chunks = max(-(-TILES // parts), -(-parts // 8))
+    chunks = min(max(-(-TILES // parts), -(-parts // 8)), most or TILES * parts)
     base = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     asked = queries.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int"))
     tile = (F.col("part") * chunks + F.col("chunk")).cast("int").alias("tile")

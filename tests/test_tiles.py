@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lantern.operators import neighbours
+from lantern.operators import density, neighbours
 
 
 def frame(spark, x):
@@ -70,3 +70,34 @@ def test_tasks_are_even_and_a_query_brings_k_rows_a_part(spark):
     work = [w["work"] for w in tiles.groupBy(F.spark_partition_id()).agg(F.sum(F.col("rows") * F.col("queries")).alias("work")).collect()]
     assert sum(work) == len(x) ** 2
     assert len(work) >= neighbours.TILES and max(work) < 3 * sum(work) / len(work)
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e6])
+def test_shortest_reach_to_another_component(spread):
+    """One component holds most rows; many rows lie within any bound of an asking one."""
+    r = np.random.default_rng(9)
+    x = r.normal(size=(700, 32)) + spread * r.integers(0, 3, 700)[:, None]
+    component = np.where(r.random(700) < 0.7, 3, r.integers(4, 40, 700))
+    core = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, 5]
+    b, cell = bounds_of(x, 9, 6)
+    columns = {"features": pa.array(x.tolist()), "component": pa.array(component), "core": pa.array(core), "cell": pa.array(cell, pa.int32())}
+    crowd = density.Crowd(b, [pa.RecordBatch.from_pydict(columns)])
+    at = np.arange(0, 700, 3)
+    asks = pa.RecordBatch.from_pydict({"features": pa.array(x[at].tolist()), "component": pa.array(component[at]), "core": pa.array(core[at]), "top": pa.array(np.full(len(at), 1e8))})
+    got = crowd.nearest(asks).to_pydict()
+    reach = np.maximum(np.maximum(np.sqrt(((x[at, None] - x[None]) ** 2).sum(axis=2)), core), core[at, None])
+    reach[component[at, None] == component] = np.inf
+    want = {int(c): reach[component[at] == c].min() for c in np.unique(component[at])}
+    assert dict(zip(got["component"], got["reach"])) == want
+    for c, d, other in zip(got["component"], got["reach"], got["other"]):
+        assert other != c and (reach[component[at] == c][:, component == other] == d).any()
+
+
+def test_a_component_passes_over_its_own_rows():
+    """Where nearly all rows are one component, its rows are compared with the few others only."""
+    r = np.random.default_rng(10)
+    x = r.normal(size=(500, 16))
+    component = np.where(np.arange(500) < 480, 1, 2)
+    b, cell = bounds_of(x, 4, 6)
+    crowd = density.Crowd(b, [pa.RecordBatch.from_pydict({"features": pa.array(x.tolist()), "component": pa.array(component), "core": pa.array(np.zeros(500)), "cell": pa.array(cell, pa.int32())})])
+    assert sum(e - a for _, kind, a, e, _ in crowd.runs if kind == 0) == 20
