@@ -23,6 +23,17 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranges_of_close_ids_join_nothing(spark):
+    """Edges used to be dealt out to a table of nodes for it."""
+    edges = spark.range(399).select(F.lit(0).cast("long").alias("_s"), (F.col("id") + 1).alias("dst"))
+    close = lanes.placed(edges, lanes.ranges(spark.range(400), 100), "dst")
+    assert "Join" not in plan(close) and close.groupBy("part").count().count() == 4
+    far = spark.range(400).select((F.col("id") * 1000).alias("id"))
+    where = lanes.ranges(far, 100)
+    got = lanes.placed(far, where, "id").groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).orderBy("a").collect()
+    assert len(got) == 4 and sum(r.n for r in got) == 400 and all(x.b < y.a for x, y in zip(got, got[1:]))
+
+
 def test_supply_moves_its_edges_once(spark):
     """Both directions and the nodes are read from what is written, with nothing dealt out."""
     g, sources = catalog.supply(spark, "/root/testdata/sf0.001")
@@ -30,3 +41,24 @@ def test_supply_moves_its_edges_once(spark):
     e = {(r.src, r.dst) for r in g.edges.collect()}
     assert len(e) == g.edges.count() and e == {(b, a) for a, b in e}
     assert {r.id for r in g.nodes.collect()} == {a for a, _ in e}
+
+
+@pytest.mark.parametrize("far", [1, 1000])
+def test_hops_send_rows_once_to_a_range(spark, monkeypatch, far):
+    """The lists of a node's edges are written, one row for each range they lead to."""
+    g = graph(spark, far=far)
+    monkeypatch.setattr(lanes, "RANGE", 16)
+    seen = []
+    real = paths.dealt
+    monkeypatch.setattr(paths, "dealt", lambda *a: seen.append(real(*a)) or real(*a))
+    got = {(r.source, r.node): r.hops for r in paths.hops(g, g.nodes.filter(F.col("id") % (7 * far) == 0), 2).collect()}
+    out = {}
+    for r in g.edges.collect():
+        out.setdefault(r.src, set()).add(r.dst)
+    want = {}
+    for s in range(0, 40 * far, 7 * far):
+        front, want[s, s] = {s}, 0
+        for h in (1, 2):
+            front = {b for a in front for b in out.get(a, ()) if (s, b) not in want}
+            want |= {(s, b): h for b in front}
+    assert got == want and len(seen) == 1
