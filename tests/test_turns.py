@@ -43,6 +43,17 @@ def test_supply_moves_its_edges_once(spark):
     assert {r.id for r in g.nodes.collect()} == {a for a, _ in e}
 
 
+def test_heat_by_turns_and_ranges(spark, monkeypatch):
+    g, sources = graph(spark), spark.range(0, 40, 3)
+    get = lambda: {(r.source, r.node): r.psi for r in heat_kernel(g, [1.0], 4, sources).collect()}
+    one = get()
+    monkeypatch.setattr(lanes, "TURN", 5)
+    monkeypatch.setattr(lanes, "RANGE", 16)
+    assert lanes.numbering(sources, 16, 1, lanes.TURNS)._turns == 2
+    more = get()
+    assert one.keys() == more.keys() and all(abs(one[k] - more[k]) < 1e-12 for k in one)
+
+
 @pytest.mark.parametrize("far", [1, 1000])
 def test_hops_send_rows_once_to_a_range(spark, monkeypatch, far):
     """The lists of a node's edges are written, one row for each range they lead to."""
