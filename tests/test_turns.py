@@ -73,3 +73,12 @@ def test_hops_send_rows_once_to_a_range(spark, monkeypatch, far):
             front = {b for a in front for b in out.get(a, ()) if (s, b) not in want}
             want |= {(s, b): h for b in front}
     assert got == want and len(seen) == 1
+
+
+def test_betweenness_by_turns(spark, monkeypatch):
+    g, sources = graph(spark), spark.range(0, 40, 4)
+    get = lambda: {r.node: r.score for r in centrality.betweenness(g, sources, directed=False).collect()}
+    one = get()
+    monkeypatch.setattr(lanes, "TURN", 5)
+    monkeypatch.setattr(lanes, "RANGE", 16)
+    assert get() == pytest.approx(one) and sum(one.values()) > 0
