@@ -82,3 +82,30 @@ def test_betweenness_by_turns(spark, monkeypatch):
     monkeypatch.setattr(lanes, "TURN", 5)
     monkeypatch.setattr(lanes, "RANGE", 16)
     assert get() == pytest.approx(one) and sum(one.values()) > 0
+
+
+def test_sketches_estimate_and_unite():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 20, 400, 20_000):
+        h = r.integers(0, 1 << 62, (50, n), dtype=np.uint64)
+        state = np.zeros((50, 1024), dtype=np.uint8)
+        rank = (np.log2(((h >> np.uint64(10)) & (~(h >> np.uint64(10)) + np.uint64(1))).astype(float)) + 1).astype(np.uint8)
+        for i in range(50):
+            np.maximum.at(state[i], (h[i] & np.uint64(1023)).astype(int), rank[i])
+        got = centrality.estimates(state)
+        assert abs(got.mean() - n) <= 4 * 1.04 / 32 * n / 7 + 0.1 and (centrality.unpacked(centrality.packed(state), 1024) == state).all()
+    at, source = r.integers(0, 7, 500), r.integers(0, 50, 500)
+    got, want = np.zeros((7, 1024), dtype=np.uint8), np.zeros((7, 1024), dtype=np.uint8)
+    centrality.unite(got, at, state, source)
+    np.maximum.at(want, at, state[source])
+    assert (got == want).all()
+
+
+def test_sketches_in_slices(spark, monkeypatch):
+    """Two slices of 512 registers err as 1,024 registers do."""
+    monkeypatch.setattr(centrality, "SKETCHED", 60)
+    monkeypatch.setattr(lanes, "RANGE", 50)
+    g = graph(spark, 100)
+    got = {r.node: r.score for r in centrality.closeness_estimated(g, 10).collect()}
+    want = {r.node: r.score for r in centrality.closeness(g).collect()}
+    assert got == pytest.approx(want, rel=4 * 1.04 / 32)
