@@ -15,7 +15,7 @@ repeat can be, and strings are dealt so that equal LENGTH-byte strings meet in o
    sorts the triples at places not divisible by 3, recurses on their names, orders the
    remaining suffixes by their first byte and the next rank, and merges both. Neighbours in
    the suffix array that agree in LENGTH bytes are one string; all but its earliest place are
-   removed. Keys with more than CROWDED bytes of different segments, which one task shall
+   removed. Stretches whose windows have a hash of their own are left out before. Keys with more than CROWDED bytes of different segments, which one task shall
    not hold, are dealt anew, each window under its own 128-bit hash, and the earliest window
    of each found by minima.
 
@@ -104,9 +104,23 @@ class Segments:
         return self.data[self.start[i] : self.last[i] + length].tobytes()
 
 
+def joined(columns: list[np.ndarray]) -> np.ndarray | None:
+    """One number a row, ordered as the columns (from 0, first most significant) are, where 62
+    bits hold it."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) > 62:
+        return None
+    out = columns[0]
+    for c, n in zip(columns[1:], bits[1:]):
+        out = (out << n) | c
+    return out
+
+
 def names(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows (columns, first most significant), and each row's name from 1 in it."""
-    order = np.lexsort(columns[::-1])
+    one = joined(columns)
+    columns = columns if one is None else [one]
+    order = np.lexsort(columns[::-1]) if one is None else np.argsort(one)
     new = np.zeros(len(order), dtype=bool)
     for c in columns:
         s = c[order]
@@ -133,7 +147,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     rank[cover[order]] = np.arange(1, len(cover) + 1)
     cover = cover[order]
     zero = np.arange(0, n, 3)
-    zero = zero[np.lexsort((rank[zero + 1], t[zero]))]
+    first = joined([t[zero], rank[zero + 1]])
+    zero = zero[np.lexsort((rank[zero + 1], t[zero])) if first is None else np.argsort(first)]
     # Each suffix of class 0 goes behind the smaller ones of class 1, and of class 2.
     wide = int(rank.max()) + 1
     j = cover[cover % 3 == 1]
@@ -192,6 +207,30 @@ def repeated(segments: list[bytes], order: list[tuple], length: int = LENGTH) ->
     return [(int(seg[gone[a]]), int(offset[gone[a]]), int(offset[gone[b]])) for a, b in zip(cut, last)]
 
 
+def meeting(segments: list[bytes], length: int = LENGTH) -> list[tuple[int, int, bytes]]:
+    """(segment, start, bytes): the stretches of segments whose windows all have a hash that
+    another window has too. Equal windows have equal hashes, so all that can repeat is in them."""
+    lengths = np.array([len(b) for b in segments])
+    begin = np.concatenate([[0], np.cumsum(lengths)])
+    data = np.frombuffer(b"".join(segments), dtype=np.uint8)
+    if len(data) < length:
+        return []
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((data.astype(np.uint64) + U(1)) * powers(BASE, len(data)), dtype=np.uint64)])
+    hashes = mixed((sums[length:] - sums[:-length]) * powers(INVERSE, len(data) - length + 1))
+    seg = np.repeat(np.arange(len(segments)), lengths)[: len(hashes)]
+    inside = np.nonzero(np.arange(len(hashes)) + length <= begin[seg + 1])[0]
+    order = np.argsort(hashes[inside])
+    h = hashes[inside][order]
+    same = np.zeros(len(h) + 1, dtype=bool)
+    same[1:-1] = h[1:] == h[:-1]
+    at = np.sort(inside[order[same[1:] | same[:-1]]])
+    if not len(at):
+        return []
+    cut = np.nonzero(np.append(True, (np.diff(at) != 1) | (seg[at][1:] != seg[at][:-1])))[0]
+    last = np.append(cut[1:], len(at)) - 1
+    return [(int(seg[a]), int(a - begin[seg[a]]), data[a : b + length].tobytes()) for a, b in zip(at[cut], at[last])]
+
+
 def own(docs: DataFrame) -> DataFrame:
     """d, k, text: a text's place in the order of documents."""
     text = F.coalesce("text", F.lit(""))
@@ -295,10 +334,11 @@ def removed(docs: DataFrame) -> DataFrame:
         size = 0
         for group in [*b["all"], None]:
             if group is None or (batch and size + sum(len(x["bytes"]) for x in group) > SORTED):
-                if batch:
-                    for i, s, e in repeated([x["bytes"] for x in batch], [(x["d"], x["k"], x["p"]) for x in batch]):
-                        x = batch[i]
-                        yield x["d"], x["k"], x["p"] + s, x["p"] + e + LENGTH
+                if batch and (parts := meeting([x["bytes"] for x in batch])):
+                    order = [(batch[i]["d"], batch[i]["k"], batch[i]["p"] + at) for i, at, _ in parts]
+                    for i, s, e in repeated([x for _, _, x in parts], order):
+                        d, k, p = order[i]
+                        yield d, k, p + s, p + e + LENGTH
                 batch, size = [], 0
             if group is not None:
                 batch += group
